@@ -69,8 +69,10 @@ def line_dedup(
         wide = wide.where("keeper < top") if min_docs == 2 else wide
     else:
         wide = groups.agg(F.min("k").alias("keeper"), F.count_distinct("k").alias("n")).where(F.col("n") >= min_docs)
+    # written, so that both sides of the join are plain exchanges and a hot hash is split among tasks
+    wide = materialize(wide.select("hi", "lo", "keeper"), "wide")
     drops = (
-        lines.join(wide.select("hi", "lo", "keeper"), ["hi", "lo"])
+        lines.join(wide, ["hi", "lo"])
         .where("k > keeper")
         .groupBy("k")
         .agg(F.collect_set(F.struct("hi", "lo")).alias("drops"))
