@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilspark.llm import lang_id, quality
 from vigilspark.llm.bpe_codec import bpe_round_trip, encode_decode_digest
+from vigilspark.llm.common import crc_remainder
+from vigilspark.llm.decontam import contamination
 from vigilspark.llm.line_dedup import line_dedup
+from vigilspark.llm.lm import interpolated_scores
 from vigilspark.llm.simhash import simhash_components
 from vigilspark.llm.token_counts import token_counts
+from vigilspark.llm.vectors import near_duplicate_vectors
 
 CONTEXT_TOKENS = 1024
+PREDICT_AT = 0.7
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -23,6 +29,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
     return counts.withColumn("over_limit", F.col("n_tokens") > CONTEXT_TOKENS)
@@ -33,6 +43,17 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_remainder("doc_id", 3) == 1, F.lit(False))
+    model = lang_id.fit(docs.where(~held_out))
+    return lang_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op6_vector_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode_digest(bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_path()))
 
@@ -42,11 +63,37 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_remainder("doc_id", 7) == 2, F.lit(False))
+    scored = interpolated_scores(docs, ~held_out)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_remainder("doc_id", 4) == 2, F.lit(False))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("labelled"), "quality")
+    rows = docs.join(labels, docs.doc_id == labels.labelled).where(~held_out)
+    weights = quality.fit(rows.select("doc_id", "text", "quality"))
+    scored = quality.score(docs, weights)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= PREDICT_AT).cast("int").alias("predicted")
+    )
+
+
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
     "op3_line_dedup": op3_line_dedup,
+    "op5_language_id": op5_language_id,
+    "op6_vector_near_dups": op6_vector_near_dups,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_simhash": op8_simhash,
+    "op9_lm_scores": op9_lm_scores,
+    "op10_quality": op10_quality,
 }
 
 ORACLE = {
