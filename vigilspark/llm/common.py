@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigilspark.storage import materialize
+
 #: Output batches are flushed at about this many characters or list items.
 FLUSH = 4_000_000
 
@@ -32,6 +34,17 @@ def crc_fold(doc_id: int, mod: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % mod
 
 
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", broadcast_rows: int = 200_000) -> DataFrame:
+    """The rows of ``docs`` whose id is not in ``ids`` (one column, distinct); null matches null.
+
+    The ids are counted first: up to ``broadcast_rows`` they are broadcast and
+    the documents stay where they are, beyond that both sides are shuffled.
+    """
+    ids = materialize(ids.toDF("_gone"), "gone")
+    small = F.broadcast(ids) if ids.count() <= broadcast_rows else ids.hint("shuffle_hash")
+    return docs.join(small, docs[id_col].cast("long").eqNullSafe(small["_gone"]), "left_anti")
+
+
 class Emitter:
     """Collects rows and yields record batches of bounded size."""
 

@@ -170,6 +170,24 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return doc_text(docs, id_col, text_col).mapInArrow(by_row(schema, rows), "doc_id long, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all their columns, whose language is identified with at least ``min_score``.
+
+    Rows with null text or text without a letter go.  A filter over the scan,
+    without a shuffle or join; no column but the text is looked at.
+    """
+    shipped = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    place = docs.columns.index(text_col)
+
+    def keep(batches):
+        scorer = _scorer(shipped)
+        for batch in batches:
+            found = (scorer.predict(text) for text in batch.column(place).to_pylist())
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 _SCORERS: dict[str, Scorer] = {}
 
 

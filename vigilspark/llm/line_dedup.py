@@ -13,6 +13,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from vigilspark.llm.common import LOWER_AZ, by_row, doc_text
 from vigilspark.storage import materialize
@@ -36,7 +38,12 @@ def line_keys(text: str, min_chars: int) -> list[tuple[int, int] | None]:
 
 
 def line_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    min_chars: int = 10,
+    min_docs: int = 2,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """``(doc_id, text, n_lines, n_dropped)``, a row for each row of ``docs``.
 
@@ -47,11 +54,13 @@ def line_dedup(
 
     Null or empty text is one empty line.  A null id counts as one more document
     after all others.  Rows that repeat an id are one document for the count and
-    are each cleaned.  Other columns are not read.  An empty table gives an empty
-    result.  Lines are matched by 128-bit hash.
+    are each cleaned.  Of the other columns only those in ``carry`` are read; they
+    come back in the struct ``carried``.  An empty table gives an empty result.
+    Lines are matched by 128-bit hash.
     """
-    plain = doc_text(docs, id_col, text_col).select(
-        F.coalesce("id", F.lit(_LAST)).alias("k"), "id", F.coalesce("text", F.lit("")).alias("text")
+    more = [F.struct(*carry).alias("carried")] if carry else []
+    plain = doc_text(docs, id_col, text_col, *more).select(
+        F.coalesce("id", F.lit(_LAST)).alias("k"), "id", F.coalesce("text", F.lit("")).alias("text"), *(["carried"] if carry else [])
     )
     key_schema = pa.schema([("k", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64())])
 
@@ -77,17 +86,20 @@ def line_dedup(
         .groupBy("k")
         .agg(F.collect_set(F.struct("hi", "lo")).alias("drops"))
     )
-    out_schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())])
+    out = T.StructType.fromDDL("doc_id long, text string, n_lines long, n_dropped long")
+    if carry:
+        out.add(plain.schema["carried"])
+    out_schema = to_arrow_schema(out)
 
     def rebuild(source):
-        for i, text, dropped in source:
+        for i, text, dropped, *carried in source:
             lines = text.split("\n")
             total = len(lines)
             if dropped:
                 gone = {(d["hi"], d["lo"]) for d in dropped}
                 lines = [x for x, h in zip(lines, line_keys(text, min_chars), strict=True) if h not in gone]
                 text = "\n".join(lines)
-            yield len(text), i, text, total, total - len(lines)
+            yield len(text), i, text, total, total - len(lines), *carried
 
-    joined = plain.join(drops.hint("shuffle_hash"), "k", "left").select("id", "text", "drops")
-    return joined.mapInArrow(by_row(out_schema, rebuild), "doc_id long, text string, n_lines long, n_dropped long")
+    joined = plain.join(drops.hint("shuffle_hash"), "k", "left").select("id", "text", "drops", *(["carried"] if carry else []))
+    return joined.mapInArrow(by_row(out_schema, rebuild), out)

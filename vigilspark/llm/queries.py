@@ -11,12 +11,15 @@ from vigilspark.llm.common import crc_remainder
 from vigilspark.llm.decontam import contamination
 from vigilspark.llm.line_dedup import line_dedup
 from vigilspark.llm.lm import interpolated_scores
+from vigilspark.llm.pii import pseudonymise
 from vigilspark.llm.simhash import simhash_components
 from vigilspark.llm.token_counts import token_counts
 from vigilspark.llm.vectors import near_duplicate_vectors
 
 CONTEXT_TOKENS = 1024
 PREDICT_AT = 0.7
+#: A key for the registered query; production passes its own secret.
+SURROGATE_KEY = b"example key of the registered query"
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -43,6 +46,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(crc_remainder("doc_id", 3) == 1, F.lit(False))
@@ -88,6 +95,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
     "op3_line_dedup": op3_line_dedup,
+    "op4_pii_surrogates": op4_pii_surrogates,
     "op5_language_id": op5_language_id,
     "op6_vector_near_dups": op6_vector_near_dups,
     "op7_bpe_round_trip": op7_bpe_round_trip,
