@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from vigilspark.plans import case_plans
+
 FLAGSHIP = "case_status_counts"
+_PARTS = (case_plans,)
+QUERIES: dict = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
+ORACLE: dict[str, str] = {name: s for part in _PARTS for name, s in part.ORACLE.items()}
