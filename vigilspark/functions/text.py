@@ -109,15 +109,14 @@ def amounts(text: Column) -> Column:
 
 def promises(text: Column) -> Column:
     """Investment promises as (text, type, language), the first pattern that finds a text names it (SF-13)."""
-    parts = []
-    for kind, language, pattern in X.PROMISES:
-        parts.append(
-            F.transform(
-                _all(text, "(?i)" + pattern),
-                lambda x, k=kind, g=language: F.struct(F.trim(x).alias("text"), F.lit(k).alias("promise_type"), F.lit(g).alias("language")),
-            )
-        )
-    every = F.concat(*parts)
+
+    def found(kind: str, language: str, pattern: str) -> Column:
+        def promise(x: Column) -> Column:
+            return F.struct(F.trim(x).alias("text"), F.lit(kind).alias("promise_type"), F.lit(language).alias("language"))
+
+        return F.transform(_all(text, "(?i)" + pattern), promise)
+
+    every = F.concat(*[found(*p) for p in X.PROMISES])
     seen = F.transform(every, lambda p: p["text"])
     return F.filter(every, lambda p, i: F.array_position(seen, p["text"]) == i + 1)
 
@@ -139,8 +138,11 @@ def complaint_entities(text: Column) -> Column:
         ("PHONE", _all(text, r"(?:\+91[-\s]?)?[6-9]\d{9}")), ("UPI", upi), ("URL", _all(text, r"https?://[^\s<>\"']+")),
         ("TELEGRAM", _all(text, r"t\.me/[a-zA-Z0-9_]+")), ("SOCIAL", _all(text, r"@[a-zA-Z0-9_.]{3,30}")),
     ]
-    typed = [F.transform(v, lambda x, k=k: F.concat(F.lit(k + ":"), F.trim(x))) for k, v in parts]
-    return F.array_distinct(F.concat(*typed))
+
+    def typed(kind: str, values: Column) -> Column:
+        return F.transform(values, lambda x: F.concat(F.lit(kind + ":"), F.trim(x)))
+
+    return F.array_distinct(F.concat(*[typed(k, v) for k, v in parts]))
 
 
 def iocs(text: Column, kind: str) -> Column:
@@ -271,8 +273,8 @@ def loss_text(victims: Column, per_victim: int = 25_000) -> Column:
     """Estimated loss in crore, lakh or plain rupees (SF-42)."""
     loss = victims * per_victim
     return (
-        F.when(loss >= 10_000_000, F.concat(F.lit("₹"), F.format_string("%.1f", loss / 10_000_000.0), F.lit(" Crore")))
-        .when(loss >= 100_000, F.concat(F.lit("₹"), F.format_string("%.1f", loss / 100_000.0), F.lit(" Lakh")))
+        F.when(loss >= 10_000_000, F.concat(F.lit("₹"), F.format_string("%.1f", F.round(loss / 10_000_000.0, 1)), F.lit(" Crore")))
+        .when(loss >= 100_000, F.concat(F.lit("₹"), F.format_string("%.1f", F.round(loss / 100_000.0, 1)), F.lit(" Lakh")))
         .otherwise(F.concat(F.lit("₹"), loss.cast("string")))
     )
 
