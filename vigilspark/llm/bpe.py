@@ -13,6 +13,8 @@ from itertools import chain
 
 import regex
 
+from vigilspark.llm.common import held
+
 #: The split pattern of byte-level BPE (fixed value, must match the library).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -31,7 +33,7 @@ def byte_symbols() -> list[str]:
 class Memo(dict):
     """word -> result with a bounded number of words; starts anew when full."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
     LONGEST = 64
 
     def __init__(self, make) -> None:
@@ -160,13 +162,6 @@ class ByteBPE:
         return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_LOADED: dict[bytes, ByteBPE] = {}
-
-
 def loaded(data: bytes) -> ByteBPE:
     """One tokenizer for each worker process and file."""
-    key = hashlib.sha256(data).digest()
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = ByteBPE(data)
-    return _LOADED[key]
+    return held(("bpe", hashlib.sha256(data).digest()), lambda: ByteBPE(data))

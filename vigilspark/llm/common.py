@@ -18,9 +18,36 @@ FLUSH = 4_000_000
 LOWER_AZ = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+#: Arrow batches of texts: at most so many rows and bytes, since each task holds one or two in each process.
+BATCH_ROWS, BATCH_BYTES = 1_000, "8m"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Sets the session's Arrow batch limits for long texts."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What a worker process keeps between tasks: one model or memo, the last one asked for.
+
+    Worker processes outlive a stage; keeping one thing lets the next operator
+    have the memory of the last.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def doc_text(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the columns an operator reads, so that other columns and their names never matter."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *more)
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *more)
 
 
 def crc_remainder(id_col: str | Column, mod: int) -> Column:

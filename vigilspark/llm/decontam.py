@@ -21,17 +21,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilspark.llm.bpe import Memo
-from vigilspark.llm.common import by_row, doc_text
+from vigilspark.llm.common import by_row, doc_text, held
 from vigilspark.storage import materialize
 
 WORDS = re.compile(r"\w+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
-_HASHES = Memo(lambda word: xxhash.xxh64_intdigest(word.encode()))
+
+
+def _hashes() -> Memo:
+    return held("decontam words", lambda: Memo(lambda word: xxhash.xxh64_intdigest(word.encode())))
 
 
 def word_hashes(text: str) -> np.ndarray:
     words = WORDS.findall(text.lower())
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(_hashes().__getitem__, words), np.uint64, len(words))
 
 
 def rolling(words: np.ndarray, width: int) -> np.ndarray:

@@ -8,6 +8,7 @@ is the posterior of independent words under equal priors.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import pickle
 import re
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilspark.llm.common import by_row, doc_text
+from vigilspark.llm.common import by_row, doc_text, held, small_batches
 from vigilspark.storage import materialize
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -34,26 +35,26 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Tables of word and n-gram scores: string -> one log posterior per language."""
+    """Known words and n-grams, each the number of a row of log posteriors, one for each language."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], ngrams: dict[str, np.ndarray], longest: int) -> None:
-        self.langs, self.words, self.ngrams, self.longest = langs, words, ngrams, longest
+    def __init__(self, langs: list[str], words: dict[str, int], ngrams: dict[str, int], scores: np.ndarray, longest: int) -> None:
+        self.langs, self.words, self.ngrams, self.scores, self.longest = langs, words, ngrams, scores, longest
 
     def word_scores(self, word: str) -> np.ndarray:
         found = self.words.get(word)
         if found is not None:
-            return found
+            return self.scores[found]
         for n in range(self.longest, 0, -1):
             known = [s for g in grams(word, n) if (s := self.ngrams.get(f"{n}{g}")) is not None]
             if known:
-                return np.mean(known, axis=0)
+                return self.scores[known].mean(axis=0)
         return np.zeros(len(self.langs), np.float32)
 
 
 class Scorer:
     """Memo of word scores in one growing matrix; a text is one gather and one sum."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __init__(self, model: Model) -> None:
         self.model = model
@@ -99,7 +100,7 @@ def fit(
     executors; the ``max_words`` and ``max_grams`` most frequent come to the
     driver.  Rows with null text or language teach nothing.
     """
-    rows = labelled.select(
+    rows = small_batches(labelled).select(
         F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")
     ).where("text is not null and lang is not null")
     total = rows.count()
@@ -141,15 +142,19 @@ def fit(
         best = wide.where("all >= 2").orderBy(F.desc("all"), "n", "gram").limit(limit).select("n", "gram", "by").toArrow()
         return {(n, g): dict(by) for n, g, by in zip(*(best.column(k).to_pylist() for k in range(3)), strict=True)}
 
-    def scored(table: dict) -> dict[str, np.ndarray]:
+    scores: list[np.ndarray] = []
+
+    def numbered(table: dict) -> dict[str, int]:
         out = {}
         for (n, gram), by in table.items():
             p = np.array([math.log((by.get(x, 0) + 0.1) / (totals.get((x, n), 0) + 0.1 * max_words)) for x in langs])
             p -= p.max() + math.log(np.exp(p - p.max()).sum())
-            out[f"{n}{gram}" if n else gram] = p.astype(np.float32)
+            out[f"{n}{gram}" if n else gram] = len(scores)
+            scores.append(p.astype(np.float32))
         return out
 
-    return Model(langs, scored(top(True, max_words)), scored(top(False, max_grams)), longest)
+    words, ngrams = numbered(top(True, max_words)), numbered(top(False, max_grams))
+    return Model(langs, words, ngrams, np.array(scores, np.float32).reshape(-1, max(1, len(langs))), longest)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,15 +190,9 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_s
             found = (scorer.predict(text) for text in batch.column(place).to_pylist())
             yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
-
-
-_SCORERS: dict[str, Scorer] = {}
+    return small_batches(docs).mapInArrow(keep, docs.schema)
 
 
 def _scorer(shipped) -> Scorer:
-    key = str(hash(shipped.value))
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(pickle.loads(shipped.value))
-    return _SCORERS[key]
+    data = shipped.value
+    return held(("language", hashlib.sha256(data).digest()), lambda: Scorer(pickle.loads(data)))

@@ -17,18 +17,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilspark.llm.bpe import Memo
-from vigilspark.llm.common import by_row, doc_text
+from vigilspark.llm.common import by_row, doc_text, held, small_batches
 
 TOKENS = re.compile(r"\w+|[^\w\s]+")
 BUCKETS = 1 << 20
-_HASHES = Memo(lambda token: xxhash.xxh64_intdigest(token.lower().encode()))
+
+
+def _hashes() -> Memo:
+    return held("quality words", lambda: Memo(lambda token: xxhash.xxh64_intdigest(token.lower().encode())))
+
+
 _SAME = np.uint64(xxhash.xxh64_intdigest(b"="))
 
 
 def features(text: str | None, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Sorted feature numbers of a text and their values; feature 0 is the constant 1."""
     tokens = TOKENS.findall(text) if text else []
-    h = np.fromiter(map(_HASHES.__getitem__, tokens), np.uint64, len(tokens))
+    h = np.fromiter(map(_hashes().__getitem__, tokens), np.uint64, len(tokens))
     h[1:][h[1:] == h[:-1]] = _SAME
     pairs = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + (h[1:] ^ (h[1:] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     pairs ^= pairs >> np.uint64(31)
@@ -75,7 +80,7 @@ def fit(
     with a null label teach nothing; without any row all weights are 0 and every
     score is 0.5.
     """
-    rows = labelled.select(
+    rows = small_batches(labelled).select(
         F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("double").alias("y")
     ).where("y is not null")
     total = rows.count()

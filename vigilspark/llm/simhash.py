@@ -31,6 +31,8 @@ from vigilspark.storage import materialize
 SEED = 42
 #: Rows of packed postings that one merge bucket should hold.
 BUCKET_ROWS = 1_000_000
+#: Fingerprints whose postings are packed at a time.
+POST_ROWS = 10_000
 
 
 def fingerprint(text: str, width: int = 4) -> int:
@@ -97,11 +99,19 @@ def similar_fingerprints(prints: DataFrame, bits: int = 4) -> DataFrame:
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), prints.count() * len(masks) // BUCKET_ROWS + 1)
     block = pa.schema([("bucket", pa.int32()), ("masks", pa.binary()), ("prints", pa.binary())])
 
-    def post(batches):
+    def gathered(batches):
+        held, n = [], 0
         for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            if not fps.size:
-                continue
+            held.append(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            n += held[-1].size
+            if n >= POST_ROWS:
+                yield np.concatenate(held)
+                held, n = [], 0
+        if n:
+            yield np.concatenate(held)
+
+    def post(batches):
+        for fps in gathered(batches):
             which = np.repeat(np.arange(len(masks), dtype=np.uint8), fps.size)
             every = np.tile(fps, len(masks))
             key = _mix((every & masks[which]) ^ (which.astype(np.uint64) << np.uint64(57)) * np.uint64(3))
