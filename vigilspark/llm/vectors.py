@@ -31,7 +31,7 @@ from vigilspark.operators.components import connected_components
 from vigilspark.storage import materialize
 
 PROBES = 3
-CELL = 512
+CELL = 2_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
