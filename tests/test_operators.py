@@ -4,6 +4,7 @@ import math
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +190,35 @@ def test_case_filters(spark):
     assert ids(C.filter_cases(df, search="50%")) == [1] and ids(C.search_columns(df, "PEND", ["status", "notes"])) == [1, 3]
     assert ids(C.page(df, [F.desc("created_at")], 2, 2)) == [1]
     assert ids(C.latest_per_key(df, ["status"], [F.desc("created_at")])) == [2, 3]
+
+
+def test_siamese(spark):
+    from vigilspark.operators import siamese
+
+    rng = np.random.default_rng(0)
+    layers = [(rng.standard_normal((3, 2)), np.zeros(3)), (rng.standard_normal((2, 3)), np.ones(2))]
+    df = spark.createDataFrame([([1.0, 2.0], [2.0, 1.0], 0.0), ([1.0, 2.0], [1.0, 2.0], 1.0)], "vector_a array<double>, vector_b array<double>, label double")
+    got = [r["similarity"] for r in siamese.similarity(df, layers).collect()]
+    x, y = (siamese.encode(np.array([v]), layers)[0] for v in ([1.0, 2.0], [2.0, 1.0]))
+    assert got == [pytest.approx((x @ y / np.linalg.norm(x) / np.linalg.norm(y) + 1) / 2), pytest.approx(1.0)]
+    noisy = siamese.augment(df, 300)
+    shift = np.array([r["vector_a"] for r in noisy.collect()]) - [1.0, 2.0]
+    assert noisy.count() == 600 and abs(shift.mean()) < 0.005 and 0.025 < shift.std() < 0.035
+    model = siamese.fit_native(noisy)
+    assert model.numFeatures == 2
+
+
+def test_intent_and_rules(spark):
+    from vigilspark.functions import text as T
+
+    def run(fn, *values):
+        return one(spark, fn(*[F.lit(v) for v in values]))
+
+    assert run(T.intent, "mukesh ambani invest for profit")["category"] == "CELEBRITY_INVESTMENT_SCAM"
+    assert run(T.intent, "hello")["category"] == "GENERIC_CONTENT" and run(T.intent, "police station")["confidence"] == pytest.approx(0.6)
+    assert run(T.use_case, "digital arrest") == "DIGITAL_ARREST" and run(T.use_case, "nothing") == "OTHER"
+    assert run(T.investment_claim, "we say: earn daily") == "earn daily"
+    assert run(T.reach_estimate, 3, 0, 0) == "MEDIUM" and run(T.reach_estimate, 0, 1, 0) == "HIGH"
+    assert run(T.domain_risk, "win-money.example", 10, True, "US") == 90
+    assert run(T.ocr_postfix, "call  +91 9876543211  pay a @ ybl https : / / x.y") == "call +91-9876543211 pay a@ybl https://x.y"
+    assert run(T.image_type, 2.0, 10, 10, 500, 0, 0, 0.0, 0.0, 0) == "SCREENSHOT"

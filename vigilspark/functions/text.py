@@ -322,3 +322,79 @@ def rule_category(text: Column) -> Column:
         scored.append(F.struct(hits.alias("hits"), F.lit(-k).alias("order"), F.lit(name).alias("name")))
     best = F.array_max(F.array(*scored))
     return F.when(best["hits"] >= 2, best["name"]).otherwise(F.lit("UNKNOWN"))
+
+
+def intent(text: Column) -> Column:
+    """(category, confidence, urgency) of a text by its most confident reading (DM-19); earlier readings win ties."""
+    celebrity = any_word(text, [n.lower() for n, _ in X.CELEBRITIES])
+    invest, threat, arrest = (word_hits(text, w) for w in (X.INVESTMENT_WORDS, X.SEXTORTION_WORDS, X.ARREST_WORDS))
+    department = any_word(text, [w for _, words in X.DEPARTMENTS for w in words])
+    capped = lambda c: F.least(F.lit(0.95), c)
+    none = F.lit(-1.0)
+    readings = [
+        ("CELEBRITY_INVESTMENT_SCAM", "CRITICAL", F.when(celebrity & (invest >= 2), capped(0.7 + invest * 0.05)).otherwise(none)),
+        ("FAKE_ENDORSEMENT", "HIGH", F.when(celebrity & (invest < 2), F.lit(0.7 * 0.7)).otherwise(none)),
+        ("SEXTORTION", "CRITICAL", F.when(threat >= 2, capped(0.5 + threat * 0.1)).otherwise(none)),
+        ("DIGITAL_ARREST", "CRITICAL", F.when(department, capped(0.4 + arrest * 0.1) + 0.2).otherwise(none)),
+        ("GENERIC_CONTENT", "LOW", F.lit(0.3)),
+    ]
+    some = F.greatest(*[c for _, _, c in readings[:4]]) > 0
+    ranked = [
+        F.struct(F.round(c, 4).alias("confidence"), F.lit(-k).alias("order"), F.lit(n).alias("category"), F.lit(u).alias("urgency"))
+        for k, (n, u, c) in enumerate(readings)
+    ]
+    return F.when(some, F.array_max(F.array(*ranked[:4]))).otherwise(ranked[4])
+
+
+def use_case(text: Column) -> Column:
+    """What a manipulated image with this text is for (DM-20)."""
+    celebrity, invest = any_word(text, [n.lower() for n, _ in X.CELEBRITIES]), any_word(text, X.USE_INVESTMENT)
+    return first_match(
+        [
+            ("SEXTORTION", any_word(text, X.USE_SEXTORTION)), ("DIGITAL_ARREST", any_word(text, X.USE_ARREST)), ("FAKE_ENDORSEMENT", celebrity & invest),
+            ("INVESTMENT_SCAM", invest), ("FAKE_ENDORSEMENT", celebrity), ("DIGITAL_ARREST", any_word(text, X.OFFICIAL_WORDS)),
+        ],
+        "OTHER",
+    )
+
+
+def investment_claim(text: Column) -> Column:
+    """The first span that reads as an investment claim, or an empty string (SF-49)."""
+    found = [F.nullif(F.regexp_extract(text, p, 0), F.lit("")) for p in X.CLAIMS]
+    return F.trim(F.coalesce(*found, F.lit("")))
+
+
+def reach_estimate(n_urls: Column, n_telegram: Column, n_whatsapp: Column) -> Column:
+    """How far a message is likely to spread, by its links (SF-48)."""
+    return first_match([("HIGH", (n_telegram > 0) | (n_whatsapp > 0)), ("MEDIUM", n_urls > 2), ("LOW-MEDIUM", n_urls > 0)], "LOW")
+
+
+def domain_risk(domain: Column, age_days: Column, privacy: Column, country: Column) -> Column:
+    """Risk of a domain from its registration (SF-37)."""
+    parts = [
+        F.when(age_days < 30, 30).otherwise(0), F.when(age_days < 90, 15).otherwise(0), F.when(privacy, 10).otherwise(0),
+        F.when(country.isNotNull() & ~country.isin("IN", "India"), 15).otherwise(0), F.when(any_word(domain, X.DOMAIN_WORDS), 20).otherwise(0),
+    ]
+    return F.least(F.lit(100), reduce(lambda a, b: a + b, parts))
+
+
+def ocr_postfix(text: Column) -> Column:
+    """Spacing and frequent misreads of recognised text (SF-23)."""
+    out = F.trim(F.regexp_replace(text, r"\s+", " "))
+    out = F.regexp_replace(out, r"\b[^a-zA-Z0-9₹@./:+-]\b", " ")
+    out = reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), X.OCR_FIXES, out)
+    out = F.regexp_replace(out, r"(\+91)\s*[-.]?\s*(\d)", "$1-$2")
+    out = F.regexp_replace(out, r"(\w+)\s*@\s*(\w+)", "$1@$2")
+    out = F.regexp_replace(out, r"https?\s*:\s*/\s*/", "https://")
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+
+def image_type(aspect: Column, top: Column, bottom: Column, laplacian: Column, saturation: Column, value: Column, white: Column, dark: Column, deviation: Column) -> Column:
+    """Kind of image from nine pixel statistics (SF-54)."""
+    return first_match(
+        [
+            ("SCREENSHOT", (aspect > 1.5) & (top < 25) & (bottom < 30)), ("WHATSAPP_FORWARD", (laplacian < 80) & (aspect > 1.2)),
+            ("DESIGNED_GRAPHIC", (saturation > 80) & (value > 100)), ("HANDWRITTEN", (white > 0.6) & (dark > 0.02) & (deviation < 80)),
+        ],
+        "PHOTO",
+    )

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vigilspark.plans import behaviour_plans, case_plans, intel_plans, link_plans, stream_plans, text_plans
+from vigilspark.plans import behaviour_plans, case_plans, intel_plans, link_plans, more_plans, stream_plans, text_plans
 
 FLAGSHIP = "case_status_counts"
-_PARTS = (case_plans, text_plans, behaviour_plans, link_plans, intel_plans, stream_plans)
+_PARTS = (case_plans, text_plans, behaviour_plans, link_plans, intel_plans, more_plans, stream_plans)
 QUERIES: dict = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
 ORACLE: dict[str, str] = {name: s for part in _PARTS for name, s in part.ORACLE.items()}

@@ -234,16 +234,15 @@ def _count_sql(words):
 
 
 @query(f"""WITH {CLAIMS}, k AS (SELECT id, {_count_sql(X.INVESTMENT_WORDS)} AS inv, {_count_sql(X.SEXTORTION_WORDS)} AS sex, {_count_sql(X.ARREST_WORDS)} AS arr,
-    {sql_any('text', [n.lower() for n, _ in X.CELEBRITIES])} AS celeb, {sql_any('text', ['cbi', 'police', 'customs', 'court'])} AS dept FROM claims)
-  SELECT id, CASE WHEN sex >= 2 THEN 'SEXTORTION' WHEN dept OR arr >= 2 THEN 'DIGITAL_ARREST' WHEN celeb AND inv >= 2 THEN 'CELEBRITY_SCAM' ELSE 'NONE' END AS intent,
-    CAST(inv AS INTEGER) AS investment_hits, CAST(arr AS INTEGER) AS arrest_hits FROM k""")
+    {sql_any('text', [n.lower() for n, _ in X.CELEBRITIES])} AS celeb, {sql_any('text', [w for _, ws in X.DEPARTMENTS for w in ws])} AS dept FROM claims),
+  c AS (SELECT id, CASE WHEN celeb AND inv >= 2 THEN round(least(0.95, 0.7 + inv * 0.05)::DOUBLE, 4) ELSE -1 END AS a, CASE WHEN celeb AND inv < 2 THEN 0.49 ELSE -1 END::DOUBLE AS b,
+    CASE WHEN sex >= 2 THEN round(least(0.95, 0.5 + sex * 0.1)::DOUBLE, 4) ELSE -1 END AS s, CASE WHEN dept THEN round(least(0.95, 0.4 + arr * 0.1)::DOUBLE + 0.2, 4) ELSE -1 END AS d FROM k), m AS (SELECT *, greatest(a, b, s, d)::DOUBLE AS top FROM c)
+  SELECT id, CASE WHEN top <= 0 THEN 'GENERIC_CONTENT' WHEN a = top THEN 'CELEBRITY_INVESTMENT_SCAM' WHEN b = top THEN 'FAKE_ENDORSEMENT' WHEN s = top THEN 'SEXTORTION' ELSE 'DIGITAL_ARREST' END AS category,
+    CASE WHEN top <= 0 THEN 0.3::DOUBLE ELSE top END AS confidence, CASE WHEN top <= 0 THEN 'LOW' WHEN a <> top AND b = top THEN 'HIGH' ELSE 'CRITICAL' END AS urgency FROM m""")
 def intent_analysis(spark, sf_dir):
-    """Intent by keyword counts (DM-19)."""
-    t = F.col("text")
-    inv, sex, arr = T.word_hits(t, X.INVESTMENT_WORDS), T.word_hits(t, X.SEXTORTION_WORDS), T.word_hits(t, X.ARREST_WORDS)
-    celeb, dept = T.any_word(t, [n.lower() for n, _ in X.CELEBRITIES]), T.any_word(t, ["cbi", "police", "customs", "court"])
-    intent = F.when(sex >= 2, "SEXTORTION").when(dept | (arr >= 2), "DIGITAL_ARREST").when(celeb & (inv >= 2), "CELEBRITY_SCAM").otherwise("NONE")
-    return claims(spark, sf_dir).select("id", intent.alias("intent"), inv.alias("investment_hits"), arr.alias("arrest_hits"))
+    """Intent by the most confident reading (DM-19)."""
+    found = claims(spark, sf_dir).select("id", T.intent(F.col("text")).alias("i"))
+    return found.select("id", "i.category", "i.confidence", "i.urgency")
 
 
 @query(f"""WITH {CLAIMS} SELECT id, {_case([(f"'{n}'", f"regexp_matches(lower(text), {_re(p)})") for n, p in X.CAMPAIGN_NAMES], "'Unidentified Scam Network'")} AS name,
