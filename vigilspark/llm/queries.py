@@ -105,6 +105,21 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op6_vector_near_dups": """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm
+  FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+  WHERE label IS NOT NULL AND v IS NOT NULL AND len(v) > 0 AND len(v) = len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x)))
+), pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+  WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.98
+), reach(node, other) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.node, p.b FROM reach r JOIN pairs p ON p.a = r.other
+), components AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node),
+links AS (SELECT a AS node, count(*) AS n FROM pairs GROUP BY a)
+SELECT e.vec_id, coalesce(l.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN components c ON c.node = e.vec_id LEFT JOIN links l ON l.node = e.vec_id
+""",
     "op3_line_dedup": """
 WITH rows AS (
   SELECT doc_id, coalesce(text, '') AS text FROM documents
