@@ -190,16 +190,17 @@ def first_seen_cascade(posts: DataFrame, signals: list[str], order: str) -> Data
     competes on the next signal among the posts that passed. Null and empty
     signals never match. Gives (post columns, duplicate, reason, canonical).
     """
-    survivors = posts.withColumn("reason", F.lit(None).cast("string")).withColumn("canonical", F.lit(None).cast("long"))
+    out = posts.withColumn("reason", F.lit(None).cast("string")).withColumn("canonical", F.lit(None).cast("long"))
     for signal in signals:
         usable = F.col("reason").isNull() & F.col(signal).isNotNull() & (F.col(signal) != "")
-        key = F.when(usable, F.col(signal)).otherwise(F.concat(F.lit("\0"), F.col(order).cast("string")))
-        first = F.min(order).over(W.partitionBy(key))
-        repeat = usable & (F.col(order) > first)
-        survivors = survivors.withColumn("_first", first).withColumns(
+        # the smallest of each key is pre-aggregated map-side, so a frequent key is one row for each task
+        first = out.where(usable).groupBy(F.col(signal).alias("_key")).agg(F.min(order).alias("_first"))
+        joined = out.join(first, F.col(signal) == F.col("_key"), "left")
+        repeat = usable & (F.col(order) > F.col("_first"))
+        out = joined.withColumns(
             {"canonical": F.when(repeat, F.col("_first")).otherwise(F.col("canonical")), "reason": F.when(repeat, F.lit(signal)).otherwise(F.col("reason"))}
-        ).drop("_first")
-    return survivors.withColumn("duplicate", F.col("reason").isNotNull())
+        ).drop("_key", "_first")
+    return out.withColumn("duplicate", F.col("reason").isNotNull())
 
 
 def unseen(new: DataFrame, seen: DataFrame, key: Column, alias: str) -> DataFrame:
