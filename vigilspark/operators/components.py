@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from vigilspark.storage import drop_path, materialize_at, new_path
 
+#: Edges that one file of a round holds at least.
+EDGES_A_FILE = 200_000
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
@@ -48,7 +51,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if seen[0] == 0:
             break
         following = new_path(spark, "round")
-        current = materialize_at(_small_star(_large_star(current)), following)
+        # a round makes no more edges than it got, so few edges need few files
+        narrowed = _small_star(_large_star(current)).coalesce(seen[0] // EDGES_A_FILE + 1)
+        current = materialize_at(narrowed, following)
         if path:
             drop_path(spark, path)
         path, now = following, _fingerprint(current)
