@@ -189,7 +189,6 @@ def simhash_components(
     labelled = classes.join(found, classes.fp == found.node, "left").select(
         "fp", "rep", F.coalesce("component", "fp").alias("component")
     )
-    labelled = materialize(labelled, "labelled")
     low = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_print = labelled.join(low, "component").select("fp", "component_id")
     return marked.join(by_print, "fp", "left").select("doc_id", "fp", "component_id")
