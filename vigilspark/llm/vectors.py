@@ -267,9 +267,8 @@ def near_duplicate_vectors(
     marked = marked.select(
         "label", "digest", "rep", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "class").alias("component")
     )
-    marked = materialize(marked, "marked")
     low = marked.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_class = materialize(marked.join(low, "component").select("label", "digest", "n_links", "component_id"), "by_class")
+    by_class = marked.join(low, "component").select("label", "digest", "n_links", "component_id")
     out = rows.join(by_class, ["label", "digest"], "left")
     component = F.coalesce("component_id", "id")
     return out.select(
