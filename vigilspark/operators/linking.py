@@ -217,22 +217,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, threshold: float
     """
     spark = vectors.sparkSession
     wanted = queries.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).where("id is not null and v is not null")
-    cuts = wanted.select("id").orderBy("id")
-    parts, rows = [], []
-    for row in cuts.toLocalIterator():
-        rows.append(row["id"])
-        if len(rows) == block:
-            parts.append((rows[0], rows[-1]))
-            rows = []
-    if rows:
-        parts.append((rows[0], rows[-1]))
-
-    def scan(low: int, high: int) -> DataFrame:
-        own = wanted.where(F.col("id").between(low, high)).collect()
+    n = wanted.count()
+    blocks = -(-n // block)
+    # blocks by hash: about ``block`` rows each, without an order over all queries
+    wanted = wanted.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, blocks))))
+
+    def scan(number: int) -> DataFrame:
+        own = wanted.where(F.col("block") == number).collect()
         shipped = spark.sparkContext.broadcast(([r["id"] for r in own], np.array([r["v"] for r in own], np.float64)))
 
         def best(batches):
             ids, q = shipped.value
+            if not ids:
+                return
             q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
             held_s, held_i = np.full((len(ids), 0), -2.0), np.zeros((len(ids), 0), np.int64)
             for batch in batches:
@@ -256,8 +253,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, threshold: float
         plain = vectors.select(F.col("id").cast("long"), F.col("v").cast("array<double>"))
         return plain.mapInArrow(best, "query_id long, vec_id long, similarity double")
 
-    if not parts:
+    if not blocks:
         return spark.createDataFrame([], "query_id long, vec_id long, similarity double, rank int")
-    found = reduce(lambda a, b: a.unionByName(b), [scan(*p) for p in parts])
+    found = reduce(lambda a, b: a.unionByName(b), [scan(k) for k in range(blocks)])
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -1,4 +1,4 @@
-"""Names of all reference queries, with their SQL."""
+"""Names of all domain queries, with their SQL."""
 
 from __future__ import annotations
 
