@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.helpers import ROWS, clashing, docs, rows_of
+from tests.llm.helpers import ROWS, clashing, docs
 from vigilspark.llm import lang_id, quality
 from vigilspark.llm.common import crc_fold, crc_remainder
 from vigilspark.llm.lm import interpolated_scores, learn_weights, pack_counts, pack_keys, unpack_counts, unpack_keys
