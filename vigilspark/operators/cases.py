@@ -56,8 +56,7 @@ def daily_trend(cases: DataFrame, days: int = 7) -> DataFrame:
 def trend_by(cases: DataFrame, column: str, values: list[str], days: int = 7) -> DataFrame:
     """Day by value counts of the last days, one column for each value (AG-19)."""
     dated = cases.withColumn("day", F.to_date("created_at"))
-    last = dated.agg(F.max("day").alias("last"))
-    recent = dated.join(F.broadcast(last), F.col("day") > F.date_sub("last", days))  # one row
+    recent = dated.where(F.col("day") > F.date_sub(dated.agg(F.max("day")).scalar(), days))
     wide = recent.groupBy("day").agg(*[F.count_if(F.col(column) == v).alias(v.lower()) for v in values])
     return wide.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 

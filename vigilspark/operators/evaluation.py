@@ -30,9 +30,8 @@ def binary_metrics(df: DataFrame, threshold: float = 0.5) -> DataFrame:
 def threshold_sweep(df: DataFrame, low: int = 10, high: int = 99) -> DataFrame:
     """Rates at thresholds low..high hundredths (AG-45): one histogram of 101 bins, then sums over bins."""
     hist = df.groupBy(F.floor(F.col("score") * 100 + 1e-9).cast("int").alias("bin")).agg(F.count_if("actual").alias("pos"), F.count_if(~F.col("actual")).alias("neg"))
-    spine = df.sparkSession.range(low, high + 1).select(F.col("id").cast("int").alias("t"))
-    # at most 101 bins meet 90 thresholds
-    summed = spine.join(F.broadcast(hist)).groupBy("t").agg(
+    # at most 101 bins, each with every threshold
+    summed = hist.withColumn("t", F.explode(F.sequence(F.lit(low), F.lit(high)))).groupBy("t").agg(
         F.sum(F.when(F.col("bin") >= F.col("t"), F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("bin") >= F.col("t"), F.col("neg")).otherwise(0)).alias("fp"),
         F.sum(F.when(F.col("bin") < F.col("t"), F.col("neg")).otherwise(0)).alias("tn"), F.sum(F.when(F.col("bin") < F.col("t"), F.col("pos")).otherwise(0)).alias("fn"),
     )

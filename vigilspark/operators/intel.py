@@ -185,7 +185,7 @@ def growth_forecast(joined: DataFrame, as_of: DataFrame) -> DataFrame:
     ``joined``: (campaign, channel, created, victims); ``as_of``: one row with the column ``now``.
     """
     recent = F.count_if(F.col("created") >= F.col("now") - F.expr("INTERVAL 1 DAY"))
-    g = joined.join(F.broadcast(as_of)).groupBy("campaign").agg(F.count("*").alias("channels"), recent.alias("new_24h"), F.sum("victims").alias("victims"))
+    g = joined.withColumn("now", as_of.select("now").scalar()).groupBy("campaign").agg(F.count("*").alias("channels"), recent.alias("new_24h"), F.sum("victims").alias("victims"))
     rate = F.col("new_24h") / F.greatest(F.col("channels") - F.col("new_24h"), F.lit(1))
     return g.select(
         "campaign", "channels", "new_24h", F.round(rate * 100, 2).alias("growth_pct"), F.greatest(F.lit(1), F.floor(F.col("victims") / 7)).cast("long").alias("victims_per_day"),

@@ -76,7 +76,7 @@ def hourly_distribution(spark, sf_dir):
   g AS (SELECT district, region, count(*) AS cases, round(sum(loss), 2) AS loss FROM located GROUP BY 1, 2)
   SELECT *, cases > 1.05 * avg(cases) OVER () AS hotspot, round(cases / max(cases) OVER (), 4) AS scale FROM g""")
 def district_heatmap(spark, sf_dir):
-    """Cases and loss by district with a hotspot flag (AG-18, AG-53); the windows run over one row for each district."""
+    """Cases and loss by district with a hotspot flag (AG-18, AG-53); mean and maximum are scalar subqueries over one row for each district."""
     located = (
         cases(spark, sf_dir)
         .join(read(spark, sf_dir, "customer"), F.col("officer_id") == F.col("c_custkey"))
@@ -86,10 +86,8 @@ def district_heatmap(spark, sf_dir):
     g = located.groupBy(F.col("n_name").alias("district"), F.col("r_name").alias("region")).agg(
         F.count("*").alias("cases"), F.round(F.sum("loss"), 2).alias("loss")
     )
-    whole = g.agg(F.avg("cases").alias("mean"), F.max("cases").alias("most"))
-    return g.join(F.broadcast(whole)).select(
-        "district", "region", "cases", "loss", (F.col("cases") > 1.05 * F.col("mean")).alias("hotspot"), F.round(F.col("cases") / F.col("most"), 4).alias("scale")
-    )
+    mean, most = g.agg(F.avg("cases")).scalar(), g.agg(F.max("cases")).scalar()
+    return g.select("district", "region", "cases", "loss", (F.col("cases") > 1.05 * mean).alias("hotspot"), F.round(F.col("cases") / most, 4).alias("scale"))
 
 
 @query(f"""WITH {ENTITIES}, g AS (SELECT entity_type, value, count(DISTINCT case_id) AS case_count, min(seen_at) AS first_seen, max(seen_at) AS last_seen

@@ -305,8 +305,7 @@ def calibration_bins(spark, sf_dir):
 def corpus_stats(spark, sf_dir):
     """Counts and shares of a corpus (AG-7, AG-50); the total is a second small aggregate, not a window over all rows."""
     g = read(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
-    total = g.agg(F.sum("n").alias("total"))
-    return g.join(F.broadcast(total)).select("lang", "source", "n", F.round(100.0 * F.col("n") / F.col("total"), 4).alias("pct"))
+    return g.select("lang", "source", "n", F.round(100.0 * F.col("n") / g.agg(F.sum("n")).scalar(), 4).alias("pct"))
 
 
 CHAIN = """log AS (SELECT conv_id AS chain, turn AS line, sha256(CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) || text) AS this_hash FROM conversations),

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vigilspark.functions import fixed as X
 from vigilspark.functions import scores as S
 from vigilspark.functions import text as T
 from vigilspark.operators import behaviour as B

@@ -26,6 +26,9 @@ def query(sql: str | None = None):
     return add
 
 
+_EMPTY = "''"
+
+
 def _re(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
@@ -80,7 +83,7 @@ def text_to_case(spark, sf_dir):
     )
 
 
-@query(f"WITH {CLAIMS} SELECT id, trim(coalesce({', '.join(f'nullif(regexp_extract(text, {_re(p)}), {_re(chr(0)[:0])})' for p in X.CLAIMS)}, '')) AS claim FROM claims")
+@query(f"WITH {CLAIMS} SELECT id, trim(coalesce({', '.join(f'nullif(regexp_extract(text, {_re(p)}), {_EMPTY})' for p in X.CLAIMS)}, '')) AS claim FROM claims")
 def investment_claims(spark, sf_dir):
     return claims(spark, sf_dir).select("id", T.investment_claim(F.col("text")).alias("claim"))
 
