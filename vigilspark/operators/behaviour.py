@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,7 +19,7 @@ def posting_schedule(posts: DataFrame) -> DataFrame:
     """24 hour shares of each channel (AG-9) with their entropy (AG-40) and peak hour (AG-41)."""
     hours = bins(posts.where("ts is not null"), "channel", F.hour("ts"), 24, "hours")
     total = F.aggregate("hours", F.lit(0.0), lambda s, x: s + x)
-    peak = F.when(total > 0, (F.array_position("hours", F.array_max("hours")) - 1).cast("double")).otherwise(F.lit(12.0))
+    peak = _peak(F.col("hours"))
     shares = F.transform("hours", lambda x: F.when(total > 0, F.round(x / total, 6)).otherwise(F.lit(0.0)))
     return hours.select("channel", shares.alias("schedule"), entropy(F.col("hours")).alias("hours_entropy"), peak.alias("peak_hour"))
 
@@ -31,9 +31,12 @@ def day_entropy(posts: DataFrame) -> DataFrame:
 
 def daily_rhythm(posts: DataFrame) -> DataFrame:
     """Mean and population deviation of posts a day, regularity, frequency over the span (AG-10, AG-14, AG-16, AG-31)."""
-    daily = posts.where("ts is not null").groupBy("channel", F.to_date("ts").alias("day")).agg(
-        F.count("*").alias("n"), F.min("ts").alias("t0"), F.max("ts").alias("t1")
-    )
+    return rhythm_of(hourly_counts(posts))
+
+
+def rhythm_of(hourly: DataFrame) -> DataFrame:
+    """The rhythm from hourly counts, which are far fewer than posts."""
+    daily = hourly.groupBy("channel", F.to_date("h").alias("day")).agg(F.sum("n").alias("n"), F.min("t0").alias("t0"), F.max("t1").alias("t1"))
     grouped = daily.groupBy("channel").agg(
         F.avg("n").alias("m"), F.stddev_pop("n").alias("sd"), F.count("*").alias("days"), F.sum("n").alias("posts"), F.min("t0").alias("t0"), F.max("t1").alias("t1")
     )
@@ -49,7 +52,10 @@ def daily_rhythm(posts: DataFrame) -> DataFrame:
 
 def burst(posts: DataFrame) -> DataFrame:
     """Largest hourly count over the mean of non-empty hours, at least 1 (AG-15)."""
-    hourly = posts.where("ts is not null").groupBy("channel", F.date_trunc("hour", "ts").alias("h")).agg(F.count("*").alias("n"))
+    return burst_of(hourly_counts(posts))
+
+
+def burst_of(hourly: DataFrame) -> DataFrame:
     return hourly.groupBy("channel").agg(F.round(F.max("n") / F.greatest(F.avg("n"), F.lit(1.0)), 2).alias("burst"))
 
 
@@ -61,20 +67,46 @@ def silence(posts: DataFrame) -> DataFrame:
     return gaps.groupBy("channel").agg(F.round(F.least(F.coalesce(F.max("gap"), F.lit(0.0)), F.lit(720.0)) / 720, 4).alias("silence"))
 
 
-def counters(posts: DataFrame) -> DataFrame:
-    """Deletion rate, engagement, view share and media ratios in one aggregation (AG-12, AG-32, AG-37, AG-38)."""
+def _counter_columns() -> list[Column]:
     n, ids = F.count("*"), F.count(F.nullif("message_id", F.lit(0)))
     span = F.max(F.nullif("message_id", F.lit(0))) - F.min(F.nullif("message_id", F.lit(0))) + 1
     views = F.when(F.col("views") == 0, F.lit(1)).otherwise(F.col("views"))
     engaged = F.avg((F.col("reactions") + F.col("forwards") + F.col("replies")) / views)
-    return posts.groupBy("channel").agg(
+    return [
         F.when(ids < 2, F.lit(0.0)).otherwise(F.round(1 - ids / span, 4)).alias("deletion_rate"),
         F.round(engaged, 6).alias("engagement"),
         F.round(F.avg(F.when(F.col("views") > 0, F.col("views"))), 4).alias("mean_views"),
         F.round(100 * F.count_if(F.col("media") == "images") / n, 2).alias("images_per_100"),
         F.round(100 * F.count_if(F.col("media") == "links") / n, 2).alias("links_per_100"),
         F.round(F.avg("forwards"), 3).alias("forward_ratio"),
-    )
+    ]
+
+
+def counters(posts: DataFrame) -> DataFrame:
+    """Deletion rate, engagement, view share and media ratios in one aggregation (AG-12, AG-32, AG-37, AG-38)."""
+    return posts.groupBy("channel").agg(*_counter_columns())
+
+
+def one_pass(posts: DataFrame) -> DataFrame:
+    """Counters, hour entropy and peak, and day entropy of each channel from a single aggregation."""
+    hour, day = F.hour("ts"), F.weekday("ts")
+    binned = [F.count_if(hour == i).cast("double").alias(f"h{i}") for i in range(24)] + [F.count_if(day == i).cast("double").alias(f"d{i}") for i in range(7)]
+    g = posts.groupBy("channel").agg(*binned, *_counter_columns())
+    g = g.withColumns({"hours": F.array(*[F.col(f"h{i}") for i in range(24)]), "days": F.array(*[F.col(f"d{i}") for i in range(7)])})
+    kept = [c for c in g.columns if not c[1:].isdigit() and c not in ("hours", "days")]
+    return g.select(*kept, entropy(F.col("hours")).alias("hours_entropy"), entropy(F.col("days")).alias("days_entropy"), _peak(F.col("hours")).alias("peak_hour"))
+
+
+def _peak(hours: Column) -> Column:
+    total = F.aggregate(hours, F.lit(0.0), lambda s, x: s + x)
+    return F.when(total > 0, (F.array_position(hours, F.array_max(hours)) - 1).cast("double")).otherwise(F.lit(12.0))
+
+
+def hourly_counts(posts: DataFrame) -> DataFrame:
+    """(channel, h, n, t0, t1): the common base of bursts and daily rhythm."""
+    return posts.where("ts is not null").groupBy("channel", F.date_trunc("hour", "ts").alias("h")).agg(
+        F.count("*").alias("n"), F.min("ts").alias("t0"), F.max("ts").alias("t1")
+    )
 
 
 def growth_per_day(snapshots: DataFrame) -> DataFrame:
@@ -117,13 +149,16 @@ def entity_counts(channel_entities: DataFrame) -> DataFrame:
 def fingerprint(posts: DataFrame, texts: DataFrame, channel_entities: DataFrame) -> DataFrame:
     """28 features of each channel that posts (DM-16); parts that a channel lacks count as 0.
 
-    Every part is an aggregate by channel, so the joins meet one row for each
-    channel; channels partitioned once stay so through the whole chain.
+    Three passes over the posts: one aggregation by channel, one by channel and
+    hour that bursts and daily rhythm share, one ordered pass for gaps. Every part
+    is an aggregate by channel, so the joins meet one row for each channel;
+    channels partitioned once stay so through the whole chain.
     """
     from vigilspark.functions import fixed as X
 
+    hourly = hourly_counts(posts)
     parts = [
-        posting_schedule(posts), day_entropy(posts), daily_rhythm(posts), burst(posts), silence(posts), counters(posts),
+        one_pass(posts), rhythm_of(hourly), burst_of(hourly), silence(posts),
         text_features(texts, X.URGENCY_FULL, X.BACKUP_FULL, X.EMOJI), entity_counts(channel_entities),
     ]
     whole = parts[0]
