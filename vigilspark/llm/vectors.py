@@ -192,22 +192,23 @@ def near_duplicate_vectors(
     placed = materialize(classes.select("class", "x").mapInArrow(place, "class long, codes binary"), "placed")
 
     def enter(batches):
+        """A row for each vector and bucket that it lives in or visits."""
         for batch in batches:
-            for c, label, dims, codes in zip(*(k.to_pylist() for k in batch.columns), strict=True):
-                own = np.frombuffer(codes, np.int64).reshape(tables, 1 + PROBES)
-                entries = [(t, int(code), k == 0) for t in range(tables) for k, code in enumerate(dict.fromkeys(own[t].tolist()))]
-                n = len(entries)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([e[0] for e in entries], pa.int32()),
-                        pa.array([label] * n, pa.string()),
-                        pa.array([dims] * n, pa.int32()),
-                        pa.array([e[1] for e in entries], pa.int64()),
-                        pa.array([e[2] for e in entries], pa.bool_()),
-                        pa.array([c] * n, pa.int64()),
-                    ],
-                    ["tbl", "label", "dims", "code", "home", "class"],
-                )
+            if not batch.num_rows:
+                continue
+            codes = np.stack([np.frombuffer(c, np.int64).reshape(tables, 1 + PROBES) for c in batch.column(3).to_pylist()])
+            new = np.ones(codes.shape, bool)
+            for k in range(1, 1 + PROBES):
+                new[:, :, k] = ~(codes[:, :, k : k + 1] == codes[:, :, :k]).any(axis=2)
+            row, table, k = np.nonzero(new)
+            taken = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(table.astype(np.int32)), batch.column(1).take(taken), batch.column(2).take(taken),
+                    pa.array(codes[row, table, k]), pa.array(k == 0), batch.column(0).take(taken),
+                ],
+                ["tbl", "label", "dims", "code", "home", "class"],
+            )
 
     key = ["tbl", "label", "dims", "code"]
     described = classes.select("class", "label", F.octet_length("x").cast("int").alias("dims"))
