@@ -1,7 +1,7 @@
 import random
 
 from tests.llm.helpers import clashing, docs, rows_of
-from vigilspark.llm.decontam import contamination, tiles, word_hashes
+from vigilspark.llm.decontam import _common_runs, contamination, tiles, word_hashes
 
 
 def naive_tiles(p, t, least):
@@ -33,6 +33,16 @@ def test_tiles_equal_naive_tiling():
         assert tiles(a, b, 3) == naive_tiles(p, t, 3)
 
 
+def test_runs_by_diagonal_equal_runs_by_sorting():
+    rng = random.Random(8)
+    for _ in range(60):
+        a, b = (word_hashes(" ".join(str(rng.randrange(3)) for _ in range(rng.randrange(1, 40)))) for _ in range(2))
+        one, two = (sorted(zip(*(x.tolist() for x in _common_runs(a, b, most)))) for most in (10**6, 0))
+        assert one == two
+    again = word_hashes("same " * 3000)
+    assert tiles(again, word_hashes("same " * 9000), 5)[0][2] == 3000
+
+
 WORDS = [f"w{k}" for k in range(40)]
 ITEMS = [(1, " ".join(WORDS)), (2, "just four short words"), (3, None), (4, ""), (5, " ".join(f"v{k}" for k in range(30)))]
 

@@ -48,6 +48,37 @@ def rolling(words: np.ndarray, width: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _common_runs(hp: np.ndarray, ht: np.ndarray, most_pairs: int = 4_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of equal hashes on the diagonals: pattern starts, text starts, lengths.
+
+    Matching positions are found by sorting; where repetition makes more than
+    ``most_pairs`` of them, diagonals are compared one at a time instead, in
+    memory of the pattern's size.
+    """
+    order = np.argsort(ht, kind="stable")
+    ranked = ht[order]
+    lo, hi = np.searchsorted(ranked, hp, "left"), np.searchsorted(ranked, hp, "right")
+    n = hi - lo
+    total = int(n.sum())
+    if total <= most_pairs:
+        i = np.repeat(np.arange(hp.size), n)
+        j = order[np.repeat(lo, n) + np.arange(total) - np.repeat(np.cumsum(n) - n, n)]
+        by_diagonal = np.lexsort((i, j - i))
+        i, j = i[by_diagonal], j[by_diagonal]
+        starts = np.flatnonzero(np.concatenate(([True], (np.diff(j - i) != 0) | (np.diff(i) != 1))))[: total or 0]
+        return i[starts], j[starts], np.diff(np.concatenate((starts, [total])))
+    found = [[], [], []]
+    for d in range(1 - hp.size, ht.size):
+        first, last = max(0, -d), min(hp.size, ht.size - d)
+        same = np.concatenate(([0], (hp[first:last] == ht[first + d : last + d]).astype(np.int8), [0]))
+        edge = np.diff(same)
+        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        found[0].append(begin + first)
+        found[1].append(begin + first + d)
+        found[2].append(end - begin)
+    return tuple(np.concatenate(f) for f in found)
+
+
 def tiles(pattern: np.ndarray, text: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: non-overlapping ``(pattern start, text start, length)``, longest first.
 
@@ -56,19 +87,8 @@ def tiles(pattern: np.ndarray, text: np.ndarray, min_match: int) -> list[tuple[i
     hp, ht = rolling(pattern, min_match), rolling(text, min_match)
     if not hp.size or not ht.size:
         return []
-    order = np.argsort(ht, kind="stable")
-    lo, hi = np.searchsorted(ht[order], hp, "left"), np.searchsorted(ht[order], hp, "right")
-    n = hi - lo
-    if not n.sum():
-        return []
-    i = np.repeat(np.arange(hp.size), n)
-    j = order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    by_diagonal = np.lexsort((i, j - i))
-    i, j = i[by_diagonal], j[by_diagonal]
-    new = np.concatenate(([True], (np.diff(j - i) != 0) | (np.diff(i) != 1)))
-    starts = np.flatnonzero(new)
-    lengths = np.diff(np.concatenate((starts, [i.size]))) + min_match - 1
-    runs = [(-int(length), int(a), int(b)) for length, a, b in zip(lengths, i[starts], j[starts], strict=True)]
+    starts_p, starts_t, lengths = _common_runs(hp, ht)
+    runs = [(1 - min_match - n, a, b) for n, a, b in zip(lengths.tolist(), starts_p.tolist(), starts_t.tolist(), strict=True)]
     heapq.heapify(runs)
     used_p, used_t = np.zeros(pattern.size, bool), np.zeros(text.size, bool)
     found = []
