@@ -42,7 +42,13 @@ def test_memo_is_bounded():
     memo = Memo(len)
     memo.LIMIT = 3
     assert [memo[w] for w in ("a", "bb", "ccc", "dddd", "a" * 100)] == [1, 2, 3, 4, 100]
-    assert len(memo) <= 3 and "a" * 100 not in memo
+    assert len(memo) <= 3 and len(memo.old) <= 3 and "a" * 100 not in memo
+    asked = []
+    memo = Memo(lambda w: asked.append(w) or len(w))
+    memo.LIMIT = 3
+    for k in range(30):
+        assert memo["often"] == 5 and memo[f"rare{k}"] == len(f"rare{k}")
+    assert asked.count("often") == 1 and len(asked) == 31
 
 
 def test_counts_of_awkward_rows(spark):

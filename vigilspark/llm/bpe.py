@@ -31,7 +31,11 @@ def byte_symbols() -> list[str]:
 
 
 class Memo(dict):
-    """word -> result with a bounded number of words; starts anew when full."""
+    """word -> result with a bounded number of words, in two generations.
+
+    When the young generation is full it becomes the old one; words of the old
+    generation that come up again are taken over, so frequent words stay.
+    """
 
     LIMIT = 200_000
     LONGEST = 64
@@ -39,11 +43,15 @@ class Memo(dict):
     def __init__(self, make) -> None:
         super().__init__()
         self.make = make
+        self.old: dict = {}
 
     def __missing__(self, word: str):
-        value = self.make(word)
+        value = self.old.get(word)
+        if value is None:
+            value = self.make(word)
         if len(word) <= self.LONGEST:
             if len(self) >= self.LIMIT:
+                self.old = dict(self)
                 self.clear()
             self[word] = value
         return value
