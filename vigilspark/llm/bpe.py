@@ -9,7 +9,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from itertools import chain
+from array import array
+from itertools import chain, pairwise
 
 import regex
 
@@ -18,6 +19,9 @@ from vigilspark.llm.common import held
 #: The split pattern of byte-level BPE (fixed value, must match the library).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: The low bits of a heap entry hold a position, the bits above them a rank.
+POSITION = (1 << 40) - 1
+
 
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in the vocabulary.
@@ -37,7 +41,7 @@ class Memo(dict):
     generation that come up again are taken over, so frequent words stay.
     """
 
-    LIMIT = 200_000
+    LIMIT = 300_000
     LONGEST = 64
 
     def __init__(self, make) -> None:
@@ -73,7 +77,7 @@ class ByteBPE:
         self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.ranks.setdefault((vocab[left], vocab[right]), (rank, vocab[left + right]))
+            self.ranks.setdefault((vocab[left], vocab[right]), (rank << 40, vocab[left + right]))
         added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         size = max(chain(vocab.values(), added.values())) + 1
         self.pieces: list[bytes] = [b""] * size
@@ -95,43 +99,47 @@ class ByteBPE:
     def _merge(self, symbols: list[int]) -> tuple[list[int], int]:
         """Merge in place; (symbols with -1 for those merged away, merges done).
 
-        The heap holds (rank, position, left, right, merged).  An entry is stale
-        when either symbol has changed since it was pushed, and is skipped.
+        A heap entry is one number: the rank of a pair above the position of its
+        left symbol.  An entry is stale when the pair at the position has another
+        rank by now, and is skipped.
         """
-        n, ranks = len(symbols), self.ranks
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        heap = []
-        for i in range(n - 1):
-            found = ranks.get((symbols[i], symbols[i + 1]))
-            if found:
-                heap.append((found[0], i, symbols[i], symbols[i + 1], found[1]))
+        n, rank_of, push, pop = len(symbols), self.ranks.get, heapq.heappush, heapq.heappop
+        heap = [found[0] | i for i, found in enumerate(map(rank_of, pairwise(symbols))) if found]
+        if not heap:
+            return symbols, 0
         heapq.heapify(heap)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         merges = 0
         while heap:
-            _, i, left, right, merged = heapq.heappop(heap)
-            j = after[i]
-            if symbols[i] != left or j >= n or symbols[j] != right:
+            entry = pop(heap)
+            i = entry & POSITION
+            left, j = symbols[i], after[i]
+            if left < 0 or j >= n:
+                continue
+            found = rank_of((left, symbols[j]))
+            if found is None or found[0] | i != entry:
                 continue
             merges += 1
-            symbols[i], symbols[j] = merged, -1
+            merged = symbols[i] = found[1]
+            symbols[j] = -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                found = ranks.get((merged, symbols[k]))
+                found = rank_of((merged, symbols[k]))
                 if found:
-                    heapq.heappush(heap, (found[0], i, merged, symbols[k], found[1]))
+                    push(heap, found[0] | i)
             h = before[i]
             if h >= 0:
-                found = ranks.get((symbols[h], merged))
+                found = rank_of((symbols[h], merged))
                 if found:
-                    heapq.heappush(heap, (found[0], h, symbols[h], merged, found[1]))
+                    push(heap, found[0] | h)
         return symbols, merges
 
-    def _encode_word(self, word: str) -> tuple[int, ...]:
+    def _encode_word(self, word: str) -> bytes:
+        """The word's ids as 32-bit numbers."""
         byte_id = self.byte_id
         symbols, _ = self._merge([byte_id[b] for b in word.encode()])
-        return tuple(s for s in symbols if s >= 0)
+        return array("i", [s for s in symbols if s >= 0]).tobytes()
 
     def _count_word(self, word: str) -> int:
         byte_id = self.byte_id
@@ -150,13 +158,17 @@ class ByteBPE:
             part = " " + part
         return self.split(part)
 
-    def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
+    def encode_packed(self, text: str) -> bytes:
+        """The ids of a text as 32-bit numbers in the machine's byte order."""
+        packed: list[bytes] = []
         for part, special in self._parts(text):
-            ids.extend(chain.from_iterable(map(self.ids_of.__getitem__, self._words(part))))
+            packed.extend(map(self.ids_of.__getitem__, self._words(part)))
             if special is not None:
-                ids.append(special)
-        return ids
+                packed.append(array("i", [special]).tobytes())
+        return b"".join(packed)
+
+    def encode(self, text: str) -> list[int]:
+        return array("i", self.encode_packed(text)).tolist()
 
     def count(self, text: str) -> int:
         """Tokens of a text: symbols minus merges of each word, added tokens once each."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from array import array
 from pathlib import Path
 
 import numpy as np
@@ -27,23 +26,22 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
     def run(batches):
         bpe = loaded(data.value)
-        keys, ends, flat, texts, size = [], [0], array("i"), [], 0
+        keys, ends, packed, texts, size = [], [0], [], [], 0
 
         def block():
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), ids, pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = bpe.encode(text or "")
-                flat.extend(ids)
+                packed.append(bpe.encode_packed(text or ""))
                 keys.append(i)
-                ends.append(len(flat))
-                texts.append(bpe.decode(ids))
-                size += len(ids) + len(texts[-1])
+                ends.append(ends[-1] + len(packed[-1]) // 4)
+                texts.append(bpe.decode(np.frombuffer(packed[-1], np.int32).tolist()))
+                size += len(packed[-1]) // 4 + len(texts[-1])
                 if size >= FLUSH:
                     yield block()
-                    keys, ends, flat, texts, size = [], [0], array("i"), [], 0
+                    keys, ends, packed, texts, size = [], [0], [], [], 0
         yield block()
 
     return doc_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
