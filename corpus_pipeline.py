@@ -33,17 +33,26 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "text", "carried.lang", "carried.source", F.length("text").cast("long").alias("n_chars"))
 
 
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """The rows with a key of their own in ``_row``, written: ids may be null or repeat, so stages decide by row."""
+    return materialize(docs.select(*DOCUMENT).withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest id stays."""
-    found = simhash_components(docs)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return without_ids(docs.select(*DOCUMENT), gone)
+    """Of each component of near copies one row stays: the smallest id, null after all others, then the first row."""
+    rows = keyed_rows(docs)
+    found = materialize(simhash_components(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id"), "found")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    kept = found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("first"))
+    gone = found.select("_row").join(kept.select(F.col("first._row").alias("_row")), "_row", "left_anti")
+    return without_ids(rows, gone, "_row").drop("_row")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark"))
-    return without_ids(docs.select(*DOCUMENT), found.select("doc_id").distinct())
+    """Rows that contain a benchmark item go, whatever rows share their id."""
+    rows = keyed_rows(docs)
+    found = contamination(rows, table(spark, sf_dir, "benchmark"), id_col="_row")
+    return without_ids(rows, found.select("doc_id").distinct(), "_row").drop("_row")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

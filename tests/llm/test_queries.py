@@ -176,3 +176,15 @@ def test_stage_columns_and_awkward_rows(spark):
     empty = make_docs(spark, [])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_stages_decide_by_row(spark):
+    """Null and repeated ids: only the row that is a near copy or contaminated goes."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    a, b, c, d = (" ".join(f"{w}{k * k % 97}" for k in range(60)) for w in ("alpha", "beta", "gamma", "delta"))
+    rows = [(1, a), (None, a), (None, b), (None, b), (2, c), (2, c), (2, d), (3, d)]
+    near = corpus_pipeline.near_duplicate_stage(spark, make_docs(spark, [(i, t, "en", "s") for i, t in rows]), SF).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in near) == Counter([(1, a), (None, b), (2, c), (2, d)])
+    rows = [(None, item), (None, a), (4, item), (4, b), (5, c), (5, c)]
+    clean = corpus_pipeline.decontamination_stage(spark, make_docs(spark, [(i, t, "en", "s") for i, t in rows]), SF).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in clean) == Counter([(None, a), (4, b), (5, c), (5, c)])
