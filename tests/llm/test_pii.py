@@ -52,3 +52,24 @@ def test_collisions_are_resolved(spark):
     b = rows_of(pii.pseudonymise(docs(spark, rows), KEY, broadcast_rows=0), "doc_id", "text", "n_entities")
     assert a == b and all(t.split()[2] == t.split()[4].lower() for _, t, _ in a)
     assert len({t.split()[2] for _, t, _ in a}) == len(mails)
+
+
+def test_bare_mentions_of_titled_names():
+    text = (
+        "Weber called. Dr Anna Weber and Frau Weiß met; Weber said WEBER's plan, Anna Weber-Klein, WEISS, anna.weber@x.org and Annabel "
+        "stay. Prof Weber's weber; श्री राहुल शर्मा, शर्मा जी, शर्माजी."
+    )
+    new, n = pii.rewrite(text, KEY, {})
+    family, given, weiss, sharma = (pii.surrogate(k, c, 0, KEY) for k, c in (("FAMILY", "weber"), ("GIVEN_x", "anna"), ("FAMILY", "weiss"), ("FAMILY", "शर्मा")))
+    f, g = family[:1].upper() + family[1:], given[:1].upper() + given[1:]
+    assert n == 14
+    assert new.startswith(f"{f} called. Dr {g} {f} and Frau {weiss[:1].upper() + weiss[1:]} met; {f} said {family.upper()}'s plan, {g} {f}-Klein, {weiss.upper()}, ")
+    assert f" and Annabel stay. Prof {f}'s weber; " in new
+    assert new.endswith(f" {sharma}, {sharma} जी, शर्माजी.")
+
+
+def test_bare_mentions_in_the_corpus(spark):
+    rows = [(1, "Dr Anna Weber spoke. Later Weber left with Anna.", "en", None), (2, "Weber and Anna of another text.", "en", None)]
+    got = {r["doc_id"]: r for r in pii.pseudonymise(docs(spark, rows), KEY).collect()}
+    assert got[1]["n_entities"] == 4 and not {"Anna", "Weber"} & set(got[1]["text"].replace(".", "").split())
+    assert got[2]["text"] == rows[1][1] and got[2]["n_entities"] == 0

@@ -55,6 +55,10 @@ ABBREVIATED = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Smt")
 _NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][\w'’\-]+|[ऀ-ॣ॰-ॿ]+"
 _TITLE = "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True))
 _STOP = "|".join(f"(?<=\\b{t})\\." for t in ABBREVIATED)
+#: What may stand in a word; Devanagari vowel signs are not in ``\w``.
+_LETTER = r"[\wऀ-ॣ॰-ॿ]"
+#: An ending that is not part of the name: possessive, apostrophe, hyphen.
+_ENDING = re.compile(r"(?:['’]s?|-)+$")
 ENTITY = re.compile(
     r"""
     (?P<EMAIL>(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,})
@@ -97,18 +101,52 @@ def script_of(word: str) -> str:
 
 
 def find(text: str | None) -> Iterator[tuple[int, int, str, str]]:
-    """``(start, end, type, canonical form)`` of each mention, left to right, without overlap."""
+    """``(start, end, type, canonical form)`` of each mention, left to right, without overlap.
+
+    A name is detected after a title; its given and family name are then found
+    wherever else they stand as whole capitalised words in the same text.
+    """
     if not text or not (_MARK.search(text) or any(w in text for w in _WORDS)):
         return
+    found = list(_typed(text))
+    names: dict[str, str] = {}
+    for _, _, kind, canonical in found:
+        # a word that is both stands as the family name
+        if kind == "FAMILY" or (kind.startswith("GIVEN_") and canonical not in names):
+            names[canonical] = kind
+    yield from sorted([*found, *_bare(text, found, names)]) if names else found
+
+
+def _bare(text: str, found: list[tuple[int, int, str, str]], names: dict[str, str]) -> Iterator[tuple[int, int, str, str]]:
+    """Further mentions of ``names`` outside what is found already."""
+    forms = {text[a:b] for a, b, _, canonical in found if canonical in names} | set(names)
+    words = "|".join(map(re.escape, sorted(forms, key=lambda w: (-len(w), w))))
+    pattern = re.compile(f"(?<!{_LETTER})(?:{words})(?!{_LETTER})", re.IGNORECASE)
+    at = k = 0
+    while m := pattern.search(text, at):
+        while k < len(found) and found[k][1] <= m.start():
+            k += 1
+        if k < len(found) and found[k][0] < m.end():
+            at = found[k][1]
+            continue
+        at = m.end()
+        if not m[0][0].islower() and (kind := names.get(m[0].casefold())):
+            yield *m.span(), kind, m[0].casefold()
+
+
+def _typed(text: str) -> Iterator[tuple[int, int, str, str]]:
     for m in ENTITY.finditer(text):
         kind = m.lastgroup
         if m["TITLE"]:
             gender = TITLES[m["TITLE"]]
-            if m["SECOND"]:
-                yield *m.span("FIRST"), f"GIVEN_{gender}", m["FIRST"].casefold()
-                yield *m.span("SECOND"), "FAMILY", m["SECOND"].casefold()
+            first = _ENDING.sub("", m["FIRST"])
+            at = m.start("FIRST")
+            if m["SECOND"] and first == m["FIRST"]:
+                second = _ENDING.sub("", m["SECOND"])
+                yield at, at + len(first), f"GIVEN_{gender}", first.casefold()
+                yield m.start("SECOND"), m.start("SECOND") + len(second), "FAMILY", second.casefold()
             else:
-                yield *m.span("FIRST"), "FAMILY", m["FIRST"].casefold()
+                yield at, at + len(first), "FAMILY", first.casefold()
             continue
         found = m[0]
         if kind in ("PHONE", "CARD", "SSN"):
