@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import ROWS, clashing, docs
-from vigilspark.llm import lang_id, quality
+from vigilspark.llm import lang_id, quality, queries
 from vigilspark.llm.common import crc_fold, crc_remainder
-from vigilspark.llm.lm import interpolated_scores, learn_weights, pack_counts, pack_keys, unpack_counts, unpack_keys
+from vigilspark.llm.lm import FREQUENCY_BUCKETS, LEAST_BLOCKS, interpolated_scores, learn_weights, pack_counts, pack_keys, unpack_counts, unpack_keys
 
 SF = "/root/testdata/sf0.01"
 
@@ -139,3 +139,21 @@ def test_packing():
     counts = np.arange(keys.size) ** 2
     assert np.array_equal(unpack_keys(pack_keys(keys), keys.size), keys)
     assert np.array_equal(unpack_counts(pack_counts(counts), keys.size), counts)
+
+
+def test_weights_are_learned_from_every_block(spark):
+    """Training documents in none of the blocks 0 and 4 inform the weights too."""
+    rows = docs(spark, [(k, "a b c d " * (3 + k % 5), "en", "s") for k in range(80)])
+    rows = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(LEAST_BLOCKS)) % 4 != 0)
+    equal = np.full((FREQUENCY_BUCKETS, 4), 1 / 4)
+    total = lambda **kw: sum(r["score"] for r in interpolated_scores(rows, F.lit(True), order=3, **kw).collect())
+    assert rows.count() > 20 and total() > 0.9 * total(weights=equal)
+
+
+def test_registered_model_has_order_3(spark):
+    sf = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    held = F.coalesce(crc_remainder("doc_id", 7) == 2, F.lit(False))
+    want = {r["doc_id"]: r["score"] for r in interpolated_scores(table, ~held, order=3).collect()}
+    got = {r["doc_id"]: r["score"] for r in queries.op9_lm_scores(spark, sf).collect()}
+    assert got == pytest.approx(want, rel=1e-9)

@@ -2,7 +2,7 @@
 
 Maximum-likelihood estimates of the orders 0 (uniform) to ``order`` are mixed
 with weights that depend on how often the context was seen; the weights are
-learned by expectation-maximisation on deleted counts: for a block of training
+learned by expectation-maximisation on deleted counts: for each block of training
 documents the estimates are those of all training documents without the block.
 
 Counts are exact and cover every training document.  Documents are dealt into
@@ -30,8 +30,6 @@ from vigilspark.storage import materialize
 #: UTF-8 bytes of text that one block should hold.
 BLOCK_BYTES = 16_000_000
 LEAST_BLOCKS = 8
-#: One block in so many gives the deleted counts that the weights are learned from.
-EM_EVERY = 4
 EM_ROUNDS = 40
 #: Context frequencies are grouped by powers of two, up to this many groups.
 FREQUENCY_BUCKETS = 24
@@ -325,9 +323,8 @@ def interpolated_scores(
         yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(events, pa.int64())], ["code", "events"])
 
     if weights is None:
-        deleted = together(
-            dealt.where(F.col("block") % EM_EVERY == 0), answers.where((F.col("block") >= 0) & (F.col("block") % EM_EVERY == 0))
-        ).mapInArrow(cells, "code long, events long")
+        # every block's own counts are deleted in turn, so each training document informs the weights
+        deleted = together(dealt, answers.where("block >= 0")).mapInArrow(cells, "code long, events long")
         # at most FREQUENCY_BUCKETS * (STEPS * _DECADES + 2) ** order rows, whatever the corpus
         learned = deleted.groupBy("code").agg(F.sum("events").alias("events")).toArrow()
         code, events = (learned.column(k).to_numpy().astype(np.int64) for k in range(2))

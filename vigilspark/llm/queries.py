@@ -17,6 +17,7 @@ from vigilspark.llm.token_counts import token_counts
 from vigilspark.llm.vectors import near_duplicate_vectors
 
 CONTEXT_TOKENS = 1024
+LM_ORDER = 3
 PREDICT_AT = 0.7
 #: A key for the registered query; production passes its own secret.
 SURROGATE_KEY = b"example key of the registered query"
@@ -73,7 +74,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(crc_remainder("doc_id", 7) == 2, F.lit(False))
-    scored = interpolated_scores(docs, ~held_out)
+    scored = interpolated_scores(docs, ~held_out, order=LM_ORDER)
     return scored.select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
