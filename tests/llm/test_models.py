@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests.llm.helpers import ROWS, clashing, docs
 from vigilspark.llm import lang_id, quality, queries
 from vigilspark.llm.common import crc_fold, crc_remainder
-from vigilspark.llm.lm import FREQUENCY_BUCKETS, LEAST_BLOCKS, interpolated_scores, learn_weights, pack_counts, pack_keys, unpack_counts, unpack_keys
+from vigilspark.llm.lm import FREQUENCY_BUCKETS, LEAST_BLOCKS, interpolated_scores, learn_weights, pack, pack_keys, unpack, unpack_keys
 
 SF = "/root/testdata/sf0.01"
 
@@ -126,19 +126,19 @@ def test_repeats_empty_and_clashing(spark):
 
 def test_em_finds_the_mixture():
     rng = np.random.default_rng(1)
-    steps = rng.integers(1, 30, size=(400, 2))
-    p = 10.0 ** (-(steps - 1) / 10)
-    cells = np.column_stack((np.full(400, 3), steps, np.rint(1e6 * (0.3 * p[:, 0] + 0.7 * p[:, 1]) / 400).astype(int) + 1))
-    w = learn_weights(cells, 2, 1000)
+    p = 10.0 ** (-rng.integers(0, 29, size=(400, 2)) / 10)
+    events = np.rint(1e6 * (0.3 * p[:, 0] + 0.7 * p[:, 1]) / 400).astype(int) + 1
+    w = learn_weights(np.full(400, 3), events, p, 1000)
     assert w.shape[1] == 3 and np.allclose(w.sum(axis=1), 1)
-    assert np.allclose(learn_weights(np.empty((0, 4), np.int64), 2, 5), 1 / 3)
+    none = np.empty(0, np.int64)
+    assert np.allclose(learn_weights(none, none, np.empty((0, 2)), 5), 1 / 3)
 
 
 def test_packing():
     keys = np.unique(np.random.default_rng(0).integers(0, 2**63, 1000).astype(np.uint64) * np.uint64(2))
     counts = np.arange(keys.size) ** 2
     assert np.array_equal(unpack_keys(pack_keys(keys), keys.size), keys)
-    assert np.array_equal(unpack_counts(pack_counts(counts), keys.size), counts)
+    assert np.array_equal(unpack(pack(counts), keys.size), counts)
 
 
 def test_weights_are_learned_from_every_block(spark):
@@ -157,3 +157,75 @@ def test_registered_model_has_order_3(spark):
     want = {r["doc_id"]: r["score"] for r in interpolated_scores(table, ~held, order=3).collect()}
     got = {r["doc_id"]: r["score"] for r in queries.op9_lm_scores(spark, sf).collect()}
     assert got == pytest.approx(want, rel=1e-9)
+
+
+def brute_learned(rows, train, order, blocks):
+    """Deleted interpolation on dictionaries: EM on every training token's exact estimates without its block's counts."""
+    texts = [[*t.lower().split(), "</s>"] for _, t, *_ in rows]
+
+    def ngrams(words, k):
+        padded = ["<s>", *words]
+        return [tuple(padded[max(0, i + 1 - k) : i + 2]) for i in range(len(words))]
+
+    grams = [[ngrams(w, k) for w in texts] for k in range(order)]
+    whole = [Counter(g for d, keep in zip(grams[k], train) if keep for g in d) for k in range(order)]
+    n, v, documents = sum(whole[0].values()), len(whole[0]), sum(train)
+
+    def tokens_of(d, deleted=None, gone=0, gone_documents=0):
+        left = (lambda k, g: whole[k][g] - deleted[k][g]) if deleted else (lambda k, g: whole[k][g])
+        for i in range(len(texts[d])):
+            estimate, context = [left(0, grams[0][d][i]) / max(n - gone, 1)], n - gone
+            for k in range(1, order):
+                context = documents - gone_documents if i == 0 else left(k - 1, grams[k - 1][d][i - 1])
+                estimate.append(left(k, grams[k][d][i]) / context if context > 0 else 0.0)
+            yield min(math.ceil(math.log2(context + 1)), FREQUENCY_BUCKETS - 1), [1 / (v + 1), *estimate]
+
+    events = []
+    for b in set(blocks):
+        inside = [d for d in range(len(rows)) if blocks[d] == b and train[d]]
+        deleted = [Counter(g for d in inside for g in grams[k][d]) for k in range(order)]
+        gone = sum(deleted[0].values())
+        events += [e for d in inside for e in tokens_of(d, deleted, gone, len(inside))]
+    bucket, p = np.array([b for b, _ in events]), np.array([e for _, e in events])
+    weights = {}
+    for b in {*bucket, None}:
+        some = p if b is None else p[bucket == b]
+        w = np.full(order + 1, 1 / (order + 1))
+        for _ in range(100):
+            share = some * w
+            w = (share / share.sum(axis=1, keepdims=True)).mean(axis=0)
+        weights[b] = w
+    return [sum(math.log10(np.dot(weights.get(b, weights[None]), e)) for b, e in tokens_of(d)) for d in range(len(rows))]
+
+
+@pytest.mark.parametrize("order", [2, 3])
+@pytest.mark.parametrize("size", [1, 2, 5, 60])
+def test_learned_scores_equal_brute_force(spark, order, size):
+    """The whole model, weights included; 1 to 5 documents leave blocks empty."""
+    rng = random.Random(size)
+    rows = [(k, " ".join(rng.choices(["a", "b", "c", "dd", "e"], weights=[8, 4, 2, 1, 1], k=rng.randrange(1, 50))), "en", "s") for k in range(size)]
+    df = docs(spark, rows)
+    dealt = df.select("doc_id", F.pmod(F.xxhash64("doc_id", "text", F.lit(0).cast("long")), F.lit(LEAST_BLOCKS)).alias("b"))
+    block = {r["doc_id"]: r["b"] for r in dealt.collect()}
+    train = [size < 6 or k % 7 != 2 for k in range(size)]
+    got = {r["doc_id"]: r["score"] for r in interpolated_scores(df, F.lit(size < 6) | (F.col("doc_id") % 7 != 2), order=order).collect()}
+    want = brute_learned(rows, train, order, [block[k] for k in range(size)])
+    assert [got[k] for k in range(size)] == pytest.approx(want, rel=2e-3, abs=2e-3)
+
+
+def test_levels_of_exchange_do_not_change_scores(spark):
+    """A fan-out of 2 needs three levels for 8 blocks and more for 20; counts and scores stay."""
+    rng = random.Random(8)
+    rows = [r for r in ROWS if r[0] is not None] + [(50 + k, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(90))), "en", "s") for k in range(60)]
+    for block_bytes in (1_000_000, 11_000):
+        one, many = (
+            sorted(tuple(r) for r in interpolated_scores(docs(spark, rows), F.col("doc_id") % 5 != 1, block_bytes=block_bytes, fan_bits=bits).collect())
+            for bits in (12, 1)
+        )
+        assert one == many
+
+
+def test_one_repeated_null_row_is_spread_over_blocks(spark):
+    rows = docs(spark, [(None, "same text here", "en", "s")] * 200 + [(1, "other", "en", "s")])
+    got = interpolated_scores(rows, F.lit(True), order=2).collect()
+    assert len(got) == 201 and {r["train_tokens"] for r in got} == {802} and len({r["score"] for r in got}) == 2

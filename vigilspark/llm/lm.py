@@ -6,17 +6,25 @@ learned by expectation-maximisation on deleted counts: for each block of trainin
 documents the estimates are those of all training documents without the block.
 
 Counts are exact and cover every training document.  Documents are dealt into
-blocks by hash; each block asks for the counts of its distinct n-grams, once,
-as packed sorted hashes split into slots by key range; a slot merges what all
-blocks ask for and answers each block in its own order.  A frequent word or
-n-gram is thus one entry for each block and never a hot row, and what is
-shuffled grows with the distinct n-grams of the blocks.
+blocks by hash and tokenised once; each block asks for the counts of its distinct
+n-grams, once, as packed sorted hashes cut by key range.  A node merges what a
+group of blocks asks for in one range and asks the next level for the merged
+keys, in finer ranges; the last level has the totals, and answers return the same
+way, each in the order of its asker.  A level has a fixed fan-out, so that a block
+never writes more than ``2 ** fan_bits`` packets an order, and packets grow in
+proportion to the corpus (times the number of levels: one up to 4,096 blocks, two
+up to 16 million).  A frequent word or n-gram is one entry for each block and
+never a hot row.
 
 N-grams are identified by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,12 +38,20 @@ from vigilspark.storage import materialize
 #: UTF-8 bytes of text that one block should hold.
 BLOCK_BYTES = 16_000_000
 LEAST_BLOCKS = 8
-EM_ROUNDS = 40
+#: A block asks in at most 2 ** FAN_BITS packets an order, a node merges at most so many askers.
+FAN_BITS = 12
+#: Shuffles have at most so many partitions; beyond, a task works on several blocks or nodes in turn.
+MOST_PARTITIONS = 20_000
+EM_ROUNDS = 100
 #: Context frequencies are grouped by powers of two, up to this many groups.
 FREQUENCY_BUCKETS = 24
-#: Component probabilities are rounded to so many steps a decade for EM.
-STEPS = 10
-_DECADES = 12
+#: For EM, events whose estimates agree to so many steps a decade share one cell, which has the geometric means of
+#: their estimates; the distances from the step are added as integers, in units of 1 / _FINE steps.
+STEPS = 6
+_DECADES = 10
+_FINE = 1 << 20
+#: Tokens whose estimates are computed at a time.
+_SLICE = 500_000
 
 _END = np.uint64(xxhash.xxh64_intdigest(b"", 1))
 _BEGIN = np.uint64(xxhash.xxh64_intdigest(b"", 2))
@@ -54,74 +70,18 @@ def tokens(text: str) -> np.ndarray:
     return out
 
 
-class Block:
-    """The documents of one block, repeats held once, and their distinct n-grams."""
+def pack(numbers: np.ndarray) -> bytes:
+    """Counts as bytes of the least width that holds them, bytes of equal weight together, compressed."""
+    top = int(numbers.max()) if numbers.size else 0
+    width = next(w for w in (1, 2, 4, 8) if top < 1 << (8 * w - 1))
+    planes = np.ascontiguousarray(numbers.astype(f"<i{width}").view(np.uint8).reshape(-1, width).T)
+    return bytes([width]) + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
-    def __init__(self, order: int) -> None:
-        self.order = order
-        self.docs: dict[tuple, int] = {}
-        self.rows: list[tuple] = []
-        self.arrays: list[np.ndarray] = []
-        self.times: list[int] = []
-        self.train: list[bool] = []
-
-    def add(self, i: int | None, text: str, train: bool) -> None:
-        key = (i, train, xxhash.xxh3_128_digest(text.encode()))
-        k = self.docs.setdefault(key, len(self.docs))
-        if k == len(self.rows):
-            self.rows.append((i, train))
-            self.arrays.append(tokens(text))
-            self.times.append(0)
-            self.train.append(train)
-        self.times[k] += 1
 
-    def close(self) -> None:
-        """keys[k]: sorted distinct (k+1)-gram hashes; at[k]: each token's place in them; own[k]: their training counts."""
-        lengths = np.array([a.size for a in self.arrays], np.int64)
-        t = np.concatenate(self.arrays) if self.arrays else np.empty(0, np.uint64)
-        self.starts = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64) if lengths.size else lengths
-        self.lengths = lengths
-        weight = np.repeat(np.array(self.times, np.float64) * np.array(self.train, np.float64), lengths)
-        self.keys, self.at, self.own = [], [], []
-        gram = t
-        for k in range(self.order):
-            if k:
-                history = np.empty_like(gram)
-                history[1:] = gram[:-1]
-                history[self.starts] = _BEGIN
-                gram = (history ^ (history >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + t * np.uint64(2 * k + 1)
-                gram ^= gram >> np.uint64(29)
-                gram *= np.uint64(0xBF58476D1CE4E5B9)
-                gram ^= gram >> np.uint64(32)
-            keys, at = np.unique(gram, return_inverse=True)
-            self.keys.append(keys)
-            self.at.append(at.reshape(-1))
-            self.own.append(np.bincount(self.at[-1], weights=weight, minlength=keys.size).astype(np.int64))
-
-    def estimates(self, counts: list[np.ndarray], total: int, delete: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each token: its ML estimates [order, tokens], the frequency bucket of its context, its count."""
-        counts = [c - o for c, o in zip(counts, self.own, strict=True)] if delete else counts
-        if delete:
-            total -= int(self.own[0].sum())
-        first = counts[0][self.at[0]]
-        end = np.searchsorted(self.keys[0], _END)
-        documents = counts[0][end] if self.keys[0].size else 0
-        estimates = np.zeros((self.order, first.size))
-        estimates[0] = first / max(total, 1)
-        context = np.full(first.size, total, np.float64)
-        for k in range(1, self.order):
-            before = counts[k - 1][self.at[k - 1]]
-            context = np.empty(first.size)
-            context[1:] = before[:-1]
-            context[self.starts] = documents
-            n = counts[k][self.at[k]]
-            np.divide(n, context, out=estimates[k], where=context > 0)
-        bucket = np.minimum(np.ceil(np.log2(np.maximum(context, 0) + 1)).astype(np.int64), FREQUENCY_BUCKETS - 1)
-        return estimates, bucket, first
-
-
-def _slot_edges(slots: int) -> np.ndarray:
-    return np.array([(s << 64) // slots for s in range(1, slots)], np.uint64)
+def unpack(data: bytes, n: int) -> np.ndarray:
+    width = data[0]
+    planes = np.frombuffer(pa.decompress(data[1:], width * n, "zstd", asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(f"<i{width}").reshape(-1)
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -137,55 +97,277 @@ def unpack_keys(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
 
 
-def pack_counts(counts: np.ndarray) -> bytes:
-    planes = np.ascontiguousarray(counts.astype(np.int64).view(np.uint8).reshape(-1, 8).T)
-    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
-
+class Block:
+    """The documents of one block, repeats held once, as word hashes end to end."""
 
-def unpack_counts(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
-    return np.ascontiguousarray(planes.T).view(np.int64).reshape(-1)
+    def __init__(self) -> None:
+        self.docs: dict[tuple, int] = {}
+        self.ids: list[int | None] = []
+        self.train: list[bool] = []
+        self.times: list[int] = []
+        self.arrays: list[np.ndarray] = []
 
+    def add(self, i: int | None, text: str, train: bool) -> None:
+        key = (i, train, xxhash.xxh3_128_digest(text.encode()))
+        k = self.docs.setdefault(key, len(self.ids))
+        if k == len(self.ids):
+            self.ids.append(i)
+            self.train.append(train)
+            self.times.append(0)
+            self.arrays.append(tokens(text))
+        self.times[k] += 1
 
-def learn_weights(cells: np.ndarray, order: int, vocabulary: int) -> np.ndarray:
-    """Mixture weights [bucket, uniform + orders] by EM from rows (bucket, step of each order, events).
+    def close(self) -> Block:
+        self.lengths = np.array([a.size for a in self.arrays], np.int64)
+        self.tokens = np.concatenate(self.arrays)
+        self.arrays, self.docs = [], {}
+        return self
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
+
+    @property
+    def weight(self) -> np.ndarray:
+        """How often each token occurs in training."""
+        return np.repeat(np.array(self.times, np.int32) * np.array(self.train, np.int32), self.lengths)
+
+    def dumps(self) -> bytes:
+        words, at = np.unique(self.tokens, return_inverse=True)
+        head = (self.ids, self.train, self.times, self.lengths, words.size, pack_keys(words), self.tokens.size)
+        return pickle.dumps((*head, pack(at.reshape(-1))))
+
+    @classmethod
+    def loads(cls, data: bytes) -> Block:
+        block = cls()
+        block.ids, block.train, block.times, block.lengths, n_words, words, n, at = pickle.loads(data)
+        block.tokens = unpack_keys(words, n_words)[unpack(at, n)]
+        return block
+
+    def grams(self, order: int) -> Iterator[np.ndarray]:
+        """The hash of each token with none, one, ... of the tokens before it in its document."""
+        gram, starts = self.tokens, self.starts
+        for k in range(order):
+            if k:
+                history = np.empty_like(gram)
+                history[1:] = gram[:-1]
+                history[starts] = _BEGIN
+                history ^= history >> np.uint64(32)
+                history *= np.uint64(0x9E3779B97F4A7C15)
+                history += self.tokens * np.uint64(2 * k + 1)
+                history ^= history >> np.uint64(29)
+                history *= np.uint64(0xBF58476D1CE4E5B9)
+                history ^= history >> np.uint64(32)
+                gram = history
+            yield gram
+
+
+def distinct(gram: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, their added weights, the sorting order, and the place of each sorted entry in the keys."""
+    order = np.argsort(gram)
+    gram = gram[order]
+    new = np.empty(gram.size, bool)
+    new[:1] = True
+    np.not_equal(gram[1:], gram[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    added = np.add.reduceat(weight[order], first, dtype=np.int64) if first.size else np.empty(0, np.int64)
+    return gram[first], added, order, np.cumsum(new, dtype=np.int32) - 1
+
+
+def estimates(counts: list[np.ndarray], starts: np.ndarray, documents: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """ML estimates [order, tokens] from each token's n-gram counts, and the frequency bucket of its longest context.
+
+    ``starts``: places where a document begins; its context was seen ``documents`` times.
+    """
+    out = np.zeros((len(counts), counts[0].size))
+    out[0] = counts[0] / max(total, 1)
+    context = np.full(counts[0].size, float(total))
+    for k in range(1, len(counts)):
+        context[1:] = counts[k - 1][:-1]
+        context[starts] = documents
+        np.divide(counts[k], context, out=out[k], where=context > 0)
+    bucket = np.minimum(np.ceil(np.log2(np.maximum(context, 0) + 1)).astype(np.int64), FREQUENCY_BUCKETS - 1)
+    return out, bucket
+
+
+def slices(lengths: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first, last, starts within) of runs of whole documents with about ``_SLICE`` tokens."""
+    ends = np.cumsum(lengths)
+    a = 0
+    while a < lengths.size:
+        begin = int(ends[a] - lengths[a])
+        b = max(a + 1, int(np.searchsorted(ends, begin + _SLICE, "right")))
+        yield begin, int(ends[b - 1]), (ends[a:b] - lengths[a:b]) - begin
+        a = b
+
+
+def read_cells(code: np.ndarray, events: np.ndarray, *apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, events, estimates [cells, orders]) of cells, by their number; integers until here, so sums are exact."""
+    by = np.argsort(code)
+    code, events, estimate = code[by], events[by], []
+    for x in reversed(apart):
+        code, step = np.divmod(code, STEPS * _DECADES + 2)
+        mean = step - 1 + x[by] / (np.maximum(events, 1) * _FINE)
+        estimate.append(np.where(step > 0, 10.0 ** (-mean / STEPS), 0.0))
+    return code, events, np.stack(estimate[::-1], axis=1)
+
+
+def learn_weights(bucket: np.ndarray, events: np.ndarray, estimate: np.ndarray, vocabulary: int) -> np.ndarray:
+    """Mixture weights [bucket, uniform + orders] by EM from cells of events with estimates [cells, orders].
 
-    A step of 0 is an estimate of zero, s > 0 is 10 ** (-(s - 1) / STEPS).
     Buckets without events take the weights of all events together; without any
     event the weights are equal.
     """
-    weights = np.full((FREQUENCY_BUCKETS, order + 1), 1.0 / (order + 1))
-    if not len(cells):
+    parts = estimate.shape[1] + 1
+    weights = np.full((FREQUENCY_BUCKETS, parts), 1.0 / parts)
+    if not len(bucket):
         return weights
-    n = cells[:, -1].astype(np.float64)
-    p = np.empty((len(cells), order + 1))
-    p[:, 0] = 1.0 / (vocabulary + 1)
-    steps = cells[:, 1:-1]
-    p[:, 1:] = np.where(steps > 0, 10.0 ** (-(steps - 1) / STEPS), 0.0)
+    n = events.astype(np.float64)
+    p = np.concatenate((np.full((len(bucket), 1), 1.0 / (vocabulary + 1)), estimate), axis=1)
 
     def em(rows: np.ndarray) -> np.ndarray:
-        w = np.full(order + 1, 1.0 / (order + 1))
+        w, p_of, n_of = np.full(parts, 1.0 / parts), p[rows], n[rows]
         for _ in range(EM_ROUNDS):
-            mixed = p[rows] * w
-            mixed *= (n[rows] / mixed.sum(axis=1))[:, None]
-            w = mixed.sum(axis=0) / n[rows].sum()
+            w = w * (p_of.T @ (n_of / (p_of @ w))) / n_of.sum()
         return w
 
-    weights[:] = em(np.arange(len(cells)))
-    for b in np.unique(cells[:, 0]):
-        weights[b] = em(np.flatnonzero(cells[:, 0] == b))
+    weights[:] = em(np.arange(len(bucket)))
+    for b in np.unique(bucket):
+        weights[b] = em(np.flatnonzero(bucket == b))
     # the uniform estimate keeps a share, so that no token has probability zero
     weights = np.maximum(weights, 1e-9)
     return weights / weights.sum(axis=1, keepdims=True)
 
 
+REQUEST = "k int, r long, m long, n int, keys binary, counts binary"
+REPLY = "k int, r long, m long, n long, counts binary, total long"
+_NO_COUNTS = b""
+
+
+def _rows(batches) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 64) -> Iterator[pa.RecordBatch]:
+    held_rows = []
+    for row in rows:
+        held_rows.append(row)
+        if len(held_rows) == size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held_rows, strict=True), schema, strict=True)], schema=schema)
+            held_rows = []
+    if held_rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held_rows, strict=True), schema, strict=True)], schema=schema)
+
+
+_REQUEST = pa.schema([("k", pa.int32()), ("r", pa.int64()), ("m", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+_REPLY = pa.schema([("k", pa.int32()), ("r", pa.int64()), ("m", pa.int64()), ("n", pa.int64()), ("counts", pa.binary()), ("total", pa.int64())])
+
+
+def _cut(k: int, member: int, keys: np.ndarray, counts: np.ndarray, bits: int, base: int, depth: int) -> Iterator[tuple]:
+    """Requests of sorted keys below the range ``base`` of ``depth`` bits, one for each of its 2 ** bits parts that holds a key."""
+    first = base << bits
+    shift = 64 - depth - bits
+    edges = np.array([(first + f) << shift for f in range(1, 1 << bits)], np.uint64)
+    at = [0, *np.searchsorted(keys, edges).tolist(), keys.size]
+    for f, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+        if b > a:
+            yield k, first + f, member, b - a, pack_keys(keys[a:b]), pack(counts[a:b])
+
+
+def _merged(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of requests ``(m, n, keys, counts)``, their added counts, and each entry's place in them."""
+    keys = np.concatenate([unpack_keys(k, n) for _, n, k, _ in parts])
+    counts = np.concatenate([unpack(c, n).astype(np.int64) for _, n, _, c in parts])
+    keys, totals, order, run = distinct(keys, counts)
+    place = np.empty(order.size, np.int32)
+    place[order] = run
+    return keys, totals, place
+
+
+def _by_node(df: DataFrame, bits: int, depth: int, members: int, order: int, kind: bool = False) -> DataFrame:
+    """The rows of a node (order, range, group of members) together, replies before requests."""
+    groups = -(-members // (1 << bits))
+    node = (F.col("k").cast("long") * F.lit(1 << depth) + F.col("r")) * F.lit(groups) + F.shiftright("m", bits)
+    parts = min(MOST_PARTITIONS, order * groups << depth)
+    keys = ["k", "r", F.shiftright("m", bits), *(["kind"] if kind else [])]
+    return df.repartitionById(parts, F.pmod(node, F.lit(parts)).cast("int")).sortWithinPartitions(*keys)
+
+
+def exchange(asked: DataFrame, members: int, order: int, bits: int, depth: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Replies ``(k, r, m, counts)`` to requests cut into ranges of ``depth + bits`` bits, and the rows that hold the totals.
+
+    The last level is where one group has all members; it is written, so that
+    what is known of the whole corpus is read from it.
+    """
+    depth += bits
+    node_of = lambda row: (row[0], row[1], row[2] >> bits)
+
+    def answer(batches):
+        def rows():
+            for (k, r, _), group in groupby(_rows(batches), key=node_of):
+                parts = [row[2:] for row in group]
+                _, totals, place = _merged(parts)
+                yield k, r, -1, int((totals > 0).sum()), _NO_COUNTS, int(totals.sum())
+                at = 0
+                for m, n, _, _ in parts:
+                    yield k, r, m, n, pack(totals[place[at : at + n]]), 0
+                    at += n
+
+        yield from _batches(rows(), _REPLY)
+
+    if members <= 1 << bits:
+        replies = materialize(_by_node(asked, bits, depth, members, order).mapInArrow(answer, REPLY), "answers")
+        return replies.where("m >= 0"), replies.where("m = -1")
+
+    asked = materialize(asked, "asked")
+
+    def ask_on(batches):
+        def rows():
+            for (k, r, g), group in groupby(_rows(batches), key=node_of):
+                keys, totals, _ = _merged([row[2:] for row in group])
+                yield from _cut(k, g, keys, totals, bits, r, depth)
+
+        yield from _batches(rows(), _REQUEST)
+
+    above = _by_node(asked, bits, depth, members, order).mapInArrow(ask_on, REQUEST)
+    replies, facts = exchange(above, -(-members // (1 << bits)), order, bits, depth)
+
+    def pass_on(batches):
+        def rows():
+            for (k, r, _), group in groupby(_rows(batches), key=node_of):
+                totals, parts = {}, []
+                for _, _, m, n, keys, counts, kind, part in group:
+                    if kind:
+                        parts.append((m, n, keys, counts))
+                    else:
+                        totals[part] = unpack(counts, n)
+                total = np.concatenate([totals[f] for f in sorted(totals)])
+                _, _, place = _merged(parts)
+                at = 0
+                for m, n, _, _ in parts:
+                    yield k, r, m, n, pack(total[place[at : at + n]]), 0
+                    at += n
+
+        yield from _batches(rows(), _REPLY)
+
+    down = asked.select("*", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("part")).unionByName(
+        replies.select(
+            "k", F.shiftright("r", bits).alias("r"), F.shiftleft("m", bits).alias("m"), F.col("n").cast("int").alias("n"),
+            F.lit(None).cast("binary").alias("keys"), "counts", F.lit(0).alias("kind"), F.col("r").bitwiseAND(F.lit((1 << bits) - 1)).alias("part"),
+        )
+    )
+    return _by_node(down, bits, depth, members, order, kind=True).mapInArrow(pass_on, REPLY), facts
+
+
 def interpolated_scores(
     docs: DataFrame,
     train: Column,
     id_col: str = "doc_id",
     text_col: str = "text",
-    order: int = 2,
+    order: int = 3,
     block_bytes: int = BLOCK_BYTES,
+    fan_bits: int = FAN_BITS,
     weights: np.ndarray | None = None,
 ) -> DataFrame:
     """``(doc_id, n_tokens, n_known, train_tokens, base_score, score)``, a row for each row of ``docs``.
@@ -196,172 +378,140 @@ def interpolated_scores(
     ``base_score`` adds log10((c + 1) / (N + V + 1)) over the tokens, ``score``
     log10 of the interpolated model's probabilities.  Null and empty texts are
     one end token.  Repeated rows count as often as they stand and are scored as
-    often.  Null ids are kept; other columns are not read.  Without training
-    rows every estimate but the uniform one is zero.
+    often.  Null ids are kept, and their rows dealt by position, since many may be
+    equal; other columns are not read.  Without training rows every estimate but
+    the uniform one is zero.  One document is held whole by a task.
     """
-    spark = docs.sparkSession
     plain = small_batches(docs).select(
         F.col(id_col).cast("long").alias("id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
         F.coalesce(train, F.lit(True)).alias("train"),
     )
-    size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = slots = max(LEAST_BLOCKS, -(-size // block_bytes))
-    edges = _slot_edges(slots)
-    block_of = F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")
-    dealt = plain.select(block_of.alias("block"), "id", "text", "train")
+    size, documents = plain.agg(F.sum(F.octet_length("text")), F.count_if("train")).first()
+    blocks = max(LEAST_BLOCKS, -(-(size or 0) // block_bytes))
+    bits = min(fan_bits, (blocks - 1).bit_length())
+    parts = min(blocks, MOST_PARTITIONS)
+    spread = F.when(F.col("id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0))
+    dealt = plain.select(F.pmod(F.xxhash64("id", "text", spread), F.lit(blocks)).alias("block"), "id", "text", "train")
+
+    def by_block(df: DataFrame, *order_by: str) -> DataFrame:
+        return df.repartitionById(parts, F.pmod("block", F.lit(parts)).cast("int")).sortWithinPartitions("block", *order_by)
+
+    def tokenise(batches):
+        for number, group in groupby(_rows(batches), key=lambda row: row[0]):
+            block = Block()
+            for _, i, text, learn in group:
+                block.add(i, text, learn)
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([block.close().dumps()], pa.binary())], ["block", "data"])
 
-    def cut(keys: np.ndarray) -> list[tuple[int, int]]:
-        at = np.concatenate(([0], np.searchsorted(keys, edges), [keys.size]))
-        return list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+    tokenised = materialize(by_block(dealt).mapInArrow(tokenise, "block long, data binary"), "tokenised")
 
     def ask(batches):
-        block, number = Block(order), None
-        for batch in batches:
-            for number, i, text, learn in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                block.add(i, text, learn)
-        if number is None:
-            return
-        block.close()
-        for k in range(order):
-            for s, (a, b) in enumerate(cut(block.keys[k])):
-                if b > a:
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([k * slots + s], pa.int32()),
-                            pa.array([number], pa.int32()),
-                            pa.array([b - a], pa.int32()),
-                            pa.array([pack_keys(block.keys[k][a:b])], pa.binary()),
-                            pa.array([pack_counts(block.own[k][a:b])], pa.binary()),
-                        ],
-                        ["slot", "block", "n", "keys", "counts"],
-                    )
-
-    asked = dealt.repartitionById(blocks, "block").mapInArrow(
-        ask, "slot int, block int, n int, keys binary, counts binary"
-    )
-
-    def answer(batches):
-        """Rows of block -1 carry the slot's number of known keys and its total count."""
-        parts = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-        if not parts:
-            return
-        keys = np.concatenate([unpack_keys(k, n) for _, _, n, k, _ in parts])
-        counts = np.concatenate([unpack_counts(c, n) for _, _, n, _, c in parts])
-        order_of = np.argsort(keys, kind="stable")
-        keys, counts = keys[order_of], counts[order_of]
-        new = np.concatenate(([True], keys[1:] != keys[:-1]))
-        totals = np.add.reduceat(counts, np.flatnonzero(new))
-        place = np.empty(keys.size, np.int64)
-        place[order_of] = np.cumsum(new) - 1
-        slot, at = parts[0][0], 0
-        out = [(slot, -1, int((totals > 0).sum()), b"", int(totals.sum()))]
-        for _, number, n, _, _ in parts:
-            out.append((slot, number, n, pack_counts(totals[place[at : at + n]]), 0))
-            at += n
-        for row in out:
+        def rows():
+            for number, data in _rows(batches):
+                block = Block.loads(data)
+                weight = block.weight
+                for k, gram in enumerate(block.grams(order)):
+                    keys, own, *_ = distinct(gram, weight)
+                    yield from _cut(k, number, keys, own, bits, 0, 0)
+
+        yield from _batches(rows(), _REQUEST)
+
+    replies, facts = exchange(tokenised.mapInArrow(ask, REQUEST), blocks, order, bits)
+    vocabulary, total = (int(x or 0) for x in facts.where("k = 0").agg(F.sum("n"), F.sum("total")).first())
+
+    numbers = [f"e{k}" for k in range(order)]
+
+    def count(batches):
+        """Two kinds of rows: events of equal deleted estimates (a cell), and a block with the counts of its n-grams."""
+        for _, group in groupby(_rows(batches), key=lambda row: row[0]):
+            answers, data = {}, None
+            for _, data, k, r, n, counts in group:
+                if data is None:
+                    answers[k, r] = unpack(counts, n)
+            block = Block.loads(data)
+            weight = block.weight
+            counts, own, size = [], [], 0
+            for k, gram in enumerate(block.grams(order)):
+                total_of = np.concatenate([answers.pop(key) for key in sorted(key for key in answers if key[0] == k)])
+                _, own_of, by, run = distinct(gram, weight)
+                if own_of.size != total_of.size:
+                    raise RuntimeError("a block's documents changed between counting and scoring")
+                for out, values in ((counts, total_of), (own, own_of.astype(total_of.dtype))):
+                    out.append(np.empty(gram.size, values.dtype))
+                    out[-1][by] = values[run]
+            own_total = int(weight.sum(dtype=np.int64))
+            own_documents = int(np.dot(block.times, block.train))
+            code, events, added = [], [], []
+            for a, b, starts in slices(block.lengths) if weights is None else ():
+                left = [c[a:b].astype(np.int64) - o[a:b] for c, o in zip(counts, own, strict=True)]
+                estimate, cell = estimates(left, starts, documents - own_documents, total - own_total)
+                apart = []
+                for e in estimate:
+                    x = np.zeros(e.size)
+                    np.log10(e, out=x, where=e > 0)
+                    x *= -STEPS
+                    step = np.minimum(np.rint(x), STEPS * _DECADES)
+                    apart.append(np.rint((x - step) * _FINE))
+                    cell = cell * (STEPS * _DECADES + 2) + np.where(e > 0, step + 1, 0).astype(np.int64)
+                cell, at = np.unique(cell, return_inverse=True)
+                w = weight[a:b].astype(np.float64)
+                code.append(cell)
+                events.append(np.bincount(at, weights=w, minlength=cell.size).astype(np.int64))
+                added.append([np.bincount(at, weights=w * x, minlength=cell.size).astype(np.int64) for x in apart])
+            for cell, n, sums in zip(code, events, added, strict=True):
+                some = n > 0
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(int(some.sum()), pa.binary()), pa.array(cell[some]), pa.array(n[some]), *(pa.array(e[some]) for e in sums)],
+                    ["data", "code", "events", *numbers],
+                )
+            head = (block.ids, block.times, block.lengths, [pack(c) for c in counts])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64()), strict=True)],
-                ["slot", "block", "n", "counts", "total"],
+                [pa.array([pickle.dumps(head)], pa.binary()), *(pa.nulls(1, pa.int64()) for _ in range(order + 2))],
+                ["data", "code", "events", *numbers],
             )
 
-    answers = materialize(
-        asked.repartitionById(order * slots, "slot").mapInArrow(
-            answer, "slot int, block int, n long, counts binary, total long"
-        ),
-        "answers",
-    )
-    facts = answers.where((F.col("block") == -1) & (F.col("slot") < slots)).agg(F.sum("n"), F.sum("total")).first()
-    vocabulary, total = int(facts[0] or 0), int(facts[1] or 0)
-
-    def gathered(batches):
-        """The block of this partition, with the counts that answer it; None if the partition is empty."""
-        block, replies = Block(order), {}
-        for batch in batches:
-            for _, kind, i, text, learn, slot, n, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if kind:
-                    block.add(i, text, learn)
-                else:
-                    replies[slot] = unpack_counts(counts, n)
-        if not block.rows:
-            return None
-        block.close()
-        counts = []
-        for k in range(order):
-            one = [replies.get(k * slots + s, np.empty(0, np.int64)) for s in range(slots)]
-            counts.append(np.concatenate(one))
-            if counts[-1].size != block.keys[k].size:
-                raise RuntimeError("a block's documents changed between counting and scoring")
-        return block, counts
-
-    def together(docs_part: DataFrame, answers_part: DataFrame) -> DataFrame:
-        left = docs_part.select(
-            "block", F.lit(1).alias("kind"), "id", "text", "train",
-            F.lit(None).cast("int").alias("slot"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("counts"),
-        )
-        right = answers_part.select(
-            "block", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"),
-            F.lit(None).cast("boolean").alias("train"), "slot", "n", "counts",
-        )
-        return left.unionByName(right).repartitionById(blocks, "block")
-
-    def cells(batches):
-        found = gathered(batches)
-        if not found:
-            return
-        block, counts = found
-        estimates, bucket, _ = block.estimates(counts, total, delete=True)
-        weight = np.repeat(np.array(block.times) * np.array(block.train, np.int64), block.lengths)
-        steps = np.zeros(estimates.shape, np.int64)
-        some = estimates > 0
-        steps[some] = np.minimum(np.rint(-STEPS * np.log10(np.minimum(estimates[some], 1.0))), STEPS * _DECADES).astype(np.int64) + 1
-        code = bucket.copy()
-        for k in range(order):
-            code = code * (STEPS * _DECADES + 2) + steps[k]
-        code, at = np.unique(code[weight > 0], return_inverse=True)
-        events = np.bincount(at.reshape(-1), weights=weight[weight > 0]).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(events, pa.int64())], ["code", "events"])
-
+    answered = tokenised.select(
+        "block", "data", F.lit(None).cast("int").alias("k"), F.lit(None).cast("long").alias("r"), F.lit(None).cast("long").alias("n"),
+        F.lit(None).cast("binary").alias("counts"),
+    ).unionByName(replies.select(F.col("m").alias("block"), F.lit(None).cast("binary").alias("data"), "k", "r", "n", "counts"))
+    answered = answered.withColumn("last", F.col("data").isNotNull())
+    # every block's own counts are deleted in turn, so each training document informs the weights
+    counted = by_block(answered, "last").drop("last").mapInArrow(count, "data binary, code long, events long, " + ", ".join(f"{x} long" for x in numbers))
+    counted = materialize(counted, "counted")
     if weights is None:
-        # every block's own counts are deleted in turn, so each training document informs the weights
-        deleted = together(dealt, answers.where("block >= 0")).mapInArrow(cells, "code long, events long")
         # at most FREQUENCY_BUCKETS * (STEPS * _DECADES + 2) ** order rows, whatever the corpus
-        learned = deleted.groupBy("code").agg(F.sum("events").alias("events")).toArrow()
-        code, events = (learned.column(k).to_numpy().astype(np.int64) for k in range(2))
-        columns = [events]
-        for _ in range(order):
-            columns.append(code % (STEPS * _DECADES + 2))
-            code = code // (STEPS * _DECADES + 2)
-        table = np.stack([code, *columns[:0:-1], columns[0]], axis=1) if events.size else np.empty((0, order + 2), np.int64)
-        weights = learn_weights(table, order, vocabulary)
+        cells = counted.where("code is not null").groupBy("code").agg(*(F.sum(c).alias(c) for c in ("events", *numbers))).toArrow()
+        weights = learn_weights(*read_cells(*(c.to_numpy() for c in cells.columns)), vocabulary)
 
     def score(batches):
-        found = gathered(batches)
-        if not found:
-            return
-        block, counts = found
-        estimates, bucket, first = block.estimates(counts, total, delete=False)
-        w = weights[bucket]
-        p = w[:, 0] / (vocabulary + 1)
-        for k in range(order):
-            p += w[:, k + 1] * estimates[k]
-        logs = np.add.reduceat(np.log10(p), block.starts)
-        base = np.add.reduceat(np.log10((first + 1) / (total + vocabulary + 1)), block.starts)
-        known = np.add.reduceat((first > 0).astype(np.int64), block.starts)
-        times = np.array(block.times)
-        ids = [i for (i, _), n in zip(block.rows, block.times, strict=True) for _ in range(n)]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(ids, pa.int64()),
-                pa.array(np.repeat(block.lengths, times), pa.int64()),
-                pa.array(np.repeat(known, times), pa.int64()),
-                pa.array(np.full(len(ids), total), pa.int64()),
-                pa.array(np.repeat(base, times), pa.float64()),
-                pa.array(np.repeat(logs, times), pa.float64()),
-            ],
-            ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-        )
+        for (data,) in _rows(batches):
+            ids, times, lengths, packed = pickle.loads(data)
+            counts = [unpack(c, int(lengths.sum())) for c in packed]
+            out = []
+            for a, b, starts in slices(lengths):
+                part = [c[a:b].astype(np.int64) for c in counts]
+                estimate, bucket = estimates(part, starts, documents, total)
+                w = weights[bucket]
+                p = w[:, 0] / (vocabulary + 1)
+                for k in range(order):
+                    p += w[:, k + 1] * estimate[k]
+                logs = np.add.reduceat(np.log10(p), starts)
+                base = np.add.reduceat(np.log10((part[0] + 1) / (total + vocabulary + 1)), starts)
+                out.append((np.add.reduceat((part[0] > 0).astype(np.int64), starts), base, logs))
+            known, base, logs = (np.repeat(np.concatenate(c), times) for c in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([i for i, n in zip(ids, times, strict=True) for _ in range(n)], pa.int64()),
+                    pa.array(np.repeat(lengths, times), pa.int64()),
+                    pa.array(known, pa.int64()),
+                    pa.array(np.full(known.size, total), pa.int64()),
+                    pa.array(base, pa.float64()),
+                    pa.array(logs, pa.float64()),
+                ],
+                ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
 
-    return together(dealt, answers.where("block >= 0")).mapInArrow(
+    return counted.where("data is not null").select("data").mapInArrow(
         score, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
