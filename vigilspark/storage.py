@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: dict[str, str] = {}
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,5 +61,17 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
 
 
 def materialize_at(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
+    """As :func:`materialize`, at a given path.
+
+    Nothing reads the shuffles of a plan whose result is written, so Spark is
+    told to remove their files when the write ends; the caller's own setting is
+    put back.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEAN_UP, None)
+    conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        conf.unset(_CLEAN_UP) if before is None else conf.set(_CLEAN_UP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
