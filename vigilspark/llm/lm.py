@@ -31,8 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilspark.llm.bpe import Memo
-from vigilspark.llm.common import LOWER_AZ, held, small_batches
+from vigilspark.llm.common import LOWER_AZ, small_batches
 from vigilspark.storage import materialize
 
 #: UTF-8 bytes of text that one block should hold.
@@ -57,17 +56,12 @@ _END = np.uint64(xxhash.xxh64_intdigest(b"", 1))
 _BEGIN = np.uint64(xxhash.xxh64_intdigest(b"", 2))
 
 
-def _hashes() -> Memo:
-    return held("lm words", lambda: Memo(lambda word: xxhash.xxh64_intdigest(word)))
+class Numbers(dict):
+    """Word -> its number, in order of appearance."""
 
-
-def tokens(text: str) -> np.ndarray:
-    """Hashes of the words (A-Z in lower case, split at ``[\\x20\\x09-\\x0D]``) and one end."""
-    words = text.encode().translate(LOWER_AZ).split()
-    out = np.empty(len(words) + 1, np.uint64)
-    out[:-1] = np.fromiter(map(_hashes().__getitem__, words), np.uint64, len(words))
-    out[-1] = _END
-    return out
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
 
 
 def pack(numbers: np.ndarray) -> bytes:
@@ -106,6 +100,7 @@ class Block:
         self.train: list[bool] = []
         self.times: list[int] = []
         self.arrays: list[np.ndarray] = []
+        self.words = Numbers()
 
     def add(self, i: int | None, text: str, train: bool) -> None:
         key = (i, train, xxhash.xxh3_128_digest(text.encode()))
@@ -114,14 +109,16 @@ class Block:
             self.ids.append(i)
             self.train.append(train)
             self.times.append(0)
-            self.arrays.append(tokens(text))
+            self.arrays.append(self.numbers(text))
         self.times[k] += 1
 
-    def close(self) -> Block:
-        self.lengths = np.array([a.size for a in self.arrays], np.int64)
-        self.tokens = np.concatenate(self.arrays)
-        self.arrays, self.docs = [], {}
-        return self
+    def numbers(self, text: str) -> np.ndarray:
+        """Numbers of the words (A-Z in lower case, split at ``[\\x20\\x09-\\x0D]``), and -1 for the end."""
+        words = text.encode().translate(LOWER_AZ).split()
+        out = np.empty(len(words) + 1, np.int32)
+        out[:-1] = np.fromiter(map(self.words.__getitem__, words), np.int32, len(words))
+        out[-1] = -1
+        return out
 
     @property
     def starts(self) -> np.ndarray:
@@ -133,9 +130,11 @@ class Block:
         return np.repeat(np.array(self.times, np.int32) * np.array(self.train, np.int32), self.lengths)
 
     def dumps(self) -> bytes:
-        words, at = np.unique(self.tokens, return_inverse=True)
-        head = (self.ids, self.train, self.times, self.lengths, words.size, pack_keys(words), self.tokens.size)
-        return pickle.dumps((*head, pack(at.reshape(-1))))
+        lengths = np.array([a.size for a in self.arrays], np.int64)
+        hashes = np.array([*map(xxhash.xxh64_intdigest, self.words), _END], np.uint64)
+        words, place = np.unique(hashes, return_inverse=True)
+        at = place.astype(np.int32)[np.concatenate(self.arrays)]
+        return pickle.dumps((self.ids, self.train, self.times, lengths, words.size, pack_keys(words), at.size, pack(at)))
 
     @classmethod
     def loads(cls, data: bytes) -> Block:
@@ -402,7 +401,7 @@ def interpolated_scores(
             block = Block()
             for _, i, text, learn in group:
                 block.add(i, text, learn)
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([block.close().dumps()], pa.binary())], ["block", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([block.dumps()], pa.binary())], ["block", "data"])
 
     tokenised = materialize(by_block(dealt).mapInArrow(tokenise, "block long, data binary"), "tokenised")
 
@@ -457,12 +456,15 @@ def interpolated_scores(
                 cell, at = np.unique(cell, return_inverse=True)
                 w = weight[a:b].astype(np.float64)
                 code.append(cell)
-                events.append(np.bincount(at, weights=w, minlength=cell.size).astype(np.int64))
-                added.append([np.bincount(at, weights=w * x, minlength=cell.size).astype(np.int64) for x in apart])
-            for cell, n, sums in zip(code, events, added, strict=True):
-                some = n > 0
+                events.append(np.bincount(at, weights=w, minlength=cell.size))
+                added.append([np.bincount(at, weights=w * x, minlength=cell.size) for x in apart])
+            if code:
+                cell, at = np.unique(np.concatenate(code), return_inverse=True)
+                sums = [np.concatenate(events), *(np.concatenate(x) for x in zip(*added, strict=True))]
+                sums = [np.bincount(at, weights=x, minlength=cell.size).astype(np.int64) for x in sums]
+                some = sums[0] > 0
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(int(some.sum()), pa.binary()), pa.array(cell[some]), pa.array(n[some]), *(pa.array(e[some]) for e in sums)],
+                    [pa.nulls(int(some.sum()), pa.binary()), pa.array(cell[some]), *(pa.array(x[some]) for x in sums)],
                     ["data", "code", "events", *numbers],
                 )
             head = (block.ids, block.times, block.lengths, [pack(c) for c in counts])
