@@ -33,9 +33,8 @@ def test_language_accuracy_held_out(spark):
 def test_language_backoff_and_awkward_rows(spark):
     train = docs(spark, [(i, t, lang, "s") for i, (t, lang) in enumerate([("the house the garden", "en"), ("das haus der garten", "de")] * 5)])
     model = lang_id.fit(train)
-    assert "house" in model.words and "houses" not in model.words
-    assert model.langs[int(model.word_scores("houses").argmax())] == "en"
-    assert model.langs[int(model.word_scores("gartens").argmax())] == "de"
+    assert (model.found(0, ["house", "houses"]) >= 0).tolist() == [True, False]
+    assert [model.langs[k] for k in model.word_scores(["houses", "gartens"]).argmax(axis=1)] == ["en", "de"]
     got = {r["doc_id"]: r for r in lang_id.predict(clashing(spark), model).collect()}
     assert got[3]["lang_pred"] == got[4]["lang_pred"] == got[10]["lang_pred"] == "und" and got[10]["score"] == 0
     assert got[1]["lang_pred"] == "en"
@@ -229,3 +228,53 @@ def test_one_repeated_null_row_is_spread_over_blocks(spark):
     rows = docs(spark, [(None, "same text here", "en", "s")] * 200 + [(1, "other", "en", "s")])
     got = interpolated_scores(rows, F.lit(True), order=2).collect()
     assert len(got) == 201 and {r["train_tokens"] for r in got} == {802} and len({r["score"] for r in got}) == 2
+
+
+def brute_language(train, texts, longest=5):
+    """Word-first backoff on dictionaries."""
+    words = lambda t: __import__("re").findall(r"[^\W\d_]+", t.lower())
+    langs = sorted({lang for _, t, lang in train if t is not None and lang is not None})
+    counts = [{lang: Counter() for lang in langs} for _ in range(longest + 1)]
+    for _, t, lang in train:
+        if t is not None and lang is not None:
+            counts[0][lang].update(words(t))
+    for lang in langs:
+        for word in counts[0][lang]:
+            for n in range(1, longest + 1):
+                counts[n][lang].update(set(lang_id.grams(word, n)))
+
+    def row(n, key):
+        v = len(set().union(*counts[n].values()))
+        p = [math.log((counts[n][x][key] + 0.1) / (counts[n][x].total() + 0.1 * v)) for x in langs]
+        return np.array(p) - math.log(sum(map(math.exp, p)))
+
+    def score(word):
+        for n, keys in [(0, [word]), *((n, lang_id.grams(word, n)) for n in range(longest, 0, -1))]:
+            known = [row(n, k) for k in keys if any(counts[n][x][k] for x in langs)]
+            if known:
+                return np.mean(known, axis=0)
+        return np.zeros(len(langs))
+
+    out = []
+    for t in texts:
+        found = words(t or "")
+        if not found:
+            out.append(("und", 0.0))
+            continue
+        total = sum(score(w) for w in found)
+        out.append((langs[int(total.argmax())], 1 / np.exp(total - total.max()).sum()))
+    return out
+
+
+def test_language_equals_brute_force_in_any_partitioning(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()
+    train = [tuple(r) for r in rows if r["doc_id"] % 3 == 0][:40]
+    texts = [*(r["text"][:400] for r in rows[:60]), "xyzzy Qwhouse", "", None, "12 34"]
+    df = spark.createDataFrame(train, "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    want = brute_language(train, texts)
+    for parts in (1, 50):
+        model = lang_id.fit(df.repartition(parts))
+        got = {r["doc_id"]: r for r in lang_id.predict(asked.repartition(parts), model).collect()}
+        assert [got[k]["lang_pred"] for k in range(len(texts))] == [lang for lang, _ in want]
+        assert [got[k]["score"] for k in range(len(texts))] == pytest.approx([p for _, p in want], rel=1e-4)
