@@ -1,10 +1,12 @@
 import random
+from itertools import combinations
 
+import numpy as np
 import xxhash
 
 from tests.llm.helpers import ROWS, clashing, docs, rows_of
 from vigilspark.llm.line_dedup import line_dedup
-from vigilspark.llm.simhash import fingerprint, similar_fingerprints, simhash_components
+from vigilspark.llm.simhash import _spanning_links, covering_positions, fingerprint, similar_fingerprints, simhash_components, tally
 from vigilspark.operators.components import connected_components
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -135,3 +137,31 @@ def test_component_rounds(spark):
     got = dict(connected_components(spark.createDataFrame(edges, "src long, dst long")).collect())
     assert got == {i: 1 for i in range(1, 61)} | {100: 100, 150: 150, 175: 150, 200: 150}
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_chosen_positions_cover_every_minimum():
+    for shared in range(1, 9):
+        chosen = [set(c) for c in covering_positions(shared)]
+        assert all(any(c <= set(positions) for c in chosen) for positions in combinations(range(8), shared))
+    assert len(covering_positions(4)) <= 24
+
+
+def test_tally_drops_pairs_below_the_minimum():
+    """Of a list whose members share three bytes, only pairs with a fourth shared byte are verified."""
+    base = 0x0102030405060708
+    three = base ^ 0x0101010101  # five bytes differ by a bit each: below the minimum, and five bits apart
+    four = base ^ 0x01010101  # four bytes differ
+    far = base ^ 0xFF000000  # shares seven bytes, but eight bits differ
+    prints = np.array([base, three, four, far], np.uint64)
+    assert tally(prints ^ np.uint64(base)).tolist() == [8, 3, 4, 7]
+    links = {(int(a), int(b)) for x, y in _spanning_links(prints[[0, 1]], 8, 4) for a, b in zip(x, y)}
+    assert not links  # eight bits would do, the tally would not
+    assert len(_spanning_links(prints[[0, 2]], 4, 4)) == 1 and not _spanning_links(prints[[0, 3]], 4, 4)
+
+
+def test_lines_of_many_rows_without_id(spark):
+    """Rows without an id are one document after all others, yet each meets only its own lines."""
+    rows = [(1, "a line that all of them hold", None, None)]
+    rows += [(None, f"a line that all of them hold\nonly row {k} has this line\nshared by rows {k % 3}", None, None) for k in range(200)]
+    rows += [(None, "a line that all of them hold\nrepeated row without id", None, None)] * 100
+    assert rows_of(line_dedup(docs(spark, rows)), "doc_id", "text", "n_lines", "n_dropped") == brute_lines(rows)

@@ -1,13 +1,15 @@
 """SimHash near-duplicates through a byte-position inverted index with count filtering.
 
 Two 64-bit fingerprints that differ in at most ``r`` bits differ in at most
-``r`` of their 8 bytes, so they share at least T = 8 - r positional bytes.  A
-posting list for a single (position, byte) holds 1/256 of all fingerprints and
-its pairs grow with the square of the corpus, so the lists here are keyed by T
-positional bytes at once: a pair that reaches the guaranteed minimum T lies in
-at least one such list, any other pair in none.  Inside a list the shared
-positional bytes are tallied, pairs below T are dropped and the others are
-verified by Hamming distance.
+``r`` of their 8 bytes, so they share at least T = 8 - r positional bytes: the
+guaranteed minimum.  A posting list for a single (position, byte) holds 1/256 of
+all fingerprints and its pairs grow with the square of the corpus, so a list is
+keyed by T - 1 positional bytes at once.  Not every choice of positions is
+needed: the chosen ones cover, that is every T positions contain one of them (20
+triples for r = 4), so a pair that reaches the minimum meets in a list.  Inside a
+list the shared positional bytes of each pair are tallied; pairs below T, such as
+those that share the list's own bytes alone, are dropped and the rest verified by
+Hamming distance.
 
 Equal fingerprints are one class before the index is built.  Within a list a
 spanning set of verified links is emitted, not all pairs: fingerprints already
@@ -53,9 +55,29 @@ def fingerprint(text: str, width: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * ones > m).tobytes(), "big")
 
 
+def covering_positions(shared: int) -> list[tuple[int, ...]]:
+    """Choices of ``shared`` - 1 (at least one) byte positions, such that any ``shared`` positions contain a whole choice.
+
+    Greedy cover: the choice inside most of the sets that are not covered yet, first in order among equals.
+    """
+    left = {frozenset(c) for c in combinations(range(8), shared)}
+    choices = list(combinations(range(8), max(1, shared - 1)))
+    found = []
+    while left:
+        best = max(choices, key=lambda c: sum(s.issuperset(c) for s in left))
+        found.append(best)
+        left = {s for s in left if not s.issuperset(best)}
+    return found
+
+
 def _masks(shared: int) -> np.ndarray:
-    """Every choice of ``shared`` of the 8 byte positions, as 64-bit masks."""
-    return np.array([sum(0xFF << (8 * p) for p in c) for c in combinations(range(8), shared)], np.uint64)
+    """The covering choices of byte positions, as 64-bit masks."""
+    return np.array([sum(0xFF << (8 * p) for p in c) for c in covering_positions(shared)], np.uint64)
+
+
+def tally(differ: np.ndarray) -> np.ndarray:
+    """Shared positional bytes of each pair, from the exclusive or of its fingerprints."""
+    return (np.ascontiguousarray(differ).view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -74,8 +96,8 @@ def _spanning_links(prints: np.ndarray, bits: int, shared: int) -> list[tuple[np
         while frontier and rest.size:
             x = frontier.pop()
             differ = rest ^ x
-            tally = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-            near = (tally >= shared) & (np.bitwise_count(differ) <= bits)
+            near = tally(differ) >= shared
+            near[near] = np.bitwise_count(differ[near]) <= bits
             if near.any():
                 found = rest[near]
                 links.append((np.full(found.size, x, np.uint64), found))
@@ -146,7 +168,7 @@ def similar_fingerprints(prints: DataFrame, bits: int = 4) -> DataFrame:
             a, b = [], []
             two = ends - starts == 2
             p, q = fps[starts[two]], fps[starts[two] + 1]
-            near = np.bitwise_count(p ^ q) <= bits
+            near = (tally(p ^ q) >= shared) & (np.bitwise_count(p ^ q) <= bits)
             a.append(p[near])
             b.append(q[near])
             for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2], strict=True):
