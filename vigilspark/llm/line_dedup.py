@@ -4,7 +4,8 @@ Lines are normalised and hashed in the scan; (hash, document) pairs are counted
 with map-side pre-aggregation, so a line that a third of all documents hold is
 one small row for each task; the pairs to drop come from an equi join on the
 hash whose large side adaptive execution can split; each document then meets
-only its own list of hashes.
+only its own list of hashes.  Rows are told apart by id and a hash of their text, so that
+the lists of many rows with one id, or with none, are never one group.
 """
 
 from __future__ import annotations
@@ -61,16 +62,16 @@ def line_dedup(
     more = [F.struct(*carry).alias("carried")] if carry else []
     plain = doc_text(docs, id_col, text_col, *more).select(
         F.coalesce("id", F.lit(_LAST)).alias("k"), "id", F.coalesce("text", F.lit("")).alias("text"), *(["carried"] if carry else [])
-    )
-    key_schema = pa.schema([("k", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64())])
+    ).withColumn("r", F.xxhash64("text"))
+    key_schema = pa.schema([("k", pa.int64()), ("r", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64())])
 
     def keys(source):
-        for k, text in source:
+        for k, r, text in source:
             for hi, lo in {h for h in line_keys(text, min_chars) if h}:
-                yield 1, k, hi, lo
+                yield 1, k, r, hi, lo
 
     lines = materialize(
-        plain.select("k", "text").mapInArrow(by_row(key_schema, keys), "k long, hi long, lo long"), "lines"
+        plain.select("k", "r", "text").mapInArrow(by_row(key_schema, keys), "k long, r long, hi long, lo long"), "lines"
     )
     groups = lines.groupBy("hi", "lo")
     if min_docs <= 2:  # two distinct documents: the smallest and the largest id differ
@@ -83,7 +84,7 @@ def line_dedup(
     drops = (
         lines.join(wide, ["hi", "lo"])
         .where("k > keeper")
-        .groupBy("k")
+        .groupBy("k", "r")
         .agg(F.collect_set(F.struct("hi", "lo")).alias("drops"))
     )
     out = T.StructType.fromDDL("doc_id long, text string, n_lines long, n_dropped long")
@@ -101,5 +102,5 @@ def line_dedup(
                 text = "\n".join(lines)
             yield len(text), i, text, total, total - len(lines), *carried
 
-    joined = plain.join(drops.hint("shuffle_hash"), "k", "left").select("id", "text", "drops", *(["carried"] if carry else []))
+    joined = plain.join(drops.hint("shuffle_hash"), ["k", "r"], "left").select("id", "text", "drops", *(["carried"] if carry else []))
     return joined.mapInArrow(by_row(out_schema, rebuild), out)
