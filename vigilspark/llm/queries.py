@@ -83,9 +83,10 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(crc_remainder("doc_id", 4) == 2, F.lit(False))
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("labelled"), "quality")
-    rows = docs.join(labels, docs.doc_id == labels.labelled).where(~held_out)
-    weights = quality.fit(rows.select("doc_id", "text", "quality"))
+    # a label that is repeated teaches once, labels that contradict each other teach both; other columns are not read
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").distinct()
+    rows = docs.select("doc_id", "text").where(~held_out).join(labels, "doc_id")
+    weights = quality.fit(rows)
     scored = quality.score(docs, weights)
     return scored.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= PREDICT_AT).cast("int").alias("predicted")
