@@ -32,6 +32,8 @@ from vigilspark.storage import materialize
 
 PROBES = 3
 CELL = 2_000
+#: More tables than this are an error rather than a silently higher miss rate.
+MOST_TABLES = 64
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -102,7 +104,9 @@ def plan(n: int, dims: int, threshold: float, miss: float) -> tuple[int, int]:
     b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-12)
     b = threshold * a + math.sqrt(max(0.0, 1 - threshold * threshold)) * b
     p = float(meets(bucket_codes(a, 3, hashes), bucket_codes(b, 3, hashes)).mean())
-    tables = 64 if p <= 0.01 else min(64, max(2, math.ceil(math.log(miss) / math.log(1 - min(p, 0.999)))))
+    tables = max(2, math.ceil(math.log(miss) / math.log(1 - min(p, 0.999)))) if p > 0 else MOST_TABLES + 1
+    if tables > MOST_TABLES:
+        raise ValueError(f"a miss rate of {miss} at cosine {threshold} needs {tables} tables; allow more misses or a higher threshold")
     return tables, hashes
 
 
@@ -222,13 +226,13 @@ def near_duplicate_vectors(
     shared = entries.groupBy(*key).agg(F.count("*").alias("n"), F.count_if("home").alias("homes")).where("n > 1 and homes > 0")
     shared = materialize(shared.withColumn("parts", F.ceil(F.col("n") / F.lit(CELL)).cast("int")).drop("n", "homes"), "buckets")
     own_part = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
-    members = entries.join(shared, key).select(*key, "class", "parts", own_part.alias("part"))
+    members = entries.join(shared, key).select(*key, "class", "home", "parts", own_part.alias("part"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = members.select(*key, "class", "part", F.least("part", "other").alias("ca"), F.greatest("part", "other").alias("cb"))
+    cells = members.select(*key, "class", "home", "part", F.least("part", "other").alias("ca"), F.greatest("part", "other").alias("cb"))
     loaded = cells.join(classes.join(placed, "class").select("class", "times", "x", "codes"), "class")
     cell_key = [*key, "ca", "cb"]
     loaded = loaded.repartition(*cell_key).sortWithinPartitions(*cell_key)
-    loaded = loaded.select(*cell_key, "class", "part", "times", "x", "codes")
+    loaded = loaded.select(*cell_key, "class", "part", "times", "x", "codes", "home")
 
     def verify(batches):
         def rows_of():
@@ -244,9 +248,11 @@ def near_duplicate_vectors(
             times = np.array([r[8] for r in group], np.int64)
             x = np.stack([np.frombuffer(r[9], np.float64) for r in group])
             codes = np.stack([np.frombuffer(r[10], np.int64).reshape(tables, 1 + PROBES) for r in group])
+            home = np.array([r[11] for r in group])
             norm = np.sqrt((x * x).sum(axis=1))
             cosine = (x @ x.T) / (norm[:, None] * norm[None, :])
-            close = np.triu(cosine >= threshold, 1)
+            # two that only visit the bucket do not meet here, as the count of first meetings has it
+            close = np.triu(cosine >= threshold, 1) & (home[:, None] | home[None, :])
             if ca != cb:
                 close &= part[:, None] != part[None, :]
             u, v = np.nonzero(close)
