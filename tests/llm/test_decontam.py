@@ -1,7 +1,7 @@
 import random
 
 from tests.llm.helpers import clashing, docs, rows_of
-from vigilspark.llm.decontam import _common_runs, contamination, tiles, word_hashes
+from vigilspark.llm.decontam import _common_runs, contamination, least_seeds, tiles, word_hashes
 
 
 def naive_tiles(p, t, least):
@@ -73,3 +73,42 @@ def test_threshold_and_saturated_bitmap(spark):
     for bits in (15, 22):
         got = rows_of(contamination(docs(spark, rows), bench(spark, items), filter_bits=bits), "doc_id", "item_id", "covered")
         assert got == [(1, 1, 33), (3, 107, 55)]
+
+
+def test_least_seeds_never_exceeds_what_tiles_share():
+    """Any tiling that reaches the threshold holds at least the required number of seeds."""
+    rng = random.Random(6)
+    for _ in range(300):
+        m = rng.randrange(5, 60)
+        lengths, total = [], 0
+        while total < 0.8 * m:
+            n = rng.randrange(5, 12)
+            lengths.append(n)
+            total += n
+        assert sum(n - 4 for n in lengths) >= least_seeds(m, 5, 0.8)
+    assert least_seeds(5, 5, 0.8) == 1 and least_seeds(40, 5, 0.8) == 7
+
+
+def test_equals_tiling_every_pair(spark):
+    """Documents of reordered and diluted items, long ones too, against tiling of all pairs."""
+    rng = random.Random(11)
+    items = [(k, " ".join(f"t{rng.randrange(30)}" for _ in range(rng.randrange(3, 45)))) for k in range(25)]
+    rows = []
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            words = rng.choice(items)[1].split()
+            cut = rng.randrange(len(words))
+            parts += rng.choice([words, words[cut:] + words[:cut], words[: len(words) * 9 // 10], words[::2]])
+            parts += [f"pad{rng.randrange(50)}" for _ in range(rng.choice([0, 3, 2000]))]
+        rows.append((i, " ".join(parts), None, None))
+    want = []
+    for i, text, *_ in rows:
+        for item, pattern in items:
+            p = word_hashes(pattern)
+            covered = sum(n for _, _, n in tiles(p, word_hashes(text), min(5, p.size)))
+            if covered and covered >= 0.8 * p.size:
+                want.append((i, item, covered))
+    assert len(want) > 20
+    order = lambda r: tuple((v is None, str(v)) for v in r)
+    assert rows_of(contamination(docs(spark, rows), bench(spark, items)), "doc_id", "item_id", "covered") == sorted(want, key=order)

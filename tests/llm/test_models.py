@@ -278,3 +278,63 @@ def test_language_equals_brute_force_in_any_partitioning(spark):
         got = {r["doc_id"]: r for r in lang_id.predict(asked.repartition(parts), model).collect()}
         assert [got[k]["lang_pred"] for k in range(len(texts))] == [lang for lang, _ in want]
         assert [got[k]["score"] for k in range(len(texts))] == pytest.approx([p for _, p in want], rel=1e-4)
+
+
+def brute_quality(train, texts, buckets, order, epochs=4, alpha=2.0, beta=1.0, l1=0.02, l2=0.1):
+    """FTRL-proximal for logistic regression on dictionaries, by the published update; features by their definition."""
+    import xxhash
+
+    mask = 2**64 - 1
+
+    def features(text):
+        h = []
+        for token in __import__("re").findall(r"\w+|[^\w\s]+", text or ""):
+            h.append(xxhash.xxh64_intdigest(token.lower().encode()))
+        stutter = xxhash.xxh64_intdigest(b"=")
+        h = [stutter if k and h[k] == h[k - 1] else x for k, x in enumerate(h)]
+        pairs = [(a * 0x9E3779B97F4A7C15 + (b ^ (b >> 29)) * 0xBF58476D1CE4E5B9) & mask for a, b in zip(h, h[1:])]
+        n = Counter(x % (buckets - 1) + 1 for x in h + [p ^ (p >> 31) for p in pairs])
+        norm = math.sqrt(sum(c * c for c in n.values())) or 1.0
+        return {0: 1.0} | {k: c / norm for k, c in n.items()}
+
+    z, n = Counter(), Counter()
+
+    def weight(k):
+        if abs(z[k]) <= l1:
+            return 0.0
+        return -(z[k] - math.copysign(l1, z[k])) / ((beta + math.sqrt(n[k])) / alpha + l2)
+
+    predict = lambda f: 1 / (1 + math.exp(-sum(weight(k) * x for k, x in f.items())))
+    for _ in range(epochs):
+        for i in order:
+            text, y = train[i]
+            f = features(text)
+            error = predict(f) - y
+            for k, (x, w) in {k: (x, weight(k)) for k, x in f.items()}.items():
+                g = error * x
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / alpha * w
+                n[k] += g * g
+    return [predict(features(t)) for t in texts]
+
+
+def test_quality_equals_brute_force(spark):
+    rng = random.Random(3)
+    good, bad = ["clear", "text", "about", "rivers", "and", "hills"], ["buy", "now", "!!!", "click", "click", "free"]
+    train = {i: (" ".join(rng.choices(good if i % 2 else bad, k=rng.randrange(4, 30))), i % 2) for i in range(60)}
+    texts = [" ".join(rng.choices(good + bad, k=12)) for _ in range(25)] + ["", "new words only"]
+    df = spark.createDataFrame([(i, t, y) for i, (t, y) in train.items()], "doc_id long, text string, quality int")
+    order = [r["doc_id"] for r in df.orderBy(F.xxhash64("doc_id", F.lit("fit"))).select("doc_id").collect()]
+    w = quality.fit(df, buckets=1 << 12)
+    asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in quality.score(asked, w).collect()}
+    assert [got[k] for k in range(len(texts))] == pytest.approx(brute_quality(train, texts, 1 << 12, order), abs=1e-4)
+
+
+def test_quality_query_takes_clashing_and_repeated_labels(spark, tmp_path):
+    rows = docs(spark, [(k, "good clean text here" if k % 2 else "bad bad !!! junk", "en", "s") for k in range(40)])
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    for name, extra, times in (("plain", rows, 1), ("clash", rows.withColumns({"quality": F.lit("z"), "labelled": F.lit(1), "score": F.lit("s")}), 3)):
+        extra.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.withColumn("copies", F.explode(F.sequence(F.lit(1), F.lit(times)))).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    one, two = ({tuple(r) for r in queries.op10_quality(spark, f"{tmp_path}/{name}").collect()} for name in ("plain", "clash"))
+    assert one == two and len(one) == 40

@@ -1,9 +1,11 @@
 """Benchmark decontamination by greedy string tiling.
 
-Every run of ``min_match`` words is a seed with a Karp-Rabin rolling hash.  A
-bitmap of fixed size lets the scan pass over documents that share no seed with
-any benchmark item, whatever the size of the benchmark; seeds of the remaining
-documents are joined with the benchmark's seeds; each candidate pair is tiled:
+Every run of ``min_match`` words is a seed with a Karp-Rabin rolling hash.  Tiles
+that cover an item to the threshold hold a least number of its seeds.  A bitmap
+sized by the number of seeds lets the scan pass over documents with too few of
+them for any item; seeds of the remaining documents are joined with the
+benchmark's seeds, and only pairs with the least number for the item are
+candidates, whose texts are fetched.  Each candidate pair is tiled:
 the longest common run of unmarked words is marked, again and again, until none
 of ``min_match`` words is left.  An item whose tokens are covered to the
 threshold is contained in the document, in whatever order its parts stand.
@@ -12,6 +14,7 @@ threshold is contained in the document, in whatever order its parts stand.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 
 import numpy as np
@@ -108,6 +111,15 @@ def tiles(pattern: np.ndarray, text: np.ndarray, min_match: int) -> list[tuple[i
     return found
 
 
+def least_seeds(words: int, width: int, threshold: float) -> int:
+    """Positions of an item at which seeds must match if tiles of at least ``width`` words cover it to ``threshold``.
+
+    Tiles of c words in all hold c - tiles * (width - 1) seeds, fewest when every
+    tile has ``width`` words: c / width.
+    """
+    return max(1, -(-math.ceil(threshold * words - 1e-9) // width))
+
+
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -117,7 +129,7 @@ def contamination(
     item_text_col: str = "text",
     min_match: int = 5,
     threshold: float = 0.8,
-    filter_bits: int = 22,
+    filter_bits: int | None = None,
 ) -> DataFrame:
     """``(doc_id, item_id, n_tiles, covered, item_tokens, coverage)`` of contained items.
 
@@ -126,55 +138,67 @@ def contamination(
     to ``threshold`` or more; an item of fewer words needs one whole run.  Null
     or empty texts and items match nothing; null ids are kept; repeated rows give
     repeated pairs; no other columns are read; empty tables give an empty result.
+    Where an item and a text repeat a few words over and over, tiling takes time
+    in proportion to the product of their lengths and memory to their sum.
+    ``filter_bits``: size of the bitmap as a power of two, by default 16 bits a
+    seed within 2^20 and 2^28 (32 MB); a fuller bitmap only passes more documents
+    on to the join.
     """
     spark = docs.sparkSession
     items = doc_text(benchmark, item_col, item_text_col).where("text is not null")
-    seed_schema = pa.schema([("item", pa.int64()), ("seed", pa.int64()), ("bit", pa.int32()), ("width", pa.int32())])
-    shift = np.uint64(64 - filter_bits)
+    seed_schema = pa.schema(
+        [("item", pa.int64()), ("seed", pa.int64()), ("times", pa.int32()), ("width", pa.int32()), ("need", pa.int32()), ("least", pa.int32())]
+    )
 
     def item_seeds(source):
         for item, text in source:
             words = word_hashes(text)
             width = min(min_match, words.size)
             if width:
-                h = np.unique(rolling(words, width))
-                for seed, bit in zip(h.view(np.int64).tolist(), ((h * BASE) >> shift).tolist(), strict=True):
-                    yield 1, item, seed, bit, width
-
-    seeds = materialize(items.mapInArrow(by_row(seed_schema, item_seeds), "item long, seed long, bit int, width int"), "seeds")
-    # at most 2^filter_bits bits, however large the benchmark; beyond saturation the join below does all the work
-    pages = (
-        seeds.groupBy(F.shiftright("bit", 15).alias("page"))
-        .agg(F.expr("bitmap_construct_agg(bit & 32767)").alias("bits"), F.expr("bit_or(1 << width)").alias("widths"))
-        .collect()
+                h, times = np.unique(rolling(words, width), return_counts=True)
+                need = least_seeds(words.size, width, threshold) if words.size >= min_match else 1
+                # distinct seeds that reach the need at least: the most frequent ones
+                least = int(np.searchsorted(np.cumsum(np.sort(times)[::-1]), need)) + 1
+                for seed, n in zip(h.view(np.int64).tolist(), times.tolist(), strict=True):
+                    yield 1, item, seed, n, width, need, least
+
+    seeds = materialize(
+        items.mapInArrow(by_row(seed_schema, item_seeds), "item long, seed long, times int, width int, need int, least int"), "seeds"
     )
-    bitmap = np.zeros((max(1, 1 << (filter_bits - 15)), 4096), np.uint8)
-    widths_seen = 0
+    # the least number of distinct seeds by width: at most min_match rows
+    least_of = {r["width"]: r["least"] for r in seeds.groupBy("width").agg(F.min("least").alias("least")).collect()}
+    bits = filter_bits or min(28, max(20, (16 * seeds.count()).bit_length()))
+    shift = np.uint64(64 - bits)
+    bit = F.shiftrightunsigned("seed", 64 - bits)
+    # at most 2^bits bits, however large the benchmark; beyond saturation the join below does all the work
+    pages = seeds.select(bit.alias("bit")).groupBy(F.shiftright("bit", 15).alias("page")).agg(F.expr("bitmap_construct_agg(bit & 32767)").alias("bits")).collect()
+    bitmap = np.zeros((max(1, 1 << (bits - 15)), 4096), np.uint8)
     for page in pages:
         bitmap[page["page"]] = np.frombuffer(bytes(page["bits"]), np.uint8)
-        widths_seen |= page["widths"]
-    widths = [w for w in range(1, min_match + 1) if widths_seen >> w & 1]
     shipped = spark.sparkContext.broadcast(bitmap.tobytes())
     hit_schema = pa.schema([("id", pa.int64()), ("text", pa.string()), ("seeds", pa.list_(pa.int64()))])
 
     def hits(source):
-        known = np.unpackbits(np.frombuffer(shipped.value, np.uint8), bitorder="little").view(bool)
+        known = np.frombuffer(shipped.value, np.uint8)
         for i, text in source:
-            if not text or not widths:
+            if not text or not least_of:
                 continue
             words = word_hashes(text)
             found = []
-            for width in widths:
+            for width, least in least_of.items():
                 h = rolling(words, width)
-                found.append(h[known[((h * BASE) >> shift).astype(np.int64)]])
-            found = np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
-            if found.size:
+                at = h >> shift
+                hit = np.unique(h[(known[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1])
+                if hit.size >= least:
+                    found.append(hit)
+            if found:
+                found = np.concatenate(found)
                 yield len(text) + found.size, i, text, found.view(np.int64).tolist()
 
     near = doc_text(docs, id_col, text_col).mapInArrow(by_row(hit_schema, hits), "id long, text string, seeds array<long>")
     near = materialize(near.withColumn("row", F.monotonically_increasing_id()), "near")
-    pairs = near.select("row", F.explode("seeds").alias("seed")).join(seeds.select("seed", "item"), "seed")
-    pairs = pairs.select("row", "item").distinct()
+    pairs = near.select("row", F.explode("seeds").alias("seed")).join(seeds.select("seed", "item", "times", "need"), "seed")
+    pairs = pairs.groupBy("row", "item").agg(F.sum("times").alias("shared"), F.first("need").alias("need")).where("shared >= need").select("row", "item")
     both = pairs.join(items.select(F.col("id").alias("item"), F.col("text").alias("item_text")), "item")
     both = both.join(near.select("row", "id", "text"), "row").select("id", "text", "item", "item_text")
     out = pa.schema(
