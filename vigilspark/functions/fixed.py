@@ -252,7 +252,18 @@ ARREST_WORDS = [
     "case registered", "money laundering", "suspicious transaction", "parcel seized", "drug found", "aadhaar linked",
     "डिजिटल अरेस्ट", "गिरफ़्तारी वारंट", "FIR दर्ज", "कोर्ट ऑर्डर", "सम्मन", "पार्सल सीज़",
 ]
-CELEBRITIES = [("Mukesh Ambani", "BUSINESS"), ("Ratan Tata", "BUSINESS"), ("Narendra Modi", "POLITICIAN"), ("Amitabh Bachchan", "ACTOR"), ("Virat Kohli", "SPORTS")]
+CELEBRITIES = [
+    ("Mukesh Ambani", "BUSINESS", ["Ambani", "Mukesh Dhirubhai Ambani"]), ("Ratan Tata", "BUSINESS", ["Tata", "Ratan Naval Tata"]),
+    ("Gautam Adani", "BUSINESS", ["Adani", "Adani Group"]), ("Narendra Modi", "POLITICS", ["PM Modi", "Modi ji", "Modi", "NaMo"]),
+    ("Amit Shah", "POLITICS", ["Shah", "Home Minister"]), ("Amitabh Bachchan", "ENTERTAINMENT", ["Amitabh", "Big B", "Bachchan", "KBC host"]),
+    ("Shah Rukh Khan", "ENTERTAINMENT", ["SRK", "Shah Rukh", "King Khan"]), ("Salman Khan", "ENTERTAINMENT", ["Salman", "Bhai"]),
+    ("Virat Kohli", "SPORTS", ["Kohli", "King Kohli", "Virat"]), ("MS Dhoni", "SPORTS", ["Dhoni", "MSD", "Captain Cool", "Mahi"]),
+    ("Sachin Tendulkar", "SPORTS", ["Sachin", "Master Blaster", "Tendulkar"]), ("Rohit Sharma", "SPORTS", ["Rohit", "Hitman", "Ro"]),
+    ("CBI Director", "GOVT_OFFICIAL", ["CBI Officer", "CBI Inspector"]), ("ED Officer", "GOVT_OFFICIAL", ["Enforcement Directorate", "ED Director"]),
+    ("Income Tax Officer", "GOVT_OFFICIAL", ["IT Department", "Tax Officer", "IRS Officer"]),
+    ("Customs Officer", "GOVT_OFFICIAL", ["Customs Department", "Airport Customs"]),
+]
+CELEBRITY_WORDS = [word.lower() for name, _, aliases in CELEBRITIES for word in (name, *aliases)]
 
 # Numbering plan and payment handles.
 JIO_PREFIXES = ["6000", "6001", "6002", "6003", "6004", "6005", "7000", "7001"]
@@ -260,11 +271,18 @@ CARRIERS = [
     ("Jio", ["60", "61", "71"]), ("Airtel", ["70", "73", "74", "75", "80", "81"]),
     ("Vi", ["62", "63", "77", "78", "82", "83", "84", "85", "86", "87"]), ("BSNL/MTNL", ["90", "91", "92", "93", "94", "95"]),
 ]
+OPERATORS = [("Jio", "Reliance Jio"), ("Airtel", "Bharti Airtel"), ("Vi", "Vodafone Idea"), ("BSNL/MTNL", "BSNL/MTNL")]
+RISKY_CIRCLES = ["Jharkhand", "Bihar"]
 CIRCLES = [("98", "Delhi"), ("99", "Delhi"), ("70", "Mumbai"), ("80", "Karnataka"), ("94", "Tamil Nadu"), ("63", "Jharkhand"), ("83", "Bihar")]
 UPI_BANKS = [
     ("paytm", "Paytm Payments Bank"), ("gpay", "Google Pay"), ("oksbi", "SBI"), ("okaxis", "Axis Bank"), ("ybl", "PhonePe"),
     ("okhdfcbank", "HDFC Bank"), ("okicici", "ICICI Bank"),
 ]
+FREEZE_BANKS = [
+    ("paytm", "Paytm Payments Bank"), ("gpay", "Google Pay (Axis Bank)"), ("oksbi", "State Bank of India"), ("okaxis", "Axis Bank"),
+    ("okhdfcbank", "HDFC Bank"), ("okicici", "ICICI Bank"), ("ybl", "PhonePe (Yes Bank)"), ("ibl", "ICICI Bank"), ("upi", "Generic UPI"),
+    ("apl", "Amazon Pay"), ("ratn", "RBL Bank"), ("kotak", "Kotak Mahindra Bank"),
+]
 SHORTENERS = ["bit.ly", "tinyurl.com", "is.gd", "goo.gl", "t.co", "rb.gy", "shorturl.at"]
 URL_SCAM_WORDS = ["invest", "earn", "money", "withdraw", "profit", "guaranteed", "double"]
 SUSPICIOUS_TLDS = [".xyz", ".top", ".work", ".click", ".buzz", ".gq", ".ml"]

@@ -177,7 +177,9 @@ def decrypt_pii(text: Column, key: Column) -> Column:
 
 def script_share(text: Column) -> Column:
     """Devanagari letters over Devanagari and Latin letters; null without any."""
-    deva, latin = F.regexp_count(text, F.lit("[ऀ-ॿ]")), F.regexp_count(text, F.lit("[A-Za-z]"))
+    # lengths before and after whole runs are removed: far fewer matches than letters
+    removed = lambda runs: F.length(text) - F.length(F.regexp_replace(text, runs, ""))
+    deva, latin = removed("[ऀ-ॿ]+"), removed("[A-Za-z]+")
     return deva / F.nullif(deva + latin, F.lit(0))
 
 
@@ -256,9 +258,62 @@ def circle(ten_digits: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for p in X.CIRCLES for x in p])[F.substring(ten_digits, 1, 2)], F.lit("Unknown"))
 
 
+def operator_name(ten_digits: Column) -> Column:
+    """Company behind the carrier of a number (SF-38)."""
+    return F.coalesce(F.create_map(*[F.lit(x) for p in X.OPERATORS for x in p])[carrier(ten_digits)], F.lit("Unknown"))
+
+
+def phone_digits(phone: Column) -> Column:
+    """Digits of a number without blanks, hyphens and country code."""
+    bare = F.regexp_replace(phone, r"[ \-]", "")
+    return F.when(bare.startswith("+91"), F.substring(bare, 4, 100)).when(
+        bare.startswith("91") & (F.length(bare) > 10), F.substring(bare, 3, 100)
+    ).otherwise(bare)
+
+
+def phone_profile(phone: Column) -> Column:
+    """(carrier, operator, circle, number_type, risk) of a number; other than ten digits are invalid (SF-38)."""
+    n = phone_digits(phone)
+    known = F.length(n) == 10
+    place = F.when(known, circle(n)).otherwise(F.lit("Unknown"))
+    kind = F.when(~known, "UNKNOWN").when(F.substring(n, 1, 1).isin("6", "7", "8", "9"), "MOBILE").otherwise("LANDLINE")
+    risk = F.when(~known, F.lit("Invalid phone number format")).when(
+        place.isin(X.RISKY_CIRCLES), F.concat(F.lit("High-risk telecom circle: "), place, F.lit(" (Jamtara belt)"))
+    ).otherwise(F.lit(""))
+    return F.struct(
+        F.when(known, carrier(n)).otherwise(F.lit("Unknown")).alias("carrier"), F.when(known, operator_name(n)).otherwise(F.lit("Unknown")).alias("operator"),
+        place.alias("circle"), kind.alias("number_type"), risk.alias("risk"),
+    )
+
+
+def people_with(overlay: list[tuple[str, str, list[str]]], removed: tuple[str, ...] = ()) -> list[tuple[str, str, list[str]]]:
+    """The built-in people and those of an overlay; a built-in name wins, ``removed`` names go (SC-37)."""
+    known = {name for name, _, _ in X.CELEBRITIES}
+    gone = {name.lower() for name in removed}
+    return [p for p in [*X.CELEBRITIES, *(p for p in overlay if p[0] not in known)] if p[0].lower() not in gone]
+
+
+def celebrities(text: Column, people: list[tuple[str, str, list[str]]] | None = None) -> Column:
+    """(name, kind) of every person named in a text by name or alias, in the order of the list (JN-17)."""
+    named = [
+        F.when(any_word(text, [w.lower() for w in (name, *aliases)]), F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind")))
+        for name, kind, aliases in people or X.CELEBRITIES
+    ]
+    return F.array_compact(F.array(*named))
+
+
+def freeze_bank(upi: Column) -> Column:
+    """Bank of a payment address as freeze requests name it (SF-39)."""
+    return _bank(upi, X.FREEZE_BANKS)
+
+
 def upi_bank(upi: Column) -> Column:
+    return _bank(upi, X.UPI_BANKS)
+
+
+def _bank(upi: Column, banks: list[tuple[str, str]]) -> Column:
     handle = F.lower(F.when(upi.contains("@"), F.split_part(upi, F.lit("@"), F.lit(-1))).otherwise(F.lit("")))
-    known = F.create_map(*[F.lit(x) for p in X.UPI_BANKS for x in p])[handle]
+    known = F.create_map(*[F.lit(x) for p in banks for x in p])[handle]
     return F.coalesce(known, F.concat(F.lit("Unknown ("), handle, F.lit(")")))
 
 
@@ -326,7 +381,7 @@ def rule_category(text: Column) -> Column:
 
 def intent(text: Column) -> Column:
     """(category, confidence, urgency) of a text by its most confident reading (DM-19); earlier readings win ties."""
-    celebrity = any_word(text, [n.lower() for n, _ in X.CELEBRITIES])
+    celebrity = any_word(text, X.CELEBRITY_WORDS)
     invest, threat, arrest = (word_hits(text, w) for w in (X.INVESTMENT_WORDS, X.SEXTORTION_WORDS, X.ARREST_WORDS))
     department = any_word(text, [w for _, words in X.DEPARTMENTS for w in words])
     capped = lambda c: F.least(F.lit(0.95), c)
@@ -348,7 +403,7 @@ def intent(text: Column) -> Column:
 
 def use_case(text: Column) -> Column:
     """What a manipulated image with this text is for (DM-20)."""
-    celebrity, invest = any_word(text, [n.lower() for n, _ in X.CELEBRITIES]), any_word(text, X.USE_INVESTMENT)
+    celebrity, invest = any_word(text, X.CELEBRITY_WORDS), any_word(text, X.USE_INVESTMENT)
     return first_match(
         [
             ("SEXTORTION", any_word(text, X.USE_SEXTORTION)), ("DIGITAL_ARREST", any_word(text, X.USE_ARREST)), ("FAKE_ENDORSEMENT", celebrity & invest),

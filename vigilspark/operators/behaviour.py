@@ -77,6 +77,7 @@ def _counter_columns() -> list[Column]:
         F.round(engaged, 6).alias("engagement"),
         F.round(F.avg(F.when(F.col("views") > 0, F.col("views"))), 4).alias("mean_views"),
         F.round(100 * F.count_if(F.col("media") == "images") / n, 2).alias("images_per_100"),
+        F.round(100 * F.count_if(F.col("media") == "videos") / n, 2).alias("videos_per_100"),
         F.round(100 * F.count_if(F.col("media") == "links") / n, 2).alias("links_per_100"),
         F.round(F.avg("forwards"), 3).alias("forward_ratio"),
     ]
@@ -146,9 +147,33 @@ def entity_counts(channel_entities: DataFrame) -> DataFrame:
     return kinds.withColumn("payment_diversity", F.round(used / 3, 6))
 
 
-def fingerprint(posts: DataFrame, texts: DataFrame, channel_entities: DataFrame) -> DataFrame:
+def language_shares(texts: DataFrame) -> DataFrame:
+    """Share of texts of a channel in each detected language, in one aggregation (AG-11)."""
+    from vigilspark.functions.text import script_language
+
+    spoken = texts.select("channel", script_language(F.coalesce("text", F.lit(""))).alias("language"))
+    return spoken.groupBy("channel").agg(
+        *[F.round(F.count_if(F.col("language") == k) / F.count("*"), 3).alias(f"{k}_share") for k in ("hindi", "english", "hinglish")]
+    )
+
+
+def mentions(texts: DataFrame) -> DataFrame:
+    """Distinct channels that a channel's texts link to, and mentions of payment codes for 100 texts (DM-16)."""
+    from vigilspark.functions import fixed as X
+    from vigilspark.functions.text import telegram_links
+
+    t = F.coalesce("text", F.lit(""))
+    links = texts.select("channel", F.explode(telegram_links(t)).alias("link")).distinct().groupBy("channel").agg(F.count("*").alias("linked_channels"))
+    codes = texts.groupBy("channel").agg(F.round(F.sum(F.regexp_count(t, F.lit(X.QR_MENTION))) / F.count("*") * 100, 4).alias("qr_per_100"))
+    return codes.join(links, "channel", "left")
+
+
+def fingerprint(posts: DataFrame, texts: DataFrame, channel_entities: DataFrame, snapshots: DataFrame) -> DataFrame:
     """28 features of each channel that posts (DM-16); parts that a channel lacks count as 0.
 
+    ``snapshots``: (channel, date, subscribers); the last one is the number of
+    subscribers that views are compared with.
+
     Three passes over the posts: one aggregation by channel, one by channel and
     hour that bursts and daily rhythm share, one ordered pass for gaps. Every part
     is an aggregate by channel, so the joins meet one row for each channel;
@@ -159,18 +184,20 @@ def fingerprint(posts: DataFrame, texts: DataFrame, channel_entities: DataFrame)
     hourly = hourly_counts(posts)
     parts = [
         one_pass(posts), rhythm_of(hourly), burst_of(hourly), silence(posts),
-        text_features(texts, X.URGENCY_FULL, X.BACKUP_FULL, X.EMOJI), entity_counts(channel_entities),
+        text_features(texts, X.URGENCY_FULL, X.BACKUP_FULL, X.EMOJI), entity_counts(channel_entities), language_shares(texts), mentions(texts),
+        growth_per_day(snapshots), snapshots.groupBy("channel").agg(F.max_by("subscribers", "date").alias("subscribers")),
     ]
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.join(part, "channel", "left")
     c = lambda name: F.coalesce(F.col(name).cast("double"), F.lit(0.0))
-    zero = F.lit(0.0)
+    seen_by = F.when(c("subscribers") > 0, F.least(c("mean_views") / c("subscribers"), F.lit(5.0))).otherwise(F.lit(0.0))
     vector = [
         c("hours_entropy"), c("days_entropy"), c("posts_per_day_mean"), c("posts_per_day_std"), c("burst"), c("silence"), c("peak_hour") / 24, c("regularity"),
-        zero, F.lit(1.0), zero, c("avg_length") / 1000, c("urgency_density"), c("emoji_density"),
-        c("forward_ratio"), c("images_per_100") / 100, c("links_per_100") / 100, zero, c("backup_mentions") / 10, c("deletion_rate"),
-        c("upis") / 20, c("phones") / 20, c("urls") / 50, zero, c("payment_diversity"),
-        F.least(c("mean_views") / 100, F.lit(1.0)), F.least(c("mean_views") / 1000, F.lit(5.0)), c("engagement"),
+        c("hindi_share"), c("english_share"), c("hinglish_share"), c("avg_length") / 1000, c("urgency_density"), c("emoji_density"),
+        c("forward_ratio"), (c("images_per_100") + c("videos_per_100")) / 100, c("links_per_100") / 100, c("linked_channels") / 50,
+        c("backup_mentions") / 10, c("deletion_rate"),
+        c("upis") / 20, c("phones") / 20, c("urls") / 50, c("qr_per_100"), c("payment_diversity"),
+        F.least(c("growth_rate") / 100, F.lit(1.0)), seen_by, c("engagement"),
     ]
     return whole.select("channel", F.transform(F.array(*vector), lambda x: F.round(x, 4)).alias("vector"))

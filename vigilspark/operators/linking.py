@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vigilspark.functions import scores as S
+from vigilspark.storage import materialize
 
 
 def shared_entities(channel_entities: DataFrame) -> DataFrame:
@@ -20,11 +23,7 @@ def shared_entities(channel_entities: DataFrame) -> DataFrame:
 
 
 def sharing_pairs(channel_entities: DataFrame) -> DataFrame:
-    """(a, b, entity_type, common) for channels a < b with common values: the lossless candidates for attribution.
-
-    An equi self join on the value; two channels without a common value have no
-    infrastructure evidence and stay below every threshold of 0.08 or more.
-    """
+    """(a, b, entity_type, common) for channels a < b with common values: an equi self join on the value."""
     x, y = channel_entities.alias("x"), channel_entities.alias("y")
     same = (F.col("x.entity_type") == F.col("y.entity_type")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.channel") < F.col("y.channel"))
     return x.join(y, same).groupBy(F.col("x.channel").alias("a"), F.col("y.channel").alias("b"), F.col("x.entity_type").alias("entity_type")).agg(
@@ -32,6 +31,10 @@ def sharing_pairs(channel_entities: DataFrame) -> DataFrame:
     )
 
 
+#: Entity types and the columns of their Jaccard overlap.
+JACCARD_KINDS = {"UPI": "j_upi", "PHONE": "j_phone", "URL": "j_domain", "IMAGE": "j_image"}
+
+
 def jaccard_by_type(channel_entities: DataFrame) -> DataFrame:
     """Jaccard of the value sets of sharing channels, one column for each type (SE-4)."""
     sizes = channel_entities.groupBy("channel", "entity_type").agg(F.count("*").alias("n"))
@@ -40,28 +43,59 @@ def jaccard_by_type(channel_entities: DataFrame) -> DataFrame:
     two = sizes.select(F.col("channel").alias("b"), "entity_type", F.col("n").alias("nb"))
     scored = common.join(one, ["a", "entity_type"]).join(two, ["b", "entity_type"])
     j = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
-    kinds = {"UPI": "j_upi", "PHONE": "j_phone", "URL": "j_domain"}
+    kinds = JACCARD_KINDS
     return scored.groupBy("a", "b").agg(*[F.coalesce(F.max(F.when(F.col("entity_type") == k, j)), F.lit(0.0)).alias(c) for k, c in kinds.items()])
 
 
+def close_in_time(channels: DataFrame, hours: float) -> DataFrame:
+    """(a, b) with a < b where b was created within ``hours`` of a's takedown, before or after.
+
+    An equi join on time buckets of that width: the creation meets the takedowns of
+    its own bucket and of the two beside it.
+    """
+    width = max(1, int(hours * 3_600_000_000) + 1)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    down = channels.where("taken_down is not null").select(F.col("channel").alias("a"), micros("taken_down").alias("t"))
+    up = channels.where("created is not null").select(F.col("channel").alias("b"), micros("created").alias("c"))
+    down = down.withColumn("bucket", F.floor(F.col("t") / width))
+    own = F.floor(F.col("c") / width)
+    up = up.withColumn("bucket", F.explode(F.array(own - 1, own, own + 1)))
+    near = down.join(up, "bucket").where((F.col("a") < F.col("b")) & (F.abs(F.col("c") - F.col("t")) <= width))
+    return near.select("a", "b").distinct()
+
+
+def temporal_window(min_probability: float) -> float:
+    """Hours between takedown and creation beyond which a pair without a common entity stays below the threshold."""
+    from vigilspark.functions.fixed import ATTRIBUTION as A
+    from vigilspark.functions.fixed import DECAY_HOURS
+
+    p = min_probability - 0.00006  # probabilities are compared after rounding to four places
+    least = (math.log(p / (1 - p)) - A["prior"] - A["behavioral"] - A["content"]) / A["temporal"]
+    if least <= 0:
+        raise ValueError("candidate generation is lossless for thresholds of 0.08 or more")
+    return -DECAY_HOURS * math.log(min(least, 1.0))
+
+
 def attribution(channels: DataFrame, channel_entities: DataFrame, min_probability: float = 0.2) -> DataFrame:
     """Log-odds that two channels have one operator (DM-10, JN-6), pairs at or above ``min_probability``.
 
     ``channels``: (channel, vector, category, impersonated, promises, taken_down, created, n_evidence).
-    Candidates are the pairs that share an entity: without infrastructure overlap
-    the probability cannot exceed 0.076, so for thresholds of 0.08 or more no
-    pair is lost.
+    Candidates are the pairs that share an entity and the pairs whose takedown and
+    creation are close: without either the probability cannot exceed 0.076, and
+    without a common entity it reaches a threshold of 0.08 or more only within
+    :func:`temporal_window` hours, so no pair is lost.
     """
     from vigilspark.functions.fixed import ATTRIBUTION as A
     from vigilspark.functions.fixed import INFRA_WEIGHTS as I
 
-    if min_probability < 0.08:
-        raise ValueError("candidate generation is lossless for thresholds of 0.08 or more")
-    pairs = jaccard_by_type(channel_entities)
+    near = close_in_time(channels, temporal_window(min_probability))
+    overlaps = jaccard_by_type(channel_entities)
+    near = near.select("a", "b", *[F.lit(0.0).alias(c) for c in JACCARD_KINDS.values()])
+    pairs = overlaps.unionByName(near).groupBy("a", "b").agg(*[F.max(c).alias(c) for c in JACCARD_KINDS.values()])
     a = channels.select(*[F.col(c).alias(f"{c}_a") for c in channels.columns])
     b = channels.select(*[F.col(c).alias(f"{c}_b") for c in channels.columns])
     both = pairs.join(a, F.col("a") == F.col("channel_a")).join(b, F.col("b") == F.col("channel_b"))
-    infra = I["upi"] * F.col("j_upi") + I["phone"] * F.col("j_phone") + I["domain"] * F.col("j_domain")
+    infra = I["upi"] * F.col("j_upi") + I["phone"] * F.col("j_phone") + I["domain"] * F.col("j_domain") + I["image"] * F.col("j_image")
     behaviour = F.when(
         (F.aggregate("vector_a", F.lit(0.0), lambda s, x: s + x * x) > 1e-20) & (F.aggregate("vector_b", F.lit(0.0), lambda s, x: s + x * x) > 1e-20),
         (S.cosine(F.col("vector_a"), F.col("vector_b")) + 1) / 2,
@@ -163,24 +197,62 @@ def identity_fuzzy(names: DataFrame, threshold: float = 0.7) -> DataFrame:
     )
 
 
-def phash_pairs(images: DataFrame, bits: int = 4) -> DataFrame:
-    """Pairs a < b of 64-bit hashes that differ in at most ``bits`` bits (JN-12).
+def phash_pairs(images: DataFrame, bits: int = 4, bands: int = 6) -> DataFrame:
+    """Pairs a < b of 64-bit hashes that differ in at most ``bits`` bits (JN-12), with their distance.
 
-    The 64 bits are cut into ``bits`` + 1 bands; a pair within the distance is
-    equal in at least one band, so bands are the equi keys. A pair is kept in the
-    first band it shares.
+    Equal hashes are one class: its smallest id stands for it in pairs with other
+    hashes, and each further id is paired with it at distance 0, so copies are not
+    expanded into all pairs.  The 64 bits are cut into ``bands``; a pair within the
+    distance is equal in at least ``bands`` - ``bits`` of them, so each choice of
+    that many bands is an equi key (15 keys of 21 bits by default; more bands make
+    more, rarer keys).  A pair is kept in the first choice it shares.
     """
-    n = bits + 1
-    edges = [64 * k // n for k in range(n + 1)]
-    masks = [sum(1 << i for i in range(edges[k], edges[k + 1])) for k in range(n)]
+    if bands <= bits:
+        raise ValueError("more bands than bits are needed")
+    edges = [64 * k // bands for k in range(bands + 1)]
+    one = [sum(1 << i for i in range(edges[k], edges[k + 1])) for k in range(bands)]
+    masks = [sum(one[k] for k in c) for c in combinations(range(bands), bands - bits)]
     masks = [m - (1 << 64) if m >> 63 else m for m in masks]
-    band = F.array(*[F.col("phash").bitwiseAND(F.lit(m)) for m in masks])
-    keyed = images.select("id", "phash", F.posexplode(band).alias("band", "part"))
+    classes = images.where("id is not null and phash is not null").groupBy("phash").agg(F.min("id").alias("id"))
+    parts = F.array(*[F.col("phash").bitwiseAND(F.lit(m)) for m in masks])
+    keyed = classes.select("id", "phash", F.posexplode(parts).alias("choice", "part"))
     x, y = keyed.alias("x"), keyed.alias("y")
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.id") < F.col("y.id")))
+    pairs = x.join(y, (F.col("x.choice") == F.col("y.choice")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.id") < F.col("y.id")))
     differ = F.col("x.phash").bitwiseXOR(F.col("y.phash"))
-    earlier = reduce(lambda a, k: a | ((F.col("x.band") > k) & (differ.bitwiseAND(F.lit(masks[k])) == 0)), range(n - 1), F.lit(False))
-    return pairs.where((F.bit_count(differ) <= bits) & ~earlier).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.bit_count(differ).alias("distance"))
+    earlier = reduce(lambda a, k: a | ((F.col("x.choice") > k) & (differ.bitwiseAND(F.lit(masks[k])) == 0)), range(len(masks) - 1), F.lit(False))
+    apart = pairs.where((F.bit_count(differ) <= bits) & ~earlier).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.bit_count(differ).alias("distance"))
+    copies = images.join(classes.select(F.col("id").alias("a"), "phash"), "phash").where("id > a").select("a", F.col("id").alias("b"), F.lit(0).alias("distance"))
+    return apart.unionByName(copies)
+
+
+def first_seen_fuzzy(posts: DataFrame, order: str = "id", hash_col: str = "phash", bits: int = 4) -> DataFrame:
+    """First-seen deduplication by near hashes: (post columns, duplicate, canonical).
+
+    In the order of ``order`` (distinct), a post whose hash is within ``bits`` of a
+    stored one repeats the first such post and is not stored; others are stored.
+    Null hashes are stored and match nothing.  In rounds every post all of whose
+    earlier near posts are decided is decided, so a round settles all fronts at
+    once; only two counts a round reach the driver.
+    """
+    classes = posts.where(F.col(hash_col).isNotNull()).groupBy(hash_col).agg(F.min(order).alias("node"))
+    edges = materialize(phash_pairs(classes.select(F.col("node").alias("id"), F.col(hash_col).alias("phash")), bits).select(F.col("a").alias("before"), F.col("b").alias("after")), "near")
+    # only posts with an earlier near one are ever in doubt
+    state = materialize(edges.select(F.col("after").alias("node")).distinct().withColumn("stored", F.lit(None).cast("boolean")), "state")
+    while state.where("stored is null").limit(1).count():
+        known = edges.join(state.select(F.col("node").alias("before"), "stored", F.lit(True).alias("in_doubt")), "before", "left")
+        # a post without an earlier near one is stored
+        stored = F.when(F.col("in_doubt"), F.col("stored")).otherwise(F.lit(True))
+        seen = known.groupBy("after").agg(F.bool_or(F.coalesce(stored, F.lit(False))).alias("hit"), F.bool_or(stored.isNull()).alias("open"))
+        seen = seen.withColumnRenamed("after", "node")
+        decided = F.coalesce("stored", F.when(F.col("hit"), F.lit(False)).when(~F.col("open"), F.lit(True)))
+        state = materialize(state.join(seen, "node").select("node", decided.alias("stored")), "state")
+    dropped = state.where("not stored").select(F.col("node").alias("after"))
+    kept_before = edges.join(state.where("not stored").select(F.col("node").alias("before")), "before", "left_anti")
+    first = kept_before.join(dropped, "after", "left_semi").groupBy(F.col("after").alias("node")).agg(F.min("before").alias("first"))
+    by_hash = classes.join(first, "node", "left").select(hash_col, F.coalesce("first", "node").alias("canonical"))
+    out = posts.join(by_hash, hash_col, "left")
+    repeat = F.col("canonical").isNotNull() & (F.col("canonical") != F.col(order))
+    return out.select(*posts.columns, F.when(repeat, F.col("canonical")).alias("canonical"), repeat.alias("duplicate"))
 
 
 def first_seen_cascade(posts: DataFrame, signals: list[str], order: str) -> DataFrame:

@@ -152,24 +152,24 @@ def role_attribution(spark, sf_dir):
     return I.roles(c.select(F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("role")).alias("user"), F.concat("text", more).alias("text")))
 
 
-APPEAR = "app AS (SELECT event_id AS id, user_id % 40 AS image, ts, event_type AS platform, user_id AS channel, CAST(floor(value * 10) AS BIGINT) AS reach FROM events WHERE value > 150)"
+APPEAR = "app AS (SELECT event_id AS id, user_id % 40 AS image, ts, event_type AS platform, user_id AS channel, CAST(floor(value * 10) AS BIGINT) AS reach FROM events)"
 
 
 @query(f"""WITH {APPEAR}, g AS (SELECT image, count(*) AS n, (epoch_us(max(ts)) - epoch_us(min(ts))) / 3600000000 AS h, count(DISTINCT platform) AS platforms, CAST(sum(reach) AS BIGINT) AS reach, arg_min(platform, (ts, id)) AS first_platform, arg_min(channel, (ts, id)) AS first_channel FROM app GROUP BY 1)
   SELECT image, n, platforms, reach, first_platform, first_channel, CASE WHEN n < 2 THEN 0.0 ELSE round(n / greatest(1.0, h), 4) END AS velocity, round(least(100.0, n * 3 + platforms * 15 + least(30.0, reach / 1000)), 2) AS score FROM g""")
 def viral_spread(spark, sf_dir):
-    e = read(spark, sf_dir, "events").where("value > 150")
+    e = read(spark, sf_dir, "events")
     return I.viral_spread(
         e.select(F.col("event_id").alias("id"), (F.col("user_id") % 40).alias("image"), "ts", F.col("event_type").alias("platform"), F.col("user_id").alias("channel"), F.floor(F.col("value") * 10).alias("reach"))
     )
 
 
-@query(f"""WITH t AS (SELECT o_custkey % 200 AS campaign, lpad(lower(to_hex(o_orderkey)), 16, '0') AS phash, o_orderdate AS first_seen FROM orders WHERE o_orderkey % 3 = 0),
+@query(f"""WITH t AS (SELECT o_custkey % 200 AS campaign, lpad(lower(to_hex(o_orderkey)), 16, '0') AS phash, o_orderdate AS first_seen FROM orders),
   l AS (SELECT *, lag(phash) OVER w AS before, row_number() OVER w AS n FROM t WINDOW w AS (PARTITION BY campaign ORDER BY first_seen, phash)),
   s AS (SELECT campaign, phash, 'v' || CAST(n AS VARCHAR) AS version, CASE WHEN before IS NULL THEN 1.0 ELSE round(1 - bit_count(xor(CAST('0x' || before AS BIGINT), CAST('0x' || phash AS BIGINT))) / 64, 4) END AS similarity FROM l)
   SELECT *, CASE WHEN similarity >= 0.95 THEN 'minor' WHEN similarity >= 0.85 THEN 'moderate' WHEN similarity >= 0.7 THEN 'major' ELSE 'redesign' END AS change FROM s""")
 def template_versions(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
+    o = read(spark, sf_dir, "orders")
     return I.template_versions(o.select((F.col("o_custkey") % 200).alias("campaign"), F.lpad(F.lower(F.hex("o_orderkey")), 16, "0").alias("phash"), F.col("o_orderdate").alias("first_seen")))
 
 
@@ -182,14 +182,14 @@ def mastermind(spark, sf_dir):
     return top.select("campaign", (-F.col("m.neg")).alias("mastermind"), F.col("m.degree").alias("degree"))
 
 
-@query(f"""WITH {ENTITIES}, g AS (SELECT case_id % 50 AS campaign, count(DISTINCT channel) AS channels, count(DISTINCT value) FILTER (WHERE entity_type = 'PHONE') AS phones, count(DISTINCT value) FILTER (WHERE entity_type = 'UPI') AS upis, count(*) AS victims FROM entities WHERE qty <= 2 GROUP BY 1),
+@query(f"""WITH {ENTITIES}, g AS (SELECT case_id % 50 AS campaign, count(DISTINCT channel) AS channels, count(DISTINCT value) FILTER (WHERE entity_type = 'PHONE') AS phones, count(DISTINCT value) FILTER (WHERE entity_type = 'UPI') AS upis, count(*) AS victims FROM entities GROUP BY 1),
   l AS (SELECT *, (['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'])[CAST(campaign % 4 AS INTEGER) + 1] AS level FROM g), s AS (SELECT *, round(least(100.0, CASE level WHEN 'CRITICAL' THEN 85 WHEN 'HIGH' THEN 65 WHEN 'MEDIUM' THEN 40 ELSE 20 END + least(20.0, channels * 2.0) + least(10.0, phones * 1.5)
     + least(10.0, upis * 2.0) + least(15.0, ln(1 + victims::DOUBLE))), 2) AS risk FROM l)
   SELECT campaign, channels, phones, upis, victims, level, risk, CASE WHEN risk >= 85 THEN 'EMERGENCY' WHEN risk >= 70 THEN 'CRITICAL' WHEN risk >= 50 THEN 'WARNING' ELSE 'WATCH' END AS alert FROM s""")
 def graph_risk(spark, sf_dir):
     """Risk of campaigns from their graph (GR-6, AG-51, JN-11, PR-16e): distinct counts, no product of optional matches."""
     distinct = lambda k: F.count_distinct(F.when(F.col("entity_type") == k, F.col("value")))
-    g = entities(spark, sf_dir).where("qty <= 2").groupBy((F.col("case_id") % 50).alias("campaign")).agg(
+    g = entities(spark, sf_dir).groupBy((F.col("case_id") % 50).alias("campaign")).agg(
         F.count_distinct("channel").alias("channels"), distinct("PHONE").alias("phones"), distinct("UPI").alias("upis"), F.count("*").alias("victims")
     )
     levels = F.array(*[F.lit(x) for x in ("LOW", "MEDIUM", "HIGH", "CRITICAL")])
@@ -231,7 +231,7 @@ def graph_nodes(spark, sf_dir):
     return I.merge_nodes(seen)
 
 
-CAMP = f"""{POSTS}, c AS (SELECT channel % 30 AS campaign, count(DISTINCT channel) AS channels, CAST(sum(views) AS BIGINT) AS reach, count(DISTINCT media) AS platforms, count(*) FILTER (WHERE replies = 1) AS repeats FROM posts WHERE channel < 120 GROUP BY 1)"""
+CAMP = f"""{POSTS}, c AS (SELECT channel % 30 AS campaign, count(DISTINCT channel) AS channels, CAST(sum(views) AS BIGINT) AS reach, count(DISTINCT media) AS platforms, count(*) FILTER (WHERE replies = 1) AS repeats FROM posts GROUP BY 1)"""
 
 
 @query(f"""WITH {CAMP}, a AS (SELECT *, campaign * 5 AS growth_pct, campaign % 5 AS activity FROM c)
@@ -239,7 +239,7 @@ CAMP = f"""{POSTS}, c AS (SELECT channel % 30 AS campaign, count(DISTINCT channe
   UNION ALL SELECT campaign, 'CROSS_PLATFORM', 'EMERGENCY' FROM a WHERE platforms >= 3 UNION ALL SELECT campaign, 'ENTITY_REPEAT', 'HIGH' FROM a WHERE repeats >= 5
   UNION ALL SELECT campaign, 'EMERGING_HOTSPOT', 'WARNING' FROM a WHERE activity >= 3 UNION ALL SELECT campaign, 'NEW_CAMPAIGN', 'WATCH' FROM a WHERE channels <= 2""")
 def early_warning(spark, sf_dir):
-    p = channel_posts(spark, sf_dir).where("channel < 120").groupBy((F.col("channel") % 30).alias("campaign")).agg(
+    p = channel_posts(spark, sf_dir).groupBy((F.col("channel") % 30).alias("campaign")).agg(
         F.count_distinct("channel").alias("channels"), F.sum("views").alias("reach"), F.count_distinct("media").alias("platforms"), F.count_if(F.col("replies") == 1).alias("repeats")
     )
     return I.alerts(p.withColumns({"growth_pct": F.col("campaign") * 5, "activity_ratio": F.col("campaign") % 5}))
@@ -335,11 +335,11 @@ def verify_chains(log):
     )
 
 
-@query(f"""WITH {ENTITIES}, p AS (SELECT case_id % 40 AS campaign, count(DISTINCT value) AS entities, count(DISTINCT channel) AS nodes, count(*) FILTER (WHERE line_status = 'O') AS shots FROM entities WHERE qty <= 1 GROUP BY 1)
+@query(f"""WITH {ENTITIES}, p AS (SELECT case_id % 40 AS campaign, count(DISTINCT value) AS entities, count(DISTINCT channel) AS nodes, count(*) FILTER (WHERE line_status = 'O') AS shots FROM entities GROUP BY 1)
   SELECT campaign, entities, nodes, shots, round(least(0.98, 0.3 + least(0.2, 0.02 * shots) + least(0.3, 0.03 * entities) + CASE WHEN nodes > 3 THEN 0.2 ELSE 0 END)::DOUBLE, 4) AS confidence FROM p""")
 def evidence_packages(spark, sf_dir):
     """Confidence of evidence packages (DM-22)."""
-    g = entities(spark, sf_dir).where("qty <= 1").groupBy((F.col("case_id") % 40).alias("campaign")).agg(
+    g = entities(spark, sf_dir).groupBy((F.col("case_id") % 40).alias("campaign")).agg(
         F.count_distinct("value").alias("entities"), F.count_distinct("channel").alias("nodes"), F.count_if(F.col("line_status") == "O").alias("shots")
     )
     c = F.least(F.lit(0.98), 0.3 + F.least(F.lit(0.2), 0.02 * F.col("shots")) + F.least(F.lit(0.3), 0.03 * F.col("entities")) + F.when(F.col("nodes") > 3, 0.2).otherwise(0.0))

@@ -11,7 +11,7 @@ from vigilspark.operators import behaviour as B
 from vigilspark.operators import linking as L
 from vigilspark.operators.components import connected_components
 from vigilspark.plans.case_plans import COMPLAINTS, complaints
-from vigilspark.plans.testbed import CHANNEL_ENTITIES, ENTITIES, POSTS, channel_entities, channel_posts, entities, read
+from vigilspark.plans.testbed import CHANNEL_ENTITIES, CONTACT_POINTS, ENTITIES, POSTS, channel_entities, channel_posts, contact_points, entities, read
 from vigilspark.plans.text_plans import TEN, UPI_SQL
 
 QUERIES, ORACLE = {}, {}
@@ -128,16 +128,17 @@ def campaign_rollup(spark, sf_dir):
     )
 
 
-JACCARD = f"""{CHANNEL_ENTITIES}, sizes AS (SELECT channel, entity_type, count(*) AS n FROM channel_entities GROUP BY 1, 2),
-  common AS (SELECT x.channel AS a, y.channel AS b, x.entity_type, count(*) AS common FROM channel_entities x JOIN channel_entities y ON x.entity_type = y.entity_type AND x.value = y.value AND x.channel < y.channel GROUP BY 1, 2, 3),
+JACCARD = f"""{CONTACT_POINTS}, sizes AS (SELECT channel, entity_type, count(*) AS n FROM points GROUP BY 1, 2),
+  common AS (SELECT x.channel AS a, y.channel AS b, x.entity_type, count(*) AS common FROM points x JOIN points y ON x.entity_type = y.entity_type AND x.value = y.value AND x.channel < y.channel GROUP BY 1, 2, 3),
   j AS (SELECT a, b, c.entity_type, common / (p.n + q.n - common) AS j FROM common c JOIN sizes p ON p.channel = a AND p.entity_type = c.entity_type JOIN sizes q ON q.channel = b AND q.entity_type = c.entity_type),
-  jaccard AS (SELECT a, b, coalesce(max(j) FILTER (WHERE entity_type = 'UPI'), 0.0) AS j_upi, coalesce(max(j) FILTER (WHERE entity_type = 'PHONE'), 0.0) AS j_phone, coalesce(max(j) FILTER (WHERE entity_type = 'URL'), 0.0) AS j_domain FROM j GROUP BY 1, 2)"""
+  jaccard AS (SELECT a, b, coalesce(max(j) FILTER (WHERE entity_type = 'UPI'), 0.0) AS j_upi, coalesce(max(j) FILTER (WHERE entity_type = 'PHONE'), 0.0) AS j_phone, coalesce(max(j) FILTER (WHERE entity_type = 'URL'), 0.0) AS j_domain,
+    coalesce(max(j) FILTER (WHERE entity_type = 'IMAGE'), 0.0) AS j_image FROM j GROUP BY 1, 2)"""
 
 
-@query(f"WITH {JACCARD} SELECT a, b, round(j_upi, 6) AS j_upi, round(j_phone, 6) AS j_phone, round(j_domain, 6) AS j_domain FROM jaccard")
+@query(f"WITH {JACCARD} SELECT a, b, round(j_upi, 6) AS j_upi, round(j_phone, 6) AS j_phone, round(j_domain, 6) AS j_domain, round(j_image, 6) AS j_image FROM jaccard")
 def jaccard_pairs(spark, sf_dir):
-    j = L.jaccard_by_type(channel_entities(spark, sf_dir))
-    return j.select("a", "b", *[F.round(c, 6).alias(c) for c in ("j_upi", "j_phone", "j_domain")])
+    j = L.jaccard_by_type(contact_points(spark, sf_dir))
+    return j.select("a", "b", *[F.round(c, 6).alias(c) for c in L.JACCARD_KINDS.values()])
 
 
 PROFILE = f"""k AS (SELECT channel, count(*) FILTER (WHERE entity_type = 'UPI') AS upis, count(*) FILTER (WHERE entity_type = 'PHONE') AS phones, count(*) FILTER (WHERE entity_type = 'URL') AS urls FROM channel_entities GROUP BY 1),
@@ -165,10 +166,10 @@ def channel_profiles(spark, sf_dir):
 
 _SE = "(3.141592653589793 / (1.7320508075688772 * greatest(sqrt(n), 1.0)))"
 ATTRIBUTION = f"""{JACCARD}, {POSTS}, {PROFILE},
-  parts AS (SELECT a, b, 0.4 * j_upi + 0.3 * j_phone + 0.2 * j_domain AS infra, (list_cosine_similarity(x.vector, y.vector) + 1) / 2 AS behaviour,
+  parts AS (SELECT x.channel AS a, y.channel AS b, coalesce(0.4 * j_upi + 0.3 * j_phone + 0.2 * j_domain + 0.1 * j_image, 0.0) AS infra, (list_cosine_similarity(x.vector, y.vector) + 1) / 2 AS behaviour,
     coalesce(exp(-abs((epoch_us(y.created) - epoch_us(x.taken_down)) / 3600000000) / 48), 0.0) AS temporal,
     CASE WHEN x.category <> 'UNKNOWN' AND x.category = y.category THEN 0.4 ELSE 0 END + CASE WHEN x.impersonated <> '' AND x.impersonated = y.impersonated THEN 0.4 ELSE 0 END
-    + CASE WHEN x.promises AND y.promises THEN 0.2 ELSE 0 END AS content, x.n_evidence + y.n_evidence AS n FROM jaccard JOIN profile x ON x.channel = a JOIN profile y ON y.channel = b),
+    + CASE WHEN x.promises AND y.promises THEN 0.2 ELSE 0 END AS content, x.n_evidence + y.n_evidence AS n FROM profile x JOIN profile y ON x.channel < y.channel LEFT JOIN jaccard ON a = x.channel AND b = y.channel),
   odds AS (SELECT *, -4.0 + 3.0 * infra + behaviour + 2.0 * temporal + 0.5 * content + 1.5 * infra * temporal AS o FROM parts),
   pairs AS (SELECT a, b, round(infra, 4) AS infra, round(behaviour, 4) AS behaviour, round(temporal, 4) AS temporal, round(content::DOUBLE, 4) AS content, round(1 / (1 + exp(-o)), 4) AS probability,
     round(1 / (1 + exp(-(o - 1.645 * {_SE}))), 4) AS ci_low, round(1 / (1 + exp(-(o + 1.645 * {_SE}))), 4) AS ci_high,
@@ -177,7 +178,7 @@ ATTRIBUTION = f"""{JACCARD}, {POSTS}, {PROFILE},
 
 @query(f"WITH {ATTRIBUTION} SELECT * FROM pairs WHERE probability >= 0.08")
 def attribution_pairs(spark, sf_dir):
-    return L.attribution(channel_profiles(spark, sf_dir), channel_entities(spark, sf_dir), 0.08)
+    return L.attribution(channel_profiles(spark, sf_dir), contact_points(spark, sf_dir), 0.08)
 
 
 @query(f"""WITH RECURSIVE {ATTRIBUTION}, e AS (SELECT a, b FROM pairs WHERE probability >= 0.1 UNION SELECT b, a FROM pairs WHERE probability >= 0.1),
@@ -185,19 +186,19 @@ def attribution_pairs(spark, sf_dir):
   SELECT node AS channel, min(other) AS operator_id FROM reach GROUP BY 1""")
 def operator_clusters(spark, sf_dir):
     """Channels of one presumed operator: components of attribution pairs (GR-2, in place of order-dependent merging, JN-24)."""
-    pairs = L.attribution(channel_profiles(spark, sf_dir), channel_entities(spark, sf_dir), 0.1)
+    pairs = L.attribution(channel_profiles(spark, sf_dir), contact_points(spark, sf_dir), 0.1)
     found = connected_components(pairs, "a", "b")
     return found.select(F.col("node").alias("channel"), F.col("component").alias("operator_id"))
 
 
-PLATFORMS = "platformed AS (SELECT *, (['telegram', 'instagram', 'facebook'])[CAST(channel % 3 AS INTEGER) + 1] AS platform FROM entities WHERE qty >= 45)"
+PLATFORMS = "platformed AS (SELECT *, (['telegram', 'instagram', 'facebook'])[CAST(channel % 3 AS INTEGER) + 1] AS platform FROM entities)"
 
 
 @query(f"""WITH {ENTITIES}, {PLATFORMS}, g AS (SELECT entity_type, value, list_sort(list(DISTINCT platform)) AS ps, count(*) AS occurrences, min(channel) AS c FROM platformed WHERE entity_type IN ('PHONE', 'UPI') GROUP BY 1, 2)
   SELECT entity_type, value, array_to_string(ps, ',') AS platforms, occurrences, round(least(0.98, 0.7 + len(ps) * 0.1)::DOUBLE, 4) AS probability, 'Operator via ' || CAST(c AS VARCHAR) AS operator FROM g WHERE len(ps) >= 2""")
 def identity_exact(spark, sf_dir):
     names = F.array(*[F.lit(p) for p in ("telegram", "instagram", "facebook")])
-    return L.identity_exact(entities(spark, sf_dir).where("qty >= 45").withColumn("platform", F.get(names, (F.col("channel") % 3).cast("int"))))
+    return L.identity_exact(entities(spark, sf_dir).withColumn("platform", F.get(names, (F.col("channel") % 3).cast("int"))))
 
 
 @query()
@@ -208,11 +209,28 @@ def identity_fuzzy(spark, sf_dir):
     return L.identity_fuzzy(names)
 
 
-@query("""WITH i AS (SELECT c_custkey AS id, c_custkey AS h FROM customer) SELECT x.id AS a, y.id AS b, CAST(bit_count(xor(x.h, y.h)) AS INTEGER) AS distance
-  FROM i x JOIN i y ON x.id < y.id AND bit_count(xor(x.h, y.h)) <= 1""")
+IMAGES = """i AS (SELECT c_custkey AS id, xor(CAST('0x' || substr(sha256(CAST(c_custkey // 5 AS VARCHAR)), 1, 15) AS BIGINT), ([0, 3, 28, 480, 7680])[CAST(c_custkey % 5 AS INTEGER) + 1]::BIGINT) AS h FROM customer)"""
+
+
+def image_hashes(spark, sf_dir):
+    """(id, phash): spread hashes in families whose members differ by up to eight bits."""
+    k = F.col("c_custkey")
+    base = F.conv(F.substring(F.sha2(F.floor(k / 5).cast("string").cast("binary"), 256), 1, 15), 16, 10).cast("long")
+    noise = F.get(F.array(*[F.lit(n).cast("long") for n in (0, 3, 28, 480, 7680)]), (k % 5).cast("int"))
+    return read(spark, sf_dir, "customer").select(k.alias("id"), base.bitwiseXOR(noise).alias("phash"))
+
+
+@query(f"""WITH {IMAGES} SELECT x.id AS a, y.id AS b, CAST(bit_count(xor(x.h, y.h)) AS INTEGER) AS distance
+  FROM i x JOIN i y ON x.id < y.id AND bit_count(xor(x.h, y.h)) <= 4""")
 def phash_pairs(spark, sf_dir):
-    images = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("phash"))
-    return L.phash_pairs(images, bits=1)
+    """Images within four bits of each other (JN-12)."""
+    return L.phash_pairs(image_hashes(spark, sf_dir), bits=4)
+
+
+@query()
+def dedup_fuzzy(spark, sf_dir):
+    """First-seen deduplication by hashes within four bits (WN-4): the order of posts decides, so tested against brute force."""
+    return L.first_seen_fuzzy(image_hashes(spark, sf_dir)).select("id", "canonical", "duplicate")
 
 
 @query("""WITH p AS (SELECT page_id, sha256(regexp_replace(lower(url), '[?#].*$', '')) AS url_key, sha256(substr(html, 1, 200)) AS content_key FROM pages),
@@ -235,12 +253,13 @@ def dedup_exact(spark, sf_dir):
     return docs.join(first, "k").select("doc_id", "canonical", (F.col("doc_id") > F.col("canonical")).alias("duplicate"))
 
 
-@query("""WITH k AS (SELECT page_id, substr(sha256(url), 1, 16) AS url_hash FROM pages), seen AS (SELECT DISTINCT url_hash FROM k WHERE page_id < 100)
+@query("""WITH k AS (SELECT page_id, substr(sha256(url), 1, 16) AS url_hash FROM pages), seen AS (SELECT DISTINCT url_hash FROM k WHERE page_id < (SELECT avg(page_id) FROM pages))
   SELECT page_id, url_hash FROM k WHERE url_hash NOT IN (SELECT url_hash FROM seen)""")
 def url_first_seen(spark, sf_dir):
     """Rows not ingested before (JN-16, SE-5, SC-20)."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
-    seen = pages.where("page_id < 100").select(T.stable_id(F.col("url")).alias("url_hash"))
+    middle = pages.agg(F.avg("page_id")).first()[0]  # the first half was seen
+    seen = pages.where(F.col("page_id") < F.lit(middle)).select(T.stable_id(F.col("url")).alias("url_hash"))
     return L.unseen(pages, seen, T.stable_id(F.col("url")), "url_hash").select("page_id", "url_hash")
 
 

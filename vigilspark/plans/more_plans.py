@@ -54,7 +54,7 @@ def _case(pairs, default):
     return "CASE " + " ".join(f"WHEN {c} THEN '{v}'" for v, c in pairs) + f" ELSE '{default}' END"
 
 
-_CELEB, _INV = sql_any("text", [n.lower() for n, _ in X.CELEBRITIES]), sql_any("text", X.USE_INVESTMENT)
+_CELEB, _INV = sql_any("text", X.CELEBRITY_WORDS), sql_any("text", X.USE_INVESTMENT)
 USE = _case(
     [("SEXTORTION", sql_any("text", X.USE_SEXTORTION)), ("DIGITAL_ARREST", sql_any("text", X.USE_ARREST)), ("FAKE_ENDORSEMENT", f"{_CELEB} AND {_INV}"), ("INVESTMENT_SCAM", _INV),
      ("FAKE_ENDORSEMENT", _CELEB), ("DIGITAL_ARREST", sql_any("text", X.OFFICIAL_WORDS))], "OTHER",
@@ -116,7 +116,7 @@ def dataset_split(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.when(u < 0.8, "train").when(u < 0.9, "validation").otherwise("test").alias("split"))
 
 
-@query("""WITH t AS (SELECT o_custkey % 200 AS campaign, lpad(lower(to_hex(o_orderkey)), 16, '0') AS phash, o_orderdate AS first_seen FROM orders WHERE o_orderkey % 3 = 0),
+@query("""WITH t AS (SELECT o_custkey % 200 AS campaign, lpad(lower(to_hex(o_orderkey)), 16, '0') AS phash, o_orderdate AS first_seen FROM orders),
   l AS (SELECT *, lag(phash) OVER w AS before, row_number() OVER w AS n FROM t WINDOW w AS (PARTITION BY campaign ORDER BY first_seen, phash)),
   s AS (SELECT campaign, n, CASE WHEN before IS NULL THEN 1.0 ELSE round(1 - bit_count(xor(CAST('0x' || before AS BIGINT), CAST('0x' || phash AS BIGINT))) / 64, 4) END AS sim FROM l)
   SELECT campaign, string_agg('v' || CAST(n AS VARCHAR) || ': ' || CASE WHEN sim >= 0.95 THEN 'minor' WHEN sim >= 0.85 THEN 'moderate' WHEN sim >= 0.7 THEN 'major' ELSE 'redesign' END, ' -> ' ORDER BY n) AS evolution FROM s GROUP BY 1""")

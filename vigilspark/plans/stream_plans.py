@@ -9,34 +9,40 @@ from vigilspark.streaming import monitor as M
 QUERIES, ORACLE = {}, {}
 
 
-def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+def query(sql=None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE[fn.__name__] = sql
+        return fn
 
+    return add
 
-@query
+
+@query("SELECT user_id, event_type, count(*) AS kept FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1, 2")
 def stream_dedup(spark, sf_dir):
-    """First post of each (channel, type) within the watermark (ST-5)."""
+    """One post of each (channel, type) in the stream's lifetime (ST-5); which one is the order of arrival."""
     posts = M.events(spark, sf_dir).withColumn("url_hash", F.xxhash64("user_id", "event_type"))
-    return M.run_available(M.first_seen(posts), "stream_dedup")
+    kept = M.run_available(M.first_seen(posts), "stream_dedup")
+    return kept.groupBy("user_id", "event_type").agg(F.count("*").alias("kept"))
 
 
-@query
+@query()
 def rolling_growth_stream(spark, sf_dir):
     return M.run_available(M.rolling_growth(M.events(spark, sf_dir)), "rolling_growth")
 
 
-@query
+@query()
 def early_warning_stream(spark, sf_dir):
-    return M.run_available(M.window_alerts(M.events(spark, sf_dir)), "early_warning")
+    return M.run_available(M.window_alerts(M.events(spark, sf_dir), thresholds={"estimated_reach": 100}), "early_warning")
 
 
-@query
+@query()
 def spread_stream(spark, sf_dir):
-    return M.run_available(M.spread(M.events(spark, sf_dir)), "spread")
+    return M.run_available(M.spread(M.events(spark, sf_dir).withColumn("image", F.col("user_id") % 40)), "spread")
 
 
-@query
+@query("SELECT event_id, user_id, event_type, value FROM events WHERE user_id IN (SELECT s_suppkey FROM supplier)")
 def watchlist_stream(spark, sf_dir):
     watched = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("user_id"))
-    return M.run_available(M.watchlist(M.events(spark, sf_dir), watched), "watchlist")
+    return M.run_available(M.watchlist(M.events(spark, sf_dir), watched), "watchlist").select("event_id", "user_id", "event_type", "value")

@@ -74,12 +74,26 @@ ENTITIES = """entities AS (
 
 
 def channel_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(channel, entity_type, value), distinct: the contact points a channel shows (its fullest line items)."""
-    return entities(spark, sf_dir).where("qty = 50").select("channel", "entity_type", "value").distinct()
+    """(channel, entity_type, value), distinct: the contact points a channel shows."""
+    return entities(spark, sf_dir).select("channel", "entity_type", "value").distinct()
 
 
 CHANNEL_ENTITIES = (
-    ENTITIES + """, channel_entities AS (SELECT DISTINCT channel, entity_type, value FROM entities WHERE qty = 50)"""
+    ENTITIES + """, channel_entities AS (SELECT DISTINCT channel, entity_type, value FROM entities)"""
+)
+
+
+def contact_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contact points and the images a channel shows, as attribution compares them."""
+    image = F.concat(F.lit("image-"), (F.col("l_partkey") * 7 + F.col("l_linenumber")).cast("string"))
+    images = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("channel"), F.lit("IMAGE").alias("entity_type"), image.alias("value"))
+    return channel_entities(spark, sf_dir).unionByName(images.distinct())
+
+
+CONTACT_POINTS = (
+    CHANNEL_ENTITIES
+    + """, points AS (SELECT * FROM channel_entities UNION ALL
+  SELECT DISTINCT l_suppkey, 'IMAGE', 'image-' || CAST(l_partkey * 7 + l_linenumber AS VARCHAR) FROM lineitem)"""
 )
 
 
@@ -90,7 +104,7 @@ def channel_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("channel"), F.col("event_id").alias("message_id"), "ts", F.floor("value").alias("views"),
         (F.col("event_type") == "click").cast("int").alias("reactions"), (F.col("event_type") == "signup").cast("int").alias("forwards"),
         (F.col("event_type") == "purchase").cast("int").alias("replies"),
-        F.when(F.col("event_type") == "view", "images").when(F.col("event_type") == "error", "links").otherwise("none").alias("media"),
+        F.when(F.col("event_type") == "view", "images").when(F.col("event_type") == "error", "links").when(F.col("event_type") == "signup", "videos").otherwise("none").alias("media"),
     )
 
 
@@ -98,7 +112,7 @@ POSTS = """posts AS (
   SELECT user_id AS channel, event_id AS message_id, ts, CAST(floor(value) AS BIGINT) AS views,
          CAST(event_type = 'click' AS INTEGER) AS reactions, CAST(event_type = 'signup' AS INTEGER) AS forwards,
          CAST(event_type = 'purchase' AS INTEGER) AS replies,
-         CASE event_type WHEN 'view' THEN 'images' WHEN 'error' THEN 'links' ELSE 'none' END AS media
+         CASE event_type WHEN 'view' THEN 'images' WHEN 'error' THEN 'links' WHEN 'signup' THEN 'videos' ELSE 'none' END AS media
   FROM events)"""
 
 

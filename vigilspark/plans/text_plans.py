@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vigilspark.functions import fixed as X
 from vigilspark.functions import text as T
 from vigilspark.plans.case_plans import ENTITIES, entities
-from vigilspark.plans.testbed import channel_texts, read, sql_any
+from vigilspark.plans.testbed import channel_texts, read, sql_any, sql_list
 
 QUERIES, ORACLE = {}, {}
 
@@ -221,12 +221,11 @@ def taxonomy_classify(spark, sf_dir):
     return taxonomy(claims(spark, sf_dir), keyword_dim(spark))
 
 
-@query(f"""WITH {CLAIMS}, people(name, kind) AS (VALUES {", ".join(f"('{n}', '{k}')" for n, k in X.CELEBRITIES)})
-  SELECT DISTINCT id, name, kind FROM claims JOIN people ON contains(lower(text), lower(name))""")
+@query(f"""WITH {CLAIMS}, people(name, kind, word) AS (VALUES {", ".join(f"('{n}', '{k}', '{w.lower()}')" for n, k, ws in X.CELEBRITIES for w in (n, *ws))})
+  SELECT DISTINCT id, name, kind FROM claims JOIN people ON contains(lower(text), word)""")
 def celebrity_join(spark, sf_dir):
-    """Celebrities named in a text, one row for each (JN-17)."""
-    people = spark.createDataFrame(X.CELEBRITIES, "name string, kind string")
-    return claims(spark, sf_dir).join(F.broadcast(people), F.lower("text").contains(F.lower("name"))).select("id", "name", "kind").distinct()
+    """People named in a text by name or alias, one row for each (JN-17): one projection, no join."""
+    return claims(spark, sf_dir).select("id", F.explode(T.celebrities(F.col("text"))).alias("p")).select("id", "p.name", "p.kind")
 
 
 def _count_sql(words):
@@ -234,7 +233,7 @@ def _count_sql(words):
 
 
 @query(f"""WITH {CLAIMS}, k AS (SELECT id, {_count_sql(X.INVESTMENT_WORDS)} AS inv, {_count_sql(X.SEXTORTION_WORDS)} AS sex, {_count_sql(X.ARREST_WORDS)} AS arr,
-    {sql_any('text', [n.lower() for n, _ in X.CELEBRITIES])} AS celeb, {sql_any('text', [w for _, ws in X.DEPARTMENTS for w in ws])} AS dept FROM claims),
+    {sql_any('text', X.CELEBRITY_WORDS)} AS celeb, {sql_any('text', [w for _, ws in X.DEPARTMENTS for w in ws])} AS dept FROM claims),
   c AS (SELECT id, CASE WHEN celeb AND inv >= 2 THEN round(least(0.95, 0.7 + inv * 0.05)::DOUBLE, 4) ELSE -1 END AS a, CASE WHEN celeb AND inv < 2 THEN 0.49 ELSE -1 END::DOUBLE AS b,
     CASE WHEN sex >= 2 THEN round(least(0.95, 0.5 + sex * 0.1)::DOUBLE, 4) ELSE -1 END AS s, CASE WHEN dept THEN round(least(0.95, 0.4 + arr * 0.1)::DOUBLE + 0.2, 4) ELSE -1 END AS d FROM k), m AS (SELECT *, greatest(a, b, s, d)::DOUBLE AS top FROM c)
   SELECT id, CASE WHEN top <= 0 THEN 'GENERIC_CONTENT' WHEN a = top THEN 'CELEBRITY_INVESTMENT_SCAM' WHEN b = top THEN 'FAKE_ENDORSEMENT' WHEN s = top THEN 'SEXTORTION' ELSE 'DIGITAL_ARREST' END AS category,
@@ -264,6 +263,35 @@ def phone_lookup(spark, sf_dir):
     return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), n.alias("n"), T.carrier(n).alias("carrier"), T.circle(n).alias("circle"))
 
 
+FREEZE_SQL = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in X.FREEZE_BANKS)
+HANDLES = ["paytm", "ybl", "OKSBI", "kotak", "okaxis", "gpay", "ibl", "apl", "nobank"]
+
+
+@query(f"""WITH p AS (SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN '+91 ' WHEN 1 THEN '91-' ELSE '' END || CASE WHEN c_custkey % 11 = 0 THEN '12345' ELSE CAST(2000000000 + c_custkey * 1999993 % 7999999999 AS VARCHAR) END AS phone FROM customer),
+  b AS (SELECT id, phone, replace(replace(phone, ' ', ''), '-', '') AS bare FROM p), d AS (SELECT *, CASE WHEN bare LIKE '+91%' THEN substr(bare, 4) WHEN bare LIKE '91%' AND length(bare) > 10 THEN substr(bare, 3) ELSE bare END AS n FROM b),
+  c AS (SELECT *, CASE WHEN length(n) <> 10 THEN 'Unknown' WHEN substr(n, 1, 4) IN ({", ".join(f"'{x}'" for x in X.JIO_PREFIXES)}) OR substr(n, 1, 2) IN ({", ".join(f"'{x}'" for x in X.CARRIERS[0][1])}) THEN 'Jio'
+    {" ".join("WHEN substr(n, 1, 2) IN (" + ", ".join(f"'{x}'" for x in s) + f") THEN '{c}'" for c, s in X.CARRIERS[1:])} ELSE 'Unknown' END AS carrier,
+    CASE WHEN length(n) <> 10 THEN 'Unknown' ELSE CASE substr(n, 1, 2) {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in X.CIRCLES)} ELSE 'Unknown' END END AS circle FROM d)
+  SELECT id, phone, carrier, CASE carrier {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in X.OPERATORS)} ELSE 'Unknown' END AS operator, circle,
+    CASE WHEN length(n) <> 10 THEN 'UNKNOWN' WHEN substr(n, 1, 1) IN ('6', '7', '8', '9') THEN 'MOBILE' ELSE 'LANDLINE' END AS number_type,
+    CASE WHEN length(n) <> 10 THEN 'Invalid phone number format' WHEN circle IN ('Jharkhand', 'Bihar') THEN 'High-risk telecom circle: ' || circle || ' (Jamtara belt)' ELSE '' END AS risk FROM c""")
+def phone_profiles(spark, sf_dir):
+    """Carrier, operator, circle, type and risk of numbers as people write them (SF-38)."""
+    k = F.col("c_custkey")
+    start = F.when(k % 4 == 0, "+91 ").when(k % 4 == 1, "91-").otherwise("")
+    digits = F.when(k % 11 == 0, "12345").otherwise((F.lit(2_000_000_000) + (k * 1_999_993) % 7_999_999_999).cast("string"))
+    found = read(spark, sf_dir, "customer").select(k.alias("id"), F.concat(start, digits).alias("phone"))
+    return found.select("id", "phone", T.phone_profile(F.col("phone")).alias("p")).select("id", "phone", "p.*")
+
+
+@query(f"""WITH u AS (SELECT c_custkey AS id, 'p' || CAST(c_custkey AS VARCHAR) || '@' || ({sql_list(HANDLES)})[CAST(c_custkey % {len(HANDLES)} AS INTEGER) + 1] AS upi FROM customer),
+  h AS (SELECT *, lower(split_part(upi, '@', 2)) AS handle FROM u) SELECT id, upi, CASE handle {FREEZE_SQL} ELSE 'Unknown (' || handle || ')' END AS bank FROM h""")
+def freeze_bank_lookup(spark, sf_dir):
+    """Bank of a payment address by the table of freeze requests (SF-39)."""
+    upi = F.concat(F.lit("p"), F.col("c_custkey").cast("string"), F.lit("@"), F.get(F.array(*[F.lit(h) for h in HANDLES]), (F.col("c_custkey") % len(HANDLES)).cast("int")))
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), upi.alias("upi"), T.freeze_bank(upi).alias("bank"))
+
+
 BANKS_SQL = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in X.UPI_BANKS)
 
 
