@@ -152,7 +152,7 @@ def test_pipeline(spark, documents, library):
     """Every stage by its plain definition on what the stage before it kept."""
     source = spark.read.parquet(f"{SF}/documents.parquet")
     scorer = lang_id.Scorer(lang_id.fit(source))
-    rows = [d for d in documents if (p := scorer.predict(d[1]))[0] != "und" and p[1] >= 0.5]
+    rows = [d for d in documents if (p := scorer.predict([d[1]])[0])[0] != "und" and p[1] >= 0.5]
     cleaned = {i: t for i, t, _, _ in brute_lines(rows)}
     rows = [(i, cleaned[i], lang, s) for i, _, lang, s in rows]
     prints = [brute_print(t) for _, t, *_ in rows]
