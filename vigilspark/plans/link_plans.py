@@ -34,13 +34,13 @@ def shared_entities(spark, sf_dir):
 
 
 BLOCKED = """blocked AS (SELECT CASE p_partkey % 3 WHEN 0 THEN 'PHONE' WHEN 1 THEN 'UPI' ELSE 'URL' END AS entity_type,
-    CASE p_partkey % 3 WHEN 0 THEN 'phone-' WHEN 1 THEN 'upi-' ELSE 'url-' END || CAST(p_partkey AS VARCHAR) AS value, 'advisory-' || CAST(p_size AS VARCHAR) AS advisory_id FROM part WHERE p_size <= 3)"""
+    CASE p_partkey % 3 WHEN 0 THEN 'phone-' WHEN 1 THEN 'upi-' ELSE 'url-' END || CAST(p_partkey AS VARCHAR) AS value, 'advisory-' || CAST(p_size AS VARCHAR) AS advisory_id FROM part)"""
 
 
 def blocklist(spark, sf_dir):
     key = F.col("p_partkey")
     kind = F.when(key % 3 == 0, "PHONE").when(key % 3 == 1, "UPI").otherwise("URL")
-    return read(spark, sf_dir, "part").where("p_size <= 3").select(
+    return read(spark, sf_dir, "part").select(
         kind.alias("entity_type"), F.concat(F.lower(kind), F.lit("-"), key.cast("string")).alias("value"), F.concat(F.lit("advisory-"), F.col("p_size").cast("string")).alias("advisory_id")
     )
 
