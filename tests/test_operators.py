@@ -215,6 +215,32 @@ def test_identity(spark):
     assert all(r["probability"] == 0.85 for r in fuzzy)
 
 
+def test_identity_fuzzy_loses_no_pair(spark):
+    """Against all pairs: short handles, swapped and doubled letters, names of digits only, a long name, other scripts."""
+    from vigilspark.functions.udfs import name_similarity
+
+    rng = random.Random(11)
+    names = ["priya", "pryia", "anita", "anyta", "abcd", "abed", "ab", "abc", "a", "b", "123", "45_", "", "x" * 70, "xy" * 30, "राहुल", "राहूल", "naïve", "Naive_1"]
+    long = "".join(rng.choice("abcdefghij") for _ in range(60))
+    names += [long, long[:25] + "zz" + long[30:], long[:35], long[:41], long[10:48]]
+    names += ["".join(rng.choice("abcde") for _ in range(rng.randrange(1, 9))) for _ in range(120)]
+    rows = [(n, rng.choice(["x", "y"])) for n in names] + [(None, "x"), ("abcd", "y"), ("abcd", "x")]
+    held = sorted({r for r in rows if r[0] is not None})
+    want = {(*a, *b) for i, a in enumerate(held) for b in held[i + 1 :] if a[1] != b[1] and name_similarity(a[0], b[0]) >= 0.7}
+    got = [(r["name_a"], r["platform_a"], r["name_b"], r["platform_b"]) for r in L.identity_fuzzy(spark.createDataFrame(rows, "name string, platform string")).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert L.identity_fuzzy(spark.createDataFrame([], "name string, platform string")).count() == 0
+
+
+def test_identity_clusters(spark):
+    exact = spark.createDataFrame([("9", "a,b", 0.9)], "value string, platforms string, probability double")
+    fuzzy = spark.createDataFrame(
+        [("m", "a", "n", "b", 0.6), ("n", "a", "m", "b", 0.7), ("9", "a", "9", "b", 0.85)], "name_a string, platform_a string, name_b string, platform_b string, probability double"
+    )
+    got = {tuple(r["members"]): (r["source"], r["probability"]) for r in L.identity_clusters(exact, fuzzy).collect()}
+    assert got == {("9",): ("EXACT", 0.9), ("m", "n"): ("FUZZY", 0.7)}
+
+
 def test_nearest(spark):
     rng = random.Random(3)
     rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(60)] + [(100, None), (101, [0.0] * 6), (None, [1.0] * 6)]

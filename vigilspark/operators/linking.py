@@ -173,30 +173,118 @@ def identity_exact(entities: DataFrame) -> DataFrame:
     )
 
 
+#: Letters from the most frequent on; it only orders tokens, so that prefixes hold rare ones.
+_FREQUENT = "etaoinshrdlcumwfgypbvkjxqz"
+#: Names beyond this length are compared by single prefix letters, shorter ones by up to three.
+_LONG = 40
+
+
+def _letters(clean: Column) -> Column:
+    """The letters of a name as distinct 64-bit tokens (a letter and its running number), the rarest first."""
+    chars = F.split(clean, "")
+    numbered = F.transform(
+        chars,
+        lambda x, i: F.struct(
+            (-F.size(F.filter(F.slice(chars, 1, i + 1), lambda y: y == x))).alias("nth"),
+            (-F.coalesce(F.nullif(F.instr(F.lit(_FREQUENT), x), F.lit(0)), F.lit(99))).alias("rare"), x.alias("letter"),
+        ),
+    )
+    return F.transform(F.array_sort(numbered), lambda t: F.xxhash64(t["letter"], t["nth"]))
+
+
+def letter_candidates(names: DataFrame, threshold: float) -> DataFrame:
+    """Pairs a < b of distinct strings that can have a Ratcliff-Obershelp similarity of ``threshold``, and few others.
+
+    ``names``: (clean), distinct.  The similarity is 2m / (|a| + |b|) with m letters
+    matched, so similar names share at least t = ceil(threshold * (|a| + |b|) / 2)
+    letters, counted with repeats.  With tokens in one order everywhere, names that
+    share t of them share k <= t among their first n - t + k: each choice of k = 3
+    such tokens (1 or 2 where t is as small) is an equi key.  Names over 40
+    letters, where choices would be many, meet by single tokens of the prefix.
+    Pairs are then counted, so no pair at or above the threshold is lost.
+    """
+    n = F.size("tokens")
+    need = lambda total: F.ceil(threshold * total / 2 - F.lit(1e-9)).cast("int")
+    sized = names.where("clean <> ''").select("clean", _letters(F.col("clean")).alias("tokens"))
+    # fewest common letters with a partner of any length
+    sized = sized.withColumn("least", F.greatest(F.lit(1), F.ceil(n * (threshold / (2 - threshold)) - F.lit(1e-9)).cast("int")))
+    first = lambda k, t: F.slice("tokens", 1, F.greatest(F.lit(0), n - t + k))
+    rest = lambda p, i: F.slice(p, i + 2, F.size(p))
+    pairs = lambda p: F.flatten(F.transform(p, lambda x, i: F.transform(rest(p, i), lambda y: F.xxhash64(x, y))))
+
+    def triples(p: Column) -> Column:
+        after = lambda i, j: F.slice(p, i + j + 3, F.size(p))
+        return F.flatten(F.transform(p, lambda x, i: F.flatten(F.transform(rest(p, i), lambda y, j: F.transform(after(i, j), lambda z: F.xxhash64(x, y, z))))))
+
+    none = F.array().cast("array<bigint>")
+    small, short = F.col("least"), n <= _LONG
+    keys = F.concat(
+        F.when(small == 1, first(1, small)).otherwise(none), F.when((small <= 2) & (n >= 2), pairs(first(2, F.greatest(small, F.lit(2))))).otherwise(none),
+        F.when(short & (n >= 3), triples(first(3, F.greatest(small, F.lit(3))))).otherwise(none),
+    )
+    keyed = sized.select("clean", "tokens", F.explode(F.array_distinct(keys)).alias("key"))
+    single = sized.where(n > _LONG * threshold / (2 - threshold)).select("clean", "tokens", F.explode(first(1, small)).alias("key"))
+
+    def meet(one: DataFrame, two: DataFrame, which: Column) -> DataFrame:
+        x, y = one.alias("x"), two.alias("y")
+        enough = F.size(F.array_intersect("x.tokens", "y.tokens")) >= need(F.size("x.tokens") + F.size("y.tokens"))
+        near = F.least(F.size("x.tokens"), F.size("y.tokens")) >= need(F.size("x.tokens") + F.size("y.tokens"))
+        met = x.join(y, (F.col("x.key") == F.col("y.key")) & which & near).where(enough)
+        return met.select(F.least("x.clean", "y.clean").alias("a"), F.greatest("x.clean", "y.clean").alias("b"))
+
+    ordered = F.col("x.clean") < F.col("y.clean")
+    both_long = F.size("y.tokens") > _LONG
+    far = meet(single.where(F.size("tokens") > _LONG), single, (F.col("x.clean") != F.col("y.clean")) & (~both_long | ordered))
+    return meet(keyed, keyed, ordered).unionByName(far).distinct()
+
+
 def identity_fuzzy(names: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Similar names on different platforms (JN-8), blocked by trigrams of the cleaned name.
+    """All pairs of similar names on different platforms (JN-8), each compared as its cleaned form.
 
-    Names of at least three letters and similarity 0.7 share a run of letters;
-    candidates share a trigram or the whole cleaned name, and are scored by an
-    Arrow function.
+    Cleaned forms (lower case, without ``@ _ . -`` and digits) are compared once
+    however many names share them: see :func:`letter_candidates`, which loses no pair;
+    an Arrow function scores the candidates, in both orders, since the measure
+    depends on it.  Names are ordered by (name, platform).  Null names are left out;
+    names with equal cleaned forms, also empty ones, have similarity 1.
     """
     from vigilspark.functions.udfs import username_similarity
 
-    clean = F.regexp_replace(F.lower("name"), r"[@_.\-\d]", "")
-    grams = F.when(F.length(clean) < 3, F.array(clean)).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(clean) - 2), lambda i: F.substring(clean, i, F.lit(3))))
-    )
-    keyed = names.select("name", "platform", F.explode(grams).alias("gram"))
-    x, y = keyed.alias("x"), keyed.alias("y")
-    same = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.platform") != F.col("y.platform")) & (F.struct("x.name", "x.platform") < F.struct("y.name", "y.platform"))
-    pairs = x.join(y, same).select(F.col("x.name").alias("name_a"), F.col("x.platform").alias("platform_a"), F.col("y.name").alias("name_b"), F.col("y.platform").alias("platform_b")).distinct()
-    scored = pairs.withColumn("similarity", username_similarity("name_a", "name_b")).where(F.col("similarity") >= threshold)
+    people = names.where("name is not null and platform is not null").select("name", "platform", F.regexp_replace(F.lower("name"), r"(?U)[@_.\-\d]", "").alias("clean"))
+    people = people.distinct()
+    found = letter_candidates(people.select("clean").distinct(), threshold)
+    scored = found.select("a", "b", username_similarity("a", "b").alias("ab"), username_similarity("b", "a").alias("ba"))
+    scored = scored.where((F.col("ab") >= threshold) | (F.col("ba") >= threshold))
+    one = people.select(F.col("name").alias("n1"), F.col("platform").alias("p1"), F.col("clean").alias("a"))
+    two = people.select(F.col("name").alias("n2"), F.col("platform").alias("p2"), F.col("clean").alias("b"))
+    apart = scored.join(one, "a").join(two, "b").where("p1 <> p2")
+    forth = F.struct("n1", "p1") < F.struct("n2", "p2")
+    pick = lambda x, y: F.when(forth, F.col(x)).otherwise(F.col(y))
+    apart = apart.select(pick("n1", "n2").alias("name_a"), pick("p1", "p2").alias("platform_a"), pick("n2", "n1").alias("name_b"), pick("p2", "p1").alias("platform_b"), pick("ab", "ba").alias("similarity"))
+    equal = one.join(two, F.col("a") == F.col("b")).where((F.col("p1") != F.col("p2")) & forth)
+    equal = equal.select(F.col("n1").alias("name_a"), F.col("p1").alias("platform_a"), F.col("n2").alias("name_b"), F.col("p2").alias("platform_b"), F.lit(1.0).alias("similarity"))
     base = lambda c: F.regexp_replace(F.lower(c), r"\d+$|_\w{1,4}$", "")
-    return scored.select(
+    return apart.where(F.col("similarity") >= threshold).unionByName(equal).select(
         "*", F.round(F.col("similarity") * 0.85, 4).alias("probability"), ((base("name_a") == base("name_b")) & (F.length(base("name_a")) >= 4)).alias("same_pattern")
     )
 
 
+def identity_clusters(exact: DataFrame, fuzzy: DataFrame) -> DataFrame:
+    """Exact and fuzzy identities as one table, clusters with equal value sets merged (DM-14, SE-7).
+
+    (members, source, platforms, probability): ``members`` is the sorted distinct set
+    of values; of several clusters with one set the exact one stays, else that of the
+    smallest platforms, as one pre-aggregated row for each set.
+    """
+    pair = lambda a, b: F.array_join(F.array_sort(F.array_distinct(F.array(a, b))), ",")
+    one = exact.select(F.array("value").alias("members"), F.lit("EXACT").alias("source"), F.col("platforms"), "probability")
+    two = fuzzy.select(
+        F.array_sort(F.array_distinct(F.array("name_a", "name_b"))).alias("members"), F.lit("FUZZY").alias("source"), pair("platform_a", "platform_b").alias("platforms"), "probability"
+    )
+    first = F.min(F.struct("source", "platforms", (-F.col("probability")).alias("minus")))
+    kept = one.unionByName(two).groupBy("members").agg(first.alias("c"))
+    return kept.select("members", "c.source", "c.platforms", (-F.col("c.minus")).alias("probability"))
+
+
 def phash_pairs(images: DataFrame, bits: int = 4, bands: int = 6) -> DataFrame:
     """Pairs a < b of 64-bit hashes that differ in at most ``bits`` bits (JN-12), with their distance.
 
