@@ -379,6 +379,60 @@ def rule_category(text: Column) -> Column:
     return F.when(best["hits"] >= 2, best["name"]).otherwise(F.lit("UNKNOWN"))
 
 
+def impersonated(text: Column) -> Column:
+    """The first organisation that a text names, where it also has a scam context, else an empty string (DM-4)."""
+    low = F.lower(text)
+    named = first_match([(who, F.coalesce(low.contains(word), F.lit(False))) for word, who in X.IMPERSONATION], "")
+    return F.when(any_word(text, X.SCAM_CONTEXT), named).otherwise(F.lit(""))
+
+
+def financial_promise(text: Column) -> Column:
+    """What the first pattern of promises finds in the lower-cased text, at most 80 characters, else an empty string (DM-4)."""
+    low = F.lower(text)
+    found = [F.nullif(F.regexp_extract(low, p, 0), F.lit("")) for p in X.FINANCIAL_PROMISES]
+    return F.substring(F.coalesce(*found, F.lit("")), 1, 80)
+
+
+def campaign_name(text: Column) -> Column:
+    """Name of a campaign by the first family of words, with the first place that the text names (DM-13)."""
+    low = F.lower(text)
+    place = F.initcap(F.regexp_extract(low, X.PLACES, 1))
+    return F.concat(first_match([(n, low.rlike(p)) for n, p in X.CAMPAIGN_NAMES], "Unidentified Scam Network"), F.when(place != "", F.concat(F.lit(" — "), place)).otherwise(F.lit("")))
+
+
+def phone_numbers(text: Column, in_words: Column | None = None) -> Column:
+    """Numbers of every format as (normalized, format_type, confidence), the first format that finds one names it (SF-5).
+
+    ``in_words``: numbers written as words (:func:`vigilspark.functions.udfs.word_form_phones`), a
+    format that takes an Arrow function.
+    """
+
+    def tagged(values: Column, kind: str, confidence: float) -> Column:
+        return F.transform(values, lambda x: F.struct(x.alias("normalized"), F.lit(kind).alias("format_type"), F.lit(confidence).alias("confidence")))
+
+    coded = lambda values: F.transform(values, lambda x: F.concat(F.lit("+91-"), x))
+    standard = F.filter(F.transform(_all(text, X.PHONE), lambda x: normalised_phone(x)), lambda x: x != "")
+    spoken = F.array().cast("array<string>") if in_words is None else in_words
+    every = F.concat(
+        tagged(standard, "STANDARD", 1.0), tagged(coded(whatsapp_phones(text)), "WHATSAPP_LINK", 1.0), tagged(coded(disguised_phones(text)), "DISGUISED", 0.7),
+        tagged(coded(spoken), "WORD_FORM", 0.6),
+    )
+    seen = F.transform(every, lambda p: p["normalized"])
+    return F.filter(every, lambda p, i: F.array_position(seen, p["normalized"]) == i + 1)
+
+
+def indicators(phones: Column, upis: Column, urls: Column) -> Column:
+    """What a classified text shows, as sentences with counts (RM-8)."""
+    told = [("Phone numbers", phones), ("UPI IDs", upis), ("Suspicious URLs", urls)]
+    return F.array_compact(F.array(*[F.when(n > 0, F.concat(F.lit(f"{label} detected: "), n.cast("string"))) for label, n in told]))
+
+
+def sms_text(severity: Column, campaign: Column, trigger: Column, action: Column) -> Column:
+    """An alert of at most 160 characters (RM-27)."""
+    lines = F.concat(F.lit("["), severity, F.lit("] "), campaign, F.lit("\n"), F.substring(trigger, 1, 80), F.lit("\nAction: "), F.substring(action, 1, 60))
+    return F.substring(lines, 1, 160)
+
+
 def intent(text: Column) -> Column:
     """(category, confidence, urgency) of a text by its most confident reading (DM-19); earlier readings win ties."""
     celebrity = any_word(text, X.CELEBRITY_WORDS)

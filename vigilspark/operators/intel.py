@@ -23,7 +23,7 @@ def evidence_items(blocked: DataFrame, shared: DataFrame, features: DataFrame, c
 
     ``blocked`` (channel, value); ``shared`` (channel, entity_type, value, n_channels);
     ``features`` (channel, deletion_rate, backup_mentions, urgency_share);
-    ``content`` (channel, impersonated, promise, category).
+    ``content`` of :func:`content_marks`.
     """
 
     def items(df: DataFrame, kind: str, source: str, value: Column, strength: Column) -> DataFrame:
@@ -37,7 +37,7 @@ def evidence_items(blocked: DataFrame, shared: DataFrame, features: DataFrame, c
         items(features.where("backup_mentions > 0"), "BACKUP_CHANNEL_MENTION", "text_analysis", F.col("backup_mentions"), F.lit("MODERATE")),
         items(features.where("urgency_share > 0.15"), "URGENCY_PRESSURE", "text_analysis", F.col("urgency_share"), F.lit("CIRCUMSTANTIAL")),
         items(content.where("impersonated <> ''"), "IMPERSONATION_DETECTED", "text_pattern_match", F.col("impersonated"), F.lit("MODERATE")),
-        items(content.where("promise"), "FINANCIAL_PROMISE", "text_pattern_match", F.lit("promise"), F.lit("WEAK")),
+        items(content.where("promise <> ''"), "FINANCIAL_PROMISE", "text_pattern_match", F.col("promise"), F.lit("WEAK")),
         items(content.where("category <> 'UNKNOWN'"), "SCAM_CATEGORY_MATCH", "rule_based_classifier", F.col("category"), F.lit("CIRCUMSTANTIAL")),
     ]
     out = parts[0]
@@ -46,6 +46,45 @@ def evidence_items(blocked: DataFrame, shared: DataFrame, features: DataFrame, c
     return out
 
 
+def content_marks(texts: DataFrame, first: int = 200) -> DataFrame:
+    """(channel, impersonated, promise, category) of the first posts of each channel, read as one text (DM-4).
+
+    ``texts``: (channel, message_id, text).  The rank keeps ``first`` posts a channel before
+    they are joined, so no row grows with a channel.  Null texts count as empty.
+    """
+    from vigilspark.functions import text as T
+
+    rank = F.row_number().over(W.partitionBy("channel").orderBy("message_id", "text"))
+    held = texts.withColumn("nth", rank).where(F.col("nth") <= first)
+    posts = F.array_sort(F.collect_list(F.struct("nth", F.coalesce(F.lower("text"), F.lit("")).alias("text"))))
+    joined = held.groupBy("channel").agg(F.array_join(F.transform(posts, lambda p: p["text"]), " ").alias("text"))
+    t = F.col("text")
+    return joined.select("channel", T.impersonated(t).alias("impersonated"), T.financial_promise(t).alias("promise"), T.rule_category(t).alias("category"))
+
+
+def freeze_requests(events: DataFrame) -> DataFrame:
+    """State of freeze requests from their events (DM-28): PENDING, then SUBMITTED or REJECTED by the last answer.
+
+    ``events``: (request_id, upi, kind CREATE or SUBMIT, accepted, reference, ts), any order.  A
+    submission before its creation, or of a request never created, changes nothing and is counted.
+    Aggregates only, so a request with many events is never one list.
+    """
+    created = events.where("kind = 'CREATE'").groupBy("request_id").agg(F.min_by("upi", F.struct("ts", "upi")).alias("upi"), F.min("ts").alias("created_at"))
+    answers = events.where("kind = 'SUBMIT'").join(created.select("request_id", "created_at"), "request_id", "left")
+    valid = F.col("ts") >= F.col("created_at")
+    order = F.when(valid, F.struct("ts", "accepted", "reference"))
+    last = answers.groupBy("request_id").agg(F.max(order).alias("last"), F.count_if(~F.coalesce(valid, F.lit(False))).alias("refused"))
+    joined = created.join(last, "request_id", "full")
+    status = (
+        F.when(F.col("created_at").isNull(), "NOT_FOUND").when(F.col("last").isNull(), "PENDING").when(F.col("last.accepted"), "SUBMITTED").otherwise("REJECTED")
+    )
+    sent = status == "SUBMITTED"
+    return joined.select(
+        "request_id", "upi", status.alias("status"), "created_at", F.when(sent, F.col("last.ts")).alias("submitted_at"),
+        F.when(sent, F.col("last.reference")).otherwise("").alias("reference"), F.coalesce("refused", F.lit(0)).alias("refused"),
+    )
+
+
 def confidence(channels: DataFrame, items: DataFrame) -> DataFrame:
     """Confidence of a channel's assessment (DM-6, AG-25, AG-26).
 

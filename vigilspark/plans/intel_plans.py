@@ -14,6 +14,7 @@ from vigilspark.operators import intel as I
 from vigilspark.operators import linking as L
 from vigilspark.plans.link_plans import BLOCKED, blocklist
 from vigilspark.plans.testbed import CHANNEL_ENTITIES, ENTITIES, POSTS, TEXTS, channel_entities, channel_posts, channel_texts, entities, read, sql_any
+from vigilspark.plans.text_plans import CLAIMS, claims, rule_hits_sql
 
 QUERIES, ORACLE = {}, {}
 
@@ -28,6 +29,26 @@ def query(sql: str | None = None):
     return add
 
 
+def channel_claims(spark, sf_dir):
+    """Posts of channels with words of every family: the claims, by author."""
+    return claims(spark, sf_dir).select(F.col("author").alias("channel"), F.col("id").alias("message_id"), "text")
+
+
+_PROMISE = ", ".join(f"nullif(regexp_extract(text, '{p}', 0), '')" for p in X.FINANCIAL_PROMISES)
+MARKS = f"""{CLAIMS}, numbered AS (SELECT author AS channel, id, text, row_number() OVER (PARTITION BY author ORDER BY id, text) AS nth FROM claims),
+  told AS (SELECT channel, string_agg(lower(text), ' ' ORDER BY nth) AS text FROM numbered WHERE nth <= 200 GROUP BY 1),
+  rules AS (SELECT channel, text, {", ".join(f"{rule_hits_sql(p)} AS h{k}" for k, (_, p) in enumerate(X.RULE_PATTERNS))} FROM told),
+  marks AS (SELECT channel, CASE WHEN NOT {sql_any('text', X.SCAM_CONTEXT)} THEN '' {" ".join(f"WHEN contains(text, '{w}') THEN '{who}'" for w, who in X.IMPERSONATION)} ELSE '' END AS impersonated,
+    substr(coalesce({_PROMISE}, ''), 1, 80) AS promise, CASE WHEN greatest({", ".join(f"h{k}" for k in range(len(X.RULE_PATTERNS)))}) < 2 THEN 'UNKNOWN'
+    {" ".join(f"WHEN h{k} = greatest({', '.join(f'h{j}' for j in range(len(X.RULE_PATTERNS)))}) THEN '{n}'" for k, (n, _) in enumerate(X.RULE_PATTERNS))} END AS category FROM rules)"""
+
+
+@query(f"WITH {MARKS} SELECT * FROM marks")
+def content_marks(spark, sf_dir):
+    """Impersonation, promise and category of channels from their texts (DM-4)."""
+    return I.content_marks(channel_claims(spark, sf_dir))
+
+
 def _items(spark, sf_dir):
     ce = channel_entities(spark, sf_dir)
     blocked = L.blocklist_exact(ce, blocklist(spark, sf_dir)).select("channel", "value")
@@ -35,14 +56,11 @@ def _items(spark, sf_dir):
     shared = ce.join(held, ["entity_type", "value"])
     texts = B.text_features(channel_texts(spark, sf_dir), X.URGENCY_EVIDENCE, X.BACKUP_EVIDENCE, X.EMOJI, first=100).select("channel", "backup_mentions", "urgency_share")
     features = B.counters(channel_posts(spark, sf_dir)).select("channel", "deletion_rate").join(texts, "channel", "full")
-    c = F.col("channel")
-    content = ce.select("channel").distinct().select(
-        "channel", F.when(c % 5 == 0, "State Bank of India").otherwise("").alias("impersonated"), (c % 4 == 1).alias("promise"), F.when(c % 3 == 0, "JOB_SCAM").otherwise("UNKNOWN").alias("category")
-    )
+    content = I.content_marks(channel_claims(spark, sf_dir))
     return I.evidence_items(blocked, shared, features, content)
 
 
-ITEMS = f"""{CHANNEL_ENTITIES}, {BLOCKED}, {POSTS}, {TEXTS}, held AS (SELECT entity_type, value, count(*) AS n FROM channel_entities GROUP BY 1, 2 HAVING count(*) >= 2),
+ITEMS = f"""{CHANNEL_ENTITIES}, {BLOCKED}, {POSTS}, {TEXTS}, {MARKS}, held AS (SELECT entity_type, value, count(*) AS n FROM channel_entities GROUP BY 1, 2 HAVING count(*) >= 2),
   firsts AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY message_id) AS k FROM texts),
   tf AS (SELECT channel, count(*) FILTER (WHERE {sql_any('text', X.BACKUP_EVIDENCE)}) AS bak, round(avg(CAST({sql_any('text', X.URGENCY_EVIDENCE)} AS INTEGER)), 4) AS urg FROM firsts WHERE k <= 100 GROUP BY 1),
   del AS (SELECT channel, CASE WHEN count(nullif(message_id, 0)) < 2 THEN 0.0 ELSE round(1 - count(nullif(message_id, 0)) / (max(nullif(message_id, 0)) - min(nullif(message_id, 0)) + 1), 4) END AS d FROM posts GROUP BY 1),
@@ -52,9 +70,9 @@ ITEMS = f"""{CHANNEL_ENTITIES}, {BLOCKED}, {POSTS}, {TEXTS}, held AS (SELECT ent
     UNION ALL SELECT channel, 'DELETION_PATTERN', 'message_id_analysis', CAST(d AS VARCHAR), 'WEAK' FROM del WHERE d > 0.3
     UNION ALL SELECT channel, 'BACKUP_CHANNEL_MENTION', 'text_analysis', CAST(bak AS VARCHAR), 'MODERATE' FROM tf WHERE bak > 0
     UNION ALL SELECT channel, 'URGENCY_PRESSURE', 'text_analysis', CAST(urg AS VARCHAR), 'CIRCUMSTANTIAL' FROM tf WHERE urg > 0.15
-    UNION ALL SELECT channel, 'IMPERSONATION_DETECTED', 'text_pattern_match', 'State Bank of India', 'MODERATE' FROM chans WHERE channel % 5 = 0
-    UNION ALL SELECT channel, 'FINANCIAL_PROMISE', 'text_pattern_match', 'promise', 'WEAK' FROM chans WHERE channel % 4 = 1
-    UNION ALL SELECT channel, 'SCAM_CATEGORY_MATCH', 'rule_based_classifier', 'JOB_SCAM', 'CIRCUMSTANTIAL' FROM chans WHERE channel % 3 = 0)"""
+    UNION ALL SELECT channel, 'IMPERSONATION_DETECTED', 'text_pattern_match', impersonated, 'MODERATE' FROM marks WHERE impersonated <> ''
+    UNION ALL SELECT channel, 'FINANCIAL_PROMISE', 'text_pattern_match', promise, 'WEAK' FROM marks WHERE promise <> ''
+    UNION ALL SELECT channel, 'SCAM_CATEGORY_MATCH', 'rule_based_classifier', category, 'CIRCUMSTANTIAL' FROM marks WHERE category <> 'UNKNOWN')"""
 
 
 @query(f"WITH {ITEMS} SELECT * FROM items")

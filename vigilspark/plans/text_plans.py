@@ -165,11 +165,11 @@ def heuristic_classify(spark, sf_dir):
     return claims(spark, sf_dir).select("id", T.heuristic_label(F.col("text")).alias("label"))
 
 
-def _hits_sql(patterns):
+def rule_hits_sql(patterns):
     return " + ".join(f"CAST(regexp_matches(lower(text), {_re(p)}) AS INTEGER)" for p in patterns)
 
 
-@query(f"""WITH {CLAIMS}, h AS (SELECT id, {", ".join(f"{_hits_sql(p)} AS h{k}" for k, (_, p) in enumerate(X.RULE_PATTERNS))} FROM claims),
+@query(f"""WITH {CLAIMS}, h AS (SELECT id, {", ".join(f"{rule_hits_sql(p)} AS h{k}" for k, (_, p) in enumerate(X.RULE_PATTERNS))} FROM claims),
   b AS (SELECT *, greatest({", ".join(f"h{k}" for k in range(len(X.RULE_PATTERNS)))}) AS best FROM h)
   SELECT id, CASE WHEN best < 2 THEN 'UNKNOWN' {" ".join(f"WHEN h{k} = best THEN '{n}'" for k, (n, _) in enumerate(X.RULE_PATTERNS))} END AS category FROM b""")
 def rule_category(spark, sf_dir):
@@ -244,13 +244,19 @@ def intent_analysis(spark, sf_dir):
     return found.select("id", "i.category", "i.confidence", "i.urgency")
 
 
-@query(f"""WITH {CLAIMS} SELECT id, {_case([(f"'{n}'", f"regexp_matches(lower(text), {_re(p)})") for n, p in X.CAMPAIGN_NAMES], "'Unidentified Scam Network'")} AS name,
-    {_case([(f"'{n}'", f"regexp_matches(lower(text), {_re(p)})") for n, p in X.CAMPAIGN_CATEGORIES], "'Other'")} AS category FROM claims""")
+SITED = f"""{CLAIMS}, sited AS (SELECT id, text || ' in ' || (['Delhi', 'jamtara', 'Noida', 'nowhere', 'delhigate'])[CAST(author % 5 AS INTEGER) + 1] AS text FROM claims)"""
+
+
+@query(f"""WITH {SITED}, g AS (SELECT *, regexp_extract(lower(text), {_re(X.PLACES)}, 1) AS place FROM sited)
+  SELECT id, {_case([(f"'{n}'", f"regexp_matches(lower(text), {_re(p)})") for n, p in X.CAMPAIGN_NAMES], "'Unidentified Scam Network'")}
+    || CASE WHEN place <> '' THEN ' — ' || upper(substr(place, 1, 1)) || substr(place, 2) ELSE '' END AS name,
+    {_case([(f"'{n}'", f"regexp_matches(lower(text), {_re(p)})") for n, p in X.CAMPAIGN_CATEGORIES], "'Other'")} AS category FROM g""")
 def campaign_naming(spark, sf_dir):
-    """Campaign name and category by pattern (DM-13)."""
-    low = F.lower("text")
-    name = T.first_match([(n, low.rlike(p)) for n, p in X.CAMPAIGN_NAMES], "Unidentified Scam Network")
-    return claims(spark, sf_dir).select("id", name.alias("name"), T.first_match([(n, low.rlike(p)) for n, p in X.CAMPAIGN_CATEGORIES], "Other").alias("category"))
+    """Campaign name with its place, and category, by pattern (DM-13)."""
+    places = F.array(*[F.lit(p) for p in ("Delhi", "jamtara", "Noida", "nowhere", "delhigate")])
+    text = F.concat("text", F.lit(" in "), F.get(places, (F.col("author") % 5).cast("int")))
+    low = F.lower(text)
+    return claims(spark, sf_dir).select("id", T.campaign_name(text).alias("name"), T.first_match([(n, low.rlike(p)) for n, p in X.CAMPAIGN_CATEGORIES], "Other").alias("category"))
 
 
 @query(f"""WITH p AS (SELECT c_custkey AS id, CAST(6000000000 + c_custkey * 1999993 % 3999999999 AS VARCHAR) AS n FROM customer)
