@@ -85,6 +85,24 @@ def freeze_requests(events: DataFrame) -> DataFrame:
     )
 
 
+def top_with_items(groups: DataFrame, order: list[Column], n: int, items: DataFrame, key: str, item_order: list[Column], item: str, k: int) -> DataFrame:
+    """The first ``n`` groups, each with its first ``k`` items in ``items`` (SO-4, SO-6, SO-10, SO-11).
+
+    The chosen groups are at most ``n`` rows, so items are cut to them before they are ranked.
+    """
+    top = groups.orderBy(*order).limit(n)
+    ranked = items.join(F.broadcast(top.select(key)), key).withColumn("nth", F.row_number().over(W.partitionBy(key).orderBy(*item_order))).where(F.col("nth") <= k)
+    listed = ranked.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", item))), lambda x: x[item]).alias("items"))
+    return top.join(listed, key, "left")
+
+
+def feed_rows(posts: DataFrame, length: int = 200) -> DataFrame:
+    """Posts as rows of a feed with previews of their texts (RM-29); null texts are empty."""
+    return posts.select(
+        "id", F.substring(F.coalesce("text", F.lit("")), 1, length).alias("raw_text"), F.lit("").alias("image_text"), F.concat(F.lit("post-"), F.col("id").cast("string")).alias("record_id")
+    )
+
+
 def confidence(channels: DataFrame, items: DataFrame) -> DataFrame:
     """Confidence of a channel's assessment (DM-6, AG-25, AG-26).
 
