@@ -1,5 +1,7 @@
 """Extraction and classification on hand-made texts."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +101,20 @@ def test_name_similarity(spark):
     assert name_similarity("@Quick_Money.1", "quickmoney22") == 1.0 and name_similarity("abc", "xyz") == 0.0
     df = spark.createDataFrame([("ab", "abc")], "a string, b string")
     assert df.select(username_similarity("a", "b").alias("x")).first()["x"] == pytest.approx(0.8)
+
+
+def test_needed_literals():
+    """Every rule pattern has its literal, and no match of a pattern lacks it."""
+    from vigilspark.functions import fixed as X
+
+    assert T.needed_literal(r"\bcongratulations?\s+you\s+won\b") == "congratulation" and T.needed_literal(r"\ba|b\b") == ""
+    assert T.needed_literal(r"\b\d+%\s*(?:return|profit)\b") == "%" and T.needed_literal(r"[ab]c") == "" and T.needed_literal("abc{2}d") == ""
+    words = ["investment", "investing", "guaranteed return", "double your money", "double money", "stock tip", "stock tips", "mutual fund", "share market", "forex trading",
+             "crypto profits", "ponzi", "zero risk", "monthly income", "paisa dugna", "pakka munafa", "20% profit", "betting tip", "cricket prediction", "ipl toss", "satta matka",
+             "match fixing", "toss winner", "casino online", "win big money", "digital arrest", "cbi officer", "enforcement directorate", "ed notice", "arrest warrant", "court order",
+             "fir registered", "customer care", "helpline number", "kyc update", "account blocked", "toll free", "bank alert", "trai notice", "work from home", "part time job",
+             "online job", "typing job", "data entry job", "earn daily", "registration fee", "lottery winner", "lucky draw", "kbc winner", "prize money", "congratulation you won",
+             "congratulations you won", "claim your prize", "claim prize", "whatsapp lottery", "instant loan", "loan approved", "loan app", "no document loan", "advance fee", "processing fee"]
+    patterns = [p for _, group in X.RULE_PATTERNS for p in group]
+    assert all(any(re.search(p, w) for w in words) for p in patterns)
+    assert all(T.needed_literal(p) and T.needed_literal(p) in w for p in patterns for w in words if re.search(p, w))
