@@ -320,3 +320,33 @@ def test_intent_and_rules(spark):
     assert run(T.domain_risk, "win-money.example", 10, True, "US") == 90
     assert run(T.ocr_postfix, "call  +91 9876543211  pay a @ ybl https : / / x.y") == "call +91-9876543211 pay a@ybl https:// x.y"
     assert run(T.image_type, 2.0, 10, 10, 500, 0, 0, 0.0, 0.0, 0) == "SCREENSHOT"
+
+
+def test_freeze_requests(spark):
+    d = lambda k: datetime(2024, 1, k)
+    rows = [
+        ("r1", "a@ybl", "CREATE", None, None, d(2)), ("r1", None, "SUBMIT", True, "early", d(1)), ("r1", None, "SUBMIT", False, None, d(3)), ("r1", None, "SUBMIT", True, "ok", d(4)),
+        ("r2", "b@ybl", "CREATE", None, None, d(2)), ("r3", "c@ybl", "CREATE", None, None, d(2)), ("r3", None, "SUBMIT", False, None, d(2)), ("r4", None, "SUBMIT", True, "x", d(2)),
+    ]
+    events = spark.createDataFrame(rows, "request_id string, upi string, kind string, accepted boolean, reference string, ts timestamp")
+    got = {r["request_id"]: (r["status"], r["reference"], r["refused"]) for r in I.freeze_requests(events).collect()}
+    assert got == {"r1": ("SUBMITTED", "ok", 1), "r2": ("PENDING", "", 0), "r3": ("REJECTED", "", 0), "r4": ("NOT_FOUND", "", 1)}
+    assert I.freeze_requests(events.where("false")).count() == 0
+
+
+def test_content_marks(spark):
+    rows = [(1, 2, "Double your"), (1, 1, "SBI account blocked, call now"), (1, 3, "money"), (2, 1, "sbi results are out"), (3, 1, None)]
+    got = {r["channel"]: (r["impersonated"], r["promise"], r["category"]) for r in I.content_marks(spark.createDataFrame(rows, "channel long, message_id long, text string")).collect()}
+    assert got == {1: ("State Bank of India", "double your money", "UNKNOWN"), 2: ("", "", "UNKNOWN"), 3: ("", "", "UNKNOWN")}
+
+
+def test_phone_numbers(spark):
+    """The standard pattern takes a country code, so it also finds the number of a chat link, and comes first."""
+    from vigilspark.functions import text as T
+
+    got = one(spark, T.phone_numbers(F.lit("9876543210 wa.me/919876543210 wa.me/918888888888 98+OO+12+34+56"), F.array(F.lit("9000000001"), F.lit("8888888888"))))
+    assert [(p["normalized"], p["format_type"], p["confidence"]) for p in got] == [
+        ("+91-9876543210", "STANDARD", 1.0), ("+91-8888888888", "STANDARD", 1.0), ("+91-9800123456", "DISGUISED", 0.7), ("+91-9000000001", "WORD_FORM", 0.6),
+    ]
+    assert one(spark, T.sms_text(F.lit("HIGH"), F.lit("c"), F.lit("t" * 99), F.lit("a" * 99))) == "[HIGH] c\n" + "t" * 80 + "\nAction: " + "a" * 60
+    assert one(spark, T.campaign_name(F.lit("lottery in NOIDA"))) == "Lottery Scam Network — Noida"

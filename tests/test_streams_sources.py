@@ -99,3 +99,21 @@ def test_landing_source(spark, tmp_path):
     got = {r["post_id"]: r for r in spark.read.format("landing").load(str(tmp_path)).collect()}
     assert set(got) == {"1", "3", "4"} and len(got["1"]["caption_text"]) == 2000
     assert [r["post_id"] for r in spark.read.format("landing").option("keywords", "invest").load(str(tmp_path)).collect()] == ["1"]
+
+
+def test_result_sinks(spark, tmp_path):
+    from vigilspark.sources import files as S
+
+    prints = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [1.0, 2.0]), ("b", None)], "channel string, vector array<double>")
+    S.write_by_channel(prints, str(tmp_path / "prints"))
+    back = S.read_by_channel(spark, str(tmp_path / "prints"), "channel string, vector array<double>")
+    assert sorted((r["channel"], r["vector"]) for r in back.collect() if r["vector"]) == [("a", [1.0, 2.0])] * 2 and back.count() == 3
+    acts = spark.createDataFrame([(1, "BLOCK"), (2, "BLOCK"), (3, "NONE")], "channel long, final_action string")
+    S.write_recommendations(acts, str(tmp_path / "rec"))
+    assert {r["final_action"]: r["n"] for r in spark.read.json(str(tmp_path / "rec" / "actions")).collect()} == {"BLOCK": 2, "NONE": 1}
+    S.write_attribution(spark.createDataFrame([(1, 2, 0.3), (1, 3, 0.9)], "a long, b long, probability double").coalesce(1), str(tmp_path / "att"))
+    assert [r["b"] for r in spark.read.parquet(str(tmp_path / "att")).collect()] == [3, 2]
+    (tmp_path / "ocr").mkdir()
+    for k in range(3):
+        (tmp_path / "ocr" / f"{k}.json").write_text('{"image": "i%d", "text": "t%d"}' % (k, k))
+    assert [r["image"] for r in S.ocr_texts(spark, str(tmp_path / "ocr"), 2).collect()] == ["i0", "i1"]

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from vigilspark.functions import fixed as X
 
 
-def _all(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.array().cast("array<string>"))
+def _all(text: Column, pattern: str, group: int = 0, needs: str = "") -> Column:
+    """All matches; ``needs`` is a string that every match holds, and a text without it is not searched."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    return F.coalesce(F.when(text.contains(needs), found) if needs else found, F.array().cast("array<string>"))
 
 
 def _sorted_set(values: Column) -> Column:
@@ -86,40 +88,40 @@ def disguised_phones(text: Column) -> Column:
 
 
 def whatsapp_phones(text: Column) -> Column:
-    return _sorted_set(F.filter(_all(text, X.PHONE_WHATSAPP, 1), lambda x: x.rlike("^[6-9]")))
+    return _sorted_set(F.filter(_all(text, X.PHONE_WHATSAPP, 1, "/"), lambda x: x.rlike("^[6-9]")))
 
 
 def upis(text: Column) -> Column:
     """Payment addresses without mail providers, handles of at most ten letters (SF-6)."""
-    found = F.transform(_all(text, X.UPI), lambda x: F.lower(x))
+    found = F.transform(_all(text, X.UPI, needs="@"), lambda x: F.lower(x))
     keep = F.filter(found, lambda x: (~x.rlike("|".join(X.MAIL_PROVIDERS))) & (F.length(F.split_part(x, F.lit("@"), F.lit(2))) <= 10))
     return _sorted_set(keep)
 
 
 def urls(text: Column) -> Column:
     """Links and short links, punctuation stripped at both ends, longer than eight characters (SF-7)."""
-    bare = F.transform(_all(text, X.URL), lambda x: F.regexp_replace(x, "^[.,;:!?)\\]}>\"']+|[.,;:!?)\\]}>\"']+$", ""))
+    bare = F.transform(_all(text, X.URL, needs="/"), lambda x: F.regexp_replace(x, "^[.,;:!?)\\]}>\"']+|[.,;:!?)\\]}>\"']+$", ""))
     return _sorted_set(F.filter(bare, lambda x: F.length(x) > 8))
 
 
 def telegram_links(text: Column) -> Column:
-    links = F.transform(_all(text, X.TELEGRAM_LINK, 1), lambda x: F.concat(F.lit("t.me/"), x))
-    names = F.filter(_all(text, X.TELEGRAM_MENTION, 1), lambda x: ~F.lower(x).isin("gmail", "yahoo", "hotmail", "email"))
+    links = F.transform(_all(text, X.TELEGRAM_LINK, 1, "/"), lambda x: F.concat(F.lit("t.me/"), x))
+    names = F.filter(_all(text, X.TELEGRAM_MENTION, 1, "@"), lambda x: ~F.lower(x).isin("gmail", "yahoo", "hotmail", "email"))
     return _sorted_set(F.concat(links, F.transform(names, lambda x: F.concat(F.lit("@"), x))))
 
 
 def whatsapp_groups(text: Column) -> Column:
-    return _sorted_set(F.transform(_all(text, X.WHATSAPP_GROUP, 1), lambda x: F.concat(F.lit("chat.whatsapp.com/"), x)))
+    return _sorted_set(F.transform(_all(text, X.WHATSAPP_GROUP, 1, "/"), lambda x: F.concat(F.lit("chat.whatsapp.com/"), x)))
 
 
 def bank_accounts(text: Column) -> Column:
     """Numbers of 9 to 18 digits whose tenth digit from the end is not 6-9, where a banking word occurs (SF-10)."""
     found = F.filter(_all(text, X.BANK_ACCOUNT, 1), lambda x: ~F.right(x, F.lit(10)).rlike("^[6-9]"))
-    return F.when(text.rlike(X.BANK_WORDS), _sorted_set(found)).otherwise(F.array().cast("array<string>"))
+    return F.when(text.rlike("[0-9]{9}") & text.rlike(X.BANK_WORDS), _sorted_set(found)).otherwise(F.array().cast("array<string>"))
 
 
 def ifsc_codes(text: Column) -> Column:
-    return _sorted_set(_all(text, X.IFSC))
+    return _sorted_set(_all(text, X.IFSC, needs="0"))
 
 
 def amounts(text: Column) -> Column:
@@ -154,7 +156,7 @@ def parse_entities(text: Column) -> Column:
 
 def complaint_entities(text: Column) -> Column:
     """Typed entities of a complaint in order of type and occurrence, distinct (SF-16)."""
-    upi = F.filter(_all(text, r"[a-zA-Z0-9._-]+@[a-zA-Z]{2,10}"), lambda x: ~x.rlike(r"\.(com|in|org|gov|net)$"))
+    upi = F.filter(_all(text, r"[a-zA-Z0-9._-]+@[a-zA-Z]{2,10}", needs="@"), lambda x: ~x.rlike(r"\.(com|in|org|gov|net)$"))
     parts = [
         ("PHONE", _all(text, r"(?:\+91[-\s]?)?[6-9]\d{9}")), ("UPI", upi), ("URL", _all(text, r"https?://[^\s<>\"']+")),
         ("TELEGRAM", _all(text, r"t\.me/[a-zA-Z0-9_]+")), ("SOCIAL", _all(text, r"@[a-zA-Z0-9_.]{3,30}")),

@@ -397,4 +397,4 @@ def cleaned_texts(spark, sf_dir):
 @query()
 def parsed_entities(spark, sf_dir):
     """All entity arrays of each text in one struct (SF-14)."""
-    return channel_texts(spark, sf_dir).select("message_id", T.parse_entities(F.col("text")).alias("e")).select("message_id", "e.*").drop("promises")
+    return channel_texts(spark, sf_dir).select("message_id", T.parse_entities(F.col("text")).alias("e")).select("message_id", "e.*")

@@ -84,6 +84,36 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_by_channel(df: DataFrame, path: str, channel: str = "channel") -> None:
+    """Rows as JSON in one folder for each channel (SC-8, SC-33): fingerprints and evidence packages.
+
+    Rows stay in their partitions, so a channel with most rows has many writers.
+    """
+    df.write.mode("append").partitionBy(channel).json(path)
+
+
+def read_by_channel(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What :func:`write_by_channel` wrote, the channel from the folder (SC-8)."""
+    return spark.read.schema(schema).json(path)
+
+
+def write_recommendations(recommended: DataFrame, path: str) -> None:
+    """Recommendations and the count of each action as two JSON tables below ``path`` (SC-9)."""
+    recommended.write.mode("overwrite").json(f"{path}/recommendations")
+    recommended.groupBy("final_action").agg(F.count("*").alias("n")).coalesce(1).write.mode("overwrite").json(f"{path}/actions")
+
+
+def write_attribution(pairs: DataFrame, path: str) -> None:
+    """Attribution pairs as Parquet, sorted by probability within each file, so that readers skip weak ones (SC-10, SO-6)."""
+    pairs.sortWithinPartitions(F.desc("probability"), "a", "b").write.mode("overwrite").parquet(path)
+
+
+def ocr_texts(spark: SparkSession, path: str, limit: int = 20) -> DataFrame:
+    """Recognised texts of a cache folder of JSON files, at most ``limit`` by path (SC-33)."""
+    rows = spark.read.schema("image string, text string").option("multiLine", True).json(path)
+    return rows.select("image", "text", F.col("_metadata.file_path").alias("path")).where("text is not null").orderBy("path").limit(limit)
+
+
 def recent(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     """The last ``n`` rows, newest first (SC-16, SO-8, RM-5)."""
     return df.orderBy(*order).limit(n)
