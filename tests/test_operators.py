@@ -344,7 +344,7 @@ def test_phone_numbers(spark):
     """The standard pattern takes a country code, so it also finds the number of a chat link, and comes first."""
     from vigilspark.functions import text as T
 
-    got = one(spark, T.phone_numbers(F.lit("9876543210 wa.me/919876543210 wa.me/918888888888 98+OO+12+34+56"), F.array(F.lit("9000000001"), F.lit("8888888888"))))
+    got = one(spark, T.phone_numbers(F.lit("9876543210 wa.me/919876543210 wa.me/918888888888 and 98+OO+12+34+56"), F.array(F.lit("9000000001"), F.lit("8888888888"))))
     assert [(p["normalized"], p["format_type"], p["confidence"]) for p in got] == [
         ("+91-9876543210", "STANDARD", 1.0), ("+91-8888888888", "STANDARD", 1.0), ("+91-9800123456", "DISGUISED", 0.7), ("+91-9000000001", "WORD_FORM", 0.6),
     ]
