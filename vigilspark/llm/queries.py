@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vigilspark.llm import lang_id, quality
 from vigilspark.llm.bpe_codec import bpe_round_trip, encode_decode_digest
 from vigilspark.llm.common import crc_remainder
+from vigilspark.llm.conversations import damaged, repair_conversations
 from vigilspark.llm.decontam import contamination
 from vigilspark.llm.line_dedup import line_dedup
 from vigilspark.llm.lm import interpolated_scores
@@ -93,6 +94,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, live = damaged(table(spark, sf_dir, "conversations"))
+    return repair_conversations(rows, live=live)
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -104,6 +110,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_lm_scores": op9_lm_scores,
     "op10_quality": op10_quality,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 ORACLE = {
