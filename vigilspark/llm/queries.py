@@ -13,6 +13,7 @@ from vigilspark.llm.decontam import contamination
 from vigilspark.llm.line_dedup import line_dedup
 from vigilspark.llm.lm import interpolated_scores
 from vigilspark.llm.pii import pseudonymise
+from vigilspark.llm.runs import damage_cycle, run_digests, word_runs
 from vigilspark.llm.simhash import simhash_components
 from vigilspark.llm.token_counts import token_counts
 from vigilspark.llm.vectors import near_duplicate_vectors
@@ -99,6 +100,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(rows, live=live)
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(word_runs(table(spark, sf_dir, "documents"), cycle=damage_cycle))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -111,6 +116,7 @@ QUERIES = {
     "op9_lm_scores": op9_lm_scores,
     "op10_quality": op10_quality,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE = {
