@@ -13,6 +13,7 @@ from vigilspark.llm.decontam import contamination
 from vigilspark.llm.line_dedup import line_dedup
 from vigilspark.llm.lm import interpolated_scores
 from vigilspark.llm.pii import pseudonymise
+from vigilspark.llm.repeats import without_repeats
 from vigilspark.llm.runs import damage_cycle, run_digests, word_runs
 from vigilspark.llm.simhash import simhash_components
 from vigilspark.llm.token_counts import token_counts
@@ -21,6 +22,7 @@ from vigilspark.llm.vectors import near_duplicate_vectors
 CONTEXT_TOKENS = 1024
 LM_ORDER = 3
 PREDICT_AT = 0.7
+REPEAT_BYTES = 50
 #: A key for the registered query; production passes its own secret.
 SURROGATE_KEY = b"example key of the registered query"
 
@@ -104,6 +106,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(word_runs(table(spark, sf_dir, "documents"), cycle=damage_cycle))
 
 
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = without_repeats(table(spark, sf_dir, "documents"), width=REPEAT_BYTES)
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -117,6 +124,7 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_repeats": op13_repeats,
 }
 
 ORACLE = {
@@ -134,6 +142,19 @@ WITH RECURSIVE usable AS (
 links AS (SELECT a AS node, count(*) AS n FROM pairs GROUP BY a)
 SELECT e.vec_id, coalesce(l.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
 FROM embeddings e JOIN components c ON c.node = e.vec_id LEFT JOIN links l ON l.node = e.vec_id
+""",
+    "op13_repeats": """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+s AS (SELECT doc_id, i, b[i + 1:i + 50] AS string FROM (SELECT doc_id, b, unnest(range(octet_length(b) - 49)) AS i FROM d)),
+f AS (SELECT string, min(doc_id) AS low FROM s GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM (SELECT DISTINCT doc_id, i FROM s JOIN f USING (string) WHERE low < doc_id)),
+run AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM hit),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM run GROUP BY doc_id, r),
+gap AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM span UNION ALL SELECT d.doc_id, coalesce(max(z), 0), octet_length(any_value(b)) FROM d LEFT JOIN span USING (doc_id) GROUP BY 1),
+kept AS (SELECT doc_id, string_agg(CASE WHEN y > x THEN hex(b[x + 1:y]) ELSE '' END, '' ORDER BY x) AS h FROM gap JOIN d USING (doc_id) GROUP BY 1),
+sums AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans FROM span GROUP BY 1)
+SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(h)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
 """,
     "op3_line_dedup": """
 WITH rows AS (
