@@ -60,7 +60,7 @@ def test_repeats_equal_table_of_strings(spark):
 
 def test_other_widths(spark):
     rows = passages(2, 60)
-    for width in (12, 100):
+    for width in (24, 100):
         assert got(R.without_repeats(docs(spark, rows), width=width)) == brute(rows, width)
 
 

@@ -29,96 +29,104 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilspark.llm.common import by_row, small_batches
-from vigilspark.storage import materialize
+from vigilspark.storage import drop_path, materialize, materialize_at, new_path
 
 #: A null id stands after all others.
 _LAST = (1 << 63) - 1
 #: Bytes of joined texts hashed at once, and suffixes of one array.
-BLOCK_BYTES, BLOCK_SUFFIXES = 1_000_000, 200_000
+_PLACE = 17
+BLOCK_BYTES, BLOCK_SUFFIXES = 120_000, 50_000
 #: An anchor with more classes is split into its single strings.
 MOST_CLASSES = 20_000
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """Every bit of the result depends on all bits of ``x``."""
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    x ^= x >> np.uint64(29)
-    return x
-
-
-_BYTES = _mix(_mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _ODD))
+#: Odd multipliers of the hashes.
+_ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_ODD32, _MIX32 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
+#: Hash of each byte.
+_BYTES = (np.arange(1, 257, dtype=np.uint32) * _ODD32) ^ (np.arange(1, 257, dtype=np.uint32) * _MIX32 >> np.uint32(15))
 
 
 def gram_of(width: int) -> int:
     """Bytes of the grams that anchor strings of ``width`` bytes: the power of two below a third of it."""
-    if width < 12:
-        raise ValueError("strings of at least 12 bytes are needed")
+    if width < 24:
+        raise ValueError("strings of at least 24 bytes are needed")
     return 1 << ((width // 3).bit_length() - 1)
 
 
-def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """64-bit hashes of all grams of ``size`` (a power of two) bytes, from those of their halves."""
+def gram_ranks(data: np.ndarray, size: int) -> np.ndarray:
+    """32-bit hashes of all grams of ``size`` (a power of two) bytes, from those of their halves; they only rank grams."""
     h, half = _BYTES[data], 1
     while half < size and len(h) > half:
-        h = _mix(h[:-half] * _ODD + h[half:])
-        half *= 2
-    return h if half == size else h[:0]
+        left = h[:-half] * _ODD32
+        left += h[half:]
+        left ^= left >> np.uint32(15)
+        h, half = left, half * 2
+    return h * _MIX32 if half == size else h[:0]
 
 
-def first_minima(h: np.ndarray, span: int) -> np.ndarray:
-    """The position of the first least value in each window of ``span`` values."""
-    value, at, have = h, np.arange(len(h), dtype=np.int64), 1
+def first_minima(ranks: np.ndarray, span: int) -> np.ndarray:
+    """The position of the first least rank (upper bits) in each window of ``span`` grams; at most 2^_PLACE ranks."""
+    value, have = ranks >> np.uint32(_PLACE) << np.uint32(_PLACE), 1
+    value |= np.arange(len(value), dtype=np.uint32)
     while have < span:
         step = min(have, span - have)
-        left = value[:-step] <= value[step:]
-        value, at = np.where(left, value[:-step], value[step:]), np.where(left, at[:-step], at[step:])
+        value = np.minimum(value[:-step], value[step:])
         have += step
-    return at
+    return value & np.uint32((1 << _PLACE) - 1)
+
+
+def string_hashes(data: np.ndarray, begin: np.ndarray, size: np.ndarray | int, most: int) -> np.ndarray:
+    """64-bit hashes of the strings at ``begin`` of ``size`` bytes, 8 to ``most``: overlapping words of 8 bytes, each mixed in."""
+    words = np.lib.stride_tricks.sliding_window_view(data, 8)
+    h = np.zeros(len(begin), np.uint64) + np.asarray(size).astype(np.uint64)
+    for at in range(0, most, 8):
+        h *= _ODD
+        h += words[begin + np.minimum(at, size - 8)].view(np.uint64).ravel()
+        h ^= h >> np.uint64(32)
+        h *= _MIX
+        h ^= h >> np.uint64(29)
+    return h
 
 
-def contexts(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int) -> dict[str, np.ndarray]:
+def contexts(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int, whole: bool = True) -> dict[str, np.ndarray]:
     """The contexts of joined texts: text number, start in the text, strings, anchor hash, hash of all bytes, repeats.
 
     Contexts of a single string that follow each other with equal bytes (runs of
-    one letter) are one row with their number in ``reps``.
+    one letter) are one row with their number in ``reps``.  Without ``whole`` only
+    text numbers and anchors are given.
     """
-    none = {n: np.empty(0, np.int64) for n in ("text", "start", "n", "anchor", "context", "reps")}
     enough = lengths >= width
     if not enough.any():
-        return none
+        return {n: np.empty(0, np.int64) for n in ("text", "start", "n", "anchor", "context", "reps")}
     gram = gram_of(width)
-    h = gram_hashes(data, gram)
-    minima = first_minima(h, width - gram + 1)
-    valid = np.zeros(len(data) + 1, np.int8)
-    valid[starts[enough]] = 1
-    ends = starts[enough] + lengths[enough] - width + 1
-    np.subtract.at(valid, ends, 1)
-    at = np.flatnonzero(np.cumsum(valid)[: len(minima)])
-    anchor = minima[at]
-    new = np.ones(len(at), bool)
-    new[1:] = anchor[1:] != anchor[:-1]
-    first = np.flatnonzero(new)
-    n = np.diff(np.append(first, len(at)))
-    begin, anchor = at[first], anchor[first]
-    wide = gram_hashes(data, 2 * gram)
-    parts = -(-(2 * width - gram) // (2 * gram))
-    whole = n.astype(np.uint64)
-    for k in range(parts):  # overlapping grams that cover the context
-        whole = _mix(whole * _ODD + wide[begin + (n + width - 1 - 2 * gram) * k // (parts - 1)])
-    text = np.searchsorted(starts, begin, side="right") - 1
-    found = {"text": text, "start": begin - starts[text], "n": n, "anchor": h[anchor].view(np.int64), "context": whole.view(np.int64)}
-    again = np.zeros(len(first), bool)
-    again[1:] = (n[1:] == 1) & (n[:-1] == 1) & (np.diff(begin) == 1) & (whole[1:] == whole[:-1]) & (found["anchor"][1:] == found["anchor"][:-1])
+    place = first_minima(gram_ranks(data, gram), width - gram + 1)
+    opens, ends = starts[enough], starts[enough] + lengths[enough] - width + 1
+    new = np.empty(len(place), bool)
+    new[1:] = place[1:] != place[:-1]
+    change = np.zeros(len(place) + 1, np.int8)
+    change[opens] = 1
+    np.subtract.at(change, ends, 1)
+    new &= np.cumsum(change[:-1], dtype=np.int8).view(bool)
+    new[opens] = True
+    begin = np.flatnonzero(new)
+    inside = np.searchsorted(opens, begin, side="right") - 1
+    text = np.flatnonzero(enough)[inside]
+    n = np.minimum(np.append(begin[1:], len(place)), ends[inside]) - begin
+    found = {"text": text, "anchor": string_hashes(data, place[begin].astype(np.int64), gram, gram).view(np.int64)}
+    if not whole:
+        return found
+    hashed = string_hashes(data, begin, n + width - 1, 2 * width - gram)
+    found |= {"start": begin - starts[text], "n": n, "context": hashed.view(np.int64)}
+    again = np.zeros(len(begin), bool)
+    again[1:] = (n[1:] == 1) & (n[:-1] == 1) & (np.diff(begin) == 1) & (hashed[1:] == hashed[:-1]) & (found["anchor"][1:] == found["anchor"][:-1])
     kept = np.flatnonzero(~again)
     found = {name: column[kept] for name, column in found.items()}
-    found["reps"] = np.diff(np.append(kept, len(first)))
+    found["reps"] = np.diff(np.append(kept, len(begin)))
     return found
 
 
@@ -148,7 +156,7 @@ def _anchors(width: int):
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for row, _, block in _blocks(batch, 1, width):
-                found = contexts(*block, width)
+                found = contexts(*block, width, whole=False)
                 k = ids[row + found["text"]]
                 order = np.lexsort((k, found["anchor"]))
                 h, k = found["anchor"][order], k[order]
@@ -168,7 +176,7 @@ def _occurrences(width: int):
             for row, shift, block in _blocks(batch, 2, width):
                 found = contexts(*block, width)
                 at = row + found["text"]
-                columns = [found["anchor"], found["context"], ids[at], marks[at], shift + found["start"], found["n"].astype(np.int32), found["reps"]]
+                columns = [found["anchor"], found["context"], ids[at], marks[at], (shift + found["start"]).astype(np.int32), found["n"].astype(np.int32), found["reps"].astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "context", "k", "r", "start", "n", "reps"])
 
     return run
@@ -188,13 +196,17 @@ def suffix_array(texts: list[bytes], strings: np.ndarray, width: int) -> tuple[n
     offset = np.arange(len(text)) - np.repeat(np.cumsum(strings) - strings, strings)
     at, rest = begin[text] + offset, lengths[text] - offset
     most = int(rest.max())
-    reach = np.arange(most)
-    cells = np.where(reach < rest[:, None], joined[at[:, None] + reach], 0).astype(np.uint8)
-    order = np.argsort(cells.view(f"S{most}").ravel(), kind="stable")
+    # after the bytes the length, so that a suffix stands before those that it begins
+    cells = np.empty((len(at), most + 4), np.uint8)
+    cells[:, :most] = np.lib.stride_tricks.sliding_window_view(joined, most)[at]
+    cells[:, :most][np.arange(most) >= rest[:, None]] = 0
+    cells[:, most:] = rest.astype(">u4").view(np.uint8).reshape(-1, 4)
+    order = np.argsort(cells.view(f"S{most + 4}").ravel(), kind="stable")
+    cells = cells[:, :most]
     ordered, left = cells[order], rest[order]
-    differ = np.concatenate((ordered[1:] != ordered[:-1], np.ones((len(order) - 1, 1), bool)), axis=1)
+    differ = ordered[1:] != ordered[:-1]
     common = np.zeros(len(order), np.int64)
-    common[1:] = np.minimum(differ.argmax(axis=1), np.minimum(left[1:], left[:-1]))
+    common[1:] = np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), most), np.minimum(left[1:], left[:-1]))
     before = np.where(offset > 0, joined[at - 1].astype(np.int64), -1)
     return order, common, text, offset, before
 
@@ -281,12 +293,22 @@ def _solved(width: int):
     return run
 
 
-def _cut_out(source: Iterator[tuple]) -> Iterator[tuple]:
-    """(k, r, text, places of the contexts) to (anchor, context, k, top, n, bytes)."""
-    for k, text, wanted in source:
-        for w in wanted:
-            begin, size = w["start"], w["size"]
-            yield size + 60, w["anchor"], w["context"], k, w["top"], w["n"], text[begin : begin + size]
+def _cut_out(width: int):
+    """``mapInArrow`` from (k, text, places of the contexts) to (anchor, context, k, top, n, bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, texts, wanted = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
+            rows = pa.compute.list_parent_indices(wanted)
+            place = wanted.flatten()
+            anchor, context, top, n, start = (place.field(x) for x in ("anchor", "context", "top", "n", "start"))
+            where = zip(rows.to_pylist(), start.to_pylist(), n.to_pylist(), strict=True)
+            cut = pa.array([texts[row][at : at + m + width - 1] for row, at, m in where], pa.binary())
+            for a in range(0, len(cut), 50_000):
+                columns = [anchor, context, k.take(rows), top, n, cut]
+                yield pa.RecordBatch.from_arrays([c.slice(a, 50_000) for c in columns], ["anchor", "context", "k", "top", "n", "bytes"])
+
+    return run
 
 
 def _emptied(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,34 +338,36 @@ def repeated_spans(plain: DataFrame, width: int, most_classes: int = MOST_CLASSE
     """``(k, r, begins, sizes)`` of the rows of (k, r, text) that hold strings of a smaller ``k``."""
     seen = plain.select("k", "text").mapInArrow(_anchors(width), "anchor long, k long")
     shared = seen.groupBy("anchor").agg(F.min("k").alias("low"), F.max("k").alias("top")).where("low < top")
-    shared = materialize(shared.select("anchor"), "anchors")
+    spark, paths = plain.sparkSession, {name: new_path(plain.sparkSession, name) for name in ("anchors", "occurrences", "classes", "sizes", "contexts", "hot", "covered")}
+    keep = lambda df, name: materialize_at(df, paths[name])
+    shared = keep(shared.select("anchor"), "anchors")
     all_of_them = plain.select("k", "r", "text").mapInArrow(
-        _occurrences(width), "anchor long, context long, k long, r long, start long, n int, reps long"
+        _occurrences(width), "anchor long, context long, k long, r long, start int, n int, reps int"
     )
     # the anchors are unique and the smaller side; a hot one is split on the other side
-    occurrences = materialize(all_of_them.join(shared.hint("shuffle_hash"), "anchor", "left_semi"), "occurrences")
+    occurrences = keep(all_of_them.join(shared.hint("shuffle_hash"), "anchor", "left_semi"), "occurrences")
+    drop_path(spark, paths["anchors"])
 
     place = F.struct("k", "r", "start")
-    classes = materialize(
+    classes = keep(
         occurrences.groupBy("anchor", "context").agg(F.min(place).alias("at"), F.max("k").alias("top"), F.first("n").alias("n")), "classes"
     )
-    sizes = materialize(classes.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1"), "sizes")
+    sizes = keep(classes.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1"), "sizes")
     sized = classes.join(sizes.hint("shuffle_hash"), "anchor", "left")
     alone = sized.where("classes is null and at.k < top").select(
         "anchor", "context", F.lit(0).cast("long").alias("offset"), (F.col("n") + (width - 1)).cast("long").alias("length"), F.col("at.k").alias("low")
     )
     several = sized.where("classes > 1").select("anchor", "context", "at.*", "top", "n")
     wanted = several.groupBy("k", "r").agg(
-        F.collect_list(F.struct("anchor", "context", "top", "n", "start", (F.col("n") + (width - 1)).cast("long").alias("size"))).alias("wanted")
+        F.collect_list(F.struct("anchor", "context", "top", "n", "start")).alias("wanted")
     )
-    cut_schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("k", pa.int64()), ("top", pa.int64()), ("n", pa.int32()), ("bytes", pa.binary())])
-    cut = materialize(
+    cut = keep(
         plain.join(wanted, ["k", "r"]).select("k", "text", "wanted").mapInArrow(
-            by_row(cut_schema, _cut_out), "anchor long, context long, k long, top long, n int, bytes binary"
+            _cut_out(width), "anchor long, context long, k long, top long, n int, bytes binary"
         ),
         "contexts",
     )
-    hot = materialize(sizes.where(F.col("classes") > most_classes).select("anchor"), "hot")
+    hot = keep(sizes.where(F.col("classes") > most_classes).select("anchor"), "hot")
     cold = cut.join(hot, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
     spans_ddl = "anchor long, context long, offset long, length long, low long"
     spans_schema = pa.schema([(n, pa.int64()) for n in ("anchor", "context", "offset", "length", "low")])
@@ -356,12 +380,17 @@ def repeated_spans(plain: DataFrame, width: int, most_classes: int = MOST_CLASSE
     split = single.join(lowest.hint("shuffle_hash"), "string").where("low < top").select(
         "anchor", "context", F.col("offset").cast("long"), F.lit(width).cast("long").alias("length"), "low"
     )
-    found = materialize(alone.unionByName(solved).unionByName(split), "covered")
+    found = keep(alone.unionByName(solved).unionByName(split), "covered")
+    for name in ("classes", "sizes", "contexts", "hot"):
+        drop_path(spark, paths[name])
     hits = occurrences.join(found.hint("shuffle_hash"), ["anchor", "context"]).where("k > low").select(
-        "k", "r", F.struct((F.col("start") + F.col("offset")).alias("begin"), (F.col("length") + F.col("reps") - 1).alias("size")).alias("span")
+        "k", "r", F.struct((F.col("start") + F.col("offset")).cast("int").alias("begin"), (F.col("length") + F.col("reps") - 1).cast("int").alias("size")).alias("span")
     )
     merged = hits.groupBy("k", "r").agg(F.collect_list("span").alias("spans"))
-    return merged.select("k", "r", F.col("spans.begin").alias("begins"), F.col("spans.size").alias("sizes"))
+    spans = materialize(merged.select("k", "r", F.col("spans.begin").alias("begins"), F.col("spans.size").alias("sizes")), "spans")
+    for name in ("occurrences", "covered"):
+        drop_path(spark, paths[name])
+    return spans
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, most_classes: int = MOST_CLASSES) -> DataFrame:
