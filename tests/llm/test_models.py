@@ -143,7 +143,7 @@ def test_packing():
 def test_weights_are_learned_from_every_block(spark):
     """Training documents in none of the blocks 0 and 4 inform the weights too."""
     rows = docs(spark, [(k, "a b c d " * (3 + k % 5), "en", "s") for k in range(80)])
-    rows = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(LEAST_BLOCKS)) % 4 != 0)
+    rows = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(0).cast("long")), F.lit(LEAST_BLOCKS)) % 4 != 0)
     equal = np.full((FREQUENCY_BUCKETS, 4), 1 / 4)
     total = lambda **kw: sum(r["score"] for r in interpolated_scores(rows, F.lit(True), order=3, **kw).collect())
     assert rows.count() > 20 and total() > 0.9 * total(weights=equal)
@@ -272,7 +272,7 @@ def test_language_equals_brute_force_in_any_partitioning(spark):
     texts = [*(r["text"][:400] for r in rows[:60]), "xyzzy Qwhouse", "", None, "12 34"]
     df = spark.createDataFrame(train, "doc_id long, text string, lang string")
     asked = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
-    want = brute_language(train, texts)
+    want = brute_language({(t, lang): (i, t, lang) for i, t, lang in train}.values(), texts)  # copies teach once
     for parts in (1, 50):
         model = lang_id.fit(df.repartition(parts))
         got = {r["doc_id"]: r for r in lang_id.predict(asked.repartition(parts), model).collect()}
@@ -280,6 +280,30 @@ def test_language_equals_brute_force_in_any_partitioning(spark):
         assert [got[k]["score"] for k in range(len(texts))] == pytest.approx([p for _, p in want], rel=1e-4)
 
 
+def test_samples_are_bounded_whatever_the_ids(spark):
+    """A third of the rows without id, a third with one id, a third one row; ids never choose."""
+    rng = random.Random(8)
+    text = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(4))
+    rows = [(None, text(), "en", k % 2) for k in range(600)] + [(7, text(), "de", k % 2) for k in range(600)] + [(9, "one row of many", "en", 1)] * 600
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    known = lambda n: len(lang_id.fit(df, sample_docs=n).keys[0]) // 4
+    assert 40 < known(90) < 95 and 1190 < known(2_000) < 1205
+    few = quality.fit(df, sample_docs=90, buckets=1 << 14)
+    assert 0 < np.count_nonzero(few) < 90 * 8
+    renamed = df.withColumn("doc_id", F.monotonically_increasing_id()).repartition(5)
+    assert np.array_equal(quality.fit(renamed, sample_docs=90, buckets=1 << 14), few)
+
+
+def test_learned_scores_do_not_depend_on_the_layout(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()
+    some = [(None if k % 2 else r["doc_id"], r["text"], "en", "s") for k, r in enumerate(rows)] + [(None, "the same words again", "en", "s")] * 20
+    scores = []
+    for parts in (1, 3, 8):
+        got = interpolated_scores(docs(spark, some).repartition(parts), F.lit(True), block_bytes=30_000)
+        scores.append(sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["score"]) for r in got.collect()))
+    assert scores[0] == scores[1] == scores[2] and len(scores[0]) == 80
+
+
 def brute_quality(train, texts, buckets, order, epochs=4, alpha=2.0, beta=1.0, l1=0.02, l2=0.1):
     """FTRL-proximal for logistic regression on dictionaries, by the published update; features by their definition."""
     import xxhash
@@ -323,7 +347,7 @@ def test_quality_equals_brute_force(spark):
     train = {i: (" ".join(rng.choices(good if i % 2 else bad, k=rng.randrange(4, 30))), i % 2) for i in range(60)}
     texts = [" ".join(rng.choices(good + bad, k=12)) for _ in range(25)] + ["", "new words only"]
     df = spark.createDataFrame([(i, t, y) for i, (t, y) in train.items()], "doc_id long, text string, quality int")
-    order = [r["doc_id"] for r in df.orderBy(F.xxhash64("doc_id", F.lit("fit"))).select("doc_id").collect()]
+    order = [r["doc_id"] for r in df.orderBy(F.xxhash64("text", F.lit("fit"))).select("doc_id").collect()]
     w = quality.fit(df, buckets=1 << 12)
     asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in quality.score(asked, w).collect()}

@@ -130,26 +130,26 @@ class Scorer(dict):
 
 def fit(
     labelled: DataFrame,
-    id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
     sample_docs: int = 4_000,
     longest: int = 5,
 ) -> Model:
-    """Learn from at most about ``sample_docs`` labelled rows, whole texts, chosen by the hash of their id.
+    """Learn from at most about ``sample_docs`` labelled rows, whole texts, chosen by the hash of text and language.
+
+    Rows of one text and language are chosen together and teach once, so that
+    neither null or repeated ids nor copies can flood the sample.
 
     That bound is the only one: all words of the sample and all n-grams of its
     words are known.  Words are counted by occurrence; an n-gram counts the words
     of a language that hold it, so the counts do not depend on how rows are
-    partitioned.  Rows with null text or language teach nothing; repeated rows
-    teach as often as they stand.
+    partitioned.  Rows with null text or language teach nothing; ids are not read.
     """
-    rows = small_batches(labelled).select(
-        F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")
-    ).where("text is not null and lang is not null")
+    rows = small_batches(labelled).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = rows.where("text is not null and lang is not null")
     total = rows.count()
     part = 1_000_000 if total <= sample_docs else max(1, 1_000_000 * sample_docs // total)
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < part).select("lang", "text")
+    sample = rows.where(F.pmod(F.xxhash64("text", "lang"), F.lit(1_000_000)) < part).select("lang", "text").distinct()
 
     def count(source):
         held_words: Counter = Counter()

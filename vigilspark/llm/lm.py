@@ -102,7 +102,7 @@ class Block:
         self.arrays: list[np.ndarray] = []
         self.words = Numbers()
 
-    def add(self, i: int | None, text: str, train: bool) -> None:
+    def add(self, i: int | None, text: str, train: bool, times: int = 1) -> None:
         key = (i, train, xxhash.xxh3_128_digest(text.encode()))
         k = self.docs.setdefault(key, len(self.ids))
         if k == len(self.ids):
@@ -110,7 +110,7 @@ class Block:
             self.train.append(train)
             self.times.append(0)
             self.arrays.append(self.numbers(text))
-        self.times[k] += 1
+        self.times[k] += times
 
     def numbers(self, text: str) -> np.ndarray:
         """Numbers of the words (A-Z in lower case, split at ``[\\x20\\x09-\\x0D]``), and -1 for the end."""
@@ -377,8 +377,10 @@ def interpolated_scores(
     ``base_score`` adds log10((c + 1) / (N + V + 1)) over the tokens, ``score``
     log10 of the interpolated model's probabilities.  Null and empty texts are
     one end token.  Repeated rows count as often as they stand and are scored as
-    often.  Null ids are kept, and their rows dealt by position, since many may be
-    equal; other columns are not read.  Without training rows every estimate but
+    often.  Rows without id are counted by text before they are dealt, since many may
+    be equal, so no score depends on how rows are partitioned; other columns are not
+    read.  The text is dealt to one block for each ``block_bytes``, at least 8, and weights
+    are learned on those blocks, so they move a little with the size of the table.  Without training rows every estimate but
     the uniform one is zero.  One document is held whole by a task.
     """
     plain = small_batches(docs).select(
@@ -390,8 +392,9 @@ def interpolated_scores(
     blocks = max(LEAST_BLOCKS, -(-(size or 0) // block_bytes))
     bits = min(fan_bits, (blocks - 1).bit_length())
     parts = min(blocks, MOST_PARTITIONS)
-    spread = F.when(F.col("id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0))
-    dealt = plain.select(F.pmod(F.xxhash64("id", "text", spread), F.lit(blocks)).alias("block"), "id", "text", "train")
+    nameless = plain.where("id is null").groupBy("id", "text", "train").agg(F.count("*").alias("times"))
+    rows = plain.where("id is not null").withColumn("times", F.lit(1).cast("long")).unionByName(nameless)
+    dealt = rows.select(F.pmod(F.xxhash64("id", "text", F.lit(0).cast("long")), F.lit(blocks)).alias("block"), "id", "text", "train", "times")
 
     def by_block(df: DataFrame, *order_by: str) -> DataFrame:
         return df.repartitionById(parts, F.pmod("block", F.lit(parts)).cast("int")).sortWithinPartitions("block", *order_by)
@@ -399,8 +402,8 @@ def interpolated_scores(
     def tokenise(batches):
         for number, group in groupby(_rows(batches), key=lambda row: row[0]):
             block = Block()
-            for _, i, text, learn in group:
-                block.add(i, text, learn)
+            for row in group:
+                block.add(*row[1:])
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([block.dumps()], pa.binary())], ["block", "data"])
 
     tokenised = materialize(by_block(dealt).mapInArrow(tokenise, "block long, data binary"), "tokenised")

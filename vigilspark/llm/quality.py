@@ -66,27 +66,28 @@ class Ftrl:
 
 def fit(
     labelled: DataFrame,
-    id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
     sample_docs: int = 12_000,
     epochs: int = 4,
     buckets: int = BUCKETS,
 ) -> np.ndarray:
-    """Weights learned from at most about ``sample_docs`` labelled rows, chosen by the hash of their id.
+    """Weights learned from at most about ``sample_docs`` labelled rows, chosen by the hash of their text.
+
+    Rows of one text and label teach once, so that neither null or repeated ids nor
+    copies can flood the sample; ids are not read.
 
     FTRL is sequential: one task takes the bounded sample in hash order,
     ``epochs`` times.  The bound is on fitting alone; whole texts are used.  Rows
     with a null label teach nothing; without any row all weights are 0 and every
     score is 0.5.
     """
-    rows = small_batches(labelled).select(
-        F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("double").alias("y")
-    ).where("y is not null")
+    rows = small_batches(labelled).select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("double").alias("y"))
+    rows = rows.where("y is not null")
     total = rows.count()
     part = 1_000_000 if total <= sample_docs else max(1, 1_000_000 * sample_docs // total)
-    order = F.xxhash64("id", F.lit("fit"))
-    sample = rows.where(F.pmod(order, F.lit(1_000_000)) < part).select(order.alias("o"), "text", "y")
+    order = F.xxhash64("text", F.lit("fit"))
+    sample = rows.where(F.pmod(order, F.lit(1_000_000)) < part).select("text", "y").distinct().select(order.alias("o"), "text", "y")
 
     def learn(batches):
         kept = []
@@ -94,7 +95,7 @@ def fit(
             for o, text, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 index, value = features(text, buckets)
                 kept.append((o, index.astype(np.int32), value.astype(np.float32), y))
-        kept.sort(key=lambda r: (r[0] is None, r[0], len(r[1])))
+        kept.sort(key=lambda r: (r[0], r[3]))
         model = Ftrl(buckets)
         for _ in range(epochs):
             for _, index, value, y in kept:

@@ -127,7 +127,66 @@ QUERIES = {
     "op13_repeats": op13_repeats,
 }
 
+
+
+def _crc_sql(text: str) -> str:
+    """crc32 of an ASCII text, bit by bit."""
+    bits = "list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)"
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda y: CAST(unicode(y) AS BIGINT))), lambda c, x: {bits}), 4294967295)"
+
+
+def _state_sql(old: str, cost: str, letter: str, line: str = "") -> str:
+    """A (cost, audit, text) struct one edit further."""
+    return f"{{'c': {old}.c + {cost}, 'a': {old}.a || '{letter}', 't': {old}.t{line and ' || ' + line}}}"
+
+
+_FAR_SQL = "{'c': 1000000000, 'a': '~', 't': ''}"
+_LINE_SQL, _USER_SQL, _ASSISTANT_SQL = "chr(10) || role || ':' || text", "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+
 ORACLE = {
+    "op11_conversation_repair": f"""
+WITH RECURSIVE b AS (SELECT conv_id, coalesce(CAST(conv_id AS VARCHAR), ' ') AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations),
+k AS (SELECT *, {_crc_sql("(conv || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS kind FROM b),
+d AS (SELECT conv_id, conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM k WHERE kind <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS n FROM d),
+f AS (SELECT *, substr(role, 1, 1) AS ini, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY n) > 1 THEN 'duplicate'
+  WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault, lag(substr(role, 1, 1)) OVER (PARTITION BY conv ORDER BY n) AS prior FROM n),
+dp(conv, k, s0, s1, s2, s3) AS (
+  SELECT DISTINCT conv, CAST(0 AS BIGINT), {{'c': 0, 'a': '', 't': ''}}, {_FAR_SQL}, {{'c': 3, 'a': 'I', 't': {_USER_SQL}}}, {{'c': 6, 'a': 'II', 't': {_USER_SQL} || {_ASSISTANT_SQL}}} FROM b
+  UNION ALL
+  SELECT conv, k, n0, n1, c2, list_min([n3, {_state_sql("c2", "3", "I", _ASSISTANT_SQL)}]) FROM (
+    SELECT *, list_min([n2, {_state_sql("n0", "3", "I", _USER_SQL)}, {_state_sql("n1", "3", "I", _USER_SQL)}, {_state_sql("n3", "3", "I", _USER_SQL)}]) AS c2 FROM (
+      SELECT conv, n AS k, {_state_sql("s0", "4", "D")} AS n0,
+        list_min([{_state_sql("s1", "4", "D")}, CASE WHEN free AND ini = 's' THEN {_state_sql("s0", "e", "K", _LINE_SQL)} ELSE {_FAR_SQL} END]) AS n1,
+        list_min([{_state_sql("s2", "4", "D")}, CASE WHEN NOT free THEN {_FAR_SQL} WHEN ini = 'u' THEN {_state_sql("p", "e", "K", _LINE_SQL)} ELSE {_state_sql("p", "e + 3", "R", _USER_SQL + " || text")} END]) AS n2,
+        list_min([{_state_sql("s3", "4", "D")}, CASE WHEN NOT free THEN {_FAR_SQL} WHEN ini = 'a' THEN {_state_sql("s2", "e", "K", _LINE_SQL)} ELSE {_state_sql("s2", "e + 3", "R", _ASSISTANT_SQL + " || text")} END]) AS n3
+      FROM (SELECT dp.*, f.n, role, text, ini, fault IS NULL OR fault = 'truncated' AS free, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS e, list_min([s0, s1, s3]) AS p
+        FROM dp JOIN f ON f.conv = dp.conv AND f.n = dp.k + 1)))),
+best AS (SELECT conv, list_min([s0, s3]) AS z FROM dp QUALIFY row_number() OVER (PARTITION BY conv ORDER BY k DESC) = 1),
+counts AS (SELECT conv, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+  count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE prior IS NOT NULL AND prior || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(z.c AS BIGINT) AS cost, z.a AS audit, sha256(substr(z.t, 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, conv FROM b) o JOIN best USING (conv) LEFT JOIN counts USING (conv)
+""",
+    "op12_periodic_runs": f"""
+WITH t AS (SELECT doc_id, {_crc_sql("CAST(doc_id AS VARCHAR)")} AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+a AS (SELECT *, h % 10 = 0 AND len(w) > 0 AS hurt, (h // 10) % greatest(len(w), 1) AS a, (h // 10) % 8 AS g FROM t),
+p AS (SELECT *, 1 + (len(w) - a) // (3 + g) AS p FROM a),
+words AS (SELECT doc_id, len(w) AS n, i, w[1 + CASE WHEN hurt AND i >= a THEN a + (i - a) % p ELSE i END] AS word FROM (SELECT *, unnest(range(len(w))) AS i FROM p)),
+same AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND y.i - x.i <= x.n // 4),
+island AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM same),
+found AS (SELECT doc_id, min(i) AS s, count(*) + q AS l, q FROM island GROUP BY doc_id, q, g HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT doc_id, s, l, min(q) AS q FROM found GROUP BY doc_id, s, l),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM runs),
+kept AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.i) AS text FROM words w ANTI JOIN gone g ON g.doc_id = w.doc_id AND g.i = w.i GROUP BY 1),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS runs FROM runs GROUP BY 1),
+longest AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY l DESC, s, q) = 1)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, l AS length, q AS period, 1000 * l // q AS exponent_milli,
+  sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM t LEFT JOIN listed USING (doc_id) LEFT JOIN longest USING (doc_id) LEFT JOIN kept USING (doc_id)
+""",
     "op6_vector_near_dups": """
 WITH RECURSIVE usable AS (
   SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm
