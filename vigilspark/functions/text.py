@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vigilspark.functions import fixed as X
+from vigilspark.functions.words import word_numbers
 
 
 def _all(text: Column, pattern: str, group: int = 0, needs: str = "") -> Column:
@@ -318,11 +319,12 @@ def people_with(overlay: list[tuple[str, str, list[str]]], removed: tuple[str, .
 
 def celebrities(text: Column, people: list[tuple[str, str, list[str]]] | None = None) -> Column:
     """(name, kind) of every person named in a text by name or alias, in the order of the list (JN-17)."""
-    named = [
-        F.when(any_word(text, [w.lower() for w in (name, *aliases)]), F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind")))
-        for name, kind, aliases in people or X.CELEBRITIES
-    ]
-    return F.array_compact(F.array(*named))
+    known = people or X.CELEBRITIES
+    words = [(word.lower(), k) for k, (name, _, aliases) in enumerate(known) for word in (name, *aliases)]
+    who = F.array(*[F.lit(k) for _, k in words])
+    each = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind")) for name, kind, _ in known])
+    named = F.array_sort(F.array_distinct(F.transform(word_numbers([w for w, _ in words])(F.lower(text)), lambda h: F.get(who, h))))
+    return F.transform(named, lambda k: F.get(each, k))
 
 
 def freeze_bank(upi: Column) -> Column:

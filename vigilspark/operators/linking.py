@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vigilspark.functions import scores as S
+from vigilspark.operators.patterns import contained
 from vigilspark.storage import materialize
 
 
@@ -125,18 +126,10 @@ def blocklist_exact(channel_entities: DataFrame, blocked: DataFrame) -> DataFram
     return channel_entities.join(blocked, ["entity_type", "value"])
 
 
-def blocklist_substring(urls: DataFrame, domains: DataFrame, first_only: bool, max_domains: int = 20_000) -> DataFrame:
-    """Blocked domains contained in an address (JN-4, JN-5): all, or the first in alphabetical order.
-
-    Containment has no equi key, so the list is broadcast, and its size is
-    checked first; a longer list needs its domains as whole host suffixes, see
-    :func:`blocklist_hosts`.
-    """
-    n = domains.count()
-    if n > max_domains:
-        raise ValueError(f"{n} domains are too many for substring matching; use blocklist_hosts")
-    hits = urls.join(F.broadcast(domains), F.col("url").contains(F.col("domain")))
-    return hits.groupBy("id").agg(F.min("domain").alias("domain")) if first_only else hits.select("id", "domain")
+def blocklist_substring(urls: DataFrame, domains: DataFrame, first_only: bool) -> DataFrame:
+    """Blocked domains contained in an address (JN-4, JN-5): all, or the first in alphabetical order; for lists of any size."""
+    hits = contained(urls.select("id", F.col("url").alias("text")), domains.select(F.col("domain").alias("pattern"))).withColumnRenamed("pattern", "domain")
+    return hits.groupBy("id").agg(F.min("domain").alias("domain")) if first_only else hits
 
 
 def blocklist_hosts(urls: DataFrame, domains: DataFrame) -> DataFrame:

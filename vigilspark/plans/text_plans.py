@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from vigilspark.functions import fixed as X
 from vigilspark.functions import text as T
+from vigilspark.functions.words import weighted_classes, word_numbers
 from vigilspark.plans.case_plans import ENTITIES, entities
 from vigilspark.plans.testbed import channel_texts, read, sql_any, sql_list
 
@@ -176,14 +178,12 @@ def rule_category(spark, sf_dir):
     return claims(spark, sf_dir).select("id", T.rule_category(F.col("text")).alias("category"))
 
 
-def keyword_dim(spark):
-    """(category, position, keyword, weight): the taxonomy as a small dimension (SC-5); longer phrases weigh more."""
-    rows, order = [], 0
-    for k, (cid, *_, english, hindi) in enumerate(X.CATEGORIES):
-        for word in [*english, *hindi]:
-            rows.append((cid, k, word.lower(), 2.5 if len(word.split()) >= 2 else 1.0))
-            order += 1
-    return spark.createDataFrame(rows, "category string, position int, keyword string, weight double")
+def keyword_rows():
+    """(category, position, keyword, weight): the taxonomy as rows (SC-5); longer phrases weigh more."""
+    return [
+        Row(category=cid, position=k, keyword=word.lower(), weight=2.5 if len(word.split()) >= 2 else 1.0)
+        for k, (cid, *_, english, hindi) in enumerate(X.CATEGORIES) for word in [*english, *hindi]
+    ]
 
 
 KEYWORDS = "keywords(category, position, keyword, weight) AS (VALUES " + ", ".join(
@@ -194,22 +194,23 @@ KEYWORDS = "keywords(category, position, keyword, weight) AS (VALUES " + ", ".jo
 def taxonomy(texts, keywords):
     """Keyword taxonomy classifier (DM-17, JN-18, WN-11/12): best category, its share of all scores, second if over 30 % of the best.
 
-    The dimension is a fixed word list and is broadcast; documents stay in place
-    until their few (document, category) scores are summed.
+    ``keywords``: rows (category, position, keyword, weight) of the fixed list.  One pass of an automaton
+    over a text gives all keywords; scores follow in the same row, so nothing is shuffled.
     """
-    hits = texts.join(F.broadcast(keywords), F.lower("text").contains(F.col("keyword")))
-    scores = hits.groupBy("id", "category", "position").agg(F.sum("weight").alias("s"))
-    ranked = scores.groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("neg"), "position", "category"))).alias("r"), F.sum("s").alias("total")
-    )
-    first, second = F.col("r")[0], F.get(F.col("r"), F.lit(1))
-    found = ranked.select(
-        "id", first["category"].alias("category"), F.round(F.least(F.lit(0.99), -first["neg"] / F.col("total") + 0.3), 3).alias("confidence"),
-        F.when(second["neg"] < first["neg"] * 0.3, second["category"]).alias("secondary"),
+    names = [category for _, category in sorted({(r.position, r.category) for r in keywords})]
+    number = {name: k for k, name in enumerate(names)}
+    hits = word_numbers([r.keyword for r in keywords])(F.lower("text"))
+    sums = weighted_classes(F.col("hits"), [number[r.category] for r in keywords], [r.weight for r in keywords], len(names))
+    ranked = F.array_sort(F.filter(F.transform("sums", lambda s, k: F.struct((-s).alias("neg"), k.alias("k"))), lambda x: x["neg"] < 0))
+    total = F.aggregate("sums", F.lit(0.0), lambda a, s: a + s)
+    name = lambda x: F.get(F.array(*[F.lit(n) for n in names]), x["k"])
+    scored = texts.select("id", hits.alias("hits")).select("id", sums.alias("sums")).select("id", ranked.alias("r"), total.alias("total"))
+    first, second = F.get("r", F.lit(0)), F.get("r", F.lit(1))
+    return scored.select(
+        "id", F.coalesce(name(first), F.lit("unknown")).alias("category"),
+        F.coalesce(F.round(F.least(F.lit(0.99), -first["neg"] / F.col("total") + 0.3), 3), F.lit(0.1)).alias("confidence"),
+        F.coalesce(F.when(second["neg"] < first["neg"] * 0.3, name(second)), F.lit("")).alias("secondary"),
     )
-    return texts.select("id").join(found, "id", "left").select(
-        "id", F.coalesce("category", F.lit("unknown")).alias("category"), F.coalesce("confidence", F.lit(0.1)).alias("confidence"), F.coalesce("secondary", F.lit("")).alias("secondary")
-    )
 
 
 @query(f"""WITH {CLAIMS}, {KEYWORDS}, s AS (SELECT id, category, position, sum(weight) AS s FROM claims JOIN keywords ON contains(lower(text), keyword) GROUP BY 1, 2, 3),
@@ -218,7 +219,7 @@ def taxonomy(texts, keywords):
     coalesce(CASE WHEN b.s > a.s * 0.3 THEN b.category END, '') AS secondary
   FROM claims c LEFT JOIN r a ON a.id = c.id AND a.n = 1 LEFT JOIN r b ON b.id = c.id AND b.n = 2""")
 def taxonomy_classify(spark, sf_dir):
-    return taxonomy(claims(spark, sf_dir), keyword_dim(spark))
+    return taxonomy(claims(spark, sf_dir), keyword_rows())
 
 
 @query(f"""WITH {CLAIMS}, people(name, kind, word) AS (VALUES {", ".join(f"('{n}', '{k}', '{w.lower()}')" for n, k, ws in X.CELEBRITIES for w in (n, *ws))})
