@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vigilspark.functions import scores as S
 from vigilspark.functions import text as T
+from vigilspark.operators.neighbours import nearest
 from vigilspark.operators import behaviour as B
 from vigilspark.operators import cases as C
 from vigilspark.operators import evaluation as E
@@ -251,8 +252,8 @@ def test_nearest(spark):
         best = sorted((-round(cos(rows[q][1], v), 6), i) for i, v in rows[:60] if i != q)[:3]
         want += [(q, i, -s, k + 1) for k, (s, i) in enumerate(best) if -s >= 0.2]
     for block in (4096, 4):
-        assert sorted(map(tuple, L.nearest(df, df.where("id % 7 = 0 and id < 60"), 3, 0.2, block).collect())) == sorted(want)
-    assert L.nearest(df, df.where("false")).count() == 0
+        assert sorted(map(tuple, nearest(df, df.where("id % 7 = 0 and id < 60"), 3, 0.2, block, 3).collect())) == sorted(want)
+    assert nearest(df, df.where("false")).count() == 0
 
 
 def test_host_blocklist(spark):

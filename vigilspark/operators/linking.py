@@ -6,8 +6,6 @@ import math
 from functools import reduce
 from itertools import combinations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -359,55 +357,3 @@ def first_seen_cascade(posts: DataFrame, signals: list[str], order: str) -> Data
 def unseen(new: DataFrame, seen: DataFrame, key: Column, alias: str) -> DataFrame:
     """Rows whose key has not been seen (JN-16): an anti join."""
     return new.withColumn(alias, key).join(seen.select(alias).distinct(), alias, "left_anti")
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 0.75, block: int = 4096) -> DataFrame:
-    """The ``k`` most similar vectors of each query by cosine (JN-13), itself excluded.
-
-    Queries come to the driver in blocks of at most ``block`` rows and are
-    broadcast; each scan task keeps ``k`` candidates for each query of the block,
-    and a window over the few candidates gives the ranks.
-    """
-    spark = vectors.sparkSession
-    wanted = queries.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).where("id is not null and v is not null")
-    n = wanted.count()
-    blocks = -(-n // block)
-    # blocks by hash: about ``block`` rows each, without an order over all queries
-    wanted = wanted.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, blocks))))
-
-    def scan(number: int) -> DataFrame:
-        own = wanted.where(F.col("block") == number).collect()
-        shipped = spark.sparkContext.broadcast(([r["id"] for r in own], np.array([r["v"] for r in own], np.float64)))
-
-        def best(batches):
-            ids, q = shipped.value
-            if not ids:
-                return
-            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-            held_s, held_i = np.full((len(ids), 0), -2.0), np.zeros((len(ids), 0), np.int64)
-            for batch in batches:
-                rows = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if i is not None and v and len(v) == q.shape[1]]
-                if not rows:
-                    continue
-                x = np.array([v for _, v in rows], np.float64)
-                norm = np.linalg.norm(x, axis=1)
-                s = np.where(norm > 0, (q @ x.T) / np.where(norm > 0, norm, 1), -2.0)
-                other = np.array([i for i, _ in rows], np.int64)
-                s[np.array(ids)[:, None] == other[None, :]] = -2.0
-                held_s = np.concatenate((held_s, np.round(s, 6)), axis=1)
-                held_i = np.concatenate((held_i, np.broadcast_to(other, s.shape)), axis=1)
-                top = np.lexsort((held_i, -held_s), axis=1)[:, :k]
-                held_s, held_i = np.take_along_axis(held_s, top, 1), np.take_along_axis(held_i, top, 1)
-            a, b = np.nonzero(held_s >= threshold)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(ids, np.int64)[a]), pa.array(held_i[a, b]), pa.array(held_s[a, b])], ["query_id", "vec_id", "similarity"]
-            )
-
-        plain = vectors.select(F.col("id").cast("long"), F.col("v").cast("array<double>"))
-        return plain.mapInArrow(best, "query_id long, vec_id long, similarity double")
-
-    if not blocks:
-        return spark.createDataFrame([], "query_id long, vec_id long, similarity double, rank int")
-    found = reduce(lambda a, b: a.unionByName(b), [scan(k) for k in range(blocks)])
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -10,6 +10,7 @@ from vigilspark.functions import text as T
 from vigilspark.operators import behaviour as B
 from vigilspark.operators import linking as L
 from vigilspark.operators.components import connected_components
+from vigilspark.operators.neighbours import nearest
 from vigilspark.plans.case_plans import COMPLAINTS, complaints
 from vigilspark.plans.testbed import CHANNEL_ENTITIES, CONTACT_POINTS, ENTITIES, POSTS, channel_entities, channel_posts, contact_points, entities, read
 from vigilspark.plans.text_plans import TEN, UPI_SQL
@@ -268,7 +269,7 @@ def url_first_seen(spark, sf_dir):
   SELECT query_id, vec_id, similarity, rank FROM r WHERE rank <= 5""")
 def cosine_topk(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return L.nearest(e, e.where("id % 50 = 0"), k=5, threshold=0.1)
+    return nearest(e, e.where("id % 50 = 0"), k=5, threshold=0.1)
 
 
 @query(f"""WITH {COMPLAINTS}, {CHANNEL_ENTITIES}, keys AS (SELECT DISTINCT complaint_id, telegram AS value FROM complaints WHERE telegram <> '' UNION SELECT DISTINCT complaint_id, upi FROM complaints WHERE upi IS NOT NULL),
