@@ -60,8 +60,8 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return materialize_at(df, new_path(df.sparkSession, name))
 
 
-def materialize_at(df: DataFrame, path: str) -> DataFrame:
-    """As :func:`materialize`, at a given path.
+def materialize_at(df: DataFrame, path: str, codec: str | None = None) -> DataFrame:
+    """As :func:`materialize`, at a given path, with another compression than the session's if ``codec`` names one.
 
     Nothing reads the shuffles of a plan whose result is written, so Spark is
     told to remove their files when the write ends; the caller's own setting is
@@ -71,7 +71,7 @@ def materialize_at(df: DataFrame, path: str) -> DataFrame:
     before = conf.get(_CLEAN_UP, None)
     conf.set(_CLEAN_UP, "true")
     try:
-        df.write.mode("overwrite").parquet(path)
+        (df.write.option("compression", codec) if codec else df.write).mode("overwrite").parquet(path)
     finally:
         conf.unset(_CLEAN_UP) if before is None else conf.set(_CLEAN_UP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
