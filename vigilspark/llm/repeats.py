@@ -94,15 +94,15 @@ def string_hashes(data: np.ndarray, begin: np.ndarray, size: np.ndarray | int, m
 
 
 def contexts(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int, whole: bool = True) -> dict[str, np.ndarray]:
-    """The contexts of joined texts: text number, start in the text, strings, anchor hash, hash of all bytes, repeats.
+    """The contexts of joined texts: text number, start in the text, strings, anchor hash, hash of all bytes.
 
     Contexts of a single string that follow each other with equal bytes (runs of
-    one letter) are one row with their number in ``reps``.  Without ``whole`` only
+    one letter) are one row, with minus their number as ``n``.  Without ``whole`` only
     text numbers and anchors are given.
     """
     enough = lengths >= width
     if not enough.any():
-        return {n: np.empty(0, np.int64) for n in ("text", "start", "n", "anchor", "context", "reps")}
+        return {n: np.empty(0, np.int64) for n in ("text", "start", "n", "anchor", "context")}
     gram = gram_of(width)
     place = first_minima(gram_ranks(data, gram), width - gram + 1)
     opens, ends = starts[enough], starts[enough] + lengths[enough] - width + 1
@@ -126,7 +126,8 @@ def contexts(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: i
     again[1:] = (n[1:] == 1) & (n[:-1] == 1) & (np.diff(begin) == 1) & (hashed[1:] == hashed[:-1]) & (found["anchor"][1:] == found["anchor"][:-1])
     kept = np.flatnonzero(~again)
     found = {name: column[kept] for name, column in found.items()}
-    found["reps"] = np.diff(np.append(kept, len(begin)))
+    times = np.diff(np.append(kept, len(begin)))
+    found["n"] = np.where(times > 1, -times, found["n"])
     return found
 
 
@@ -176,8 +177,8 @@ def _occurrences(width: int):
             for row, shift, block in _blocks(batch, 2, width):
                 found = contexts(*block, width)
                 at = row + found["text"]
-                columns = [found["anchor"], found["context"], ids[at], marks[at], (shift + found["start"]).astype(np.int32), found["n"].astype(np.int32), found["reps"].astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "context", "k", "r", "start", "n", "reps"])
+                columns = [found["anchor"], found["context"], ids[at], marks[at], (shift + found["start"]).astype(np.int32), found["n"].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "context", "k", "r", "start", "n"])
 
     return run
 
@@ -338,11 +339,11 @@ def repeated_spans(plain: DataFrame, width: int, most_classes: int = MOST_CLASSE
     """``(k, r, begins, sizes)`` of the rows of (k, r, text) that hold strings of a smaller ``k``."""
     seen = plain.select("k", "text").mapInArrow(_anchors(width), "anchor long, k long")
     shared = seen.groupBy("anchor").agg(F.min("k").alias("low"), F.max("k").alias("top")).where("low < top")
-    spark, paths = plain.sparkSession, {name: new_path(plain.sparkSession, name) for name in ("anchors", "occurrences", "classes", "sizes", "contexts", "hot", "covered")}
-    keep = lambda df, name: materialize_at(df, paths[name])
+    spark, paths = plain.sparkSession, {name: new_path(plain.sparkSession, name) for name in ("anchors", "occurrences", "classes", "sizes", "alone", "several", "contexts", "hot", "covered")}
+    keep = lambda df, name: materialize_at(df, paths[name], "zstd")
     shared = keep(shared.select("anchor"), "anchors")
     all_of_them = plain.select("k", "r", "text").mapInArrow(
-        _occurrences(width), "anchor long, context long, k long, r long, start int, n int, reps int"
+        _occurrences(width), "anchor long, context long, k long, r long, start int, n int"
     )
     # the anchors are unique and the smaller side; a hot one is split on the other side
     occurrences = keep(all_of_them.join(shared.hint("shuffle_hash"), "anchor", "left_semi"), "occurrences")
@@ -350,14 +351,18 @@ def repeated_spans(plain: DataFrame, width: int, most_classes: int = MOST_CLASSE
 
     place = F.struct("k", "r", "start")
     classes = keep(
-        occurrences.groupBy("anchor", "context").agg(F.min(place).alias("at"), F.max("k").alias("top"), F.first("n").alias("n")), "classes"
+        occurrences.groupBy("anchor", "context").agg(F.min(place).alias("at"), F.max("k").alias("top"), F.greatest(F.first("n"), F.lit(1)).alias("n")), "classes"
     )
     sizes = keep(classes.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1"), "sizes")
     sized = classes.join(sizes.hint("shuffle_hash"), "anchor", "left")
-    alone = sized.where("classes is null and at.k < top").select(
-        "anchor", "context", F.lit(0).cast("long").alias("offset"), (F.col("n") + (width - 1)).cast("long").alias("length"), F.col("at.k").alias("low")
+    alone = keep(
+        sized.where("classes is null and at.k < top").select(
+            "anchor", "context", F.lit(0).cast("long").alias("offset"), (F.col("n") + (width - 1)).cast("long").alias("length"), F.col("at.k").alias("low")
+        ),
+        "alone",
     )
-    several = sized.where("classes > 1").select("anchor", "context", "at.*", "top", "n")
+    several = keep(sized.where("classes > 1").select("anchor", "context", "at.*", "top", "n"), "several")
+    drop_path(spark, paths["classes"])
     wanted = several.groupBy("k", "r").agg(
         F.collect_list(F.struct("anchor", "context", "top", "n", "start")).alias("wanted")
     )
@@ -367,6 +372,7 @@ def repeated_spans(plain: DataFrame, width: int, most_classes: int = MOST_CLASSE
         ),
         "contexts",
     )
+    drop_path(spark, paths["several"])
     hot = keep(sizes.where(F.col("classes") > most_classes).select("anchor"), "hot")
     cold = cut.join(hot, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
     spans_ddl = "anchor long, context long, offset long, length long, low long"
@@ -381,10 +387,10 @@ def repeated_spans(plain: DataFrame, width: int, most_classes: int = MOST_CLASSE
         "anchor", "context", F.col("offset").cast("long"), F.lit(width).cast("long").alias("length"), "low"
     )
     found = keep(alone.unionByName(solved).unionByName(split), "covered")
-    for name in ("classes", "sizes", "contexts", "hot"):
+    for name in ("alone", "sizes", "contexts", "hot"):
         drop_path(spark, paths[name])
     hits = occurrences.join(found.hint("shuffle_hash"), ["anchor", "context"]).where("k > low").select(
-        "k", "r", F.struct((F.col("start") + F.col("offset")).cast("int").alias("begin"), (F.col("length") + F.col("reps") - 1).cast("int").alias("size")).alias("span")
+        "k", "r", F.struct((F.col("start") + F.col("offset")).cast("int").alias("begin"), (F.col("length") + F.greatest(-F.col("n"), F.lit(1)) - 1).cast("int").alias("size")).alias("span")
     )
     merged = hits.groupBy("k", "r").agg(F.collect_list("span").alias("spans"))
     spans = materialize(merged.select("k", "r", F.col("spans.begin").alias("begins"), F.col("spans.size").alias("sizes")), "spans")
