@@ -162,6 +162,55 @@ def test_fuzzy_first_seen_equals_one_pass_in_order(spark):
     assert L.first_seen_fuzzy(spark.createDataFrame([], "id long, phash long")).count() == 0
 
 
+def test_greedy_choice_of_large_components_and_chains(spark):
+    rng = random.Random(4)
+    edges = {tuple(sorted(rng.sample(range(400), 2))) for _ in range(700)} | {(1000 + k, 1001 + k) for k in range(3000)}
+    out = set()
+    for a, b in sorted(edges, key=lambda e: (e[1], e[0])):
+        if a not in out:
+            out.add(b)
+    df = spark.createDataFrame(list(edges), "before long, after long")
+    for most in (10_000, 900):
+        assert {r["node"] for r in L.first_in_order(df, most).collect()} == out
+    assert L.first_in_order(df.where("false")).count() == 0
+
+
+def test_cascade_equals_the_loop(spark):
+    import hashlib
+
+    rng = random.Random(6)
+    hashes = [rng.getrandbits(62) for _ in range(25)]
+    rows = []
+    for i in range(400):
+        h = rng.choice([*hashes, None])
+        if h is not None:
+            for b in rng.sample(range(62), rng.randrange(4)):
+                h ^= 1 << b
+        rows.append((i, rng.choice([None, "", *(f"http://x/{k}" for k in range(150))]), h, rng.choice([None, "", *(f"text {k}" for k in range(90))])))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    urls, stored, texts, want = set(), [], set(), {}
+    for i, url, h, text in rows:
+        if url and sha(url) in urls:
+            want[i] = ("url", sha(url)[:8])
+            continue
+        urls.add(sha(url)) if url else None
+        near = None if h is None else next((j for j, g in stored if (g ^ h).bit_count() <= 4), None)
+        if near is not None:
+            want[i] = ("phash", str(near))
+            continue
+        stored += [(i, h)] if h is not None else []
+        if text and sha(text) in texts:
+            want[i] = ("content", sha(text)[:8])
+            continue
+        texts.add(sha(text)) if text else None
+        want[i] = (None, None)
+    df = spark.createDataFrame(rows, "id long, url string, phash long, text string").repartition(5)
+    got = L.dedup_posts(df).collect()
+    assert {r["id"]: (r["signal"], r["canonical"]) for r in got} == want and len(got) == 400
+    assert {s for s, _ in want.values()} == {"url", "phash", "content", None} and all(r["duplicate"] == (r["signal"] is not None) for r in got)
+    assert L.dedup_posts(df.where("false")).count() == 0
+
+
 def test_attribution_equals_all_pairs(spark):
     """Pairs without a common entity, held together by times, category and behaviour alone, are found too."""
     rng = random.Random(5)

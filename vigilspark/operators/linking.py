@@ -6,11 +6,12 @@ import math
 from functools import reduce
 from itertools import combinations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vigilspark.functions import scores as S
+from vigilspark.operators.components import connected_components
 from vigilspark.operators.patterns import contained
 from vigilspark.storage import materialize
 
@@ -304,36 +305,118 @@ def phash_pairs(images: DataFrame, bits: int = 4, bands: int = 6) -> DataFrame:
     return apart.unionByName(copies)
 
 
-def first_seen_fuzzy(posts: DataFrame, order: str = "id", hash_col: str = "phash", bits: int = 4) -> DataFrame:
+def _greedy(edges: DataFrame) -> DataFrame:
+    """(node) of those that repeat an earlier one, from edges (component, before, after).
+
+    The edges of a component pass one task in order of ``after``: a node with a stored
+    earlier neighbour is dropped, and only dropped nodes are remembered.
+    """
+
+    def run(batches):
+        component, dropped, node, hit = None, set(), None, False
+        for batch in batches:
+            out = []
+            for c, before, after in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if (c, after) != (component, node):
+                    if hit:
+                        dropped.add(node)
+                        out.append(node)
+                    if c != component:
+                        component, dropped = c, set()
+                    node, hit = after, False
+                hit = hit or before not in dropped
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["node"])
+        if hit:
+            yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64())], ["node"])
+
+    ordered = edges.select("component", F.col("before").cast("long"), F.col("after").cast("long")).repartition("component")
+    return ordered.sortWithinPartitions("component", "after", "before").mapInArrow(run, "node long")
+
+
+def first_in_order(edges: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """(node) of the nodes that the greedy choice in order of nodes leaves out: those with a chosen smaller neighbour.
+
+    ``edges``: (before, after) with before < after, distinct.  Components are found in
+    rounds that grow with the logarithm of the longest chain; a component is
+    then decided in one pass, of at most about ``most`` edges: of larger ones the first
+    nodes are decided, what they rule out goes, and the rest follows.
+    """
+    comps = connected_components(edges, "before", "after")
+    rest = materialize(edges.join(comps.select(F.col("node").alias("before"), "component"), "before").select("component", "before", "after"), "rest")
+    found = None
+    while True:
+        sizes = rest.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > most)
+        large = materialize(sizes, "large")
+        last = large.isEmpty()
+        if last:
+            part = rest
+        else:
+            # a border for each large component: about ``most`` of its edges end at or before it
+            steps = (0.0001, 0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5)
+            at = F.percentile_approx("after", list(steps), 10_000)
+            which = F.greatest(F.size(F.filter(F.array(*map(F.lit, steps)), lambda x: x <= most / F.col("n"))) - 1, F.lit(0))
+            border = rest.join(large, "component").groupBy("component", "n").agg(at.alias("at"))
+            border = materialize(border.select("component", F.get("at", which).alias("border")), "border")
+            joined = rest.join(border, "component", "left")
+            part = joined.where("border is null or after <= border").select("component", "before", "after")
+        dropped = materialize(_greedy(part), "dropped")
+        found = dropped if found is None else found.unionByName(dropped)
+        if last:
+            return found
+        ahead = joined.where("after > border").join(dropped.select(F.col("node").alias("before")), "before", "left_anti")
+        ahead = materialize(ahead.select("component", "before", "after", (F.col("before") <= F.col("border")).alias("decided")), "ahead")
+        # later nodes with a chosen neighbour among the decided ones
+        ruled = materialize(ahead.where("decided").select(F.col("after").alias("node")).distinct(), "ruled")
+        found = found.unionByName(ruled)
+        rest = ahead.where("not decided").join(ruled.select(F.col("node").alias("after")), "after", "left_anti")
+        rest = materialize(rest.join(ruled.select(F.col("node").alias("before")), "before", "left_anti").select("component", "before", "after"), "rest")
+
+
+def first_seen_fuzzy(posts: DataFrame, order: str = "id", hash_col: str = "phash", bits: int = 4, most: int = 2_000_000) -> DataFrame:
     """First-seen deduplication by near hashes: (post columns, duplicate, canonical).
 
     In the order of ``order`` (distinct), a post whose hash is within ``bits`` of a
     stored one repeats the first such post and is not stored; others are stored.
-    Null hashes are stored and match nothing.  In rounds every post all of whose
-    earlier near posts are decided is decided, so a round settles all fronts at
-    once; only two counts a round reach the driver.
+    Null hashes are stored and match nothing.  See :func:`first_in_order`.
     """
     classes = posts.where(F.col(hash_col).isNotNull()).groupBy(hash_col).agg(F.min(order).alias("node"))
     edges = materialize(phash_pairs(classes.select(F.col("node").alias("id"), F.col(hash_col).alias("phash")), bits).select(F.col("a").alias("before"), F.col("b").alias("after")), "near")
-    # only posts with an earlier near one are ever in doubt
-    state = materialize(edges.select(F.col("after").alias("node")).distinct().withColumn("stored", F.lit(None).cast("boolean")), "state")
-    while state.where("stored is null").limit(1).count():
-        known = edges.join(state.select(F.col("node").alias("before"), "stored", F.lit(True).alias("in_doubt")), "before", "left")
-        # a post without an earlier near one is stored
-        stored = F.when(F.col("in_doubt"), F.col("stored")).otherwise(F.lit(True))
-        seen = known.groupBy("after").agg(F.bool_or(F.coalesce(stored, F.lit(False))).alias("hit"), F.bool_or(stored.isNull()).alias("open"))
-        seen = seen.withColumnRenamed("after", "node")
-        decided = F.coalesce("stored", F.when(F.col("hit"), F.lit(False)).when(~F.col("open"), F.lit(True)))
-        state = materialize(state.join(seen, "node").select("node", decided.alias("stored")), "state")
-    dropped = state.where("not stored").select(F.col("node").alias("after"))
-    kept_before = edges.join(state.where("not stored").select(F.col("node").alias("before")), "before", "left_anti")
-    first = kept_before.join(dropped, "after", "left_semi").groupBy(F.col("after").alias("node")).agg(F.min("before").alias("first"))
+    dropped = materialize(first_in_order(edges, most), "dropped")
+    kept_before = edges.join(dropped.select(F.col("node").alias("before")), "before", "left_anti")
+    first = kept_before.join(dropped.select(F.col("node").alias("after")), "after", "left_semi").groupBy(F.col("after").alias("node")).agg(F.min("before").alias("first"))
     by_hash = classes.join(first, "node", "left").select(hash_col, F.coalesce("first", "node").alias("canonical"))
     out = posts.join(by_hash, hash_col, "left")
     repeat = F.col("canonical").isNotNull() & (F.col("canonical") != F.col(order))
     return out.select(*posts.columns, F.when(repeat, F.col("canonical")).alias("canonical"), repeat.alias("duplicate"))
 
 
+def dedup_posts(posts: DataFrame, bits: int = 4, most: int = 2_000_000) -> DataFrame:
+    """First-seen deduplication by address, near image hash and text, one after the other (WN-4): (id, duplicate, signal, canonical).
+
+    ``posts``: (id, url, phash, text), ids distinct and in order of arrival.  A post that
+    repeats an address registers nothing more; one that passes competes with
+    its image hash, and one that passes that too with the first 200 characters of
+    its text.  Null and empty signals never match.  ``canonical`` is the first eight hex
+    digits of the SHA-256 of the repeated address or text, or the id of the first
+    stored post with a near image.
+    """
+    key = lambda c: F.when(c.isNotNull() & (c != ""), F.sha2(c.cast("binary"), 256))
+    rows = materialize(posts.select("id", key(F.col("url")).alias("url"), F.col("phash").cast("long"), key(F.substring("text", 1, 200)).alias("content")), "posts")
+
+    def repeats(some: DataFrame, signal: str) -> DataFrame:
+        first = some.where(F.col(signal).isNotNull()).groupBy(signal).agg(F.min("id").alias("first"))
+        return some.join(first, signal, "left").withColumn("again", F.coalesce(F.col("id") > F.col("first"), F.lit(False)))
+
+    said = lambda df, signal, canonical: df.select("id", F.lit(True).alias("duplicate"), F.lit(signal).alias("signal"), canonical.alias("canonical"))
+    by_url = materialize(repeats(rows, "url").select("id", "url", "phash", "content", "again"), "by_url")
+    by_image = materialize(first_seen_fuzzy(by_url.where("not again").select("id", "phash", "content"), "id", "phash", bits, most), "by_image")
+    by_text = repeats(by_image.where("not duplicate").select("id", "content"), "content")
+    found = said(by_url.where("again"), "url", F.substring("url", 1, 8)).unionByName(said(by_image.where("duplicate"), "phash", F.col("canonical").cast("string")))
+    found = found.unionByName(said(by_text.where("again"), "content", F.substring("content", 1, 8)))
+    unique = by_text.where("not again").select("id", F.lit(False).alias("duplicate"), F.lit(None).cast("string").alias("signal"), F.lit(None).cast("string").alias("canonical"))
+    return found.unionByName(unique)
+
+
 def first_seen_cascade(posts: DataFrame, signals: list[str], order: str) -> DataFrame:
     """First-seen deduplication by several signals in turn (WN-4, H3).
 

@@ -230,7 +230,7 @@ def phash_pairs(spark, sf_dir):
 
 @query()
 def dedup_fuzzy(spark, sf_dir):
-    """First-seen deduplication by hashes within four bits (WN-4): the order of posts decides, so tested against brute force."""
+    """First-seen deduplication by hashes within four bits (WN-4): the order of posts decides, so the SQL of the cascade and brute force test it."""
     return L.first_seen_fuzzy(image_hashes(spark, sf_dir)).select("id", "canonical", "duplicate")
 
 
@@ -247,6 +247,23 @@ def dedup_cascade(spark, sf_dir):
     return L.first_seen_cascade(pages, ["url_key", "content_key"], "page_id").select("page_id", "duplicate", "reason", "canonical")
 
 
+@query("""WITH RECURSIVE p AS (SELECT row_number() OVER (ORDER BY page_id) AS n, page_id AS id, sha256(regexp_replace(lower(url), '[?#].*$', '')) AS u, sha256(substr(html, 1, 200)) AS t,
+    xor(CAST('0x' || substr(sha256(CAST(page_id // 5 AS VARCHAR)), 1, 15) AS BIGINT), ([0, 3, 28, 480, 7680])[CAST(page_id % 5 AS INTEGER) + 1]::BIGINT) AS h FROM pages),
+  s AS (SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST([] AS VARCHAR[]) AS urls, CAST([] AS STRUCT(id BIGINT, h BIGINT)[]) AS hashes, CAST([] AS VARCHAR[]) AS texts, CAST(NULL AS VARCHAR) AS signal, CAST(NULL AS VARCHAR) AS canonical
+    UNION ALL SELECT n, id, CASE WHEN seen THEN urls ELSE list_append(urls, u) END, CASE WHEN seen OR near IS NOT NULL THEN hashes ELSE list_append(hashes, {'id': id, 'h': h}) END,
+      CASE WHEN seen OR near IS NOT NULL OR told THEN texts ELSE list_append(texts, t) END, CASE WHEN seen THEN 'url' WHEN near IS NOT NULL THEN 'phash' WHEN told THEN 'content' END,
+      CASE WHEN seen THEN substr(u, 1, 8) WHEN near IS NOT NULL THEN CAST(near AS VARCHAR) WHEN told THEN substr(t, 1, 8) END
+    FROM (SELECT p.*, s.urls, s.hashes, s.texts, list_contains(s.urls, u) AS seen, list_contains(s.texts, t) AS told, list_filter(s.hashes, lambda x: bit_count(xor(x.h, p.h)) <= 4)[1].id AS near FROM s JOIN p ON p.n = s.n + 1))
+  SELECT id, signal IS NOT NULL AS duplicate, signal, canonical FROM s WHERE id IS NOT NULL""")
+def dedup_posts(spark, sf_dir):
+    """First-seen deduplication by address, near image and text in one cascade (WN-4)."""
+    k = F.col("page_id")
+    base = F.conv(F.substring(F.sha2(F.floor(k / 5).cast("string").cast("binary"), 256), 1, 15), 16, 10).cast("long")
+    noise = F.get(F.array(*[F.lit(n).cast("long") for n in (0, 3, 28, 480, 7680)]), (k % 5).cast("int"))
+    url = F.regexp_replace(F.lower("url"), "[?#].*$", "")
+    return L.dedup_posts(read(spark, sf_dir, "pages").select(k.alias("id"), url.alias("url"), base.bitwiseXOR(noise).alias("phash"), F.col("html").alias("text")))
+
+
 @query("""WITH d AS (SELECT doc_id, sha256(substr(text, 1, 200)) AS k FROM documents) SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS canonical, doc_id > min(doc_id) OVER (PARTITION BY k) AS duplicate FROM d""")
 def dedup_exact(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.substring("text", 1, 200).cast("binary"), 256).alias("k"))
