@@ -15,6 +15,8 @@ from vigilspark.operators import linking as L
 from vigilspark.plans.link_plans import BLOCKED, blocklist
 from vigilspark.plans.testbed import CHANNEL_ENTITIES, ENTITIES, POSTS, TEXTS, channel_entities, channel_posts, channel_texts, entities, read, sql_any
 from vigilspark.plans.text_plans import CLAIMS, claims, rule_hits_sql
+from vigilspark.sources import keyed_table
+from vigilspark.storage import new_path
 
 QUERIES, ORACLE = {}, {}
 
@@ -249,6 +251,37 @@ def graph_nodes(spark, sf_dir):
     return I.merge_nodes(seen)
 
 
+def _in_merges(table, log, fold, rules, parts=3):
+    """The table after the log has been merged part by part, as batches of a stream would."""
+    for k in range(parts):
+        table.merge(fold(log.where(F.pmod(F.xxhash64("ts", "part"), F.lit(parts)) == k)), rules)
+    return table.read()
+
+
+@query(f"""WITH {ENTITIES} SELECT CAST(channel AS VARCHAR) AS src, value AS dst, 'USES_' || entity_type AS type, count(*) AS count, min(seen_at) AS created_at, max(seen_at) AS last_seen FROM entities GROUP BY 1, 2, 3""")
+def graph_edges_merged(spark, sf_dir):
+    """Edges merged into a keyed table batch by batch (SC-29): only touched buckets are written."""
+    e = entities(spark, sf_dir).select(F.col("channel").cast("string").alias("src"), F.col("value").alias("dst"), F.concat(F.lit("USES_"), F.col("entity_type")).alias("type"), F.col("seen_at").cast("timestamp").alias("ts"), F.col("case_id").alias("part"))
+    table = keyed_table.edge_table(spark, new_path(spark, "edges"), buckets=16)
+    merged = _in_merges(table, e, I.merge_edges, keyed_table.EDGE_RULES)
+    kind = entities(spark, sf_dir).schema["seen_at"].dataType
+    return merged.withColumns({c: F.col(c).cast(kind) for c in ("created_at", "last_seen")})
+
+
+@query(f"""WITH {ENTITIES}, seen AS (SELECT entity_type AS label, value AS key, seen_at AS ts FROM entities UNION ALL SELECT 'CHANNEL', CAST(channel AS VARCHAR), seen_at FROM entities)
+  SELECT label, key, count(*) AS count, min(ts) AS first_seen, max(ts) AS last_seen FROM seen GROUP BY 1, 2""")
+def graph_nodes_merged(spark, sf_dir):
+    """Nodes merged into a keyed table batch by batch (SC-28)."""
+    e = entities(spark, sf_dir).withColumn("ts", F.col("seen_at").cast("timestamp"))
+    seen = e.select(F.col("entity_type").alias("label"), F.col("value").alias("key"), "ts", F.col("case_id").alias("part")).unionByName(
+        e.select(F.lit("CHANNEL").alias("label"), F.col("channel").cast("string").alias("key"), "ts", F.col("case_id").alias("part"))
+    )
+    table = keyed_table.node_table(spark, new_path(spark, "nodes"), buckets=16)
+    merged = _in_merges(table, seen, I.merge_nodes, keyed_table.NODE_RULES)
+    kind = e.schema["seen_at"].dataType
+    return merged.withColumns({c: F.col(c).cast(kind) for c in ("first_seen", "last_seen")})
+
+
 CAMP = f"""{POSTS}, c AS (SELECT channel % 30 AS campaign, count(DISTINCT channel) AS channels, CAST(sum(views) AS BIGINT) AS reach, count(DISTINCT media) AS platforms, count(*) FILTER (WHERE replies = 1) AS repeats FROM posts GROUP BY 1)"""
 
 
