@@ -188,6 +188,8 @@ IOC_DOMAIN = r"\b(?:[a-zA-Z0-9](?:[a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?\.)+(?:com|in|
 IOC_IP = r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b"
 IOC_CVE = r"(?i)CVE-\d{4}-\d{4,}"
 LEGAL_CITATION = r"(?i)(?:IT\s*Act|Information\s*Technology\s*Act)\s*(?:,?\s*(?:Section|§|Sec\.?)\s*\d+[A-Z]?(?:\s*[/&]\s*\d+[A-Z]?)*)"
+# What the address of a crypto payment page holds.
+CRYPTO_WORDS = ["bitcoin", "btc", "eth", "usdt"]
 QR_MENTION = r"(?i)\bQR\s*code\b|\bQR\b|\bscan\s*(?:the\s*)?code\b"
 EMOJI = (
     "[\U0001f600-\U0001f64f\U0001f300-\U0001f5ff\U0001f680-\U0001f6ff\U0001f900-\U0001f9ff✂-➰"

@@ -139,12 +139,20 @@ def text_features(texts: DataFrame, urgency: list[str], backup: list[str], emoji
 
 
 def entity_counts(channel_entities: DataFrame) -> DataFrame:
-    """Distinct contact points by type and the share of payment kinds in use (AG-13, AG-39)."""
+    """Distinct contact points by type and the share of the four payment kinds in use (AG-13, AG-39).
+
+    Payment kinds are payment addresses, phones, mentions of payment codes (type QR)
+    and addresses of pages that name a crypto currency.
+    """
+    from vigilspark.functions import fixed as X
+
+    crypto = F.col("value").rlike("(?i)" + "|".join(X.CRYPTO_WORDS))
     kinds = channel_entities.groupBy("channel").agg(
-        *[F.count_if(F.col("entity_type") == k).alias(f"{k.lower()}s") for k in ("UPI", "PHONE", "URL")]
+        *[F.count_if(F.col("entity_type") == k).alias(f"{k.lower()}s") for k in ("UPI", "PHONE", "URL", "QR")],
+        F.count_if((F.col("entity_type") == "URL") & crypto).alias("cryptos"),
     )
-    used = (F.col("upis") > 0).cast("int") + (F.col("phones") > 0).cast("int") + (F.col("urls") > 0).cast("int")
-    return kinds.withColumn("payment_diversity", F.round(used / 3, 6))
+    used = [(F.col(c) > 0).cast("int") for c in ("upis", "phones", "qrs", "cryptos")]
+    return kinds.withColumn("payment_diversity", (used[0] + used[1] + used[2] + used[3]) / 4)
 
 
 def language_shares(texts: DataFrame) -> DataFrame:

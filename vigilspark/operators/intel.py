@@ -26,24 +26,30 @@ def evidence_items(blocked: DataFrame, shared: DataFrame, features: DataFrame, c
     ``content`` of :func:`content_marks`.
     """
 
-    def items(df: DataFrame, kind: str, source: str, value: Column, strength: Column) -> DataFrame:
-        return df.select("channel", F.lit(kind).alias("evidence_type"), F.lit(source).alias("source"), value.cast("string").alias("value"), strength.alias("strength"))
+    def item(kind: str, source: str, value: str, strength: Column | str, when: str = "true") -> Column:
+        strength = F.lit(strength) if isinstance(strength, str) else strength
+        made = F.struct(F.lit(kind).alias("evidence_type"), F.lit(source).alias("source"), F.col(value).cast("string").alias("value"), strength.alias("strength"))
+        return F.when(F.expr(when), made)
+
+    def of(df: DataFrame, *made: Column) -> DataFrame:
+        """One pass over each input gives all its items."""
+        return df.select("channel", F.explode(F.array_compact(F.array(*made))).alias("i")).select("channel", "i.*")
 
     wide = F.when((F.col("entity_type") != "URL") & (F.col("n_channels") >= 3), "STRONG").otherwise("MODERATE")
-    parts = [
-        items(blocked, "BLOCKLIST_MATCH", "blocklist", F.col("value"), F.lit("DEFINITIVE")),
-        items(shared, "SHARED_ENTITY", "entity_sharing", F.col("value"), wide),
-        items(features.where("deletion_rate > 0.3"), "DELETION_PATTERN", "message_id_analysis", F.col("deletion_rate"), F.lit("WEAK")),
-        items(features.where("backup_mentions > 0"), "BACKUP_CHANNEL_MENTION", "text_analysis", F.col("backup_mentions"), F.lit("MODERATE")),
-        items(features.where("urgency_share > 0.15"), "URGENCY_PRESSURE", "text_analysis", F.col("urgency_share"), F.lit("CIRCUMSTANTIAL")),
-        items(content.where("impersonated <> ''"), "IMPERSONATION_DETECTED", "text_pattern_match", F.col("impersonated"), F.lit("MODERATE")),
-        items(content.where("promise <> ''"), "FINANCIAL_PROMISE", "text_pattern_match", F.col("promise"), F.lit("WEAK")),
-        items(content.where("category <> 'UNKNOWN'"), "SCAM_CATEGORY_MATCH", "rule_based_classifier", F.col("category"), F.lit("CIRCUMSTANTIAL")),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    told = of(
+        features,
+        item("DELETION_PATTERN", "message_id_analysis", "deletion_rate", "WEAK", "deletion_rate > 0.3"),
+        item("BACKUP_CHANNEL_MENTION", "text_analysis", "backup_mentions", "MODERATE", "backup_mentions > 0"),
+        item("URGENCY_PRESSURE", "text_analysis", "urgency_share", "CIRCUMSTANTIAL", "urgency_share > 0.15"),
+    )
+    said = of(
+        content,
+        item("IMPERSONATION_DETECTED", "text_pattern_match", "impersonated", "MODERATE", "impersonated <> ''"),
+        item("FINANCIAL_PROMISE", "text_pattern_match", "promise", "WEAK", "promise <> ''"),
+        item("SCAM_CATEGORY_MATCH", "rule_based_classifier", "category", "CIRCUMSTANTIAL", "category <> 'UNKNOWN'"),
+    )
+    listed = of(blocked, item("BLOCKLIST_MATCH", "blocklist", "value", "DEFINITIVE"))
+    return listed.unionByName(of(shared, item("SHARED_ENTITY", "entity_sharing", "value", wide))).unionByName(told).unionByName(said)
 
 
 def content_marks(texts: DataFrame, first: int = 200) -> DataFrame:
@@ -103,6 +109,24 @@ def feed_rows(posts: DataFrame, length: int = 200) -> DataFrame:
     )
 
 
+def populated_fields(channels: DataFrame, posts: DataFrame, texts: DataFrame, channel_entities: DataFrame, metadata: DataFrame) -> DataFrame:
+    """(channel, populated, n_posts): how many of the seven expected fields of a channel hold something (DM-6).
+
+    The fields are posts, entities, metadata, posting schedule (posts with a time),
+    language distribution (texts), media ratio (posts with media) and growth
+    snapshots (two posts with views).  Each part is one aggregate by channel.
+    """
+    by_posts = posts.groupBy("channel").agg(
+        F.count("*").alias("n_posts"), F.count("ts").alias("timed"), F.count_if(F.col("media") != "none").alias("shown"), F.count_if(F.col("views") > 0).alias("snapshots")
+    )
+    flag = lambda df, name: df.groupBy("channel").agg(F.count("*").alias(name))
+    joined = channels.join(by_posts, "channel", "left").join(flag(texts.where("text <> ''"), "told"), "channel", "left")
+    joined = joined.join(flag(channel_entities, "found"), "channel", "left").join(flag(metadata, "known"), "channel", "left")
+    has = lambda c, n=1: F.coalesce((F.col(c) >= n).cast("int"), F.lit(0))
+    populated = has("n_posts") + has("found") + has("known") + has("timed") + has("told") + has("shown") + has("snapshots", 2)
+    return joined.select("channel", populated.alias("populated"), F.coalesce("n_posts", F.lit(0)).alias("n_posts"))
+
+
 def confidence(channels: DataFrame, items: DataFrame) -> DataFrame:
     """Confidence of a channel's assessment (DM-6, AG-25, AG-26).
 

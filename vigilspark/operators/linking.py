@@ -22,6 +22,11 @@ def shared_entities(channel_entities: DataFrame) -> DataFrame:
     return grouped.where(F.size("channels") >= 2).select("entity_type", "value", "channels", F.size("channels").alias("n_channels"))
 
 
+def shared_counts(channel_entities: DataFrame) -> DataFrame:
+    """(entity_type, value, n_channels) of values that at least two channels show: counts alone, pre-aggregated."""
+    return channel_entities.groupBy("entity_type", "value").agg(F.count("*").alias("n_channels")).where("n_channels >= 2")
+
+
 def sharing_pairs(channel_entities: DataFrame) -> DataFrame:
     """(a, b, entity_type, common) for channels a < b with common values: an equi self join on the value."""
     x, y = channel_entities.alias("x"), channel_entities.alias("y")
@@ -140,6 +145,18 @@ def blocklist_hosts(urls: DataFrame, domains: DataFrame) -> DataFrame:
     return urls.select("id", F.explode(parents).alias("domain")).join(domains, "domain").select("id", "domain")
 
 
+def entities_of_posts(posts: DataFrame, least_url: int = 11) -> DataFrame:
+    """(post, entity), distinct, of (post, text): what links posts to campaigns (JN-1, AG-23).
+
+    Phones, payment addresses, links and mentions of channels, and addresses of at least ``least_url`` characters.
+    """
+    from vigilspark.functions import text as T
+
+    t = F.col("text")
+    long = F.filter(T.urls(t), lambda u: F.length(u) >= least_url)
+    return posts.select("post", F.explode(F.concat(T.phones(t), T.upis(t), T.telegram_links(t), long)).alias("entity")).distinct()
+
+
 def cooccurring_posts(post_entities: DataFrame) -> DataFrame:
     """Pairs of posts a < b with a common entity (JN-1). For components use :func:`post_links` instead."""
     x, y = post_entities.alias("x"), post_entities.alias("y")

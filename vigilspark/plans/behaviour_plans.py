@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vigilspark.functions import fixed as X
 from vigilspark.operators import behaviour as B
-from vigilspark.plans.testbed import CHANNEL_ENTITIES, POSTS, TEXTS, channel_entities, channel_posts, channel_texts, sql_any
+from vigilspark.plans.testbed import PAYMENTS, payment_entities, CHANNEL_ENTITIES, POSTS, TEXTS, channel_entities, channel_posts, channel_texts, sql_any
 
 QUERIES, ORACLE = {}, {}
 
@@ -131,15 +131,13 @@ def subscriber_growth(spark, sf_dir):
     return B.growth_per_day(snaps)
 
 
-@query(f"""WITH {CHANNEL_ENTITIES}, k AS (SELECT channel, count(*) FILTER (WHERE entity_type = 'UPI') AS upis, count(*) FILTER (WHERE entity_type = 'PHONE') AS phones,
-    count(*) FILTER (WHERE entity_type = 'URL') AS urls FROM channel_entities GROUP BY 1)
-  SELECT *, round((CAST(upis > 0 AS INTEGER) + CAST(phones > 0 AS INTEGER) + CAST(urls > 0 AS INTEGER)) / 3, 6) AS payment_diversity FROM k""")
+@query(f"WITH {PAYMENTS} SELECT * FROM pd")
 def payment_diversity(spark, sf_dir):
-    return B.entity_counts(channel_entities(spark, sf_dir))
+    return B.entity_counts(payment_entities(spark, sf_dir))
 
 
 def _fingerprint_sql():
-    return f"""WITH {POSTS}, {TEXTS}, {CHANNEL_ENTITIES},
+    return f"""WITH {POSTS}, {TEXTS}, {PAYMENTS},
   h AS (SELECT channel, {_bins("hour(ts)", 24)} FROM posts GROUP BY 1), h2 AS (SELECT channel, {_entropy(24)} AS v1, list_position([{", ".join(f"b{i}" for i in range(24))}], greatest({", ".join(f"b{i}" for i in range(24))})) - 1 AS peak FROM h),
   d AS (SELECT channel, {_bins("(isodow(ts) - 1)", 7)} FROM posts GROUP BY 1), d2 AS (SELECT channel, {_entropy(7)} AS v2 FROM d),
   daily AS (SELECT channel, CAST(ts AS DATE) AS day, count(*) AS n FROM posts GROUP BY 1, 2), day2 AS (SELECT channel, round(avg(n), 2) AS m, round(stddev_pop(n), 2) AS sd,
@@ -152,7 +150,6 @@ def _fingerprint_sql():
     round(100 * count(*) FILTER (WHERE media = 'images') / count(*), 2) + round(100 * count(*) FILTER (WHERE media = 'videos') / count(*), 2) AS im, round(100 * count(*) FILTER (WHERE media = 'links') / count(*), 2) AS li, round(avg(forwards), 3) AS fw FROM posts GROUP BY 1),
   t AS (SELECT channel, round(sum({_hits(X.URGENCY_FULL)}) / count(*) * 100, 2) AS urg, count(*) FILTER (WHERE {sql_any('text', X.BACKUP_FULL)}) AS bak,
     round(sum(len(regexp_extract_all(text, '{X.EMOJI}'))) / sum(length(text)) * 100, 4) AS emo, round(avg(length(text)) FILTER (WHERE text <> ''), 4) AS al FROM texts GROUP BY 1),
-  k AS (SELECT channel, count(*) FILTER (WHERE entity_type = 'UPI') AS upis, count(*) FILTER (WHERE entity_type = 'PHONE') AS phones, count(*) FILTER (WHERE entity_type = 'URL') AS urls FROM channel_entities GROUP BY 1),
   lg AS (SELECT channel, round(count(*) FILTER (WHERE l = 'hindi') / count(*), 3) AS hi, round(count(*) FILTER (WHERE l = 'english') / count(*), 3) AS en, round(count(*) FILTER (WHERE l = 'hinglish') / count(*), 3) AS mix
     FROM (SELECT channel, CASE WHEN d + l = 0 THEN 'unknown' WHEN d / (d + l) > 0.6 THEN 'hindi' WHEN d / (d + l) > 0.2 THEN 'hinglish' ELSE 'english' END AS l
     FROM (SELECT channel, len(regexp_extract_all(text, '[ऀ-ॿ]')) AS d, len(regexp_extract_all(text, '[A-Za-z]')) AS l FROM texts)) GROUP BY 1),
@@ -161,14 +158,14 @@ def _fingerprint_sql():
     list_transform(list_filter(regexp_extract_all(text, '{X.TELEGRAM_MENTION}', 1), lambda x: lower(x) NOT IN ('gmail', 'yahoo', 'hotmail', 'email')), lambda x: '@' || x))) AS link FROM texts) GROUP BY 1),
   sn AS (SELECT channel, arg_min(views, ts) AS s0, arg_max(views, ts) AS s1, CASE WHEN count(*) < 2 THEN 0.0 ELSE round((arg_max(views, ts) - arg_min(views, ts)) / greatest((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000, 1.0), 2) END AS grow FROM posts GROUP BY 1),
   v AS (SELECT channel, [v1, v2, m, sd, burst, silence, peak / 24, reg, coalesce(hi, 0), coalesce(en, 0), coalesce(mix, 0), coalesce(al, 0) / 1000, coalesce(urg, 0), coalesce(emo, 0), fw, im / 100, li / 100, coalesce(linked, 0) / 50, coalesce(bak, 0) / 10, del,
-    coalesce(upis, 0) / 20, coalesce(phones, 0) / 20, coalesce(urls, 0) / 50, coalesce(qr, 0), coalesce(round((CAST(upis > 0 AS INTEGER) + CAST(phones > 0 AS INTEGER) + CAST(urls > 0 AS INTEGER)) / 3, 6), 0),
+    coalesce(upis, 0) / 20, coalesce(phones, 0) / 20, coalesce(urls, 0) / 50, coalesce(qr, 0), coalesce(payment_diversity, 0),
     least(grow / 100, 1.0), CASE WHEN s1 > 0 THEN least(mv / s1, 5.0) ELSE 0.0 END, eng]::DOUBLE[] AS vec FROM h2 JOIN d2 USING (channel) JOIN day2 USING (channel) JOIN b USING (channel) JOIN s USING (channel) JOIN c USING (channel)
-    LEFT JOIN t USING (channel) LEFT JOIN k USING (channel) LEFT JOIN lg USING (channel) LEFT JOIN qr USING (channel) LEFT JOIN lk USING (channel) LEFT JOIN sn USING (channel))
+    LEFT JOIN t USING (channel) LEFT JOIN pd USING (channel) LEFT JOIN lg USING (channel) LEFT JOIN qr USING (channel) LEFT JOIN lk USING (channel) LEFT JOIN sn USING (channel))
   SELECT channel, {", ".join(f"round(vec[{i}], 4) AS f{i:02d}" for i in range(1, 29))} FROM v"""
 
 
 @query(_fingerprint_sql())
 def fingerprint28(spark, sf_dir):
     snaps = channel_posts(spark, sf_dir).select("channel", F.col("ts").alias("date"), F.col("views").alias("subscribers"))
-    vector = B.fingerprint(channel_posts(spark, sf_dir), channel_texts(spark, sf_dir), channel_entities(spark, sf_dir), snaps)
+    vector = B.fingerprint(channel_posts(spark, sf_dir), channel_texts(spark, sf_dir), payment_entities(spark, sf_dir), snaps)
     return vector.select("channel", *[F.col("vector")[i].alias(f"f{i + 1:02d}") for i in range(28)])

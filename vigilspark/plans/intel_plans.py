@@ -54,19 +54,19 @@ def content_marks(spark, sf_dir):
 def _items(spark, sf_dir):
     ce = channel_entities(spark, sf_dir)
     blocked = L.blocklist_exact(ce, blocklist(spark, sf_dir)).select("channel", "value")
-    held = L.shared_entities(ce).select("entity_type", "value", "n_channels")
-    shared = ce.join(held, ["entity_type", "value"])
-    texts = B.text_features(channel_texts(spark, sf_dir), X.URGENCY_EVIDENCE, X.BACKUP_EVIDENCE, X.EMOJI, first=100).select("channel", "backup_mentions", "urgency_share")
+    shared = ce.join(L.shared_counts(ce), ["entity_type", "value"])
+    told = channel_claims(spark, sf_dir)
+    texts = B.text_features(told, X.URGENCY_EVIDENCE, X.BACKUP_EVIDENCE, X.EMOJI, first=100).select("channel", "backup_mentions", "urgency_share")
     features = B.counters(channel_posts(spark, sf_dir)).select("channel", "deletion_rate").join(texts, "channel", "full")
-    content = I.content_marks(channel_claims(spark, sf_dir))
+    content = I.content_marks(told)
     return I.evidence_items(blocked, shared, features, content)
 
 
 ITEMS = f"""{CHANNEL_ENTITIES}, {BLOCKED}, {POSTS}, {TEXTS}, {MARKS}, held AS (SELECT entity_type, value, count(*) AS n FROM channel_entities GROUP BY 1, 2 HAVING count(*) >= 2),
-  firsts AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY message_id) AS k FROM texts),
+  firsts AS (SELECT author AS channel, text, row_number() OVER (PARTITION BY author ORDER BY id) AS k FROM claims),
   tf AS (SELECT channel, count(*) FILTER (WHERE {sql_any('text', X.BACKUP_EVIDENCE)}) AS bak, round(avg(CAST({sql_any('text', X.URGENCY_EVIDENCE)} AS INTEGER)), 4) AS urg FROM firsts WHERE k <= 100 GROUP BY 1),
   del AS (SELECT channel, CASE WHEN count(nullif(message_id, 0)) < 2 THEN 0.0 ELSE round(1 - count(nullif(message_id, 0)) / (max(nullif(message_id, 0)) - min(nullif(message_id, 0)) + 1), 4) END AS d FROM posts GROUP BY 1),
-  chans AS (SELECT DISTINCT channel FROM channel_entities),
+  chans AS (SELECT channel FROM channel_entities UNION SELECT channel FROM posts UNION SELECT channel FROM texts UNION SELECT author FROM claims),
   items AS (SELECT channel, 'BLOCKLIST_MATCH' AS evidence_type, 'blocklist' AS source, value, 'DEFINITIVE' AS strength FROM channel_entities JOIN blocked USING (entity_type, value)
     UNION ALL SELECT channel, 'SHARED_ENTITY', 'entity_sharing', value, CASE WHEN entity_type <> 'URL' AND n >= 3 THEN 'STRONG' ELSE 'MODERATE' END FROM channel_entities JOIN held USING (entity_type, value)
     UNION ALL SELECT channel, 'DELETION_PATTERN', 'message_id_analysis', CAST(d AS VARCHAR), 'WEAK' FROM del WHERE d > 0.3
@@ -83,14 +83,20 @@ def evidence_items(spark, sf_dir):
 
 
 def _observed(spark, sf_dir):
-    """(channel, populated, n_posts): how much of a channel document is there."""
-    chans = channel_entities(spark, sf_dir).select("channel").distinct()
-    posts = channel_posts(spark, sf_dir).groupBy("channel").agg(F.count("*").alias("n_posts"))
-    populated = F.when(F.col("channel") % 9 == 0, 2).when(F.col("channel") % 2 == 0, 7).otherwise(5)
-    return chans.join(posts, "channel", "left").select("channel", populated.alias("populated"), F.coalesce("n_posts", F.lit(0)).alias("n_posts"))
-
-
-CONFIDENCE = f"""{ITEMS}, obs AS (SELECT c.channel, CASE WHEN c.channel % 9 = 0 THEN 2 WHEN c.channel % 2 = 0 THEN 7 ELSE 5 END AS populated, coalesce(n, 0) AS n_posts FROM chans c LEFT JOIN (SELECT channel, count(*) AS n FROM posts GROUP BY 1) p USING (channel)),
+    """(channel, populated, n_posts): what is there of every channel that posts, tells something or shows an entity."""
+    ce, events = channel_entities(spark, sf_dir), channel_posts(spark, sf_dir).select("channel", "ts", "media", "views")
+    texts = channel_texts(spark, sf_dir).select("channel", "text").unionByName(channel_claims(spark, sf_dir).select("channel", "text"))
+    posts = events.unionByName(texts.select("channel", F.lit(None).cast(events.schema["ts"].dataType).alias("ts"), F.lit("none").alias("media"), F.lit(0).cast("long").alias("views")))
+    chans = ce.select("channel").unionByName(posts.select("channel")).distinct()
+    known = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("channel"))
+    return I.populated_fields(chans, posts, texts, ce, known)
+
+
+CONFIDENCE = f"""{ITEMS}, tx AS (SELECT channel, text FROM texts UNION ALL SELECT author, text FROM claims),
+  allp AS (SELECT channel, ts, media, views FROM posts UNION ALL SELECT channel, NULL, 'none', 0 FROM tx),
+  pa AS (SELECT channel, count(*) AS n, count(ts) AS timed, count(*) FILTER (WHERE media <> 'none') AS shown, count(*) FILTER (WHERE views > 0) AS snaps FROM allp GROUP BY 1),
+  obs AS (SELECT c.channel, coalesce(n, 0) AS n_posts, CAST(coalesce(n, 0) > 0 AS INTEGER) + CAST(c.channel IN (SELECT channel FROM channel_entities) AS INTEGER) + CAST(c.channel IN (SELECT s_suppkey FROM supplier) AS INTEGER) + CAST(coalesce(timed, 0) > 0 AS INTEGER)
+    + CAST(c.channel IN (SELECT channel FROM tx WHERE text <> '') AS INTEGER) + CAST(coalesce(shown, 0) > 0 AS INTEGER) + CAST(coalesce(snaps, 0) >= 2 AS INTEGER) AS populated FROM chans c LEFT JOIN pa USING (channel)),
   bs AS (SELECT channel, strength, count(*) AS n FROM items GROUP BY 1, 2), src AS (SELECT channel, count(DISTINCT source) AS sources FROM items GROUP BY 1),
   gs AS (SELECT channel, CAST(sum(n) AS BIGINT) AS n_items, max(n) AS top, max(CASE strength {" ".join(f"WHEN '{s}' THEN {r}" for s, r in X.STRENGTH_RANK)} END) AS rank FROM bs GROUP BY 1),
   m AS (SELECT channel, n_posts, populated / 7 AS comp, coalesce(top / n_items, 0.0) AS agr, CAST(coalesce(sources, 0) AS INTEGER) AS sources, coalesce(n_items, 0) AS n_items, CAST(coalesce(rank, 0) AS INTEGER) AS rank,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vigilspark.functions import fixed as X
 from vigilspark.functions import scores as S
 from vigilspark.functions import text as T
 from vigilspark.operators import behaviour as B
@@ -13,7 +14,7 @@ from vigilspark.operators.components import connected_components
 from vigilspark.operators.neighbours import nearest
 from vigilspark.plans.case_plans import COMPLAINTS, complaints
 from vigilspark.plans.testbed import CHANNEL_ENTITIES, CONTACT_POINTS, ENTITIES, POSTS, channel_entities, channel_posts, contact_points, entities, read
-from vigilspark.plans.text_plans import TEN, UPI_SQL
+from vigilspark.plans.text_plans import TEN, UPI_SQL, URL_SQL, _re
 
 QUERIES, ORACLE = {}, {}
 
@@ -73,13 +74,19 @@ def blocklist_substring(spark, sf_dir):
     return L.blocklist_substring(_pages(spark, sf_dir), _domains(spark), first_only=False)
 
 
-POST_ENTITIES = f"post_entities AS (SELECT DISTINCT doc_id AS post, unnest(list_concat({TEN}, {UPI_SQL})) AS entity FROM documents)"
+_LINKS = URL_SQL.replace("html || ' ' || url", "text")
+POST_ENTITIES = f"""linked AS (SELECT doc_id, source, text || ' ' || coalesce(url, '') AS text FROM documents LEFT JOIN pages ON page_id = doc_id % (SELECT count(*) FROM pages)),
+  post_entities AS (SELECT DISTINCT doc_id AS post, unnest(list_concat({TEN}, {UPI_SQL}, list_concat(list_transform(regexp_extract_all(text, {_re(X.TELEGRAM_LINK)}, 1), lambda x: 't.me/' || x),
+    list_transform(list_filter(regexp_extract_all(text, {_re(X.TELEGRAM_MENTION)}, 1), lambda x: lower(x) NOT IN ('gmail', 'yahoo', 'hotmail', 'email')), lambda x: '@' || x), list_filter({_LINKS}, lambda x: length(x) > 10)))) AS entity FROM linked)"""
 
 
 def post_entities(spark, sf_dir):
-    """(post, entity) of the documents: phones and payment addresses."""
-    t = F.col("text")
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("post"), F.explode(F.concat(T.phones(t), T.upis(t))).alias("entity")).distinct()
+    """(post, entity) of posts, each a document with the address of a page: phones, payment addresses, channel links and addresses of over ten characters."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    number = pages.agg(F.count("*").alias("n"))
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("post"), "text").crossJoin(F.broadcast(number)).withColumn("page_id", F.col("post") % F.col("n"))
+    linked = docs.join(pages, "page_id", "left")
+    return L.entities_of_posts(linked.select("post", F.concat("text", F.lit(" "), F.coalesce("url", F.lit(""))).alias("text")))
 
 
 @query(f"WITH {POST_ENTITIES} SELECT DISTINCT x.post AS a, y.post AS b FROM post_entities x JOIN post_entities y ON x.entity = y.entity AND x.post < y.post")

@@ -97,6 +97,26 @@ CONTACT_POINTS = (
 )
 
 
+def payment_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(channel, entity_type, value), distinct: how a channel is paid; kinds differ by channel, codes are QR."""
+    li, channel = read(spark, sf_dir, "lineitem"), F.col("l_suppkey")
+    kind = (
+        F.when(F.col("l_returnflag") == "A", F.when(channel % 5 == 0, "URL").otherwise("PHONE"))
+        .when(F.col("l_returnflag") == "N", F.when((channel % 2 == 0) | (F.col("l_linenumber") % 2 == 0), "UPI").otherwise("QR")).otherwise("URL")
+    )
+    page = F.when(channel % 3 == 0, "https://usdt-pay.example/").otherwise("https://shop.example/")
+    value = F.concat(F.when(kind == "URL", page).otherwise(F.concat(F.lower(kind), F.lit("-"))), F.col("l_partkey").cast("string"))
+    return li.select(channel.alias("channel"), kind.alias("entity_type"), value.alias("value")).distinct()
+
+
+PAYMENTS = """kinds AS (SELECT l_suppkey AS channel, l_partkey, CASE l_returnflag WHEN 'A' THEN CASE WHEN l_suppkey % 5 = 0 THEN 'URL' ELSE 'PHONE' END
+    WHEN 'N' THEN CASE WHEN l_suppkey % 2 = 0 OR l_linenumber % 2 = 0 THEN 'UPI' ELSE 'QR' END ELSE 'URL' END AS entity_type FROM lineitem),
+  payments AS (SELECT DISTINCT channel, entity_type, CASE WHEN entity_type <> 'URL' THEN lower(entity_type) || '-' WHEN channel % 3 = 0 THEN 'https://usdt-pay.example/' ELSE 'https://shop.example/' END || CAST(l_partkey AS VARCHAR) AS value FROM kinds),
+  k AS (SELECT channel, count(*) FILTER (WHERE entity_type = 'UPI') AS upis, count(*) FILTER (WHERE entity_type = 'PHONE') AS phones, count(*) FILTER (WHERE entity_type = 'URL') AS urls, count(*) FILTER (WHERE entity_type = 'QR') AS qrs,
+    count(*) FILTER (WHERE entity_type = 'URL' AND (contains(lower(value), 'bitcoin') OR contains(lower(value), 'btc') OR contains(lower(value), 'eth') OR contains(lower(value), 'usdt'))) AS cryptos FROM payments GROUP BY 1),
+  pd AS (SELECT *, (CAST(upis > 0 AS INTEGER) + CAST(phones > 0 AS INTEGER) + CAST(qrs > 0 AS INTEGER) + CAST(cryptos > 0 AS INTEGER)) / 4 AS payment_diversity FROM k)"""
+
+
 def channel_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(channel, message_id, ts, views, reactions, forwards, replies, media): posts with their counters."""
     e = read(spark, sf_dir, "events")

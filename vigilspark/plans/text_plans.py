@@ -138,7 +138,7 @@ def ip_extract(spark, sf_dir):
 
 # -- synthetic sentences: part names and numbers give texts in which every keyword family occurs ------------------
 _WORDS = ["invest now guaranteed return", "cricket prediction betting tips", "instant loan no documents", "work from home typing job", "lottery winner lucky draw",
-          "customer care helpline number", "digital arrest cbi officer court order", "mukesh ambani plan", "private video blackmail", "buy followers",
+          "customer care helpline number", "digital arrest cbi officer court order", "mukesh ambani plan", "private video blackmail", "buy followers, backup at new channel",
           "first copy replica", "torrent links", "weed delivery", "neutral sentence", "double your money zero risk ponzi"]
 _LIST = "[" + ", ".join(f"'{w}'" for w in _WORDS) + "]"
 CLAIMS = f"""claims AS (SELECT o_orderkey AS id, ({_LIST})[CAST(o_custkey % 15 AS INTEGER) + 1] || ' ' || ({_LIST})[CAST(o_orderkey % 7 AS INTEGER) + 1] AS text, o_custkey AS author FROM orders)"""
