@@ -73,3 +73,78 @@ def test_bare_mentions_in_the_corpus(spark):
     got = {r["doc_id"]: r for r in pii.pseudonymise(docs(spark, rows), KEY).collect()}
     assert got[1]["n_entities"] == 4 and not {"Anna", "Weber"} & set(got[1]["text"].replace(".", "").split())
     assert got[2]["text"] == rows[1][1] and got[2]["n_entities"] == 0
+
+
+def test_runs_of_titles_and_words_that_look_like_names():
+    new, n = pii.rewrite("Prof. Dr. Anna Schmidt. Schmidt", KEY, {})
+    assert n == 3 and new.startswith("Prof. Dr. ") and "Anna" not in new and "Schmidt" not in new
+    assert new.split()[3].rstrip(".") == new.split()[4] and new.split()[2].casefold() == pii.surrogate("GIVEN_x", "anna", 0, KEY)
+    new, n = pii.rewrite("Frau Dr. Weiß und Herr Prof. Dr. Uwe Kern", KEY, {})
+    assert n == 3 and new.startswith("Frau Dr. ") and " und Herr Prof. Dr. " in new and new.split()[-2] in pii.GIVEN["latin", "m"]
+    new, n = pii.rewrite("Mr Will Smith will go. Will you come? He met Will. Will Smith left.", KEY, {})
+    assert " will go. Will you come? " in new and "met Will." not in new and n == 5 and "Will Smith" not in new
+    for text in ("Miss Universe 2024 was held. The Universe is large.", "Dr. Prof. alone", "Mr 12"):
+        assert pii.rewrite(text, KEY, {}) == (text, 0)
+    new, n = pii.rewrite("Miss Universe met the Universe.", KEY, {})
+    assert n == 1 and new.endswith(" met the Universe.")
+
+
+def test_more_kinds_of_numbers():
+    text = "98765-43210, 022-2345678, fe80::1ff:fe23:4567:890a, 2001:db8::7, 1234 5678 9012, ABCDE1234F"
+    new, n = pii.rewrite(text, KEY, {})
+    assert n == 6 and [k for *_, k, _ in pii.find(text)] == ["PHONE", "PHONE", "IP6", "IP6", "ID12", "TAX"]
+    for a, b in zip(text.split(", "), new.split(", "), strict=True):
+        assert a != b and (":" in a or [c.isdigit() or c.isupper() for c in a] == [c.isdigit() or c.isupper() for c in b])
+    clean = "at 12:30:45 in std::vector a::b 1234 5678, 2001-02-2024 10:20 AB12CD item 0123456789012345678901"
+    assert pii.rewrite(clean, KEY, {}) == (clean, 0)
+
+
+def test_planted_entities_by_plain_replacement(spark):
+    """Texts built from known pieces: what was planted changes by one table for the corpus, everything else stays."""
+    import itertools
+    import random
+
+    rng = random.Random(11)
+    families = ["Okafor", "Lindqvist", "Petrov", "Nakamura", "Fuentes", "Haddad"]
+    given = {"Mr": ["Tobias", "Emeka"], "Frau": ["Ingrid", "Saskia"], "Prof. Dr.": ["Noor", "Kiran"]}
+    mails = [f"user{k}@host{k % 3}.example.org" for k in range(6)]
+    phones = [f"+49 170 55512{k:02d}" for k in range(6)]
+    cards = ["4111 1111 1111 1111", "5500-0000-0000-0004"]
+    plain = ["the meeting begins at noon", "Version 3.1 of the plan", "see section 4.2", "nothing to add here"]
+    rows, pieces = [], []
+    for i in range(80):
+        parts = []
+        for _ in range(rng.randrange(1, 6)):
+            kind = rng.randrange(5)
+            if kind == 0:
+                title = rng.choice(list(given))
+                parts += [("", f"{title} "), ("GIVEN", rng.choice(given[title])), ("", " "), ("FAMILY", rng.choice(families))]
+            elif kind < 4:
+                parts.append([("MAIL", rng.choice(mails)), ("PHONE", rng.choice(phones)), ("CARD", rng.choice(cards))][kind - 1])
+            else:
+                parts.append(("", rng.choice(plain)))
+            parts.append(("", ", "))
+        pieces.append(parts)
+        rows.append((i, "".join(x for _, x in parts), None, None))
+    got = {r["doc_id"]: r for r in pii.pseudonymise(docs(spark, rows), KEY).collect()}
+    table = {}
+    for i, parts in enumerate(pieces):
+        new, at = got[i]["text"], 0
+        assert got[i]["n_entities"] == sum(bool(k) for k, _ in parts)
+        for (kind, piece), following in itertools.zip_longest(parts, parts[1:]):
+            if not kind:
+                assert new.startswith(piece, at)
+                at += len(piece)
+                continue
+            end = new.index(following[1], at) if following else len(new)
+            made, at = new[at:end], end
+            key = (kind, piece if kind != "GIVEN" else (parts[parts.index((kind, piece)) - 1][1], piece))
+            assert table.setdefault(key, made) == made and made != piece
+            if kind in ("PHONE", "CARD"):
+                assert [c.isdigit() for c in made] == [c.isdigit() for c in piece]
+            if kind == "MAIL":
+                assert made.count("@") == 1 and made.endswith(".org")
+        assert at == len(new)
+    for kind in ("FAMILY", "MAIL", "PHONE", "CARD"):
+        made = [v for k, v in table.items() if k[0] == kind]
+        assert len(set(made)) == len(made) > 1 and not set(made) & {k[1] for k in table}

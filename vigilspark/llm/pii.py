@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -52,13 +53,20 @@ SYLLABLES = {
 #: Abbreviated titles, which may end in a full stop.
 ABBREVIATED = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Smt")
 
-_NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][\w'’\-]+|[ऀ-ॣ॰-ॿ]+"
 _TITLE = "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True))
 _STOP = "|".join(f"(?<=\\b{t})\\." for t in ABBREVIATED)
+#: A title is never a name.
+_NAME = rf"(?!(?:{_TITLE})(?![\wऀ-ॿ]))(?:[A-ZÀ-ÖØ-ÞА-ЯЁ][\w'’\-]+|[ऀ-ॣ॰-ॿ]+)"
 #: What may stand in a word; Devanagari vowel signs are not in ``\w``.
 _LETTER = r"[\wऀ-ॣ॰-ॿ]"
 #: An ending that is not part of the name: possessive, apostrophe, hyphen.
 _ENDING = re.compile(r"(?:['’]s?|-)+$")
+#: Titles of a run, without their full stops.
+_TITLES = re.compile(_TITLE)
+#: Words after which a capitalised word is a thing, not a person.
+ARTICLES = ("the", "a", "an", "der", "die", "das", "dem", "den", "des", "ein", "eine", "le", "la", "les", "un", "une", "el", "los", "las")
+_ARTICLE = re.compile(rf"(?<!{_LETTER})(?:{'|'.join(ARTICLES)})\s+$", re.IGNORECASE)
+_SENTENCE = re.compile(r"(?:^|[.!?\n:][\s\"'“”»«)]*)$")
 ENTITY = re.compile(
     r"""
     (?P<EMAIL>(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,})
@@ -70,12 +78,17 @@ ENTITY = re.compile(
   | (?P<PHONE>(?<![\w.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?)\d{3,4}[ .\-]?\d{3,4}(?!\d)
       |(?<![\w.])\+\d{1,3}(?:[ .\-]?\d{2,5}){2,4}(?!\d)
       |(?<![\w.])\d{3}[.\-]\d{3}[.\-]\d{4}(?!\d)
+      |(?<![\w.\-])[6-9]\d{4}[ \-]\d{5}(?![\d\-])
+      |(?<![\w.\-])0\d{2,4}-\d{6,8}(?![\d\-])
       |(?<![\w.])[6-9]\d{9}(?!\d))
-  | \b(?P<TITLE>"""
+  | (?P<ID12>(?<![\w.\-])\d{4}\ \d{4}\ \d{4}(?![\w\-]|\ \d))
+  | (?P<TAX>\b[A-Z]{5}\d{4}[A-Z]\b)
+  | (?P<IP6>(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)(?=[A-Fa-f:]*\d)[0-9A-Fa-f:]{6,39}(?![\w:]))
+  | \b(?P<TITLE>(?:(?:"""
     + _TITLE
     + r""")(?:"""
     + _STOP
-    + r""")?\ (?P<FIRST>"""
+    + r""")?\ )+)(?P<FIRST>"""
     + _NAME
     + r""")(?:\ (?P<SECOND>"""
     + _NAME
@@ -103,8 +116,11 @@ def script_of(word: str) -> str:
 def find(text: str | None) -> Iterator[tuple[int, int, str, str]]:
     """``(start, end, type, canonical form)`` of each mention, left to right, without overlap.
 
-    A name is detected after a title; its given and family name are then found
-    wherever else they stand as whole capitalised words in the same text.
+    A name is detected after a title or a run of titles; its given and family name
+    are then found wherever else they stand as whole capitalised words in the same
+    text, but not after an article, nor at the begin of a sentence where the text also
+    has them as a word in lower case (Will, Mark) and but one title, unless another
+    part of a name stands beside them.
     """
     if not text or not (_MARK.search(text) or any(w in text for w in _WORDS)):
         return
@@ -123,6 +139,7 @@ def _bare(text: str, found: list[tuple[int, int, str, str]], names: dict[str, st
     words = "|".join(map(re.escape, sorted(forms, key=lambda w: (-len(w), w))))
     pattern = re.compile(f"(?<!{_LETTER})(?:{words})(?!{_LETTER})", re.IGNORECASE)
     at = k = 0
+    mentions = []
     while m := pattern.search(text, at):
         while k < len(found) and found[k][1] <= m.start():
             k += 1
@@ -130,15 +147,29 @@ def _bare(text: str, found: list[tuple[int, int, str, str]], names: dict[str, st
             at = found[k][1]
             continue
         at = m.end()
-        if not m[0][0].islower() and (kind := names.get(m[0].casefold())):
-            yield *m.span(), kind, m[0].casefold()
+        if (kind := names.get(m[0].casefold())) is None:
+            continue
+        mentions.append((*m.span(), kind, m[0].casefold()))
+    titled = Counter(canonical for *_, canonical in found)
+    common = {canonical for a, _, _, canonical in mentions if text[a].islower() and titled[canonical] < 2}
+    capital = [x for x in mentions if not text[x[0]].islower()]
+    spans = {(a, b) for a, b, *_ in [*found, *capital]}
+    ends, starts = {b for _, b in spans}, {a for a, _ in spans}
+    for a, b, kind, canonical in capital:
+        before = text[max(0, a - 24) : a]
+        beside = (a - 1 in ends and text[a - 1] == " ") or (b + 1 in starts and text[b] == " ")
+        if beside or not (_ARTICLE.search(before) or (canonical in common and _SENTENCE.search(before))):
+            yield a, b, kind, canonical
 
 
 def _typed(text: str) -> Iterator[tuple[int, int, str, str]]:
     for m in ENTITY.finditer(text):
         kind = m.lastgroup
         if m["TITLE"]:
-            gender = TITLES[m["TITLE"]]
+            # the first title that tells a gender does
+            gender = next((g for t in _TITLES.findall(m["TITLE"]) if (g := TITLES[t]) != "x"), "x")
+            if m["TITLE"].strip() == "Miss" and re.match(r"\s+\d", text[m.end() :]):
+                continue  # a contest and its year
             first = _ENDING.sub("", m["FIRST"])
             at = m.start("FIRST")
             if m["SECOND"] and first == m["FIRST"]:
@@ -149,7 +180,7 @@ def _typed(text: str) -> Iterator[tuple[int, int, str, str]]:
                 yield at, at + len(first), "FAMILY", first.casefold()
             continue
         found = m[0]
-        if kind in ("PHONE", "CARD", "SSN"):
+        if kind in ("PHONE", "CARD", "SSN", "ID12"):
             canonical = ("+" if found.startswith("+") else "") + re.sub(r"\D", "", found)
             if kind == "PHONE" and not 7 <= len(canonical.lstrip("+")) <= 15:
                 continue
@@ -157,6 +188,11 @@ def _typed(text: str) -> Iterator[tuple[int, int, str, str]]:
             canonical = found.replace(" ", "")
             if not 15 <= len(canonical) <= 34 or _mod97(canonical) != 1:
                 continue
+        elif kind == "IP6":
+            try:
+                canonical = str(ipaddress.IPv6Address(found))
+            except ValueError:
+                continue
         elif kind == "EMAIL" or (kind == "SECRET" and re.fullmatch(r"[0-9a-fA-F]+", found)):
             canonical = found.lower()
         else:
@@ -224,6 +260,16 @@ def surrogate(kind: str, canonical: str, attempt: int, key: bytes) -> str:
         body = canonical[0] + s.like(canonical[1:-1])
         valid = luhn_digit(canonical[:-1]) == canonical[-1]
         return body + (luhn_digit(body) if valid else s.like("0"))
+    if kind == "ID12":
+        return canonical[0] + s.like(canonical[1:])
+    if kind == "TAX":
+        return s.like(canonical)
+    if kind == "IP6":
+        keep = 2 if ipaddress.ip_address(canonical).is_private else 0
+        groups = ipaddress.IPv6Address(canonical).exploded.split(":")
+        made = [g if k < keep // 2 else "".join("0123456789abcdef"[s.below(16)] for _ in range(4)) for k, g in enumerate(groups)]
+        made[0] = made[0] if keep else f"2{made[0][1:]}"
+        return str(ipaddress.IPv6Address(":".join(made)))
     if kind == "SSN":
         return f"{1 + s.below(665):03d}{1 + s.below(99):02d}{1 + s.below(9999):04d}"
     if kind == "IP":
@@ -251,7 +297,7 @@ def surrogate(kind: str, canonical: str, attempt: int, key: bytes) -> str:
 
 def render(kind: str, mention: str, made: str) -> str:
     """The surrogate in the layout of the mention: its separators, its case."""
-    if kind in ("PHONE", "CARD", "SSN"):
+    if kind in ("PHONE", "CARD", "SSN", "ID12"):
         digits = iter(re.sub(r"\D", "", made))
         return "".join(next(digits) if c.isdigit() else c for c in mention)
     if kind == "IBAN":
