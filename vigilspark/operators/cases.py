@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vigilspark.operators.scan import numbered
+
 
 def status_counts(cases: DataFrame) -> DataFrame:
     """One pass over the cases: total and a count for each status (AG-1)."""
@@ -86,12 +88,13 @@ def top_entities(entities: DataFrame, kind: str, n: int = 10) -> DataFrame:
 
 
 def running_flags(entities: DataFrame) -> DataFrame:
-    """Occurrence number of each row of a (type, value), and their total (WN-7, WN-8)."""
-    key = W.partitionBy("entity_type", "value")
-    order = key.orderBy("seen_at", "case_id", "line", "amount")
-    return entities.select(
-        "case_id", "line", "entity_type", "value", F.row_number().over(order).alias("occurrence"), F.count("*").over(key).alias("flag_count")
-    )
+    """Occurrence number of each row of a (type, value), and their total (WN-7, WN-8); an entity with most rows is split among tasks."""
+    order = ["seen_at", "case_id", "line", "amount"]
+    rows = numbered(entities.select("case_id", "line", "entity_type", "value", "seen_at", "amount"), ["entity_type", "value"], order, "occurrence")
+    totals = entities.groupBy("entity_type", "value").agg(F.count("*").alias("flag_count"))
+    named = totals.select(F.col("entity_type").alias("_t"), F.col("value").alias("_v"), "flag_count")
+    joined = rows.join(named, rows["entity_type"].eqNullSafe(named["_t"]) & rows["value"].eqNullSafe(named["_v"]))
+    return joined.select("case_id", "line", "entity_type", "value", F.col("occurrence").cast("int").alias("occurrence"), "flag_count")
 
 
 def entity_history(cases: DataFrame, entities: DataFrame, value: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vigilspark.functions import fixed as X
 from vigilspark.functions import scores as S
 from vigilspark.functions import text as T
+from vigilspark.operators.scan import split_in_order
 from vigilspark.plans import intel_plans as P
 from vigilspark.plans.case_plans import LEGAL_SQL, legal_dim
 from vigilspark.plans.intel_plans import CAMP, RECOMMENDED
@@ -109,11 +110,12 @@ def image_types(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), kind.alias("image_type"))
 
 
-@query("""WITH h AS (SELECT doc_id, CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 4) AS INTEGER) / 65536 AS u FROM documents) SELECT doc_id, CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.9 THEN 'validation' ELSE 'test' END AS split FROM h""")
+@query("""WITH h AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('42:' || doc_id), doc_id) AS k, count(*) OVER () AS n FROM documents)
+  SELECT doc_id, CASE WHEN k <= n * 80 // 100 THEN 'train' WHEN k <= n * 80 // 100 + n * 10 // 100 THEN 'validation' ELSE 'test' END AS split FROM h""")
 def dataset_split(spark, sf_dir):
-    """80/10/10 split by a hash of the id (WN-14): stable when rows are added, no global order."""
-    u = F.conv(T.stable_id(F.col("doc_id").cast("string"), 4), 16, 10).cast("double") / 65536
-    return read(spark, sf_dir, "documents").select("doc_id", F.when(u < 0.8, "train").when(u < 0.9, "validation").otherwise("test").alias("split"))
+    """Exact 80/10/10 split in a seeded order (WN-14): global ranks by pieces, not by one task."""
+    shuffled = read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.concat(F.lit("42:"), F.col("doc_id").cast("string")).cast("binary"), 256).alias("o"))
+    return split_in_order(shuffled, ["o", "doc_id"], [("train", 80), ("validation", 10), ("test", 10)]).select("doc_id", "split")
 
 
 @query("""WITH t AS (SELECT o_custkey % 200 AS campaign, lpad(lower(to_hex(o_orderkey)), 16, '0') AS phash, o_orderdate AS first_seen FROM orders),
