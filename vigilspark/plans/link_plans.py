@@ -12,6 +12,7 @@ from vigilspark.operators import behaviour as B
 from vigilspark.operators import linking as L
 from vigilspark.operators.components import connected_components
 from vigilspark.operators.neighbours import nearest
+from vigilspark.operators.pairs import labelled_pairs
 from vigilspark.plans.case_plans import COMPLAINTS, complaints
 from vigilspark.plans.testbed import CHANNEL_ENTITIES, CONTACT_POINTS, ENTITIES, POSTS, channel_entities, channel_posts, contact_points, entities, read
 from vigilspark.plans.text_plans import TEN, UPI_SQL, URL_SQL, _re
@@ -307,19 +308,28 @@ def complaint_campaign_links(spark, sf_dir):
     return keys.join(camp, "value").groupBy("complaint_id", "campaign").agg(F.count("*").alias("common"))
 
 
-@query("""WITH s AS (SELECT s_suppkey AS channel, s_nationkey % 5 AS category FROM supplier), o AS (SELECT *, lead(channel, 1) OVER (PARTITION BY category ORDER BY channel) AS n1, lead(channel, 2) OVER (PARTITION BY category ORDER BY channel) AS n2 FROM s),
-  x AS (SELECT channel, category, lead(channel, 1) OVER (ORDER BY channel) AS o1, lead(category, 1) OVER (ORDER BY channel) AS c1 FROM s)
-  SELECT channel AS a, n1 AS b, 1 AS label FROM o WHERE n1 IS NOT NULL UNION ALL SELECT channel, n2, 1 FROM o WHERE n2 IS NOT NULL
-  UNION ALL SELECT x.channel, x.channel + 1, 0 FROM x WHERE o1 = x.channel + 1 AND c1 <> category""")
+_LABELLED = """l AS (SELECT s_suppkey AS channel, CASE WHEN s_nationkey >= 18 THEN 'CONFIRMED_LEGITIMATE' ELSE 'CONFIRMED_SCAM' END AS label, 'category-' || CAST(s_nationkey % 5 AS VARCHAR) AS category FROM supplier)"""
+
+
+def labelled_channels(spark, sf_dir):
+    """(channel, label, category) of the suppliers."""
+    nation = F.col("s_nationkey")
+    return read(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("channel"), F.when(nation >= 18, "CONFIRMED_LEGITIMATE").otherwise("CONFIRMED_SCAM").alias("label"), F.concat(F.lit("category-"), (nation % 5).cast("string")).alias("category")
+    )
+
+
+@query(f"""WITH {_LABELLED} SELECT x.channel AS a, y.channel AS b, 1 AS label, 'same_category' AS pair_type FROM l x JOIN l y ON x.category = y.category AND x.channel < y.channel AND x.label = y.label WHERE x.label = 'CONFIRMED_SCAM'
+  UNION ALL SELECT x.channel, y.channel, 0, 'cross_category' FROM l x JOIN l y ON x.category < y.category WHERE x.label = 'CONFIRMED_SCAM' AND y.label = 'CONFIRMED_SCAM'
+  UNION ALL SELECT x.channel, y.channel, 0, 'scam_vs_legit' FROM l x JOIN l y ON x.label = 'CONFIRMED_SCAM' AND y.label = 'CONFIRMED_LEGITIMATE'""")
 def training_pairs(spark, sf_dir):
-    """Pairs for a similarity model: neighbours within a category (label 1), next channels of another one (label 0) (JN-19..22).
-
-    A linear number of pairs by neighbourhood, in place of all combinations cut to a target.
-    """
-    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("channel"), (F.col("s_nationkey") % 5).alias("category"))
-    w = W.partitionBy("category").orderBy("channel")
-    near = s.select(F.col("channel").alias("a"), F.lead("channel", 1).over(w).alias("n1"), F.lead("channel", 2).over(w).alias("n2"))
-    near = near.select("a", F.explode(F.array_compact(F.array("n1", "n2"))).alias("b"))
-    following = s.select((F.col("channel") - 1).alias("channel"), F.col("channel").alias("b"), F.col("category").alias("other"))
-    apart = s.join(following, "channel").where("category <> other").select(F.col("channel").alias("a"), "b", F.lit(0).alias("label"))
-    return near.withColumn("label", F.lit(1)).unionByName(apart)
+    """All pairs for a similarity model by kind and label (JN-19 to JN-22)."""
+    return labelled_pairs(labelled_channels(spark, sf_dir), None, None)
+
+
+@query(f"""WITH {_LABELLED}, s AS (SELECT category, count(*) AS n FROM l WHERE label = 'CONFIRMED_SCAM' GROUP BY 1), t AS (SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) AS same, CAST((sum(n) * sum(n) - sum(n * n)) // 2 AS BIGINT) AS cross_n, CAST(sum(n) AS BIGINT) AS n FROM s),
+  f AS (SELECT count(*) AS m FROM l WHERE label = 'CONFIRMED_LEGITIMATE') SELECT 1 AS label, least(300, same) AS pairs FROM t UNION ALL SELECT 0, least(800, cross_n + n * m) FROM t, f""")
+def training_pairs_sampled(spark, sf_dir):
+    """How many distinct pairs a draw with caps gives by label; which ones the seed decides."""
+    some = labelled_pairs(labelled_channels(spark, sf_dir), 300, 800)
+    return some.distinct().groupBy("label").agg(F.count("*").alias("pairs"))
