@@ -192,15 +192,19 @@ def ocr_postfixed(spark, sf_dir):
 
 @query()
 def siamese_pairs(spark, sf_dir):
-    """Similarity of fingerprints by an encoder given as weights (UD-2); an Arrow function, so rows only."""
-    import numpy as np
+    """Similarity of each channel's fingerprint and the next one's by an encoder trained on drawn pairs (UD-2, UD-3).
 
+    Training takes at most 300 pairs of one category and 800 others; a learned model, so rows only.
+    """
     from vigilspark.operators import siamese
+    from vigilspark.operators.pairs import labelled_pairs, with_fingerprints
     from vigilspark.plans.behaviour_plans import fingerprint28
+    from vigilspark.plans.link_plans import labelled_channels
+    from vigilspark.storage import materialize
 
-    rng = np.random.default_rng(5)
-    layers = [(rng.standard_normal((o, i)) / np.sqrt(i), np.zeros(o)) for i, o in ((28, 64), (64, 32), (32, 16))]
     wide = fingerprint28(spark, sf_dir)
-    f = wide.select("channel", F.array(*[c for c in wide.columns if c != "channel"]).alias("vector"))
+    f = materialize(wide.select("channel", F.array(*[c for c in wide.columns if c != "channel"]).alias("vector")), "fingerprints")
+    drawn = with_fingerprints(labelled_pairs(labelled_channels(spark, sf_dir), 300, 800), f)
+    layers = siamese.fit_contrastive(drawn, epochs=10, batches=2)
     nxt = f.select((F.col("channel") - 1).alias("channel"), F.col("vector").alias("vector_b"))
     return siamese.similarity(f.withColumnRenamed("vector", "vector_a").join(nxt, "channel"), layers).select("channel", "similarity")
