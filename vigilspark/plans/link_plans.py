@@ -11,6 +11,7 @@ from vigilspark.functions import text as T
 from vigilspark.operators import behaviour as B
 from vigilspark.operators import linking as L
 from vigilspark.operators.components import connected_components
+from vigilspark.operators.folds import ordered_sha256
 from vigilspark.operators.neighbours import nearest
 from vigilspark.operators.pairs import labelled_pairs
 from vigilspark.plans.case_plans import COMPLAINTS, complaints
@@ -125,11 +126,11 @@ def campaign_rollup(spark, sf_dir):
     comps = post_components(spark, sf_dir)
     found = post_entities(spark, sf_dir).join(comps, "post").groupBy("component").agg(F.count_distinct("entity").alias("n_entities"))
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("post"), "source", "n_chars").join(comps, "post")
-    ids = F.array_join(F.array_sort(F.collect_list(F.col("post").cast("string"))), "")
+    ids = ordered_sha256(docs.select("component", F.col("post").cast("string").alias("post")), "component", "post")
     g = docs.groupBy("component").agg(
         F.count("*").alias("posts"), F.count_distinct("source").alias("platforms"), F.sum("n_chars").alias("reach"), F.min("post").alias("first_post"),
-        F.concat(F.lit("cpg-"), F.substring(F.sha2(ids.cast("binary"), 256), 1, 8)).alias("campaign_id"),
     )
+    g = g.join(ids.select("component", F.concat(F.lit("cpg-"), F.substring("digest", 1, 8)).alias("campaign_id")), "component")
     g = g.join(found, "component", "left").withColumn("n_entities", F.coalesce("n_entities", F.lit(0)).cast("long"))
     scored = g.withColumn("risk_score", S.campaign_risk(F.col("posts"), F.col("n_entities"), F.col("platforms"), F.col("reach")))
     return scored.select(
