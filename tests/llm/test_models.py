@@ -287,7 +287,7 @@ def test_samples_are_bounded_whatever_the_ids(spark):
     rows = [(None, text(), "en", k % 2) for k in range(600)] + [(7, text(), "de", k % 2) for k in range(600)] + [(9, "one row of many", "en", 1)] * 600
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
     known = lambda n: len(lang_id.fit(df, sample_docs=n).keys[0]) // 4
-    assert 40 < known(90) < 95 and 1190 < known(2_000) < 1205
+    assert 40 < known(90) < 95 and 1150 < known(2_000) <= 1201  # some random words coincide
     few = quality.fit(df, sample_docs=90, buckets=1 << 14)
     assert 0 < np.count_nonzero(few) < 90 * 8
     renamed = df.withColumn("doc_id", F.monotonically_increasing_id()).repartition(5)
