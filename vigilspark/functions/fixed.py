@@ -173,11 +173,19 @@ MAIL_PROVIDERS = ["gmail", "yahoo", "hotmail", "outlook", "email", "proton"]
 URL = r"(?i)https?://[^\s<>\"']+|(?:bit\.ly|t\.me|wa\.me|goo\.gl|tinyurl\.com|is\.gd|cutt\.ly|rb\.gy|short\.io)/[a-zA-Z0-9_-]+"
 TELEGRAM_LINK = r"(?i)(?:https?://)?t\.me/([a-zA-Z0-9_]+(?:/\d+)?)"
 TELEGRAM_MENTION = r"@([a-zA-Z][a-zA-Z0-9_]{4,})"
+# Patterns of the post collector, which knows its payment handles by name.
+COLLECTED_PHONE = r"(?:\+91[\-\s]?)?[6-9]\d{4}[\-\s]?\d{5}"
+COLLECTED_HANDLES = [
+    "upi", "paytm", "oksbi", "okaxis", "okicici", "okhdfcbank", "ybl", "ibl", "axl", "sbi", "icici", "hdfc", "kotak", "apl", "boi", "citi", "indus",
+    "freecharge", "phonepe", "gpay", "amazonpay", "jupiteraxis", "slice", "fi", "niyoicici",
+]
+COLLECTED_UPI = r"(?i)[a-zA-Z0-9._\-]+@(?:" + "|".join(COLLECTED_HANDLES) + r")\b"
+COLLECTED_URL = r"https?://[^\s<>\"']+|(?:www\.)[^\s<>\"']+"
+COLLECTED_LINK = r"(?:https?://)?t\.me/(?:joinchat/)?[a-zA-Z0-9_]+|@[a-zA-Z][a-zA-Z0-9_]{3,}"
 WHATSAPP_GROUP = r"(?i)(?:https?://)?chat\.whatsapp\.com/([a-zA-Z0-9]{15,})"
 BANK_WORDS = r"(?i)(?:account|a/c|acc|bank|deposit|transfer|neft|rtgs|imps)"
 BANK_ACCOUNT = r"\b(\d{9,18})\b"
 IFSC = r"\b[A-Z]{4}0[A-Z0-9]{6}\b"
-AMOUNT_BEFORE = r"(?i)(?:₹|Rs\.?|INR)\s*(\d[\d,]*(?:\.\d{1,2})?)"
 AMOUNT = r"(?i)(?:₹|Rs\.?|INR)\s*(\d[\d,]*(?:\.\d{1,2})?)|(\d[\d,]*(?:\.\d{1,2})?)\s*(?:₹|Rs\.?|INR|rupees?)"
 MASKS = [
     (r"(\+91[-\s]?)?[6-9]\d{9}", "***PHONE***"), (r"\b[a-zA-Z0-9._-]+@[a-zA-Z]{2,10}\b", "***UPI***"),

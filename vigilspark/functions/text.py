@@ -155,6 +155,34 @@ def parse_entities(text: Column) -> Column:
     )
 
 
+def collected_entities(text: Column) -> Column:
+    """Typed entities of a post as the collector reads them, distinct (SF-15): array of (entity_type, value); null text has none.
+
+    Phones may be split five and five, payment addresses need one of the known
+    handles, addresses may begin with www, links are to channels or mentions.
+    Mentions of payment codes are those of :func:`shows_code`.
+    """
+    found = [
+        ("PHONE", _all(text, X.COLLECTED_PHONE)), ("UPI", _all(text, X.COLLECTED_UPI, needs="@")),
+        ("URL", _all(text, X.COLLECTED_URL)), ("TELEGRAM", _all(text, X.COLLECTED_LINK)),
+    ]
+
+    def typed(kind: str, values: Column) -> Column:
+        return F.transform(values, lambda x: F.struct(F.lit(kind).alias("entity_type"), x.alias("value")))
+
+    return F.array_distinct(F.concat(*[typed(k, v) for k, v in found]))
+
+
+def shows_code(text: Column) -> Column:
+    """Whether a text mentions a payment code to scan; null text does not."""
+    return F.coalesce(text.rlike(X.QR_MENTION), F.lit(False))
+
+
+def linked_name(link: Column) -> Column:
+    """Channel that a collected link names: without mark and address, up to the first slash; a link without scheme names its host."""
+    return F.split_part(F.regexp_replace(link, "^@+|https?://t\\.me/", ""), F.lit("/"), F.lit(1))
+
+
 def complaint_entities(text: Column) -> Column:
     """Typed entities of a complaint in order of type and occurrence, distinct (SF-16)."""
     upi = F.filter(_all(text, r"[a-zA-Z0-9._-]+@[a-zA-Z]{2,10}", needs="@"), lambda x: ~x.rlike(r"\.(com|in|org|gov|net)$"))

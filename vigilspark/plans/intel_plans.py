@@ -137,28 +137,6 @@ def recommendation_summary(spark, sf_dir):
     )
 
 
-SIGNALS = """sig AS (SELECT s_suppkey AS channel, s_suppkey % 4 AS xref_hits, s_suppkey % 5 AS domain_hits, s_suppkey % 6 AS upis, s_suppkey % 7 AS phones, s_suppkey % 3 = 0 AS bad_tld, s_suppkey % 13 AS linked, (s_suppkey % 10) / 10 AS forward_ratio,
-    s_suppkey % 17 AS connections, s_suppkey % 4 AS campaigns, s_suppkey % 3 AS overlap, (s_suppkey % 11) / 10 AS similarity, s_acctbal * 2 AS subscribers, s_suppkey % 40 AS urgency_pct, s_suppkey % 2 AS backup, (s_suppkey % 8) / 10 AS deletion_rate,
-    (s_suppkey % 12) / 11 AS confidence, s_suppkey % 2 = 0 AS has_qr, s_suppkey % 90 AS image_pct, (s_suppkey % 5) / 10 AS hinglish FROM supplier)"""
-
-
-@query(f"""WITH {SIGNALS}, x AS (SELECT *, least(40.0, xref_hits * 20.0) AS xr FROM sig), p AS (SELECT channel,
-    least(100.0, xr + least(domain_hits, greatest(1.0, ceil((65 - xr) / 25))) * 25 + CASE WHEN upis > 0 THEN least(15.0, upis * 5.0) ELSE 0 END + CASE WHEN phones > 2 THEN least(10.0, phones * 3.0) ELSE 0 END + CASE WHEN bad_tld THEN 10 ELSE 0 END)::DOUBLE AS infrastructure,
-    least(100.0, CASE WHEN linked > 5 THEN least(30.0, linked * 3.0) ELSE 0 END + CASE WHEN forward_ratio > 0.3 THEN 20 ELSE 0 END + CASE WHEN connections > 10 THEN least(25.0, connections * 2.0) ELSE 0 END + CASE WHEN campaigns > 0 THEN least(15.0, campaigns * 5.0) ELSE 0 END + CASE WHEN overlap > 0 THEN least(20.0, overlap * 10.0) ELSE 0 END)::DOUBLE AS network,
-    least(100.0, CASE WHEN similarity > 0.8 THEN 40 WHEN similarity > 0.6 THEN 20 ELSE 0 END + CASE WHEN subscribers > 10000 THEN 10 ELSE 0 END + CASE WHEN urgency_pct > 30 THEN 25 WHEN urgency_pct > 10 THEN 10 ELSE 0 END + CASE WHEN backup > 0 THEN 15 ELSE 0 END + CASE WHEN deletion_rate > 0.3 THEN 10 ELSE 0 END)::DOUBLE AS behavioral,
-    least(100.0, CASE WHEN confidence > 0.8 THEN 50 WHEN confidence > 0.5 THEN 25 ELSE 0 END + CASE WHEN has_qr AND upis > 0 THEN 20 ELSE 0 END + CASE WHEN image_pct > 50 AND upis > 0 THEN 15 ELSE 0 END + CASE WHEN hinglish > 0.3 THEN 10 ELSE 0 END)::DOUBLE AS content FROM x),
-  t AS (SELECT *, round((0.3::DOUBLE * infrastructure + 0.25::DOUBLE * network + 0.25::DOUBLE * behavioral + 0.2::DOUBLE * content), 2) AS score FROM p)
-  SELECT *, CASE WHEN score >= 85 THEN 'BLOCK' WHEN score >= 70 THEN 'ESCALATE' WHEN score >= 50 THEN 'INVESTIGATE' WHEN score >= 30 THEN 'MONITOR' ELSE 'IGNORE' END AS decision FROM t""")
-def decision_score(spark, sf_dir):
-    k = F.col("s_suppkey")
-    s = read(spark, sf_dir, "supplier").select(
-        k.alias("channel"), (k % 4).alias("xref_hits"), (k % 5).alias("domain_hits"), (k % 6).alias("upis"), (k % 7).alias("phones"), (k % 3 == 0).alias("bad_tld"), (k % 13).alias("linked"),
-        ((k % 10) / 10).alias("forward_ratio"), (k % 17).alias("connections"), (k % 4).alias("campaigns"), (k % 3).alias("overlap"), ((k % 11) / 10).alias("similarity"), (F.col("s_acctbal") * 2).alias("subscribers"),
-        (k % 40).alias("urgency_pct"), (k % 2).alias("backup"), ((k % 8) / 10).alias("deletion_rate"), ((k % 12) / 11).alias("confidence"), (k % 2 == 0).alias("has_qr"), (k % 90).alias("image_pct"), ((k % 5) / 10).alias("hinglish"),
-    )
-    return I.decision_score(s)
-
-
 def _role_sql():
     # fragments of common words, so that the invented prose of the test tables meets some indicators
     hits = {name: " + ".join(f"max(CAST(contains(lower(text), '{w.lower()}') AS INTEGER))" for w in words) for name, _, words in X.ROLES}

@@ -8,6 +8,7 @@ from vigilspark.functions import fixed as X
 from vigilspark.functions import scores as S
 from vigilspark.functions import text as T
 from vigilspark.operators.scan import split_in_order
+from vigilspark.plans import decision_plans as D
 from vigilspark.plans import intel_plans as P
 from vigilspark.plans.case_plans import LEGAL_SQL, legal_dim
 from vigilspark.plans.intel_plans import CAMP, RECOMMENDED
@@ -144,12 +145,12 @@ def playbook_match(spark, sf_dir):
     return named.withColumn("steps", F.coalesce(steps[F.col("playbook")], F.lit(1)))
 
 
-@query(f"""WITH d AS ({P.ORACLE['decision_score']}), t AS (SELECT decision AS predicted, CASE channel % 3 WHEN 0 THEN 'BLOCK' WHEN 1 THEN 'IGNORE' ELSE 'MONITOR' END AS actual FROM d)
+@query(f"""WITH d AS ({D.ORACLE['decision_score']}), t AS (SELECT decision AS predicted, CASE channel % 3 WHEN 0 THEN 'BLOCK' WHEN 1 THEN 'IGNORE' ELSE 'MONITOR' END AS actual FROM d)
   SELECT actual, predicted, count(*) AS n, count(*) FILTER (WHERE actual = 'IGNORE' AND predicted IN ('BLOCK', 'ESCALATE')) AS critical FROM t GROUP BY 1, 2""")
 def decision_evaluation(spark, sf_dir):
     """Decisions against ground truth with critical errors (DM-29, AG-43, AG-49)."""
     truth = F.when(F.col("channel") % 3 == 0, "BLOCK").when(F.col("channel") % 3 == 1, "IGNORE").otherwise("MONITOR")
-    d = P.decision_score(spark, sf_dir).select(truth.alias("actual"), F.col("decision").alias("predicted"))
+    d = D.decision_score(spark, sf_dir).select(truth.alias("actual"), F.col("decision").alias("predicted"))
     bad = (F.col("actual") == "IGNORE") & F.col("predicted").isin("BLOCK", "ESCALATE")
     return d.groupBy("actual", "predicted").agg(F.count("*").alias("n"), F.count_if(bad).alias("critical"))
 
