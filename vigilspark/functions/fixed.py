@@ -196,6 +196,21 @@ IOC_DOMAIN = r"\b(?:[a-zA-Z0-9](?:[a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?\.)+(?:com|in|
 IOC_IP = r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b"
 IOC_CVE = r"(?i)CVE-\d{4}-\d{4,}"
 LEGAL_CITATION = r"(?i)(?:IT\s*Act|Information\s*Technology\s*Act)\s*(?:,?\s*(?:Section|§|Sec\.?)\s*\d+[A-Z]?(?:\s*[/&]\s*\d+[A-Z]?)*)"
+# Patterns and own domains of advisory and alert publishers, payment handles of alerts.
+ADVISORY_URL = r"https?://[^\s<>\"']+"
+ADVISORY_DOMAIN = r"\b(?:[a-zA-Z0-9](?:[a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?\.)+(?:com|in|org|net|co\.in|io|xyz|online|site|info|biz|club)\b"
+ADVISORY_CHANNEL = r"(?:https?://)?t\.me/[a-zA-Z0-9_]+"
+ADVISORY_OWN = ["cybercrime.gov.in", "cert-in.org"]
+ALERT_OWN = ["cert-in.org", "gov.in", "nic.in"]
+ALERT_UPI = (
+    r"(?i)[a-zA-Z0-9._\-]+@(?:upi|paytm|oksbi|okaxis|okicici|okhdfcbank|ybl|ibl|axl|sbi|icici|hdfc|kotak|apl|boi|citi|indus|"
+    r"freecharge|phonepe|gpay|amazonpay)\b"
+)
+# General indicators of a classified text.
+GENERAL_INDICATORS = [
+    (r"\+91|wa\.me|t\.me", "Contains contact information (phone/messaging links)"), (r"@\w+", "Contains UPI ID or social media handle"),
+    (r"₹|Rs\.?\s*\d", "Contains monetary amounts"),
+]
 # What the address of a crypto payment page holds.
 CRYPTO_WORDS = ["bitcoin", "btc", "eth", "usdt"]
 QR_MENTION = r"(?i)\bQR\s*code\b|\bQR\b|\bscan\s*(?:the\s*)?code\b"

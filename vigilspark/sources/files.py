@@ -84,12 +84,14 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_by_channel(df: DataFrame, path: str, channel: str = "channel") -> None:
+def write_by_channel(df: DataFrame, path: str, channel: str = "channel", most_rows: int = 1_000_000) -> None:
     """Rows as JSON in one folder for each channel (SC-8, SC-33): fingerprints and evidence packages.
 
-    Rows stay in their partitions, so a channel with most rows has many writers.
+    Rows are rebalanced by channel first, so a small channel is one file and not one from
+    every task, and adaptive execution splits a channel with most rows among writers by
+    size.  A file ends after ``most_rows`` rows.
     """
-    df.write.mode("append").partitionBy(channel).json(path)
+    df.hint("rebalance", F.col(channel)).write.mode("append").option("maxRecordsPerFile", most_rows).partitionBy(channel).json(path)
 
 
 def read_by_channel(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -120,11 +122,22 @@ def recent(df: DataFrame, order: list[Column], n: int) -> DataFrame:
 
 
 def next_batch(feed: DataFrame, ingested: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """A random batch of rows not ingested yet, in a seeded order (SC-20); empty when the feed is exhausted."""
+    """A random batch of rows not ingested yet, in a seeded order (SC-20); empty when the feed is exhausted, see :func:`next_batch_or_reset`."""
     fresh = feed.join(ingested.select(key).distinct(), key, "left_anti")
     return fresh.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
 
 
+def next_batch_or_reset(feed: DataFrame, ingested: DataFrame, key: str, n: int, seed: int = 42) -> tuple[DataFrame, bool]:
+    """:func:`next_batch`, and whether the feed was exhausted and so began anew (SC-20).
+
+    After a reset the caller forgets what was ingested and keeps only this batch.
+    """
+    batch = next_batch(feed, ingested, key, n, seed)
+    if not batch.isEmpty():
+        return batch, False
+    return next_batch(feed, ingested.limit(0), key, n, seed + 1), True
+
+
 def mix(real: DataFrame, synthetic: DataFrame, key: str, n: int, ratio: float = 0.3, seed: int = 42) -> DataFrame:
     """``n`` rows of which a share of ``ratio`` is real, the rest synthetic (SC-21)."""
     some = lambda df, k: df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(k)
