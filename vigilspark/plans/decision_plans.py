@@ -40,7 +40,7 @@ def told(spark, sf_dir):
     o = read(spark, sf_dir, "orders").crossJoin(F.broadcast(number)).withColumn("page_id", F.col("o_orderkey") * 7 % F.col("n"))
     words, key, cust = F.array(*[F.lit(w) for w in _WORDS]), F.col("o_orderkey"), F.col("o_custkey")
     channel = F.floor(cust / 10)
-    linking = F.when(channel % 5 > 1, F.col("page_id"))
+    linking = F.when(channel % 5 > 1, F.col("page_id")).otherwise(-1 - key)  # no page; nulls would be one hot key
     o = o.withColumn("page_id", linking).join(pages.select("page_id", url.alias("url")), "page_id", "left")
     priority, status, none = F.col("o_orderpriority"), F.col("o_orderstatus"), F.lit("")
     text = lambda *parts: F.concat(*[p.cast("string") if not isinstance(p, str) else F.lit(p) for p in parts])
