@@ -138,6 +138,14 @@ def test_phash_copies_are_classes(spark):
     assert sorted(map(tuple, L.phash_pairs(rows).collect())) == [(1, 2, 0), (1, 3, 0), (1, 9, 1)]
 
 
+def test_phash_keys_are_not_broadcast(spark, tmp_path):
+    """Fifteen keys a hash are not in the estimate, so no side of the pair join goes through the driver."""
+    spark.range(2000).select("id", F.xxhash64("id").alias("phash")).write.parquet(str(tmp_path / "images"))
+    found = L.phash_pairs(spark.read.parquet(str(tmp_path / "images")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_fuzzy_first_seen_equals_one_pass_in_order(spark):
     """A repeat is not stored, so a post near only to a repeat is new."""
     rng = random.Random(12)
