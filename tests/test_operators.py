@@ -170,6 +170,13 @@ def test_fuzzy_first_seen_equals_one_pass_in_order(spark):
     assert L.first_seen_fuzzy(spark.createDataFrame([], "id long, phash long")).count() == 0
 
 
+def test_fuzzy_first_seen_is_not_broadcast(spark, tmp_path):
+    spark.range(2000).select("id", F.xxhash64(F.floor(F.col("id") / 2)).alias("phash")).write.parquet(str(tmp_path / "images"))
+    found = L.first_seen_fuzzy(spark.read.parquet(str(tmp_path / "images")))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.where("duplicate").count() == 1000
+
+
 def test_greedy_choice_of_large_components_and_chains(spark):
     rng = random.Random(4)
     edges = {tuple(sorted(rng.sample(range(400), 2))) for _ in range(700)} | {(1000 + k, 1001 + k) for k in range(3000)}
