@@ -415,3 +415,10 @@ def test_phone_numbers(spark):
     ]
     assert one(spark, T.sms_text(F.lit("HIGH"), F.lit("c"), F.lit("t" * 99), F.lit("a" * 99))) == "[HIGH] c\n" + "t" * 80 + "\nAction: " + "a" * 60
     assert one(spark, T.campaign_name(F.lit("lottery in NOIDA"))) == "Lottery Scam Network — Noida"
+
+
+def test_checksum_of_many_edges_does_not_overflow(spark):
+    from vigilspark.operators.components import _fingerprint
+
+    edges = spark.range(2_500_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert _fingerprint(edges)[0] == 2_500_000 and _fingerprint(edges) != _fingerprint(edges.where("a <> 7"))

@@ -9,7 +9,7 @@ logarithm of the longest chain.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilspark.storage import drop_path, materialize_at, new_path
@@ -71,7 +71,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
-    """Order-free checksum of an edge set: three numbers."""
-    h: Column = F.xxhash64("a", "b")
-    row = edges.agg(F.count("*"), F.sum(F.shiftrightunsigned(h, 20)), F.expr("bit_xor(xxhash64(a, b))")).first()
+    """Order-free checksum of an edge set: three numbers, none of which grows beyond 64 bits."""
+    row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64(F.lit(1), "b", "a"))).first()
     return (row[0], row[1], row[2])
