@@ -54,6 +54,30 @@ def test_attribution_values(spark):
         L.attribution(chans, spark.createDataFrame(shared, "channel long, entity_type string, value string"), 0.01)
 
 
+def test_four_places_equal_round(spark):
+    rng = random.Random(3)
+    values = [rng.random() for _ in range(3000)] + [k / 20_000 for k in range(3000)] + [0.0, 1.0, -0.3, 1.7, float("nan"), float("inf"), None, 0.00005, 0.99995, 1e-12]
+    df = spark.createDataFrame([(v,) for v in values], "x double").select("x", S.four_places(F.col("x")).alias("got"), F.round("x", 4).alias("want"))
+    assert df.where("not (got <=> want)").count() == 0
+
+
+def test_attribution_pairs_are_not_shuffled(spark):
+    """Pairs near in time are made and scored in the task that joins them: nothing after the join moves them."""
+    t = datetime(2024, 1, 1)
+    chans = spark.range(30).select(
+        F.col("id").alias("channel"), F.array(F.lit(1.0), F.col("id") / 7).alias("vector"), F.lit("A").alias("category"), F.lit("").alias("impersonated"), F.lit(True).alias("promises"),
+        F.lit(t).alias("taken_down"), F.lit(t).alias("created"), F.lit(1).cast("long").alias("n_evidence"),
+    )
+    ents = spark.createDataFrame([(c, "UPI", str(c // 3)) for c in range(30)], "channel long, entity_type string, value string")
+    got = L.attribution(chans, ents, 0.1)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("known", 1)[0] and "Distinct" not in plan
+    pairs = [(r["a"], r["b"]) for r in got.collect()]
+    assert sorted(pairs) == [(a, b) for a in range(30) for b in range(a + 1, 30)]
+    near = L.close_in_time(chans, 5.0, ents.sparkSession.createDataFrame([(0, 1)], "a long, b long"), block=4)
+    assert near.count() == 30 * 29 // 2 - 1
+
+
 def posts(spark, rows):
     return spark.createDataFrame(rows, "channel long, message_id long, ts timestamp_ntz, views long, reactions int, forwards int, replies int, media string")
 
