@@ -429,6 +429,11 @@ def test_content_marks(spark):
     assert got == {1: ("State Bank of India", "double your money", "UNKNOWN"), 2: ("", "", "UNKNOWN"), 3: ("", "", "UNKNOWN")}
 
 
+def test_phone_formats_are_searched_once(spark):
+    plan = spark.range(3).select(T.phone_numbers(F.col("id").cast("string")).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("wa\\.me") == 1
+
+
 def test_phone_numbers(spark):
     """The standard pattern takes a country code, so it also finds the number of a chat link, and comes first."""
     from vigilspark.functions import text as T
