@@ -61,6 +61,13 @@ def test_four_places_equal_round(spark):
     assert df.where("not (got <=> want)").count() == 0
 
 
+def test_jaccard_counts_pairs_once(spark):
+    rows = [(1, "UPI", "x"), (2, "UPI", "x"), (2, "UPI", "y"), (1, "QR", "z"), (3, "QR", "z"), (1, "IMAGE", "i"), (2, "IMAGE", "i")]
+    got = L.jaccard_by_type(spark.createDataFrame(rows, "channel long, entity_type string, value string"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 3  # one of pairs, the sizes of both sides
+    assert sorted(map(tuple, got.collect())) == [(1, 2, 0.5, 0.0, 0.0, 1.0), (1, 3, 0.0, 0.0, 0.0, 0.0)]
+
+
 def test_attribution_pairs_are_not_shuffled(spark):
     """Pairs near in time are made and scored in the task that joins them: nothing after the join moves them."""
     t = datetime(2024, 1, 1)
