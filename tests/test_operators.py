@@ -458,3 +458,32 @@ def test_checksum_of_many_edges_does_not_overflow(spark):
 
     edges = spark.range(2_500_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert _fingerprint(edges)[0] == 2_500_000 and _fingerprint(edges) != _fingerprint(edges.where("a <> 7"))
+
+
+def test_values_met_are_shared_or_listed_in_one_join(spark):
+    points = spark.createDataFrame([(1, "UPI", "a"), (2, "UPI", "a"), (3, "UPI", "b"), (4, "URL", "a"), (5, "UPI", None)], "channel long, entity_type string, value string")
+    blocked = spark.createDataFrame([("UPI", "b"), ("UPI", "b"), ("UPI", "a"), ("PHONE", "z"), ("UPI", None)], "entity_type string, value string")
+    met = L.values_met(points, blocked)
+    assert sorted(map(tuple, met.collect())) == [(1, "UPI", "a", 2, 1), (2, "UPI", "a", 2, 1), (3, "UPI", "b", 1, 2)]
+    assert met._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+    features = spark.createDataFrame([], "channel long, deletion_rate double, backup_mentions long, urgency_share double")
+    content = spark.createDataFrame([], "channel long, impersonated string, promise string, category string")
+    items = [(r["channel"], r["evidence_type"], r["strength"]) for r in I.evidence_items(met, features, content).collect()]
+    listed, shared = ("BLOCKLIST_MATCH", "DEFINITIVE"), ("SHARED_ENTITY", "MODERATE")
+    assert sorted(items) == [(1, *listed), (1, *shared), (2, *listed), (2, *shared), (3, *listed), (3, *listed)]
+
+
+def test_rule_category_counts_in_generated_code(spark):
+    texts = ["betting tips, cricket prediction", "ponzi, zero risk; betting tips, cricket prediction", "ponzi", "", None]
+    found = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").select("k", T.rule_category(F.col("text")).alias("c"))
+    assert [r["c"] for r in found.orderBy("k").collect()] == ["BETTING_SCAM", "INVESTMENT_SCAM", "UNKNOWN", "UNKNOWN", "UNKNOWN"]
+    assert "lambdafunction" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_confidence_makes_sets_of_counted_sources(spark):
+    channels = spark.createDataFrame([(1, 7, 200)], "channel long, populated int, n_posts long")
+    items = spark.createDataFrame([(1, "x", "s1", "v", "WEAK"), (1, "x", "s1", "w", "WEAK"), (1, "y", "s2", "v", "STRONG")], "channel long, evidence_type string, source string, value string, strength string")
+    found = I.confidence(channels, items)
+    row = found.first()
+    assert (row["n_items"], row["sources"], row["rank"], row["agreement"]) == (3, 2, 4, 0.6667)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 3  # by source, by strength, by channel
