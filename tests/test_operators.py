@@ -487,3 +487,36 @@ def test_confidence_makes_sets_of_counted_sources(spark):
     row = found.first()
     assert (row["n_items"], row["sources"], row["rank"], row["agreement"]) == (3, 2, 4, 0.6667)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 3  # by source, by strength, by channel
+
+
+def test_texts_are_searched_once_for_campaigns(spark, monkeypatch):
+    from vigilspark.plans import link_plans as P
+
+    searched, search = [], P.post_entities
+    monkeypatch.setattr(P, "post_entities", lambda *a: searched.append(a) or search(*a))
+    plan = P.campaign_rollup(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(searched) == 1 and "regexp_extract_all" not in plan
+
+
+def test_new_channels_of_a_day_are_counted_by_search():
+    import time
+    from datetime import timezone
+
+    from vigilspark.streaming.stateful import Alerts
+
+    class State(dict):
+        exists = lambda self: bool(self)
+        update = lambda self, v: None
+        iterator = lambda self: iter(self.items())
+        updateValue = lambda self, k, v: dict.update(self, {k: v})  # noqa: E731, N815
+        removeKey = lambda self, k: self.pop(k)  # noqa: E731, N815
+
+    p = Alerts({"new_channels_24h": 20_001, "estimated_reach": 1e18, "platforms": 9})
+    p.facts, p.recent, p.platforms, p.active, p.holding = (State() for _ in range(5))
+    begun = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    row = lambda k: {"id": k, "channel": k, "platform": None, "reach": 0.0, "ts": begun + timedelta(seconds=4 * k), "alert_id": None}
+    at = time.process_time()
+    made = list(p.handleInputRows((1,), iter([row(k) for k in range(40_000)]), None))
+    assert time.process_time() - at < 8  # a pass over all channels for each post takes far longer
+    # a day holds 21,600 posts four seconds apart, so the 20,001st new channel raises once
+    assert [(r["alert_type"], r["value"], r["ts"]) for r in made] == [("NEW_CAMPAIGN", 1.0, begun), ("RAPID_GROWTH", 20_001.0, begun + timedelta(seconds=80_000))]
