@@ -520,3 +520,17 @@ def test_new_channels_of_a_day_are_counted_by_search():
     assert time.process_time() - at < 8  # a pass over all channels for each post takes far longer
     # a day holds 21,600 posts four seconds apart, so the 20,001st new channel raises once
     assert [(r["alert_type"], r["value"], r["ts"]) for r in made] == [("NEW_CAMPAIGN", 1.0, begun), ("RAPID_GROWTH", 20_001.0, begun + timedelta(seconds=80_000))]
+
+
+def test_letters_codes_and_emoji_are_counted_only_where_they_can_be(spark):
+    from vigilspark.functions import fixed as X
+
+    texts = ["plain ASCII", "naïve café", "जल्दी करो now", "जल्दी", "12 !", "", None, "scan the code, QR Code, qr", "qrs and scans", "ok 😀😀 then 🚀", "é"]
+    t = F.col("text")
+    made = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, text string").select(
+        "k", T.script_share(t).alias("share"), T.code_mentions(t).alias("codes"), T.emoji_runs(t, X.EMOJI).alias("emoji"), T.shows_code(t).alias("shows"),
+    )
+    rows = made.orderBy("k").collect()
+    assert [None if r["share"] is None else round(r["share"], 2) for r in rows] == [0.0, 0.0, 0.73, 1.0, None, None, None, 0.0, 0.0, 0.0, None]
+    assert [r["codes"] for r in rows] == [0, 0, 0, 0, 0, 0, None, 3, 0, 0, 0] and [r["emoji"] for r in rows] == [0, 0, 0, 0, 0, 0, None, 0, 0, 2, 0]
+    assert [r["shows"] for r in rows] == [k == 7 for k in range(len(texts))]
