@@ -87,3 +87,13 @@ def test_schedule_similarity(spark):
     got = {r["channel"]: r["similarity"] for r in D.schedule_similarity(df, known).collect()}
     assert got == {1: 1.0, 2: round(2 / 5**0.5, 6), 3: 0.0}  # a week later is the same hour of the week
     assert D.schedule_similarity(df, known.limit(0)).count() == 0
+
+
+def test_texts_of_channels_are_collected_once(spark, monkeypatch):
+    from vigilspark.operators import decision
+    from vigilspark.plans import decision_plans
+
+    calls, collect = [], decision.collected
+    monkeypatch.setattr(decision, "collected", lambda texts: calls.append(1) or collect(texts))
+    decision_plans.decision_signals(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
