@@ -89,3 +89,17 @@ def test_the_second_of_two_merges_is_refused(spark, tmp_path):
     with pytest.raises(K.MergeConflict):
         stale.merge(spark.createDataFrame([("a", 1, 1, None)], SCHEMA), RULES)
     assert rows_of(one.read()) == {("a", 1): (1, None)}
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    import glob
+
+    from vigilspark.sources import keyed_table as K
+
+    monkeypatch.setattr(K, "ROWS_A_FILE", 100, raising=False)
+    table = K.KeyedTable(spark, f"{tmp_path}/sliced", "k long, n long", ["k"], buckets=2)
+    rows = spark.range(2_000).selectExpr("id AS k", "id % 7 AS n")
+    table.merge(rows, {"n": K.ADD})
+    assert len(glob.glob(f"{tmp_path}/sliced/data/*/_bucket=0/*.parquet")) > 1
+    table.merge(rows.where("k < 1500"), {"n": K.ADD})
+    assert sorted(map(tuple, table.read().collect())) == [(k, (k % 7) * (2 if k < 1500 else 1)) for k in range(2_000)]

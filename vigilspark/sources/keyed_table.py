@@ -28,6 +28,10 @@ LEAST: Rule = lambda old, new: F.least(old, new)
 GREATEST: Rule = lambda old, new: F.greatest(old, new)
 
 
+#: Rows that a task of a merge writes, about; a larger bucket is written by several tasks, a file each.
+ROWS_A_FILE = 500_000
+
+
 class MergeConflict(RuntimeError):
     """Another merge made the next version first."""
 
@@ -101,10 +105,13 @@ class KeyedTable:
         bucket = F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
         new = changes.select(*columns).withColumn("_bucket", bucket)
         # the numbers of buckets, at most as many as the table has
-        touched = {r["_bucket"] for r in new.select("_bucket").distinct().collect()}
+        given_rows = {r["_bucket"]: r["count"] for r in new.groupBy("_bucket").count().collect()}
+        touched = set(given_rows)
         if not touched:
             return manifest["version"]
-        old = self._read(manifest, touched).withColumn("_bucket", bucket)
+        known = self._read(manifest, touched)
+        slices = (known.count() + sum(given_rows.values())) // (len(touched) * ROWS_A_FILE) + 1
+        old = known.withColumn("_bucket", bucket)
         o, c = old.select(F.struct(*columns).alias("o"), *[F.col(k).alias(f"_{k}") for k in keys], "_bucket"), new.select(F.struct(*columns).alias("n"), *[F.col(k).alias(f"_{k}") for k in keys], "_bucket")
         same = o["_bucket"].eqNullSafe(c["_bucket"])
         for k in keys:
@@ -119,7 +126,9 @@ class KeyedTable:
             return F.when(there & given & F.lit(name not in keys), changed).when(there, was).otherwise(now).cast(kind).alias(name)
 
         folder = uuid.uuid4().hex
-        rows = joined.select(*[value(name) for name in columns], "_bucket").repartition(len(touched), "_bucket")
+        rows = joined.select(*[value(name) for name in columns], "_bucket")
+        part = F.pmod(F.xxhash64(F.lit(1), *keys), F.lit(slices))
+        rows = rows.repartition(len(touched) * slices, "_bucket", part) if slices > 1 else rows.repartition(len(touched), "_bucket")
         rows.write.partitionBy("_bucket").parquet(f"{self.path}/data/{folder}")
         files = manifest["files"] | {str(b): f"{folder}/_bucket={b}" for b in touched}
         self._commit(manifest["version"] + 1, {k: manifest[k] for k in ("schema", "keys", "buckets")} | {"files": files})
