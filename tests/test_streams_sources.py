@@ -1,8 +1,14 @@
 import json
+import os
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from pyspark.sql.streaming import StreamingQueryListener
+
+from vigilspark import schemas
+from vigilspark.plans import stream_plans
 from vigilspark.sources import files, landing
 from vigilspark.streaming import monitor as M
 
@@ -42,6 +48,76 @@ def test_growth_and_alerts(spark, tmp_path):
     assert {"RAPID_GROWTH", "HIGH_VICTIM_RISK"} <= kinds
 
 
+class Kept(StreamingQueryListener):
+    """The most state rows that a stream held, and its ends."""
+
+    def __init__(self):
+        self.rows, self.ended = 0, 0
+
+    def onQueryStarted(self, event):  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event):  # noqa: N802
+        self.rows = max([self.rows, *(s.numRowsTotal for s in event.progress.stateOperators)])
+
+    def onQueryIdle(self, event):  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event):  # noqa: N802
+        self.ended += 1
+
+
+def test_growth_state_is_no_larger_than_its_events(spark, tmp_path):
+    schema = spark.createDataFrame([], schemas.EVENT).schema
+    spark.createDataFrame([(i, T0 + timedelta(hours=7 * i), i % 3, "view", 1.5, None) for i in range(60)], schema).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    kept = Kept()
+    spark.streams.addListener(kept)
+    try:
+        got = stream_plans.rolling_growth_stream(spark, str(tmp_path)).collect()
+        for _ in range(100):
+            if kept.ended:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(kept)
+    assert kept.ended and kept.rows <= 60
+    assert len(got) > 1000 and len({(r["start"], r["user_id"]) for r in got}) == len(got)
+
+
+def landed(spark, folder, batches):
+    """A stream that reads one batch after the other, by the times of their files."""
+    schema = "ts timestamp, user_id long, value double"
+    for k, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{folder}/{k}")
+        for name in os.listdir(f"{folder}/{k}"):
+            os.utime(f"{folder}/{k}/{name}", (1_700_000_000 + k,) * 2)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(folder)
+
+
+def test_growth_equals_the_windows_of_the_stream(spark, tmp_path):
+    h = lambda x: T0 + timedelta(hours=x)
+    batches = [
+        [(h(0.2), 1, 1.25), (h(0.7), 1, None), (h(3), 2, 2.5), (None, 1, 9.0), (h(5.5), None, 4.0), (datetime(1969, 12, 1), 1, 7.0)],
+        [(h(30), 1, 3.0), (h(2), 1, 5.0)],
+        [(h(4), 2, 6.0), (h(29.5), 2, 7.0), (h(-40), 2, 8.0)],  # late: too late for some of its windows, for none, for all
+        [(None, 1, 1.0)],
+        [(h(31), 3, None), (h(10), 3, 1.0)],
+        [(h(200), 3, 1.0)],
+        [(h(170), 3, 2.0), (h(100), 3, 2.0)],
+    ]
+    s = landed(spark, str(tmp_path / "in"), batches)
+    for span, slide in (("24 hours", "1 hour"), ("12 hours", "5 hours")):
+        want = M.run_available(M.rolling_growth(s, span, slide), "want")
+        got = M.drain_growth(s, "got", span, slide)
+        assert got.dtypes == want.dtypes and want.count()
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), (span, slide)
+
+
+def test_growth_of_nothing(spark, tmp_path):
+    s = landed(spark, str(tmp_path / "in"), [[]])
+    assert M.drain_growth(s, "t").collect() == [] and M.drain_growth(s, "t").columns == ["start", "end", "user_id", "posts", "reach"]
+
+
 def test_watch_related_classified(spark, tmp_path):
     s = stream(spark, tmp_path, rows(12), SCHEMA)
     watched = spark.createDataFrame([(1,)], "user_id long")

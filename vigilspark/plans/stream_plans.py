@@ -31,7 +31,7 @@ def stream_dedup(spark, sf_dir):
 
 @query()
 def rolling_growth_stream(spark, sf_dir):
-    return M.run_available(M.rolling_growth(M.events(spark, sf_dir)), "rolling_growth")
+    return M.drain_growth(M.events(spark, sf_dir), "rolling_growth")
 
 
 @query()

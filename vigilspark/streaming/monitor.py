@@ -8,16 +8,19 @@ stops, so the same jobs serve schedules and tests.
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import ceil, gcd
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilspark import schemas
 from vigilspark.functions import fixed as X
 from vigilspark.functions import text as T
-from vigilspark.storage import new_path
+from vigilspark.storage import drop_path, new_path
 
 LATE = "1 hour"
+#: Rows of parts that one task rolls up into windows.
+PART_ROWS = 50_000
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +47,7 @@ def first_seen(posts: DataFrame, key: str = "url_hash", late: str | None = None)
 
 
 def rolling_growth(posts: DataFrame, span: str = "24 hours", slide: str = "1 hour", late: str = LATE) -> DataFrame:
-    """Posts and reach of each channel in sliding windows (ST-6)."""
+    """Posts and reach of each channel in sliding windows (ST-6), as a stream with a state row for each open window; :func:`drain_growth` keeps none."""
     w = posts.withWatermark("ts", late).groupBy(F.window("ts", span, slide).alias("w"), "user_id")
     return w.agg(F.count("*").alias("posts"), F.round(F.sum("value"), 2).alias("reach")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "user_id", "posts", "reach")
 
@@ -107,6 +110,59 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def _micros(spark: SparkSession, *spans: str) -> list[int]:
+    zero = F.timestamp_seconds(F.lit(0))
+    return list(spark.range(1).select(*[F.unix_micros(zero + F.expr(f"INTERVAL {s}")) for s in spans]).first())
+
+
+def drain_growth(posts: DataFrame, name: str, span: str = "24 hours", slide: str = "1 hour", late: str = LATE) -> DataFrame:
+    """The rows of :func:`rolling_growth` over what has landed, without a state row for each window of a post.
+
+    A micro-batch leaves one row for each channel and hour (the longest time that divides
+    ``span`` and ``slide``) in the shared folder.  A window is summed from these once, when
+    the watermark has passed its end, so a post counts in every window still open when it
+    comes.  As in Spark's own windows, a batch sees the watermark of the batches before it.
+    """
+    spark = posts.sparkSession
+    schema = rolling_growth(posts, span, slide, late).schema
+    span_us, slide_us, late_us = _micros(spark, span, slide, late)
+    part = f"{gcd(span_us, slide_us)} microseconds"
+    path, parts = new_path(spark, name), new_path(spark, f"{name}_parts")
+    marks, batches, written = [0, 0], [], []  # marks: the watermark before each batch, after the last of all
+
+    def close(to: str) -> None:
+        after, until = marks[-2:]
+        batches[:] = [b for b in batches if b[2] > after - span_us]  # older parts are in closed windows only
+        if until == after or not batches:
+            return
+        at = lambda us: F.timestamp_micros(us if isinstance(us, Column) else F.lit(us))
+        rows = spark.read.parquet(*[p for p, _, _ in batches]).where((F.col("at") > at(after - span_us)) & (F.col("at") < at(until)))
+        dealt = rows.repartition(ceil(sum(n for _, n, _ in batches) / PART_ROWS), "user_id")
+        # starts of the windows that hold a part, exploded: F.window would lose the partitioning, and all windows were shuffled
+        us, first = F.unix_micros("at"), F.unix_micros("at") - F.lit(span_us)
+        starts = F.sequence(us - F.pmod(us, F.lit(slide_us)), first + F.lit(slide_us) - F.pmod(first, F.lit(slide_us)), F.lit(-slide_us))
+        held = dealt.select("user_id", "posts", "reach", F.explode(starts).alias("s")).where((F.col("s") > after - span_us) & (F.col("s") <= until - span_us))
+        w = held.groupBy("user_id", "s").agg(F.sum("posts").alias("posts"), F.round(F.sum("reach"), 2).alias("reach"))
+        closed = w.select(at(F.col("s")).alias("start"), at(F.col("s") + span_us).alias("end"), "user_id", "posts", "reach")
+        closed.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.parquet(to)
+        written.append(to)
+
+    def handle(batch: DataFrame, epoch: int) -> None:
+        to = f"{parts}/{epoch}"
+        hours = batch.groupBy(F.window("ts", part).alias("w"), "user_id").agg(F.count("*").alias("posts"), F.sum("value").alias("reach"), F.max("ts").alias("last"))
+        hours.select(F.col("w.start").alias("at"), "user_id", "posts", "reach", "last").write.parquet(to)
+        n, last = spark.read.parquet(to).agg(F.count("*"), F.unix_micros(F.max("last"))).first()
+        if n:
+            batches.append((to, n, last))
+        close(f"{path}/{epoch}")
+        marks.append(max(marks[-1], last - late_us) if n else marks[-1])
+
+    posts.writeStream.foreachBatch(handle).option("checkpointLocation", f"{path}_checkpoint").trigger(availableNow=True).start().awaitTermination()
+    close(f"{path}/end")
+    drop_path(spark, parts)
+    return spark.read.schema(schema).parquet(*written) if written else spark.createDataFrame([], schema)
+
+
 def every(stream: DataFrame, minutes: int, handle: Callable[[DataFrame, int], None], checkpoint: str):
     """A scheduled micro-batch job (ST-2, ST-4, SC-31, SC-35): ``handle`` gets each batch once for each epoch."""
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(processingTime=f"{minutes} minutes").start()
