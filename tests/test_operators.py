@@ -534,3 +534,40 @@ def test_letters_codes_and_emoji_are_counted_only_where_they_can_be(spark):
     assert [None if r["share"] is None else round(r["share"], 2) for r in rows] == [0.0, 0.0, 0.73, 1.0, None, None, None, 0.0, 0.0, 0.0, None]
     assert [r["codes"] for r in rows] == [0, 0, 0, 0, 0, 0, None, 3, 0, 0, 0] and [r["emoji"] for r in rows] == [0, 0, 0, 0, 0, 0, None, 0, 0, 2, 0]
     assert [r["shows"] for r in rows] == [k == 7 for k in range(len(texts))]
+
+
+def test_marks_of_all_posts_in_chunks(spark):
+    """Cut into chunks, the text of a channel has the marks of the whole text, also across the borders of posts and chunks."""
+    rng = random.Random(5)
+    said = ["sbi account", "blocked, call now", "double your", "money", "", None, " \n", "guaranteed", "return 20%", "profit", "betting", "tips", "zero", "risk", "ponzi", "digital", "arrest"] + ["nothing"] * 12
+    rows = [(c, m, rng.choice(said)) for c in range(25) for m in range(rng.randrange(1, 60))]
+    rows += [(99, m, "nothing") for m in range(230)] + [(99, 230, "double"), (99, 231, "money"), (99, 232, "zero risk ponzi")]
+    texts = spark.createDataFrame(rows, "channel long, message_id long, text string")
+    want = sorted(map(tuple, I.content_marks(texts, first=10**6).collect()))
+    assert sorted(map(tuple, I.content_marks_whole(texts).collect())) == want
+    assert sorted(map(tuple, I.content_marks_whole(texts, chunk=9, ahead=8).collect())) == want
+    assert (99, "", "double money", "INVESTMENT_SCAM") in want and len({w[1:] for w in want}) > 5
+
+
+def _many_orders(tmp_path):
+    """The smallest tables, with orders of two customers: 150 that name a backup, and 230 whose last ones name an arrest."""
+    import os
+
+    import pandas as pd
+
+    small = "/root/testdata/sf0.001"
+    for name in os.listdir(small):
+        if name != "orders.parquet":
+            os.symlink(f"{small}/{name}", tmp_path / name)
+    keys = [7 * k for k in range(150)] + [7 * k + 3 for k in range(200, 425)] + [7 * k + 6 for k in range(500, 505)]
+    orders = pd.read_parquet(f"{small}/orders.parquet").iloc[[0] * len(keys)].assign(o_orderkey=keys, o_custkey=[90_009] * 150 + [90_013] * 230)
+    orders.to_parquet(tmp_path / "orders.parquet", coerce_timestamps="us")
+    return str(tmp_path)
+
+
+def test_evidence_reads_all_texts(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = entry.queries()["evidence_items"](spark, _many_orders(tmp_path)).where("channel > 90000").collect()
+    got = {(r["channel"], r["evidence_type"]): r["value"] for r in rows}
+    assert got[90_009, "BACKUP_CHANNEL_MENTION"] == "150" and got[90_013, "IMPERSONATION_DETECTED"] == "Central Bureau of Investigation"
