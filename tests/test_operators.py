@@ -571,3 +571,10 @@ def test_evidence_reads_all_texts(spark, tmp_path):
     rows = entry.queries()["evidence_items"](spark, _many_orders(tmp_path)).where("channel > 90000").collect()
     got = {(r["channel"], r["evidence_type"]): r["value"] for r in rows}
     assert got[90_009, "BACKUP_CHANNEL_MENTION"] == "150" and got[90_013, "IMPERSONATION_DETECTED"] == "Central Bureau of Investigation"
+
+
+def test_queue_reads_all_texts(spark):
+    from vigilspark.plans.more_plans import recommendation_queue
+
+    plan = recommendation_queue(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "<= 100)" not in plan and "<= 200)" not in plan and "chunk" in plan
