@@ -578,3 +578,22 @@ def test_queue_reads_all_texts(spark):
 
     plan = recommendation_queue(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "<= 100)" not in plan and "<= 200)" not in plan and "chunk" in plan
+
+
+def test_all_near_pairs_of_copies(spark):
+    """Copies are paired with each other and with all copies of near hashes, in blocks of any size."""
+    rng = random.Random(8)
+    hashes = [h ^ x for h in (rng.getrandbits(63) for _ in range(6)) for x in (0, 0, 0, 1, 1, 6, 7 << 20)] * 3
+    rng.shuffle(hashes)
+    rows = spark.createDataFrame([*enumerate(hashes), (None, hashes[0]), (999, None)], "id long, phash long")
+    want = sorted((i, j, (a ^ b).bit_count()) for i, a in enumerate(hashes) for j, b in enumerate(hashes) if i < j and (a ^ b).bit_count() <= 4)
+    for block in (2, 1024):
+        assert sorted(map(tuple, L.phash_all_pairs(rows, block=block).collect())) == want
+
+
+def test_phash_query_pairs_copies(spark, tmp_path, monkeypatch):
+    from vigilspark.plans import link_plans as P
+
+    monkeypatch.setattr(P, "image_hashes", lambda *a: spark.createDataFrame([(1, 7), (2, 7), (3, 7), (9, 6), (8, 6)], "id long, phash long"))
+    got = sorted(map(tuple, P.phash_pairs(spark, "").collect()))
+    assert got == [(1, 2, 0), (1, 3, 0), (1, 8, 1), (1, 9, 1), (2, 3, 0), (2, 8, 1), (2, 9, 1), (3, 8, 1), (3, 9, 1), (8, 9, 0)]
