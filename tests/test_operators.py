@@ -597,3 +597,26 @@ def test_phash_query_pairs_copies(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(P, "image_hashes", lambda *a: spark.createDataFrame([(1, 7), (2, 7), (3, 7), (9, 6), (8, 6)], "id long, phash long"))
     got = sorted(map(tuple, P.phash_pairs(spark, "").collect()))
     assert got == [(1, 2, 0), (1, 3, 0), (1, 8, 1), (1, 9, 1), (2, 3, 0), (2, 8, 1), (2, 9, 1), (3, 8, 1), (3, 9, 1), (8, 9, 0)]
+
+
+@pytest.mark.parametrize("ids", ["near", "far", "text"])
+def test_jaccard_counts_in_blocks(spark, ids):
+    """Pairs are counted where their lists are and not shuffled; blocks by number, by hash where numbers crowd, and of texts give the same."""
+    rng = random.Random(4)
+    name = {"near": lambda c: c - 7, "far": lambda c: c if c else 2**62, "text": lambda c: f"c{c:02d}"}[ids]
+    rows = [(name(rng.randrange(60)), rng.choice(["UPI", "PHONE", "URL", "IMAGE", "QR"]), rng.choice("abcdefghijkl")) for _ in range(500)] + [(name(1), "UPI", None), (name(2), "UPI", None), (None, "UPI", "a")]
+    got = L.jaccard_by_type(spark.createDataFrame(rows, f"channel {'string' if ids == 'text' else 'long'}, entity_type string, value string"), held=4)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(a#" not in plan and "Exchange hashpartitioning(block#" in plan and "SortMergeJoin" not in plan
+    sets = {}
+    for c, k, v in set(rows):
+        sets.setdefault(c, {}).setdefault(k, set()).add((k, v))
+    sets.pop(None)
+    want = []
+    for a in sets:
+        for b in sets:
+            both = {k: {x for x in sets[a].get(k, set()) & sets[b].get(k, set()) if x[1]} for k in ("UPI", "PHONE", "URL", "IMAGE", "QR")}
+            if a < b and any(both.values()):
+                union = lambda k: len(sets[a].get(k, ())) + len(sets[b].get(k, ())) - len(both[k])
+                want.append((a, b, *[pytest.approx(len(both[k]) / union(k)) if both[k] else 0.0 for k in L.JACCARD_KINDS]))
+    assert sorted(map(tuple, got.collect())) == sorted(want, key=lambda w: w[:2])
