@@ -620,3 +620,20 @@ def test_jaccard_counts_in_blocks(spark, ids):
                 union = lambda k: len(sets[a].get(k, ())) + len(sets[b].get(k, ())) - len(both[k])
                 want.append((a, b, *[pytest.approx(len(both[k]) / union(k)) if both[k] else 0.0 for k in L.JACCARD_KINDS]))
     assert sorted(map(tuple, got.collect())) == sorted(want, key=lambda w: w[:2])
+
+
+def test_sharing_pairs_are_not_shuffled(spark):
+    """Up to the bound of channels, pairs that share an entity meet both channels where they are; beyond it they are exchanged."""
+    t = datetime(2024, 1, 1)
+    rows = [(c, [1.0, c / 9] if c < 5 else [1.0], "A", "", True, t, t + timedelta(hours=c), 1) for c in range(12)]
+    chans = spark.createDataFrame(rows, "channel long, vector array<double>, category string, impersonated string, promises boolean, taken_down timestamp, created timestamp, n_evidence long")
+    ents = spark.createDataFrame([(c, "UPI", str(c // 4)) for c in range(12)], "channel long, entity_type string, value string")
+    few = [sorted(map(tuple, L.attribution(rows, ents, 0.08).collect())) for rows in (chans.where("channel < 5"), chans)]
+    plan = L.attribution(chans, ents, 0.08)._jdf.queryExecution().executedPlan().toString().split("known", 1)[0]
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
+    before, L.FEW = L.FEW, 3
+    try:
+        assert [sorted(map(tuple, L.attribution(rows, ents, 0.08).collect())) for rows in (chans.where("channel < 5"), chans)] == few
+    finally:
+        L.FEW = before
+    assert len(few[1]) > len(few[0]) > 0
