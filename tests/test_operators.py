@@ -637,3 +637,22 @@ def test_sharing_pairs_are_not_shuffled(spark):
     finally:
         L.FEW = before
     assert len(few[1]) > len(few[0]) > 0
+
+
+def test_operator_components_without_their_pairs(spark, monkeypatch):
+    """Components of all attribution pairs, of which only few edges are kept; pivots need not find any."""
+    from vigilspark.operators.components import connected_components
+
+    t = datetime(2024, 1, 1)
+    rows = [(c, [1.0, float(c % 5)], "AB"[c % 2], "", True, t + timedelta(days=40 * (c % 7)) if c % 3 else None, t + timedelta(days=40 * (c % 7), hours=2), 1) for c in range(90)]
+    chans = spark.createDataFrame(rows, "channel long, vector array<double>, category string, impersonated string, promises boolean, taken_down timestamp, created timestamp, n_evidence long")
+    ents = spark.createDataFrame([(c, "UPI", str(c // 2)) for c in range(80, 84)] + [(3, "PHONE", "p"), (82, "PHONE", "p")], "channel long, entity_type string, value string")
+    pairs = [tuple(r) for r in L.attribution(chans, ents, 0.1).select("a", "b").collect()]
+    want = sorted(map(tuple, connected_components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()))
+    kept = []
+    monkeypatch.setattr(L, "connected_components", lambda edges, *on: kept.append(edges.count()) or connected_components(edges, *on))
+    for pivots in (0, 16):
+        assert sorted(map(tuple, L.operator_components(chans, ents, 0.1, pivots).collect())) == want
+    assert len({c for _, c in want}) > 3 and kept[-1] < len(pairs)
+    edges = spark.range(0, 2000, 1, 1).select((F.col("id") % 50).alias("a"), (F.col("id") % 50 + 1 + F.col("id") % 3).alias("b"))
+    assert L.spanning(edges).count() == 52
